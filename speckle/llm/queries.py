@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_counts", "mixing", "exact_dedup")
+MODULES = ("packing", "token_counts", "mixing", "exact_dedup", "quality", "token_files")
 
 
 def _modules():
