@@ -10,7 +10,7 @@ from speckle.llm import _common as c
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix"
 #: Rows that one range of the random keys holds on average.
-RANGE_ROWS = 65536
+RANGE_ROWS = 4096
 
 
 def words(text: Column | str = "text") -> Column:
