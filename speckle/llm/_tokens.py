@@ -11,8 +11,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Tokens of a cached word table, per worker; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Words of a worker's table of encoded words; there are two, a new and an old one.
+CACHE_WORDS = 300_000
 #: Texts are handed to a tokenizer in blocks of about this many characters.
 BLOCK_CHARS = 1 << 20
 
@@ -64,21 +64,48 @@ def _plain(text: str) -> bool:
     return "<|" not in text and (text.isascii() or max(text) < "ɐ")
 
 
-_words: dict[str, dict[bytes, bytes]] = {}
+_words: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+
+
+@functools.cache
+def _separator(path: str) -> tuple[str, int]:
+    """A special token and its id: nothing but its own string, which _encoded() sets apart, is encoded to it."""
+    i, t = max((i, t) for i, t in _json(path).get_added_tokens_decoder().items() if t.special)
+    return t.content, i
+
+
+def _encoded(path: str, new: list[bytes], dtype: str) -> list[bytes]:
+    """Ids of each word, from one text in which the separator parts them; words that hold special strings one by one."""
+    mark, mark_id = _separator(path)
+    plain = [w for w in new if b"<|" not in w]
+    got = {w: np.asarray(_json(path).encode(w.decode(), add_special_tokens=False).ids, dtype).tobytes() for w in new if b"<|" in w}
+    for i in range(0, len(plain), 20_000):
+        part = plain[i : i + 20_000]
+        ids = np.asarray(_json(path).encode_batch_fast([mark.join(w.decode() for w in part)], add_special_tokens=False)[0].ids, dtype)
+        cuts = np.nonzero(ids == mark_id)[0]
+        size = ids.itemsize
+        data, lo, hi = ids.tobytes(), np.concatenate([[0], cuts + 1]) * size, np.concatenate([cuts, [len(ids)]]) * size
+        got.update(zip(part, map(data.__getitem__, map(slice, lo.tolist(), hi.tolist())), strict=True))
+    return [got[w] for w in new]
 
 
 def _by_word(path: str, texts: list[str], dtype: str) -> list[np.ndarray]:
-    """For tokenizers that drop white space: ids of a text are those of its words, end to end, so words are cached."""
-    known = _words.setdefault(path, {})
+    """For tokenizers that drop white space: ids of a text are those of its words, end to end, so words are cached.
+
+    When the table is full it becomes the old one, from which words that come again are taken over.
+    """
+    known, old = _words.get(path, ({}, {}))
+    if len(known) > CACHE_WORDS:
+        known, old = {}, known
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list({w for ws in split for w in ws})
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        for w, e in zip(part, _json(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, dtype).tobytes()
+    new = []
+    for w in {w for ws in split for w in ws}.difference(known):
+        if (x := old.get(w)) is None:
+            new.append(w)
+        else:
+            known[w] = x
+    known.update(zip(new, _encoded(path, new, dtype), strict=True))
+    _words[path] = known, old
     return [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype) for ws in split]
 
 

@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files at `path`, and its ids if asked for."""
-    c.arrow_batches(spark, rows=16)
+    c.arrow_batches(spark, rows=2)
 
     def run(batches):
         for b in batches:
