@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -74,11 +75,70 @@ def _separator(path: str) -> tuple[str, int]:
     return t.content, i
 
 
+@functools.cache
+def _merger(path: str):
+    """(merge, ids): the merges of a byte-level BPE file with word ends as a tiktoken rank table, and each rank's id.
+
+    The end of a word is written as byte 255, which is in no UTF-8 text. None if the file is of another kind, or if
+    the table encodes any whole word of the vocabulary unlike the library.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not end:
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    symbol = {b: ch for ch, b in byte.items()}
+
+    def spelt(token: str) -> bytes:
+        return bytes(byte[ch] for ch in token.removesuffix(end)) + b"\xff" * token.endswith(end)
+
+    vocab, ranks, ids = model["vocab"], {b"\xff": 0}, [-1]
+    tokens = [symbol[b] for b in range(255)] + [symbol[b] + end for b in range(255)]
+    tokens += ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+    for t in tokens:
+        if t in vocab and spelt(t) not in ranks:
+            ranks[spelt(t)] = len(ids)
+            ids.append(vocab[t])
+    import tiktoken
+
+    merge = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    numbers = np.array(ids)
+    whole = [w for w in (spelt(t)[:-1].decode("utf-8", "replace") for t in list(vocab)[::16] if t.endswith(end)) if _latin(w) and w == w.lower()]
+    same = all(numbers[merge(w.encode() + b"\xff")].tolist() == _json(path).encode(w, add_special_tokens=False).ids for w in whole)
+    return (merge, numbers) if same else None
+
+
+def _latin(word: str) -> bool:
+    """Letters up to Latin Extended-B, which lower-casing and normal forms treat alike everywhere."""
+    return word.isalpha() and (word.isascii() or max(word) < "ɐ")
+
+
+#: Signs that words end in; a run of them is a piece of its own.
+SIGNS = ".,!?|$%&#*"
+
+
 def _encoded(path: str, new: list[bytes], dtype: str) -> list[bytes]:
-    """Ids of each word, from one text in which the separator parts them; words that hold special strings one by one."""
+    """Ids of each word.
+
+    Latin letters, with or without signs after them, go through the rank table; other words through the library, as
+    one text in which a special token parts them; words that hold special strings one by one.
+    """
+    merger = _merger(path)
+    got, plain = {}, []
+    for w in new:
+        s = w.decode()
+        head = s.rstrip(SIGNS)
+        if merger and _latin(head):
+            ranks = merger[0](head.lower().encode() + b"\xff")
+            got[w] = merger[1][ranks + merger[0](s[len(head) :].encode() + b"\xff") if len(head) < len(s) else ranks].astype(dtype).tobytes()
+        elif "<|" in s:
+            got[w] = np.asarray(_json(path).encode(s, add_special_tokens=False).ids, dtype).tobytes()
+        else:
+            plain.append(w)
     mark, mark_id = _separator(path)
-    plain = [w for w in new if b"<|" not in w]
-    got = {w: np.asarray(_json(path).encode(w.decode(), add_special_tokens=False).ids, dtype).tobytes() for w in new if b"<|" in w}
     for i in range(0, len(plain), 20_000):
         part = plain[i : i + 20_000]
         ids = np.asarray(_json(path).encode_batch_fast([mark.join(w.decode() for w in part)], add_special_tokens=False)[0].ids, dtype)
@@ -99,7 +159,7 @@ def _by_word(path: str, texts: list[str], dtype: str) -> list[np.ndarray]:
         known, old = {}, known
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     new = []
-    for w in {w for ws in split for w in ws}.difference(known):
+    for w in set().union(*split).difference(known):
         if (x := old.get(w)) is None:
             new.append(w)
         else:
