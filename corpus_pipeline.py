@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speckle.llm import _tokens
+from speckle.llm import _tokens, quality
 from speckle.llm.exact_dedup import exact_dedup
+from speckle.llm.jaccard import near_dedup
 from speckle.llm.mixing import mixed_documents
 from speckle.llm.packing import pack
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels of `sf_dir`, predicts as good."""
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
     return exact_dedup(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 of their five-word shingles one stays."""
+    return near_dedup(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, cut at the target."""
     return mixed_documents(docs)
@@ -25,7 +36,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, _tokens.vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
-STAGES = [("exact dedup", unique), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", good), ("exact dedup", unique), ("near dedup", distinct), ("mixing", mixing), ("packing", packing)]
+#: The first stage is a trained network, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -128,7 +128,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, probes: int = PRO
     left = lists.join(deal, "cell").withColumn("v", F.pmod(F.xxhash64("id"), "nv").cast("int")).withColumn("q", every("nq")).select("cell", "v", "q", "id", "vec", "codes")
     right = asked.join(deal, "cell").withColumn("q", F.pmod(F.xxhash64("id"), "nq").cast("int")).withColumn("v", every("nv")).select("cell", "v", "q", "id", "vec")
 
-    def compare(x: pa.Table, q: pa.Table) -> pa.Table:
+    def compare(x, q):
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not x.num_rows or not q.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)

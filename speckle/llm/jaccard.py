@@ -275,7 +275,7 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp")
 
-    def compare(key, t: pa.Table) -> pa.Table:
+    def compare(key, t):
         i, j = key[1].as_py(), key[2].as_py()
         block, ids, n, comp = (t[x].to_numpy() for x in ("block", "id", "n", "comp"))
         a, b = (np.nonzero(block == x)[0] for x in (i, j))
