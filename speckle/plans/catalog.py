@@ -1,7 +1,627 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each beside the SQL that says the same. Results are rounded where doubles are summed."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from speckle.operators import analysis as an
+from speckle.operators import detector as dt
+from speckle.operators import frames as fr
+from speckle.operators import maximize as mx
+from speckle.operators import orientation as ori
+from speckle.operators import views as vw
+from speckle.plans import emc
+from speckle.sources import tables as tb
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "emc_iteration"
+SIZE = tb.MODEL_SIZE
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name; sql follows the common table expressions of the fixtures."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            more = " AS (" in sql.split("SELECT")[0]  # starts with further table expressions
+            ORACLE[f.__name__] = tb.SQL + (", " if more else "") + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.round(c, digits) + 0.0)
+    return df
+
+
+# Detector
+
+
+@query("SELECT pix, ROUND(qx, 6) + 0.0 AS qx, ROUND(qy, 6) + 0.0 AS qy, ROUND(qz, 6) + 0.0 AS qz, ROUND(corr, 9) AS corr, mask FROM det")
+def detector_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tb.detector(spark), "qx", "qy", "qz").select("pix", "qx", "qy", "qz", F.round("corr", 9).alias("corr"), "mask")
+
+
+@query("SELECT ROUND(m, 6) AS qmax, CAST(2 * CEIL(m) + 3 AS INT) AS size, CAST(FLOOR((2 * CEIL(m) + 3) / 2) AS INT) AS center FROM (SELECT MAX(SQRT(qx*qx + qy*qy + qz*qz)) AS m FROM det WHERE mask < 2)")
+def detector_qmax(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dt.qmax(tb.detector(spark)), "qmax")
+
+
+@query("SELECT pix, CAST(CASE WHEN mask = 0 AND SQRT(qx*qx + qy*qy + qz*qz) > 2.5 THEN 1 ELSE mask END AS INT) AS mask FROM det")
+def detector_remask(spark: SparkSession, sf: str) -> DataFrame:
+    return dt.remask(tb.detector(spark), 2.5).select("pix", "mask")
+
+
+@query("SELECT pix, ROUND(corr / AVG(corr) OVER (), 6) AS corr FROM det")
+def detector_corr_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dt.normalised_corr(tb.detector(spark)).select("pix", "corr"), "corr")
+
+
+@query("s AS (SELECT CASE WHEN AVG(qz) > 0 THEN -1.0 ELSE 1.0 END AS s FROM det) SELECT pix, ROUND(qx * 20.0 / (20.0 + s * qz), 6) + 0.0 AS qx, ROUND(qy * 20.0 / (20.0 + s * qz), 6) + 0.0 AS qy, 0.0::DOUBLE AS qz FROM det, s")
+def detector_flat(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dt.flat(tb.detector(spark), 20.0, 20.0).select("pix", "qx", "qy", "qz"), "qx", "qy")
+
+
+@query("SELECT pix, CAST(x + 3.5 AS INT) AS ix, CAST(y + 3.5 AS INT) AS iy, mask FROM det")
+def detector_assembled(spark: SparkSession, sf: str) -> DataFrame:
+    return dt.assembled(tb.detector(spark), 20.0, 20.0)
+
+
+@query("SELECT file_id, 'det_' || (file_id % 2) AS detector, CAST(DENSE_RANK() OVER (ORDER BY 'det_' || (file_id % 2)) - 1 AS INT) AS det_id FROM (SELECT DISTINCT file_id FROM frames)")
+def detector_unique(spark: SparkSession, sf: str) -> DataFrame:
+    files = tb.frames(spark, sf).select("file_id").distinct().withColumn("detector", F.concat(F.lit("det_"), (F.col("file_id") % 2).cast("string")))
+    return dt.unique_detectors(files)
+
+
+# Frames
+
+
+@query("SELECT d.pix, CAST(COALESCE(SUM(cnt), 0) AS BIGINT) AS total FROM det d LEFT JOIN photons p ON p.pix = d.pix GROUP BY 1")
+def frames_powder(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.powder(tb.photons(spark, sf), tb.detector(spark))
+
+
+@query("SELECT d.pix, ROUND(COALESCE(SUM(cnt), 0) / (SELECT COUNT(*) FROM frames), 9) AS mean FROM det d LEFT JOIN photons p ON p.pix = d.pix WHERE mask < 1 GROUP BY 1")
+def frames_mean_powder(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fr.mean_powder(tb.photons(spark, sf), tb.frames(spark, sf), tb.detector(spark)), "mean", digits=9)
+
+
+@query("SELECT f.frame_id, CAST(COALESCE(s, 0) AS BIGINT) AS fcount FROM frames f LEFT JOIN (SELECT frame_id, SUM(cnt) AS s FROM photons JOIN det USING (pix) WHERE mask < 1 GROUP BY 1) p ON p.frame_id = f.frame_id")
+def frames_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.frame_counts(tb.photons(spark, sf), tb.frames(spark, sf), tb.detector(spark))
+
+
+@query("SELECT frame_id, ROUND(SUM(lgamma(cnt + 1)), 6) AS sum_fact FROM photons JOIN det USING (pix) WHERE mask < 1 AND cnt > 1 GROUP BY 1")
+def frames_sum_fact(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fr.sum_fact(tb.photons(spark, sf), tb.detector(spark)), "sum_fact")
+
+
+@query("SELECT frame_id, CAST(COUNT(*) FILTER (cnt = 1) AS INT) AS n_ones, CAST(COUNT(*) FILTER (cnt > 1) AS INT) AS n_multi, MIN(pix) FILTER (cnt = 1) AS first_one, CAST(SUM(cnt) FILTER (cnt > 1) AS BIGINT) AS multi_total FROM photons GROUP BY 1")
+def frames_ones_multi(spark: SparkSession, sf: str) -> DataFrame:
+    x = fr.ones_multi(tb.photons(spark, sf))
+    total = F.when(F.size("count_multi") > 0, F.aggregate("count_multi", F.lit(0).cast("long"), lambda a, v: a + v))
+    return x.select("frame_id", F.size("place_ones").alias("n_ones"), F.size("place_multi").alias("n_multi"), F.get("place_ones", F.lit(0)).alias("first_one"), total.alias("multi_total"))
+
+
+@query("SELECT frame_id, pix, cnt FROM photons")
+def frames_layout_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.from_ones_multi(fr.ones_multi(tb.photons(spark, sf)))
+
+
+@query("SELECT frame_id, pix, CAST(FLOOR(val * 20) AS INT) AS cnt FROM dense JOIN det USING (pix) WHERE mask < 2 AND FLOOR(val * 20) > 0")
+def frames_sparsified(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.sparsified(tb.dense_frames(spark, sf).withColumn("val", F.floor(F.col("val") * 20).cast("double")), tb.detector(spark))
+
+
+@query("SELECT file_id, COUNT(*) AS n, CAST(COALESCE(SUM(COUNT(*)) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM frames GROUP BY 1")
+def frames_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.offsets(tb.frames(spark, sf))
+
+
+@query("""o AS (SELECT file_id, COUNT(*) AS n, COALESCE(SUM(COUNT(*)) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM frames GROUP BY 1)
+SELECT range AS num, file_id, CAST(range - first AS BIGINT) AS local FROM range(0, 100000, 37) JOIN o ON range >= first AND range < first + n""")
+def frames_located(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.located(spark.range(0, 100000, 37).withColumnRenamed("id", "num"), tb.frames(spark, sf))
+
+
+def _parity_sql(keep: int) -> str:
+    return f"SELECT frame_id, place FROM (SELECT frame_id, ROW_NUMBER() OVER (ORDER BY frame_id) - 1 AS place FROM frames WHERE blacklist = 0) WHERE place % 2 = {keep}"
+
+
+@query(_parity_sql(0))
+def frames_even(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.parity(tb.frames(spark, sf), 0)
+
+
+@query(_parity_sql(1))
+def frames_odd(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.parity(tb.frames(spark, sf), 1)
+
+
+@query("SELECT f.frame_id, CASE WHEN blacklist = 1 THEN -1.0 WHEN file_id = 0 THEN 1.0 ELSE scale END AS scale FROM frames f")
+def frames_scale(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf)
+    return fr.with_scale(f, f.filter("file_id <> 0").select("frame_id", "scale"))
+
+
+@query("SELECT cls, COUNT(*) AS n FROM frames GROUP BY 1")
+def classes_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.class_counts(tb.frames(spark, sf))
+
+
+@query("SELECT cls, pix, CAST(SUM(cnt) AS BIGINT) AS total FROM photons JOIN frames USING (frame_id) GROUP BY 1, 2")
+def classes_powder(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.class_powder(tb.photons(spark, sf), tb.frames(spark, sf))
+
+
+@query("""m AS (SELECT d.pix, COALESCE(SUM(cnt), 0) / (SELECT COUNT(*) FROM frames) AS mean FROM det d LEFT JOIN photons p ON p.pix = d.pix WHERE mask < 1 GROUP BY 1)
+SELECT frame_id, pix, cnt FROM photons LEFT JOIN m USING (pix) WHERE cnt <= 1 OR COALESCE(mean, 0) >= 0.0224""")
+def frames_without_cosmics(spark: SparkSession, sf: str) -> DataFrame:
+    p = tb.photons(spark, sf)
+    return fr.without_cosmics(p, fr.mean_powder(p, tb.frames(spark, sf), tb.detector(spark)))
+
+
+_PHOTON = "x AS (SELECT frame_id, pix, unnest(range(1, cnt + 1)) AS k FROM photons), h AS (SELECT frame_id, pix, ('0x' || substr(md5('{}|' || frame_id || '|' || pix || '|' || k), 1, 8))::BIGINT AS h FROM x) "
+
+
+@query(_PHOTON.format("thin") + "SELECT frame_id, pix, CAST(COUNT(*) AS INT) AS cnt FROM h WHERE h < 1288490188 GROUP BY 1, 2")
+def frames_thinned(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.thinned(tb.photons(spark, sf), 0.3)
+
+
+@query(_PHOTON.format("part") + "SELECT frame_id, CAST(h % 4 AS INT) AS part, pix, CAST(COUNT(*) AS INT) AS cnt FROM h GROUP BY 1, 2, 3")
+def frames_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.partitioned(tb.photons(spark, sf), 4)
+
+
+@query("SELECT CAST(x + 3.5 AS INT) AS ix, CAST(y + 3.5 AS INT) AS iy, CAST(COALESCE(SUM(cnt), 0) AS BIGINT) AS value FROM det d LEFT JOIN (SELECT * FROM photons WHERE frame_id = (SELECT MIN(frame_id) FROM photons)) p ON p.pix = d.pix WHERE mask < 2 GROUP BY 1, 2")
+def frame_assembled(spark: SparkSession, sf: str) -> DataFrame:
+    p = tb.photons(spark, sf)
+    first = p.join(F.broadcast(p.agg(F.min("frame_id").alias("frame_id"))), "frame_id", "left_semi")
+    return fr.assembled_frame(first, dt.assembled(tb.detector(spark), 20.0, 20.0))
+
+
+@query("""i AS (SELECT CAST(x + 3.5 AS INT) AS ix, CAST(y + 3.5 AS INT) AS iy, CAST(COALESCE(SUM(cnt), 0) AS DOUBLE) AS v FROM det d LEFT JOIN photons p ON p.pix = d.pix WHERE mask < 2 GROUP BY 1, 2)
+SELECT ix, iy, AVG(v) AS value FROM (SELECT * FROM i UNION ALL SELECT 7 - ix, 7 - iy, v FROM i) GROUP BY 1, 2""")
+def powder_symmetrized(spark: SparkSession, sf: str) -> DataFrame:
+    total = fr.powder(tb.photons(spark, sf), tb.detector(spark)).withColumnRenamed("total", "cnt")
+    return fr.centro_symmetric(fr.assembled_frame(total, dt.assembled(tb.detector(spark), 20.0, 20.0)))
+
+
+@query("SELECT frame_id, CAST(FLOOR(FLOOR(pix / 8) / 2) AS INT) AS bx, CAST(FLOOR((pix % 8) / 2) AS INT) AS by, CAST(SUM(cnt) AS BIGINT) AS cnt FROM photons GROUP BY 1, 2, 3")
+def frames_binned(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.binned(tb.photons(spark, sf), 2)
+
+
+@query("SELECT frame_id, 0 AS file_id FROM frames WHERE file_id = 0 UNION ALL SELECT frame_id, 1 FROM frames WHERE file_id = 2")
+def frames_concatenated(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf)
+    return fr.concatenated([f.filter(F.col("file_id") == k).select("frame_id") for k in (0, 2)])
+
+
+@query("SELECT frame_id, pix, cnt FROM photons JOIN frames USING (frame_id) WHERE cls IN ('1', '2') AND blacklist = 0")
+def frames_of_classes(spark: SparkSession, sf: str) -> DataFrame:
+    keep = tb.frames(spark, sf).filter("cls IN ('1', '2') AND blacklist = 0").select("frame_id")
+    return tb.photons(spark, sf).join(keep, "frame_id", "left_semi")
+
+
+@query("SELECT frame_id, CASE WHEN rmax % 3 IN (0, 2) THEN 0 ELSE 1 END AS blacklist FROM iter_log WHERE iteration = (SELECT MAX(iteration) FROM iter_log)")
+def blacklist_from_modes(spark: SparkSession, sf: str) -> DataFrame:
+    log = tb.iter_log(spark, sf)
+    last = log.join(F.broadcast(log.agg(F.max("iteration").alias("iteration"))), "iteration", "left_semi")
+    return last.select("frame_id", F.when((F.col("rmax") % 3).isin(0, 2), 0).otherwise(1).alias("blacklist"))
+
+
+# Views
+
+_CORNERS = """t AS (SELECT r, pix, corr, COS(angle) * qx - SIN(angle) * qy + 6 AS t0, SIN(angle) * qx + COS(angle) * qy + 6 AS t1 FROM rot, det WHERE mask < 2),
+i AS (SELECT *, CAST(TRUNC(t0) AS BIGINT) AS i0, CAST(TRUNC(t1) AS BIGINT) AS i1 FROM t),
+c AS (SELECT r, pix, corr, (i0 + a) * 13 + i1 + b AS vox, (CASE WHEN a = 1 THEN t0 - i0 ELSE 1 - (t0 - i0) END) * (CASE WHEN b = 1 THEN t1 - i1 ELSE 1 - (t1 - i1) END) AS f
+  FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b) WHERE t0 >= 0 AND t1 >= 0 AND i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11),
+g AS (SELECT mode, r, pix, SUM(f * intens) AS v FROM c JOIN model USING (vox) GROUP BY 1, 2, 3),
+views AS (SELECT m.mode, t.r, t.pix, CASE WHEN v * corr > 0 THEN v * corr ELSE 2.2250738585072014e-308 END AS value FROM t CROSS JOIN (SELECT DISTINCT mode FROM model) m LEFT JOIN g ON g.mode = m.mode AND g.r = t.r AND g.pix = t.pix)"""
+
+
+def _views(spark: SparkSession) -> DataFrame:
+    return vw.views(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), tb.model(spark), SIZE)
+
+
+@query(_CORNERS + " SELECT mode, r, pix, ROUND(value, 9) AS value FROM views")
+def views_2d(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_views(spark), "value", digits=9)
+
+
+@query(_CORNERS + " SELECT mode, vox, ROUND(SUM(f * value / corr), 6) AS num, ROUND(SUM(f), 6) AS weight FROM c JOIN views USING (r, pix) GROUP BY 1, 2")
+def views_merged_2d(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.merged(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), _views(spark), SIZE), "num", "weight")
+
+
+@query("SELECT mode, vox, ROUND(AVG(intens), 9) AS intens FROM (SELECT * FROM model UNION ALL SELECT mode, 168 - vox, intens FROM model) GROUP BY 1, 2")
+def model_friedel(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.friedel(tb.model(spark), SIZE, 2), "intens", digits=9)
+
+
+@query("SELECT vox, ROUND(AVG(intens), 9) AS intens FROM (SELECT * FROM cube UNION ALL SELECT 728 - vox, intens FROM cube) GROUP BY 1")
+def volume_friedel(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.friedel(tb.volume(spark), 9, 3), "intens", digits=9)
+
+
+@query("SELECT vox, ROUND(AVG(intens) OVER (PARTITION BY list_sort([ABS(vox // 81 - 4), ABS(vox // 9 % 9 - 4), ABS(vox % 9 - 4)])), 9) AS intens FROM cube")
+def volume_octahedral(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.octahedral(tb.volume(spark), 9), "intens", digits=9)
+
+
+@query()
+def volume_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.icosahedral(tb.volume(spark), 9), "intens")
+
+
+@query("""x AS (SELECT vox, intens, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
+s AS (SELECT a.vox, AVG(b.intens) AS m FROM x a JOIN x b ON a.z = b.z AND ((b.x = a.x AND b.y = a.y) OR (b.x = -a.x AND b.y = -a.y)) WHERE a.x*a.x + a.y*a.y + a.z*a.z < 16 GROUP BY 1)
+SELECT x.vox, ROUND(COALESCE(CASE WHEN x.x = 0 AND x.y = 0 THEN x.intens ELSE m END, intens), 6) AS intens FROM x LEFT JOIN s USING (vox)""")
+def volume_axial(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.axial(tb.volume(spark), 2, 9), "intens")
+
+
+@query()
+def views_3d(spark: SparkSession, sf: str) -> DataFrame:
+    rot = ori.table(spark, ori.uniform(1))
+    cube = tb.volume(spark, SIZE).withColumn("mode", F.lit(0).cast("long"))
+    return rounded(vw.views(vw.coords3d(rot, tb.detector(spark), SIZE), cube, SIZE), "value")
+
+
+@query()
+def views_rz(spark: SparkSession, sf: str) -> DataFrame:
+    import math
+
+    rot = ori.rz_grid(spark, 6, math.pi / 2, math.pi / 8)
+    return rounded(vw.views(vw.coords_rz(rot, tb.detector(spark), SIZE), tb.model(spark), SIZE), "value")
+
+
+@query("""p AS (SELECT i.range - 4 AS i, j.range - 4 AS j FROM range(9) i, range(9) j)
+SELECT i, j, ROUND(intens, 6) AS value FROM p JOIN cube ON vox = (i + 4) * 81 + (j + 4) * 9 + 4 WHERE i < 4 AND j < 4""")
+def volume_plane(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.oblique(tb.volume(spark), (1, 0, 0), (0, 1, 0), 9), "value")
+
+
+# Orientations
+
+
+@query("SELECT r, ROUND(angle, 9) AS angle, ROUND(w, 9) AS w FROM rot")
+def rotations_in_plane(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ori.in_plane(spark, 12), "angle", "w", digits=9)
+
+
+@query("SELECT p.range * 4 + b.range AS r, ROUND(p.range * 2 * PI() / 6, 9) AS phi, ROUND((b.range + 0.5) * PI() / 8 - PI() / 4, 9) AS beta, ROUND(1.0 / 24, 9) AS w FROM range(6) p, range(4) b")
+def rotations_rz(spark: SparkSession, sf: str) -> DataFrame:
+    import math
+
+    return rounded(ori.rz_grid(spark, 6, math.pi / 2, math.pi / 8), "phi", "beta", "w", digits=9)
+
+
+@query("SELECT n, 10 * (5 * n * n * n + n) AS rotations, 1.0::DOUBLE AS weight, true AS unit FROM (VALUES (1), (2), (3), (4)) t(n)")
+def rotations_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for n in (1, 2, 3, 4):
+        x = ori.table(spark, ori.uniform(n))
+        length = F.col("q0") ** 2 + F.col("q1") ** 2 + F.col("q2") ** 2 + F.col("q3") ** 2
+        x = x.agg(F.lit(n).alias("n"), F.count("*").cast("int").alias("rotations"), F.round(F.sum("w"), 9).alias("weight"), (F.max(F.abs(length - 1)) < 1e-9).alias("unit"))
+        out = x if out is None else out.union(x)
+    return out
+
+
+@query()
+def rotations_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ori.nearest(ori.table(spark, ori.uniform(4)), ori.table(spark, ori.uniform(2))), "dist", digits=9)
+
+
+@query()
+def rotations_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ori.table(spark, ori.reduced(ori.uniform(4), ori.icosahedral_group())), "q0", "q1", "q2", "q3", "w")
+
+
+@query()
+def rotations_octahedral(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ori.table(spark, ori.reduced(ori.uniform(4), ori.octahedral_group())), "q0", "q1", "q2", "q3", "w")
+
+
+@query("SELECT range AS r, CAST(CASE WHEN range < 24 THEN range // 2 ELSE 0 END AS BIGINT) AS rotind, CAST(CASE WHEN range < 24 THEN range % 2 ELSE range - 22 END AS BIGINT) AS mode FROM range(27)")
+def rotations_split(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(27).withColumnRenamed("id", "r").select("r", *mx.split_index(12, 2))
+
+
+# The iteration
+
+_COUNTS = "counts AS (SELECT f.frame_id, COALESCE(s, 0) AS fcount FROM frames f LEFT JOIN (SELECT frame_id, SUM(cnt) AS s FROM photons JOIN det USING (pix) WHERE mask < 1 GROUP BY 1) p ON p.frame_id = f.frame_id)"
+_TOTALS = _CORNERS + ", totals AS (SELECT mode, r, SUM(value) AS u FROM views JOIN det USING (pix) WHERE mask < 1 GROUP BY 1, 2), " + _COUNTS
+_LOGL = (
+    _TOTALS
+    + """, phi AS (SELECT frame_id, scale AS phi FROM frames WHERE blacklist = 0),
+hits AS (SELECT frame_id, mode, r, SUM(cnt * LN(value)) AS s FROM photons JOIN views USING (pix) JOIN det USING (pix) WHERE mask < 1 GROUP BY 1, 2, 3),
+logl AS (SELECT p.frame_id, t.mode, t.r, LN(w) - u * phi + COALESCE(s, 0) AS logl FROM phi p CROSS JOIN totals t JOIN rot ON rot.r = t.r LEFT JOIN hits h ON h.frame_id = p.frame_id AND h.mode = t.mode AND h.r = t.r)"""
+)
+_POST = (
+    _LOGL
+    + """, betas AS (SELECT frame_id, EXP(-6.5 * POWER(fcount * 1e-5, 0.15)) AS beta FROM counts),
+best AS (SELECT frame_id, MAX(logl) AS best FROM logl GROUP BY 1),
+e AS (SELECT l.*, best, EXP(beta * (logl - best)) AS e FROM logl l JOIN best USING (frame_id) JOIN betas USING (frame_id) WHERE logl > best - 14.0 / beta),
+post AS (SELECT frame_id, mode, r, logl, e / SUM(e) OVER (PARTITION BY frame_id) AS p FROM e)"""
+)
+_FACT = ", facts AS (SELECT frame_id, SUM(lgamma(cnt + 1)) AS sum_fact FROM photons JOIN det USING (pix) WHERE mask < 1 AND cnt > 1 GROUP BY 1)"
+_TOMO = (
+    _POST
+    + """, base AS (SELECT mode, r, SUM(p * phi) AS psum FROM post JOIN phi USING (frame_id) WHERE p > 1e-6 GROUP BY 1, 2),
+lit AS (SELECT mode, r, pix, SUM(p * cnt) AS s FROM post JOIN photons USING (frame_id) JOIN det USING (pix) WHERE p > 1e-6 AND mask < 2 GROUP BY 1, 2, 3),
+tomo AS (SELECT b.mode, b.r, d.pix, COALESCE(s, 0) / psum AS value FROM base b CROSS JOIN (SELECT pix FROM det WHERE mask < 2) d LEFT JOIN lit ON lit.mode = b.mode AND lit.r = b.r AND lit.pix = d.pix)"""
+)
+
+
+@query(_TOTALS + " SELECT mode, r, ROUND(u, 6) AS u FROM totals")
+def view_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mx.view_totals(_views(spark), tb.detector(spark)), "u")
+
+
+@query(_TOTALS + " SELECT ROUND((SELECT AVG(fcount) FROM counts) / SUM(w * u) * 2, 6) AS rescale FROM totals JOIN rot USING (r)")
+def rescale(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(mx.rescale(s.totals, s.rot, fr.mean_count(s.photons, s.frames, s.det)), "rescale")
+
+
+@query(_COUNTS + " SELECT frame_id, ROUND(EXP(-6.5 * POWER(fcount * 1e-5, 0.15)), 9) AS beta FROM counts")
+def start_beta(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mx.start_beta(fr.frame_counts(tb.photons(spark, sf), tb.frames(spark, sf), tb.detector(spark))), "beta", digits=9)
+
+
+@query(_COUNTS + " SELECT frame_id, ROUND(LEAST(1.0, EXP(-6.5 * POWER(fcount * 1e-5, 0.15)) * POWER(1.4, 2)), 9) AS beta FROM counts")
+def scheduled_beta(spark: SparkSession, sf: str) -> DataFrame:
+    b = mx.start_beta(fr.frame_counts(tb.photons(spark, sf), tb.frames(spark, sf), tb.detector(spark)))
+    return rounded(mx.scheduled_beta(b, 25, 1.4, 10), "beta", digits=9)
+
+
+@query(_LOGL + " SELECT frame_id, mode, r, ROUND(logl, 5) AS logl FROM logl")
+def log_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(emc.State(spark, sf).logl, "logl", digits=5)
+
+
+@query(
+    _TOTALS
+    + """, hits AS (SELECT p.frame_id, v.mode, v.r, SUM(cnt * LN(GREATEST(v.value * scale + 0.5 * (0.01 + 0.001 * (p.pix % 7)), 2.2250738585072014e-308))) AS s FROM photons p JOIN frames f ON f.frame_id = p.frame_id AND blacklist = 0 JOIN views v ON v.pix = p.pix JOIN det d ON d.pix = p.pix WHERE mask < 1 GROUP BY 1, 2, 3)
+SELECT f.frame_id, t.mode, t.r, ROUND(LN(w) - u * scale + COALESCE(s, 0), 5) AS logl FROM frames f CROSS JOIN totals t JOIN rot ON rot.r = t.r LEFT JOIN hits h ON h.frame_id = f.frame_id AND h.mode = t.mode AND h.r = t.r WHERE blacklist = 0"""
+)
+def log_likelihood_background(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    det = emc.with_background(s.det)
+    return rounded(mx.log_likelihood_background(s.photons, s.views, s.totals, s.rot, s.phi.withColumn("bgscale", F.lit(0.5)), det), "logl", digits=5)
+
+
+@query(_CORNERS + " SELECT d.frame_id, v.mode, v.r, ROUND(-SUM(POWER(d.val - v.value * 2.0, 2)), 6) AS logl FROM dense d JOIN views v ON v.pix = d.pix JOIN det ON det.pix = d.pix WHERE mask < 1 GROUP BY 1, 2, 3")
+def log_likelihood_gauss(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mx.log_likelihood_gauss(tb.dense_frames(spark, sf), _views(spark), tb.detector(spark), 2.0), "logl")
+
+
+@query(_POST + " SELECT frame_id, mode, r, ROUND(p, 7) AS p FROM post")
+def posterior(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(emc.State(spark, sf).post.select("frame_id", "mode", "r", "p"), "p", digits=7)
+
+
+@query(_LOGL + " SELECT frame_id, ROUND(MAX(logl), 5) AS logl FROM logl GROUP BY 1")
+def best_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mx.best_rotation(emc.State(spark, sf).logl).select("frame_id", "logl"), "logl", digits=5)
+
+
+@query(_POST + _FACT + " SELECT frame_id, ROUND(SUM(p * LN(p * 2 / w)), 6) AS info, ROUND(SUM(p * (logl - COALESCE(sum_fact, 0))), 5) AS likelihood FROM post JOIN rot USING (r) LEFT JOIN facts USING (frame_id) WHERE p >= 1e-6 GROUP BY 1")
+def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rounded(emc.State(spark, sf).metrics, "info"), "likelihood", digits=5)
+
+
+@query(_POST + " SELECT frame_id, mode, ROUND(SUM(p), 6) AS p FROM post WHERE p >= 1e-6 GROUP BY 1, 2")
+def mode_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(mx.occupancy(emc.State(spark, sf).post), "p")
+
+
+@query(_TOMO + " SELECT mode, r, pix, ROUND(value, 6) AS value FROM tomo")
+def tomograms(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(emc.State(spark, sf).tomograms, "value")
+
+
+@query()
+def tomograms_background(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(mx.tomograms_background(s.post, s.photons, s.phi.withColumn("bgscale", F.lit(0.5)), emc.with_background(s.det)), "value", digits=5)
+
+
+@query(_POST + " SELECT frame_id, ROUND(MAX(fcount) / SUM(p * u), 6) AS phi FROM post JOIN totals USING (mode, r) JOIN counts USING (frame_id) GROUP BY 1")
+def updated_scale(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(mx.updated_scale(s.post, s.totals, s.counts), "phi")
+
+
+@query("SELECT frame_id, ROUND(scale / (SELECT AVG(scale) FROM frames WHERE blacklist = 0), 9) AS phi FROM frames WHERE blacklist = 0")
+def normalised_scale(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(mx.normalised_scales(s.phi, s.model)[0], "phi", digits=9)
+
+
+_NEW = _TOMO + """, sums AS (SELECT mode, vox, SUM(f * value / corr) AS num, SUM(f) AS weight FROM c JOIN tomo USING (r, pix) GROUP BY 1, 2),
+new AS (SELECT m.mode, m.vox, m.intens AS old, COALESCE(num / weight, 0) AS intens FROM model m LEFT JOIN sums s ON s.mode = m.mode AND s.vox = m.vox),
+sym AS (SELECT a.mode, a.vox, a.old, (a.intens + b.intens) / 2 AS intens FROM new a JOIN new b ON b.mode = a.mode AND b.vox = 168 - a.vox)"""
+
+
+@query(_NEW + " SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym")
+def emc_iteration(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(emc.State(spark, sf).next_model(), "intens", digits=5)
+
+
+@query(_NEW + " SELECT ROUND(SQRT(AVG(POWER(intens - old, 2))), 5) AS rms_change FROM sym")
+def model_rms_change(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(mx.rms_change(s.model, s.next_model()), "rms_change", digits=5)
+
+
+@query(_POST + _FACT + """, m AS (SELECT frame_id, SUM(p * LN(p * 2 / w)) AS info, SUM(p * (logl - COALESCE(sum_fact, 0))) AS likelihood FROM post JOIN rot USING (r) LEFT JOIN facts USING (frame_id) WHERE p >= 1e-6 GROUP BY 1)
+SELECT ROUND(AVG(info), 5) AS info_rate, ROUND(AVG(likelihood), 4) AS log_likelihood FROM m""")
+def emc_averages(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(rounded(mx.averages(s.metrics, s.frames), "info_rate", digits=5), "log_likelihood", digits=4)
+
+
+@query("SELECT f.frame_id, r FROM (SELECT frame_id FROM frames WHERE blacklist = 0) f, rot WHERE r // 3 IN (f.frame_id % 4, (f.frame_id + 1) % 4)")
+def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf).filter("blacklist = 0").select("frame_id")
+    rot = tb.rotations(spark).select("r", F.floor(F.col("r") / 3).alias("coarse"))
+    kept = f.select("frame_id", F.explode(F.array(F.col("frame_id") % 4, (F.col("frame_id") + 1) % 4)).alias("coarse"))
+    return mx.refined(f.crossJoin(F.broadcast(rot.select("r"))), rot, kept)
+
+
+# Analysis
+
+_RBIN = "CAST(TRUNC(SQRT(POWER(vox // 13 - 6, 2) + POWER(vox % 13 - 6, 2))) AS INT)"
+
+
+@query(f"SELECT mode, {_RBIN} AS rbin, ROUND(AVG(intens), 9) AS mean, ROUND(MIN(intens), 9) AS least FROM model GROUP BY 1, 2")
+def model_radial(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.radial(tb.model(spark), SIZE, 2), "mean", "least", digits=9)
+
+
+@query(f"SELECT mode, vox, ROUND(intens - AVG(intens) OVER (PARTITION BY mode, {_RBIN}), 6) + 0.0 AS intens FROM model")
+def model_minus_radial_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.minus_radial(tb.model(spark), SIZE, 2), "intens")
+
+
+@query(f"SELECT mode, vox, ROUND(intens - MIN(intens) OVER (PARTITION BY mode, {_RBIN}), 6) + 0.0 AS intens FROM model")
+def model_minus_radial_min(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.minus_radial(tb.model(spark), SIZE, 2, "min"), "intens")
+
+
+@query(f"x AS (SELECT mode, vox, intens, SQRT(POWER(vox // 13 - 6, 2) + POWER(vox % 13 - 6, 2)) AS r FROM model) SELECT mode, vox, ROUND(intens / AVG(CASE WHEN r > 4.4 AND r < 6 THEN intens END) OVER (PARTITION BY mode), 6) AS intens FROM x")
+def model_high_q(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.high_q_normalised(tb.model(spark), SIZE, 2), "intens")
+
+
+@query(f"SELECT {_RBIN.replace('vox', 'a.vox')} AS rbin, ROUND(SUM(a.intens * b.intens) / SQRT(SUM(a.intens * a.intens)) / SQRT(SUM(b.intens * b.intens)), 9) AS fsc FROM model a JOIN model b ON a.vox = b.vox AND a.mode = 0 AND b.mode = 1 GROUP BY 1")
+def shell_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    m = tb.model(spark)
+    return rounded(an.shell_correlation(m.filter("mode = 0"), m.filter("mode = 1"), SIZE, 2), "fsc", digits=9)
+
+
+_POLAR = """a AS (SELECT pix, SQRT(x*x + y*y) AS rad, (CASE WHEN ATAN2(x, y) < 0 THEN ATAN2(x, y) + PI() ELSE ATAN2(x, y) END) / (PI() * 30 / 180) AS ang FROM det),
+b AS (SELECT pix, CAST(FLOOR(rad - FLOOR(MIN(rad) OVER ())) AS INT) AS rbin, CAST(FLOOR(ang - FLOOR(MIN(ang) OVER ())) AS INT) AS abin FROM a WHERE rad BETWEEN 1 AND 4),
+n AS (SELECT rbin, abin, COUNT(*) AS n FROM b GROUP BY 1, 2),
+s AS (SELECT frame_id, rbin, abin, SUM(cnt) / MAX(n) AS v FROM photons JOIN b USING (pix) JOIN n USING (rbin, abin) GROUP BY 1, 2, 3)
+"""
+
+
+def _bins(spark: SparkSession) -> DataFrame:
+    return an.polar_bins(tb.detector(spark), 1.0, 4.0, 1.0, 30.0)
+
+
+@query(_POLAR + "SELECT frame_id, rbin, abin, ROUND(v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT COUNT(*) FROM n), 6) AS mean FROM s")
+def frames_polar(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.polar(tb.photons(spark, sf), _bins(spark)), "mean")
+
+
+@query()
+def frames_angular_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.angular_correlation(an.polar(tb.photons(spark, sf), _bins(spark)), 6), "value")
+
+
+@query(_POLAR + "SELECT frame_id, pix, ROUND(cnt * (SELECT COUNT(*) FROM b) / SUM(cnt) OVER (PARTITION BY frame_id), 6) AS value FROM photons JOIN b USING (pix)")
+def frames_raw_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.raw_features(tb.photons(spark, sf), _bins(spark)), "value")
+
+
+def _lines(spark: SparkSession) -> DataFrame:
+    """Rows of three models as lines."""
+    m = tb.model(spark, 3)
+    return m.select("mode", F.floor(F.col("vox") / SIZE).alias("line"), (F.col("vox") % SIZE).alias("k"), F.col("intens").alias("v"))
+
+
+@query("""m3 AS (SELECT m.range AS mode, v.range // 13 AS line, v.range % 13 AS k, 0.5::DOUBLE + CAST((v.range * 37 + m.range * 11) % 101 AS DOUBLE) / 101.0 AS v FROM range(169) v, range(3) m),
+c AS (SELECT a.mode AS i, b.mode AS j, a.line AS li, b.line AS lj, CORR(a.v, b.v) AS c FROM m3 a JOIN m3 b ON a.k = b.k AND a.mode <> b.mode GROUP BY 1, 2, 3, 4)
+SELECT i, j, ROUND(MAX(c), 9) AS cc FROM c GROUP BY 1, 2 UNION ALL SELECT range, range, 1.0 FROM range(3)""")
+def common_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.common_lines(_lines(spark)), "cc", digits=9)
+
+
+@query()
+def common_line_components(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.principal_components(an.common_lines(_lines(spark)), 2).withColumn("c1", F.abs("c1")).withColumn("c2", F.abs("c2")), "c1", "c2", digits=5)
+
+
+@query("""it AS (SELECT iteration, COUNT(*) AS n FROM iter_log GROUP BY 1),
+nw AS (SELECT iteration, CASE WHEN n <> LAG(n) OVER (ORDER BY iteration) THEN 1 ELSE 0 END AS new FROM it),
+sg AS (SELECT iteration, CAST(SUM(new) OVER (ORDER BY iteration) AS BIGINT) AS segment FROM nw),
+la AS (SELECT segment, MAX(iteration) AS iteration FROM sg GROUP BY 1),
+pl AS (SELECT segment, frame_id, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY rmax, frame_id) - 1 AS place FROM iter_log JOIN la USING (iteration))
+SELECT l.iteration, l.frame_id, s.segment, CAST(p.place AS INT) AS place FROM iter_log l JOIN sg s USING (iteration) JOIN pl p ON p.segment = s.segment AND p.frame_id = l.frame_id""")
+def orientation_order(spark: SparkSession, sf: str) -> DataFrame:
+    return an.orientation_order(tb.iter_log(spark, sf))
+
+
+@query("SELECT * FROM (SELECT frame_id, iteration, rmax <> LAG(rmax) OVER (PARTITION BY frame_id ORDER BY iteration) AS moved FROM iter_log) WHERE moved IS NOT NULL")
+def orientation_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return an.changes(tb.iter_log(spark, sf))
+
+
+@query("SELECT vox FROM cube ORDER BY intens DESC, vox LIMIT 60")
+def volume_support(spark: SparkSession, sf: str) -> DataFrame:
+    return an.support(tb.volume(spark), 60)
+
+
+_POINTS = "pts AS (SELECT frame_id, SUM(CASE WHEN pix = 0 THEN val END) AS x, SUM(CASE WHEN pix = 1 THEN val END) AS y FROM dense WHERE pix < 2 GROUP BY 1)"
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    d = tb.dense_frames(spark, sf).filter("pix < 2")
+    return d.groupBy("frame_id").agg(*[F.sum(F.when(F.col("pix") == i, F.col("val"))).alias(k) for i, k in enumerate("xy")])
+
+
+@query(_POINTS + """, l AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM pts)
+SELECT CAST(LEAST(9, FLOOR((x - x0) / (x1 - x0) * 10)) AS INT) AS bx, CAST(LEAST(9, FLOOR((y - y0) / (y1 - y0) * 10)) AS INT) AS by, COUNT(*) AS n FROM pts, l GROUP BY 1, 2""")
+def embedding_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return an.histogram2d(_points(spark, sf), 10)
+
+
+@query(_POINTS + " SELECT frame_id FROM pts WHERE x >= -0.1 AND x < 0.1 AND y >= -0.1 AND y < 0.1")
+def embedding_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    return an.in_polygon(_points(spark, sf), [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("frame_id")
+
+
+@query("SELECT mode, ROUND(0.5 * ATAN2(2 * SUM(intens * (vox // 13 - 6) * (vox % 13 - 6)), SUM(intens * POWER(vox // 13 - 6, 2)) - SUM(intens * POWER(vox % 13 - 6, 2))), 6) AS angle FROM model GROUP BY 1")
+def model_principal_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.principal_axis(tb.model(spark), SIZE), "angle")
+
+
+@query("SELECT mode, COUNT(DISTINCT frame_id) AS n FROM dense GROUP BY 1")
+def frames_per_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return tb.dense_frames(spark, sf).select("mode", "frame_id").distinct().groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query()
+def class_phasing(spark: SparkSession, sf: str) -> DataFrame:
+    return an.phased(tb.model(spark), SIZE, 40).select("mode", "vox", F.round("density", 6).alias("density"))
+
+
+@query()
+def frames_classified(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    d = tb.dense_frames(spark, sf)
+    x = d.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("pix", "val"))).alias("v"), F.first("mode").alias("mode"))
+    x = x.select("frame_id", array_to_vector("v.val").alias("features"), "mode")
+    return an.classify(x.select("frame_id", "features"), x.select("frame_id", (F.when(F.col("frame_id") % 2 == 0, F.col("mode") % 3 + 1).otherwise(0)).alias("label")), [64, 12, 3])
+
+
+@query()
+def frames_simulated(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+
+    from speckle.operators.simulate import simulated
+
+    cube = (0.5 + (np.arange(SIZE**3) * 37 % 101) / 101).reshape((SIZE,) * 3)
+    return simulated(spark, 200, cube, tb.detector(spark).toPandas(), 50.0).select("frame_id", "pix", "cnt")
