@@ -95,13 +95,13 @@ def _merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], top[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(pairs) - 1]])]], 1)
 
 
-def _chunks(batches):
-    """Arrow batches put together to chunks of at least CHUNK bytes, but for the last."""
+def _chunks(batches, least: int):
+    """Arrow batches put together to chunks of at least so many bytes, but for the last."""
     held, size = [], 0
     for b in batches:
         held.append(b)
         size += b.nbytes
-        if size >= CHUNK:
+        if size >= least:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
     if held:
@@ -122,7 +122,7 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "kind", "data"])
 
 
-ITEM = np.dtype([("core", "<u4"), ("item", "<u8"), ("at", "<u4"), ("back", "<u1"), ("many", "<u1")])
+ITEM = np.dtype([("core", "<u4"), ("item", "<u8"), ("at", "<u4"), ("back", "<u2"), ("ahead", "<u2"), ("many", "<u1")])
 WIN = np.dtype([("hash", "<u8"), ("at", "<u4"), ("many", "<u1")])
 
 
@@ -143,6 +143,7 @@ def _reduce(window: int):
         bucket = key[0].as_py()
         if bucket < 0:
             return t.select(["bucket", "chunk", "kind", "data"])
+        t = t.sort_by("chunk")
         chunks, data = t["chunk"].to_numpy(), t["data"].to_pylist()
         kind = ITEM if bucket < 1 << 40 else WIN
         x = np.concatenate([np.frombuffer(d, kind) for d in data])
@@ -151,10 +152,9 @@ def _reduce(window: int):
         if kind is WIN:
             _, inverse, n = np.unique(x["hash"], return_inverse=True, return_counts=True)
             hit = (n[inverse] > 1) & (x["many"] == 0)
-            at = x["at"].astype(np.int64)
-            for k in np.unique(chunk[hit]):
-                a = at[hit & (chunk == k)]
-                out.append((-1, int(k), FULL, _ranges(a, a + window).tobytes()))
+            at, of = x["at"][hit].astype(np.int64), chunk[hit]
+            for k, lo, hi in _runs(of):
+                out.append((-1, int(k), FULL, _ranges(at[lo:hi], at[lo:hi] + window).tobytes()))
             return pa.Table.from_batches([_batch(out)])
         _, core, cores = np.unique(x["core"], return_inverse=True, return_counts=True)
         _, item, items = np.unique(x["item"], return_inverse=True, return_counts=True)
@@ -167,14 +167,14 @@ def _reduce(window: int):
         once = np.zeros(len(x), bool)
         once[np.unique(item, return_index=True)[1]] = True
         probe = edge | (full & near[core] & once)
-        at, back = x["at"].astype(np.int64), x["back"].astype(np.int64)
-        tell = full & (x["many"] == 0)
-        for k in np.unique(chunk[tell | probe]):
-            here = chunk == k
-            if (s := here & tell).any():
-                out.append((-1, int(k), FULL, _ranges(at[s] - back[s], at[s] + window).tobytes()))
-            if (s := here & probe).any():
-                out.append((-1, int(k), PROBE, at[s].astype("<i8").tobytes()))
+        at, back, ahead = (x[k].astype(np.int64) for k in ("at", "back", "ahead"))
+        tell = np.nonzero(full & (x["many"] == 0))[0]
+        for k, lo, hi in _runs(chunk[tell]):
+            s = tell[lo:hi]
+            out.append((-1, int(k), FULL, _ranges(at[s] - back[s], at[s] + ahead[s]).tobytes()))
+        probe = np.nonzero(probe)[0]
+        for k, lo, hi in _runs(chunk[probe]):
+            out.append((-1, int(k), PROBE, at[probe[lo:hi]].astype("<i8").tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
     return reduce
@@ -220,12 +220,12 @@ def _tables(t: pa.Table, ends: np.ndarray, chunk: int, buckets: int):
     return -1 - chunk % buckets, chunk, TABLE, ids.tobytes()
 
 
-def _first_pass(buckets: int, window: int, gram: int, period: int, core: int):
+def _first_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        for t in _chunks(batches):
+        for t in _chunks(batches, chunk_bytes):
             chunk += 1
             raw, ends = c.flat_bytes(t["text"])
             x = Text(raw, ends)
@@ -235,7 +235,8 @@ def _first_pass(buckets: int, window: int, gram: int, period: int, core: int):
             head, again, all_again = _collapsed(item)
             e = np.zeros(len(head), ITEM)
             cores = x.hash(q[head], q[head] + core)
-            e["core"], e["item"], e["at"], e["back"], e["many"] = cores.astype("<u4"), item[head], q[head], (q - first)[head], again
+            e["core"], e["item"], e["at"], e["many"] = cores.astype("<u4"), item[head], q[head], again
+            e["back"], e["ahead"] = (q - first)[head], (last + window - q)[head]
             rows += _rows((cores >> np.uint64(32)).astype(np.int64) % buckets, chunk, PROBE, e)
             if all_again.any():
                 rows.append((-1 - chunk % buckets, chunk, FULL, _ranges(first[all_again], last[all_again] + window).tobytes()))
@@ -245,12 +246,12 @@ def _first_pass(buckets: int, window: int, gram: int, period: int, core: int):
     return run
 
 
-def _second_pass(buckets: int, window: int, gram: int, period: int, core: int):
+def _second_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        for t in _chunks(batches):
+        for t in _chunks(batches, chunk_bytes):
             chunk += 1
             raw, ends = c.flat_bytes(t["text"])
             x = Text(raw, ends)
@@ -270,7 +271,7 @@ def _joined(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if small else side, ["doc_id", "th"], how)
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, period: int = PERIOD, core: int = CORE) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, period: int = PERIOD, core: int = CORE, chunk_bytes: int = CHUNK) -> DataFrame:
     """(doc_id, th, spans) of the rows (doc_id, th, text) that share a window with another place; th is a hash of the text.
 
     spans: sorted disjoint ranges of bytes, pairs of little-endian 64-bit integers, that such windows cover.
@@ -279,7 +280,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, peri
     c.arrow_batches(spark, rows=500, size="2m")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // period // BUCKET_ROWS)
-    args = buckets, window, gram, period, core
+    args = buckets, window, gram, period, core, chunk_bytes
     passed = rows.mapInArrow(_first_pass(*args), ROW).groupBy("bucket").applyInArrow(_reduce(window), ROW)
     out = "doc_id long, th long, spans binary, probes binary"
     found = c.stored(passed.groupBy("chunk").applyInArrow(_assemble, out), "spans-first")
