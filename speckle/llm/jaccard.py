@@ -257,7 +257,8 @@ def _second_round(docs: DataFrame, links: DataFrame, pairs: DataFrame, members:
         x = wide.join(left, "ga").join(right, "gb").filter("ca <> cb AND NOT (a = ga AND b = gb) AND (ga <> gb OR (a < b AND a <> ga))")
         more.append(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     if heat is not None:
-        mixed = _hot_pairs(heat.join(members.select("g", "id", "comp"), "g"), percent)
+        h = heat.groupBy("g").agg(F.count("*").cast("int").alias("h"))
+        mixed = _hot_pairs(heat.join(members.select("g", "id", "comp"), "g").join(h, "g"), percent)
         more.append(mixed.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     new = more[0] if len(more) == 1 else more[0].union(more[1])
     new = c.stored(new.distinct(), "jaccard-more")
@@ -265,21 +266,32 @@ def _second_round(docs: DataFrame, links: DataFrame, pairs: DataFrame, members:
 
 
 def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components that share a hot token, from (token, g, n, id, comp).
+    """Pairs (a, b) of members of different components that share a hot token, from (token, g, n, id, comp, h).
 
-    Tokens whose members are all of one component are done. The members of another are dealt to blocks, and every two
-    blocks are compared in a task of their own.
+    Tokens whose members are all of one component are done. A pair that shares no other prefix token needs as many hot
+    ones as _can_link() says, and has at most the smaller h of the two, the hot tokens of their prefixes: a member that
+    reaches this with no size there is in its bucket goes before any pairing. The others are dealt to blocks, and every
+    two blocks are compared in a task of their own.
     """
-    stats = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rows = rows.join(stats.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), "token").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int"))
+    stats = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo < hi")
+    rows = rows.join(stats, "token")
+    # the tokens needed fall with the partner's distance in size, so the ends of the sizes that can link decide
+    rest = lambda n: F.ceil(n * percent / 100) - 1
+    need = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m))
+    low, high = F.greatest("n0", F.ceil(F.col("n") * percent / 100)), F.least("n1", F.floor(F.col("n") * 100 / percent))
+    rows = rows.filter(F.col("h") >= F.least(need(low), need(high)) - 1)
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp")
+    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "h")
 
     def compare(key, t):
         i, j = key[1].as_py(), key[2].as_py()
-        block, ids, n, comp = (t[x].to_numpy() for x in ("block", "id", "n", "comp"))
+        block, ids, n, comp, h = (t[x].to_numpy() for x in ("block", "id", "n", "comp", "h"))
         a, b = (np.nonzero(block == x)[0] for x in (i, j))
-        ok = (comp[a][:, None] != comp[b][None]) & (percent * np.maximum(n[a][:, None], n[b][None]) <= 100 * np.minimum(n[a][:, None], n[b][None]))
+        na, nb, left = n[a][:, None], n[b][None], -(-percent * n // 100) - 1
+        ok = (comp[a][:, None] != comp[b][None]) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb))
+        ok &= np.minimum(h[a][:, None], h[b][None]) + np.maximum(left[a][:, None], left[b][None]) >= least_overlap(na, nb, percent)
         if i == j:
             ok = np.triu(ok, 1)
         x, y = np.nonzero(ok)
