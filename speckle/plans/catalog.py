@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speckle.operators import analysis as an
+from speckle.operators import blocks as bl
 from speckle.operators import detector as dt
 from speckle.operators import frames as fr
 from speckle.operators import maximize as mx
@@ -419,6 +420,18 @@ def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(emc.State(spark, sf).metrics, "info"), "likelihood", digits=5)
 
 
+@query(_POST + " SELECT frame_id, mode, r, ROUND(p, 7) AS p FROM post")
+def posterior_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    v = bl.gathered(s.views, s.rot, s.det)
+    return rounded(bl.posterior(s.photons, s.phi, v, s.phi.count()).select("frame_id", "mode", "r", "p"), "p", digits=7)
+
+
+@query(_TOMO + " SELECT mode, r, pix, ROUND(value, 6) AS value FROM tomo")
+def tomograms_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(emc.State(spark, sf).block_tomograms, "value")
+
+
 @query(_POST + " SELECT frame_id, mode, ROUND(SUM(p), 6) AS p FROM post WHERE p >= 1e-6 GROUP BY 1, 2")
 def mode_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mx.occupancy(emc.State(spark, sf).post), "p")

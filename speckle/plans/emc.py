@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speckle.operators import blocks as bl
 from speckle.operators import frames as fr
 from speckle.operators import maximize as mx
 from speckle.operators import views as vw
@@ -62,8 +63,14 @@ class State:
     def tomograms(self) -> DataFrame:
         return mx.tomograms(self.post, self.photons, self.phi, self.det)
 
+    @cached_property
+    def block_tomograms(self) -> DataFrame:
+        """The same from arrays, if the views are few enough to be held by every worker."""
+        v = bl.gathered(self.views, self.rot, self.det)
+        return self.tomograms if v is None else bl.tomograms(self.photons, self.phi, v, self.phi.count())
+
     def next_model(self, alpha: float = 0.0) -> DataFrame:
-        new = vw.divided(vw.merged(self.coords, self.tomograms, self.size))
+        new = vw.divided(vw.merged(self.coords, self.block_tomograms, self.size))
         return vw.friedel(mx.mixed_model(self.model, new, alpha), self.size, 2)
 
 
