@@ -25,8 +25,15 @@ KINDS = ("email", "iban", "ssn", "date", "phone", "ipv4", "card")
 FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1901-01-01", 71589, 147, 487
 
 
-def pattern() -> str:
-    return "|".join(f"(?:{p})" for p in (EMAIL, IBAN, SSN, DATE, PHONE, IPV4, CARD))
+def pattern(emails: bool = True) -> str:
+    """All kinds as one pattern; a look at the first characters spares most places the alternatives."""
+    numbers = "|".join(f"(?:{p})" for p in (IBAN, SSN, DATE, PHONE, IPV4, CARD))
+    return rf"(?=[0-9+(]|[A-Z][A-Z][0-9][0-9])(?:{numbers})" + rf"|{EMAIL}" * emails
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: in a lambda Spark computes an expression wherever it stands."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _long(x: Column) -> Column:
@@ -41,8 +48,7 @@ def feistel(left: Column, right: Column, a: Column, b: Column, tag: Column, key:
         return F.pmod(_long(F.conv(F.substring(digest, 1, 15), 16, 10)), of)
 
     def step(acc: Column, n: Column) -> Column:
-        new = F.pmod(acc["l"] + prf(acc["r"], n, a, "r"), a)
-        return F.struct(new.alias("l"), F.pmod(acc["r"] + prf(new, n, b, "l"), b).alias("r"))
+        return let(F.pmod(acc["l"] + prf(acc["r"], n, a, "r"), a), lambda new: F.struct(new.alias("l"), F.pmod(acc["r"] + prf(new, n, b, "l"), b).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(_long(left).alias("l"), _long(right).alias("r")), step)
 
@@ -53,10 +59,14 @@ def _ten(n: Column) -> Column:
 
 def digits_permuted(s: Column, tag: Column, key: str) -> Column:
     """A string of 2 to 36 digits as another of as many."""
-    n = F.length(s)
-    h = F.floor(n / 2).cast("int")
-    p = feistel(_long(F.substr(s, F.lit(1), h)), _long(F.substr(s, h + 1, n - h)), _ten(h), _ten(n - h), F.concat_ws("|", tag, n.cast("string")), key)
-    return F.concat(F.lpad(p["l"].cast("string"), h, "0"), F.lpad(p["r"].cast("string"), n - h, "0"))
+
+    def permuted(s: Column) -> Column:
+        n = F.length(s)
+        h = F.floor(n / 2).cast("int")
+        p = feistel(_long(F.substr(s, F.lit(1), h)), _long(F.substr(s, h + 1, n - h)), _ten(h), _ten(n - h), F.concat_ws("|", tag, n.cast("string")), key)
+        return let(p, lambda p: F.concat(F.lpad(p["l"].cast("string"), h, "0"), F.lpad(p["r"].cast("string"), n - h, "0")))
+
+    return let(s, permuted)
 
 
 def digits(m: Column) -> Column:
@@ -66,8 +76,8 @@ def digits(m: Column) -> Column:
 def refill(m: Column, new: Column) -> Column:
     """m with its digits replaced, in order, by those of new."""
     at = lambda i: F.substr(m, i, F.lit(1))
-    one = lambda i: F.when(at(i).between("0", "9"), F.substr(new, F.length(digits(F.substr(m, F.lit(1), i))), F.lit(1))).otherwise(at(i))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
+    one = lambda i, new: F.when(at(i).between("0", "9"), F.substr(new, F.length(digits(F.substr(m, F.lit(1), i))), F.lit(1))).otherwise(at(i))
+    return let(new, lambda new: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: one(i, new)), ""))
 
 
 def luhn(s: Column, doubled: int) -> Column:
@@ -89,7 +99,7 @@ def card(m: Column, key: str) -> Column:
     """The first digit stays, so does the length; the last makes the Luhn sum right again."""
     d = digits(m)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), digits_permuted(F.substr(d, F.lit(2), F.length(d) - 2), F.concat(F.lit("card"), F.substr(d, F.lit(1), F.lit(1))), key))
-    return refill(m, F.concat(body, ((10 - luhn(body, 0) % 10) % 10).cast("string")))
+    return refill(m, let(body, lambda body: F.concat(body, ((10 - luhn(body, 0) % 10) % 10).cast("string"))))
 
 
 def _mod97(s: Column) -> Column:
@@ -114,12 +124,11 @@ def iban(m: Column, key: str) -> Column:
     d = digits(rest)
     new = F.when(F.length(d) > 1, refill(rest, digits_permuted(d, F.concat(F.lit("iban"), F.regexp_replace(rest, "[0-9]", "0")), key))).otherwise(rest)
     country = F.substr(s, F.lit(1), F.lit(2))
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    flat = F.concat(country, check, new)
+    flat = let(new, lambda new: F.concat(country, F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new))
     # spaces back where they were: every character of m that is one, else the next of flat
     at = lambda i: F.substr(m, i, F.lit(1))
-    one = lambda i: F.when(at(i) == " ", F.lit(" ")).otherwise(F.substr(flat, F.length(_iban_rest(F.substr(m, F.lit(1), i))), F.lit(1)))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
+    one = lambda i, flat: F.when(at(i) == " ", F.lit(" ")).otherwise(F.substr(flat, F.length(_iban_rest(F.substr(m, F.lit(1), i))), F.lit(1)))
+    return let(flat, lambda flat: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: one(i, flat)), ""))
 
 
 def is_ssn(m: Column) -> Column:
@@ -131,8 +140,12 @@ def ssn(m: Column, key: str) -> Column:
     d = digits(m)
     area, group, serial = _long(F.substr(d, F.lit(1), F.lit(3))), _long(F.substr(d, F.lit(4), F.lit(2))), _long(F.substr(d, F.lit(6), F.lit(4)))
     p = feistel(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), F.lit("ssn"), key)
-    a = p["l"] + 1 + F.when(p["l"] >= 665, 1).otherwise(0)
-    return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    def written(p: Column) -> Column:
+        a = p["l"] + 1 + F.when(p["l"] >= 665, 1).otherwise(0)
+        return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    return let(p, written)
 
 
 def _format(m: Column) -> Column:
@@ -153,12 +166,14 @@ def is_date(m: Column) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    day = _day(m)
-    p = feistel(F.floor(day / DAYS_B), day % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), F.lit("date"), key)
-    iso = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_B + p["r"]).cast("int")).cast("string")
-    y, mo, d = F.substr(iso, F.lit(1), F.lit(4)), F.substr(iso, F.lit(6), F.lit(2)), F.substr(iso, F.lit(9), F.lit(2))
+    p = let(_day(m), lambda day: feistel(F.floor(day / DAYS_B), day % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), F.lit("date"), key))
     f = _format(m)
-    return F.when(f == "yyyy-MM-dd", iso).when(f == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(f == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+
+    def written(iso: Column) -> Column:
+        y, mo, d = F.substr(iso, F.lit(1), F.lit(4)), F.substr(iso, F.lit(6), F.lit(2)), F.substr(iso, F.lit(9), F.lit(2))
+        return F.when(f == "yyyy-MM-dd", iso).when(f == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(f == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+
+    return let(let(p, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_B + p["r"]).cast("int")).cast("string")), written)
 
 
 def is_phone(m: Column) -> Column:
@@ -180,7 +195,7 @@ def ipv4(m: Column, key: str) -> Column:
     o = F.split(m, r"\.")
     n = lambda i: _long(o[i])
     p = feistel(n(0) * 256 + n(1), n(2) * 256 + n(3), F.lit(65536), F.lit(65536), F.lit("ipv4"), key)
-    return F.concat_ws(".", *[x.cast("string") for x in (F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)])
+    return let(p, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256)]))
 
 
 def email(m: Column, key: str) -> Column:
@@ -203,12 +218,11 @@ def email(m: Column, key: str) -> Column:
         return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), one), "")).otherwise(s)
 
     def step(acc: Column, i: Column) -> Column:
-        new = shift(acc["l"], acc["r"], i, "r")
-        return F.struct(new.alias("l"), shift(acc["r"], new, i, "l").alias("r"))
+        return let(shift(acc["l"], acc["r"], i, "r"), lambda new: F.struct(new.alias("l"), shift(acc["r"], new, i, "l").alias("r")))
 
     start = F.struct(F.substr(local, F.lit(1), h).alias("l"), F.substr(local, h + 1, n).alias("r"))
     p = F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step)
-    return F.concat(p["l"], p["r"], F.lit("@"), domain)
+    return let(p, lambda p: F.concat(p["l"], p["r"], F.lit("@"), domain))
 
 
 def kind_of(m: Column) -> Column:
@@ -241,13 +255,14 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     found; empty texts, repeated rows and an empty table give what they hold; other columns are ignored. Nothing is
     shuffled, and a text without a match is returned as it is.
     """
-    p = pattern()
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Every kind holds a digit or an @: the one-character search spares most texts the long one.
-    some = F.col("text").rlike("[0-9@]") & F.col("text").rlike(p)
-    x = x.withColumn("_m", F.when(some, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # Every kind holds a digit or an @, and only addresses an @: two short searches spare most texts the long ones.
+    everything, numbers = pattern(), pattern(emails=False)
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    some = F.when(F.col("text").contains("@"), found(everything)).when(F.col("text").rlike("[0-9]"), found(numbers))
+    x = x.withColumn("_m", F.coalesce(some, F.array().cast("array<string>")))
     x = x.withColumn("_k", F.transform("_m", kind_of)).withColumn("_f", F.filter("_k", lambda k: k.isNotNull()))
-    parts = F.split("text", p, -1)
+    parts = F.when(F.col("text").contains("@"), F.split("text", everything, -1)).otherwise(F.split("text", numbers, -1))
     new = F.transform("_m", lambda m, i: pseudonym(m, F.get("_k", i), key))
     text = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return x.select("doc_id", F.when(F.size("_f") > 0, text).otherwise(F.col("text")).alias("text"), F.size("_f").alias("n_found"), F.array_sort(F.array_distinct("_f")).alias("kinds"))
