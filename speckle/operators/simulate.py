@@ -51,8 +51,8 @@ def scattering(atoms: DataFrame, table: DataFrame, ev: float) -> DataFrame:
 def density(atoms: DataFrame, voxel: float, size: int) -> DataFrame:
     """(vox, value): f0 of atoms about their middle spread over the eight voxels around each."""
     mid = atoms.agg(*[((F.min(k) + F.max(k)) / 2).alias(f"c{k}") for k in "xyz"])
-    x = atoms.crossJoin(F.broadcast(mid)).select("f0", *[((F.col(k) - F.col(f"c{k}")) / voxel + size // 2).alias(f"t{i}") for i, k in enumerate("xyz")])
-    return corners(x, size).groupBy("vox").agg(F.sum(F.col("f") * F.col("f0")).alias("value"))
+    x = atoms.crossJoin(F.broadcast(mid)).select(F.col("f0").alias("weight"), *[((F.col(k) - F.col(f"c{k}")) / voxel + size // 2).alias(f"t{i}") for i, k in enumerate("xyz")])
+    return corners(x, size).groupBy("vox").agg(F.sum(F.col("f") * F.col("weight")).alias("value"))
 
 
 def simulated(spark, n: int, volume: np.ndarray, det: pd.DataFrame, mean_count: float, seed: int = 5, gamma: bool = False, background: float = 0.0) -> DataFrame:
