@@ -32,8 +32,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of sequences of 1024 tokens, with the tokens."""
-    return pack(docs, _tokens.vocabulary("byte_bpe_50k.json"), with_ids=True)
+    """Boundary records of sequences of 1024 tokens."""
+    return pack(docs, _tokens.vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", good), ("exact dedup", unique), ("near dedup", distinct), ("mixing", mixing), ("packing", packing)]

@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     exactness: what pairs of members are left whose components still differ, tokens of many groups in blocks.
     """
     spark = docs.sparkSession
-    c.arrow_batches(spark, rows=1000, size="8m")
+    c.arrow_batches(spark, rows=1000, size="4m")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty().alias("text"))
     sig = c.stored(signatures(docs, k, percent, hot_tokens(docs, k, percent)), "jaccard-signatures")
     full = sig.filter("n > 0 AND doc_id IS NOT NULL")
