@@ -112,8 +112,8 @@ def _merger(path: str):
 
 
 def _latin(word: str) -> bool:
-    """Letters up to Latin Extended-B, which lower-casing and normal forms treat alike everywhere."""
-    return word.isalpha() and (word.isascii() or max(word) < "ɐ")
+    """Letters up to Latin Extended-B that stay letters in lower case."""
+    return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and word.lower().isalpha()))
 
 
 #: Signs that words end in; a run of them is a piece of its own.

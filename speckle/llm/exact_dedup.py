@@ -20,7 +20,7 @@ def exact_groups(docs: DataFrame, hashed=F.md5) -> DataFrame:
 
     Rows are equal when their normalised texts are the same bytes. Of equal rows the one with the most code
     points in its original text stays, ties to the smallest doc_id; of repeated rows with that same doc_id all
-    are marked kept, and exact_dedup() leaves one. Null text is empty text; an empty table gives an empty
+    are marked kept, and exact_dedup() leaves one. Rows without a doc_id stay only where no equal row has one. Null text is empty text; an empty table gives an empty
     result; other columns are ignored.
 
     Texts are shuffled once, and copies are merged before that: the aggregation's key is (hash, text), so a
@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame, hashed=F.md5) -> DataFrame:
         apart = classes.join(mixed, "h", "left_semi").select("h", "norm", "group_size", "keep_id")
         texts = rows.join(mixed, "h", "left_semi").withColumn("text_sha256", F.sha2("norm", 256)).join(apart, ["h", "norm"])
         out = out.select("doc_id", "keep_id", "group_size", "text_sha256").union(texts.select("doc_id", "keep_id", "group_size", "text_sha256"))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     mine = docs.withColumn("_s", F.sha2(normalised(), 256)).withColumn("_n", F.length(c.text_or_empty()))
-    left = mine.join(keep, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi")
+    left = mine.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi")
     return left.dropDuplicates(["doc_id", "_s"]).select(*docs.columns) if _repeats(docs) else left.select(*docs.columns)
 
 

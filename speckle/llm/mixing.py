@@ -79,7 +79,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "size").agg(F.collect_list("taken").alias("takes"))
     plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), "takes")
     mine = docs.withColumn("_mix_words", words())
-    x = mine.join(plan, (F.col("doc_id").cast("long") == F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
+    x = mine.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
     rank = Window.partitionBy("_mix_id", "_mix_size").orderBy("text")
     x = x.withColumn("_mix_take", F.element_at("takes", F.when(F.size("takes") > 1, F.row_number().over(rank)).otherwise(F.lit(1))))
     x = x.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_take") / F.col("_mix_size")).cast("int"))))
