@@ -9,9 +9,11 @@ from speckle.operators import analysis as an
 from speckle.operators import blocks as bl
 from speckle.operators import detector as dt
 from speckle.operators import frames as fr
+from speckle.operators import known as kn
 from speckle.operators import maximize as mx
 from speckle.operators import orientation as ori
 from speckle.operators import views as vw
+from speckle.operators import volumes as vo
 from speckle.plans import emc
 from speckle.sources import tables as tb
 
@@ -638,3 +640,133 @@ def frames_simulated(spark: SparkSession, sf: str) -> DataFrame:
 
     cube = (0.5 + (np.arange(SIZE**3) * 37 % 101) / 101).reshape((SIZE,) * 3)
     return simulated(spark, 200, cube, tb.detector(spark).toPandas(), 50.0).select("frame_id", "pix", "cnt")
+
+
+# Known orientations, volumes, bookkeeping
+
+
+@query(_POST + """, pick AS (SELECT frame_id, MIN(r) AS r FROM post GROUP BY 1),
+h AS (SELECT l.frame_id, l.mode, l.r, l.logl FROM logl l JOIN pick p ON p.frame_id = l.frame_id AND p.r = l.r),
+hb AS (SELECT frame_id, MAX(logl) AS best FROM h GROUP BY 1),
+he AS (SELECT h.*, EXP(beta * (logl - best)) AS e FROM h JOIN hb USING (frame_id) JOIN betas USING (frame_id) WHERE logl > best - 14.0 / beta)
+SELECT frame_id, mode, ROUND(p, 6) AS p FROM (SELECT frame_id, mode, e / SUM(e) OVER (PARTITION BY frame_id) AS p FROM he) WHERE p >= 1e-4""")
+def mode_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    pick = s.post.groupBy("frame_id").agg(F.min("r").alias("r"))
+    return rounded(kn.mode_posterior(s.logl, pick, mx.start_beta(s.counts)).select("frame_id", "mode", "p"), "p")
+
+
+@query(_POST + " SELECT frame_id, COUNT(*) AS n, ROUND(SUM(p), 6) AS p FROM post WHERE p > 1e-6 GROUP BY 1")
+def saved_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    back = kn.previous_posterior(kn.saved_posterior(emc.State(spark, sf).post), tb.rotations(spark))
+    return rounded(back.groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("p").alias("p")), "p")
+
+
+@query(_COUNTS + """, best AS (SELECT frame_id, CAST(frame_id % 12 AS BIGINT) AS r, CAST(0 AS BIGINT) AS mode FROM frames WHERE blacklist = 0),
+base AS (SELECT mode, r, SUM(scale) AS psum FROM best JOIN frames USING (frame_id) GROUP BY 1, 2),
+lit AS (SELECT mode, r, pix, SUM(cnt) AS s FROM best JOIN photons USING (frame_id) JOIN det USING (pix) WHERE mask < 2 GROUP BY 1, 2, 3),
+tomo AS (SELECT b.mode, b.r, d.pix, COALESCE(s, 0) / psum AS value FROM base b CROSS JOIN (SELECT pix FROM det WHERE mask < 2) d LEFT JOIN lit ON lit.mode = b.mode AND lit.r = b.r AND lit.pix = d.pix),
+""" + _CORNERS.split("\ng AS (")[0].rstrip(",") + " SELECT mode, vox, ROUND(CASE WHEN SUM(f) > 0 THEN SUM(f * value / corr) / SUM(f) ELSE 0 END, 5) AS intens FROM c JOIN tomo USING (r, pix) GROUP BY 1, 2")
+def merged_known(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    best = s.phi.select("frame_id", F.lit(0).cast("long").alias("mode"), (F.col("frame_id") % 12).alias("r"), F.lit(1.0).alias("p"))
+    return rounded(kn.merged_known(s.photons, best, s.coords, s.phi, s.det, s.size), "intens", digits=5)
+
+
+@query()
+def scale_background(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(kn.scale_background(s.photons, s.post, s.views, s.counts, emc.with_background(s.det), s.phi.withColumn("bgscale", F.lit(0.5))), "phi", digits=5)
+
+
+@query()
+def expected_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    s = emc.State(spark, sf)
+    return rounded(kn.expected_likelihood(s.post, s.views, s.phi.withColumn("bgscale", F.lit(0.5)), emc.with_background(s.det)), "expected", digits=4)
+
+
+@query("SELECT mode, vox, ROUND(intens, 9) AS intens FROM model")
+def start_model(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(kn.start_model(tb.model(spark), spark, 2, SIZE, 2, 1.0), "intens", digits=9)
+
+
+@query("SELECT MIN(CASE WHEN frame_id > 500 THEN frame_id END) AS next, MAX(CASE WHEN frame_id < 500 THEN frame_id END) AS previous FROM frames WHERE blacklist = 0")
+def frame_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return kn.neighbours(tb.frames(spark, sf).filter("blacklist = 0"), 500)
+
+
+@query("SELECT frame_id, CASE WHEN frame_id % 5 = 0 THEN 'x' ELSE cls END AS cls FROM frames")
+def classes_reassigned(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf)
+    return kn.reclassified(f, f.filter("frame_id % 5 = 0"), "x")
+
+
+@query("SELECT frame_id, 'places' AS problem FROM photons GROUP BY 1 HAVING MAX(pix) >= 60")
+def frames_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    return kn.valid_frames(fr.ones_multi(tb.photons(spark, sf)), 60)
+
+
+@query("SELECT file_id, frame_id, CAST(ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY frame_id % 12, frame_id) - 1 AS INT) AS place FROM frames")
+def frames_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf)
+    return kn.ranked_by_orientation(f, f.select("frame_id", (F.col("frame_id") % 12).alias("r")))
+
+
+@query(_CORNERS + " SELECT frame_id, pix, ROUND(value, 9) AS value FROM (SELECT frame_id, frame_id % 2 AS mode, frame_id % 12 AS r FROM frames WHERE frame_id < 400) JOIN views USING (mode, r)")
+def frames_predicted(spark: SparkSession, sf: str) -> DataFrame:
+    best = tb.frames(spark, sf).filter("frame_id < 400").select("frame_id", (F.col("frame_id") % 2).alias("mode"), (F.col("frame_id") % 12).alias("r"))
+    return rounded(kn.predicted(best, _views(spark)), "value", digits=9)
+
+
+@query("""i AS (SELECT CAST(x + 3.5 AS INT) AS ix, CAST(y + 3.5 AS INT) AS iy, CAST(COALESCE(SUM(cnt), 0) AS BIGINT) AS value FROM det d LEFT JOIN (SELECT * FROM photons WHERE frame_id = (SELECT MIN(frame_id) FROM photons)) p ON p.pix = d.pix WHERE mask < 2 GROUP BY 1, 2),
+l AS (SELECT MIN(ix) AS x0, MAX(ix) AS x1, MIN(iy) AS y0, MAX(iy) AS y1 FROM i WHERE value > 0)
+SELECT ix, iy, value FROM i, l WHERE ix BETWEEN x0 - 1 AND x1 + 1 AND iy BETWEEN y0 - 1 AND y1 + 1""")
+def frame_zoomed(spark: SparkSession, sf: str) -> DataFrame:
+    return kn.zoom(frame_assembled(spark, sf), 1)
+
+
+@query("SELECT vox, ROUND(AVG(intens) OVER (PARTITION BY vox % 9, ROUND_EVEN(SQRT(POWER(vox // 81 - 4, 2) + POWER(vox // 9 % 9 - 4, 2)), 0)), 6) AS intens FROM cube")
+def volume_cylindrical(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vo.cylindrical(tb.volume(spark), 9), "intens")
+
+
+@query("""r AS (SELECT range - 3 AS v FROM range(7)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)
+SELECT h, k, l FROM p WHERE (h <> 0 OR k % 2 = 0) AND (k <> 0 OR l % 2 = 0) AND (l <> 0 OR h % 2 = 0)
+AND (k <> 0 OR l <> 0 OR h % 2 = 0) AND (h <> 0 OR l <> 0 OR k % 2 = 0) AND (h <> 0 OR k <> 0 OR l % 2 = 0)""")
+def lattice_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    return vo.lattice(spark, 3)
+
+
+@query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)
+SELECT h, k, l, ROUND(SUM(intens), 6) AS total FROM p JOIN cube ON POWER(vox // 81 - 4 - 3 * h, 2) + POWER(vox // 9 % 9 - 4 - 3 * k, 2) + POWER(vox % 9 - 4 - 3 * l, 2) < 1.44 GROUP BY 1, 2, 3""")
+def lattice_spots(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vo.spots(tb.volume(spark), vo.lattice(spark, 1, extinct=False), 3.0, 9, 1.2), "total")
+
+
+@query()
+def volume_crystal(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vo.crystal(vo.lattice(spark, 1).withColumn("f", F.lit(1.0)), 3.0, 9, 0.7), "intens")
+
+
+@query("""a AS (SELECT vox, vox // 13 AS x, vox % 13 AS y, intens FROM model WHERE mode = 0)
+SELECT a.vox, ROUND(MAX(a.intens) - MIN(b.intens), 6) + 0.0 AS value FROM a JOIN a b ON ABS(a.x - b.x) <= 2 AND ABS(a.y - b.y) <= 2 GROUP BY 1""")
+def image_minimum_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vo.minimum_filtered(tb.model(spark).filter("mode = 0"), SIZE, 2), "value")
+
+
+@query()
+def volume_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    cube = tb.volume(spark)
+    m = [(k, *map(float, ori.matrix(q).ravel())) for k, q in enumerate(ori.octahedral_group())]
+    df = spark.createDataFrame(m, "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    return rounded(vo.rotation_correlation(cube, cube, df, 9), "cc")
+
+
+@query(_POLAR + """, t AS (SELECT rbin, abin, SUM(v) AS value FROM s GROUP BY 1, 2), m AS (SELECT MAX(abin) + 1 AS n FROM t),
+x AS (SELECT rbin, ((abin + d) % n + n) % n AS abin, EXP(-d * d / 2.0) AS w, value FROM t, m, (SELECT range - 2 AS d FROM range(5)))
+SELECT rbin, CAST(abin AS INT) AS abin, ROUND(SUM(w * value) / SUM(w), 5) AS value FROM x GROUP BY 1, 2""")
+def powder_blurred(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bins(spark)
+    n = b.groupBy("rbin", "abin").agg(F.count("*").alias("n"))
+    t = tb.photons(spark, sf).join(F.broadcast(b), "pix").groupBy("rbin", "abin").agg(F.sum("cnt").alias("s")).join(n, ["rbin", "abin"])
+    return rounded(vo.blurred(t.select("rbin", "abin", (F.col("s") / F.col("n")).alias("value")), 1.0, 2), "value", digits=5)
