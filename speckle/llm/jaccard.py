@@ -13,8 +13,8 @@ from speckle.llm._shingles import shingle_sets
 WORDS, PERCENT = 4, 85
 #: Shingles of at least so many groups' prefixes go to the end of the order, the most frequent HOT_TOKENS of them at most.
 HOT_DF, HOT_TOKENS = 16, 1 << 20
-#: Groups that share a prefix token are all paired up to this number; beyond it neighbours in size are paired first.
-BUCKET = 32
+#: Groups that share a prefix token are all paired up to this number; beyond it each is first paired with a few pivots.
+BUCKET, PIVOTS = 32, 4
 #: Groups of a hot token that one task compares.
 BLOCK = 512
 #: Ids up to this number may be broadcast (8 bytes each).
@@ -89,31 +89,19 @@ def _bucket_pairs(percent: int):
 
     def pairs(batches):
         tok, g, n = (np.zeros(0, np.int64) for _ in range(3))
-        heat, pivot, prev = None, None, None  # of the hot run that is being read
+        heat = None  # the hot token whose run is being read
 
         def fits(x, y):
             return percent * y <= 100 * x
 
         def run(t, gs, ns, out):
-            nonlocal heat, pivot, prev
+            nonlocal heat
             if heat != t and len(gs) <= BUCKET:
                 i, j = np.triu_indices(len(gs), 1)
                 ok = fits(ns[i], ns[j])
                 out.append((gs[i[ok]], gs[j[ok]], ns[i[ok]], ns[j[ok]]))
                 return
-            if heat != t:
-                heat, pivot, prev = t, None, None
-            star = []
-            for x, m in zip(gs.tolist(), ns.tolist()):
-                if pivot is None or not fits(pivot[1], m):
-                    pivot = (x, m)
-                elif pivot[0] != x:
-                    star.append((*pivot, x, m))
-                if prev is not None and prev != pivot and fits(prev[1], m):
-                    star.append((*prev, x, m))
-                prev = (x, m)
-            s = np.array(star, np.int64).reshape(-1, 4)
-            out.append((s[:, 0], s[:, 2], s[:, 1], s[:, 3]))
+            heat = t
             hot.append((t, gs, ns))
 
         def emit(out, hot):
@@ -197,7 +185,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     empty result; other columns are ignored. Shingles are compared by 64-bit hashes.
 
     First round: every two groups (equal size and prefix) that share a prefix token of few groups, and for tokens of
-    many groups neighbours in size, by their first members; and members of a group with its first. Second round, for
+    many groups each with its pivots, by their first members; and members of a group with its first. Second round, for
     exactness: what pairs of members are left whose components still differ, tokens of many groups in blocks.
     """
     spark = docs.sparkSession
@@ -214,13 +202,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     if any_hot:
         # Prefix tokens that the count of shared ones may have missed.
-        h = heat.groupBy("g").agg(F.count("*").alias("h"))
+        h = heat.groupBy("g").agg(F.count("*").cast("int").alias("h"))
+        heat = c.stored(heat.join(h, "g"), "jaccard-hot")
         pairs = pairs.join(h.select(F.col("g").alias("a"), F.col("h").alias("ha")), "a", "left").join(h.select(F.col("g").alias("b"), F.col("h").alias("hb")), "b", "left")
         pairs = pairs.withColumn("shared", F.col("shared") + F.coalesce(F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))), F.lit(0)))
-    pairs = c.stored(pairs.filter(_can_link(percent)).select("a", "b", "na", "nb"), "jaccard-pairs")
+    pairs = pairs.filter(_can_link(percent)).select("a", "b")
+    if any_hot:
+        pairs = pairs.union(_pivot_pairs(heat, percent)).distinct()
+    pairs = c.stored(pairs, "jaccard-pairs")
     members = classes.join(groups.select("gk", "n", "g"), ["gk", "n"]).select("g", "id", "n")
     inside = members.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
-    links = verified(docs, pairs.select("a", "b").union(inside).distinct(), k, percent)
+    links = verified(docs, pairs.union(inside).distinct(), k, percent)
     links = _second_round(docs, links, pairs, members, heat if any_hot else None, k, percent)
     comp = c.components(links)
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("ck", F.coalesce("component", "id").alias("component_id"), "count")
@@ -257,14 +249,31 @@ def _second_round(docs: DataFrame, links: DataFrame, pairs: DataFrame, members:
         x = wide.join(left, "ga").join(right, "gb").filter("ca <> cb AND NOT (a = ga AND b = gb) AND (ga <> gb OR (a < b AND a <> ga))")
         more.append(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     if heat is not None:
-        h = heat.groupBy("g").agg(F.count("*").cast("int").alias("h"))
-        mixed = _hot_pairs(heat.join(members.select("g", "id", "comp"), "g").join(h, "g"), percent)
+        mixed = _hot_pairs(heat.join(members.select("g", "id", "comp"), "g"), percent)
         more.append(mixed.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     new = more[0] if len(more) == 1 else more[0].union(more[1])
     new = c.stored(new.distinct(), "jaccard-more")
     return links if new.isEmpty() else links.union(verified(docs, new, k, percent))
 
 
+def _pivot_pairs(heat: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group of a hot token (token, g, n, h) with the token's pivots of a size that can link.
+
+    Pivots are the groups whose prefixes hold the most hot tokens, so the least of their own: one of each of PIVOTS
+    random parts of the groups of a band of sizes. Found by an aggregation, which no frequent token burdens.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    part = F.pmod(F.xxhash64("g"), F.lit(PIVOTS))
+    top = heat.groupBy("token", band.alias("band"), part.alias("part")).agg(F.max(F.struct("h", (-F.col("g")).alias("g"), "n")).alias("t"))
+    top = top.select("token", (-F.col("t.g")).alias("p"), F.col("t.n").alias("pn"), F.col("t.h").alias("ph"))
+    counts = heat.groupBy("token").agg(F.count("*").alias("count"))
+    x = c.spread_join(heat, top, "token", c.hot_keys(counts, "token", heat.count()))
+    x = x.filter(F.col("g") != F.col("p")).select(
+        F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb"), F.least("h", "ph").alias("shared")
+    )
+    return x.filter(_can_link(percent) & (percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
+
+
 def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of different components that share a hot token, from (token, g, n, id, comp, h).
 
