@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +13,9 @@ from speckle.llm import _common as c
 from speckle.llm._shingles import shingle_sets
 
 WORDS, PERCENT = 4, 85
-#: Shingles of at least so many groups' prefixes go to the end of the order, the most frequent HOT_TOKENS of them at most.
-HOT_DF, HOT_TOKENS = 16, 1 << 20
+#: Counters of shingles (a byte each is broadcast), the pieces that they are added up in, and what makes a shingle frequent.
+COUNTER_BITS, PIECES, HOT_DF = 23, 64, 16
+COUNTERS = 1 << COUNTER_BITS
 #: Groups that share a prefix token are all paired up to this number; beyond it each is first paired with a few pivots.
 BUCKET, PIVOTS = 32, 4
 #: Groups of a hot token that one task compares.
@@ -42,38 +45,66 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)], "<u8").tobytes()
 
 
-def hot_tokens(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Shingles that are frequent among the first of each document's shingles in the order of their hashes, ascending."""
+def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """A level for each of COUNTERS places of the shingles' hashes: 0 for rare ones, else rising with the frequency.
 
-    def firsts(batches):
-        for b in batches:
-            got = [s[: prefix_length(len(s), percent) * 4 // 3 + 2] for s in _sets(b, k)]
-            tokens, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
+    Every shingle of every document is counted at its place; the counters are added up in two steps, piece by piece,
+    and only their levels, a byte each, reach the driver. Shingles that share a place share its level: the level
+    orders them, so any will do. A place is rare below what chance fills places with, and HOT_DF more.
+    """
+    step = COUNTERS // PIECES
 
-    counts = docs.select("text").mapInArrow(firsts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_DF)
-    got = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    def packed(x: np.ndarray) -> bytes:
+        return zlib.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), 1)
 
+    def count(batches):
+        from pyspark import TaskContext
 
-def signatures(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            got = [s for s in _sets(b, k) if len(s)]
+            if got:
+                at, n = np.unique((np.concatenate(got) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
+                total[at] += n
+        part = TaskContext.get().partitionId() // 256
+        for i in range(PIECES):
+            x = total[i * step : (i + 1) * step]
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part], pa.int64()), pa.array([packed(x)], pa.binary())], ["piece", "part", "data"])
+
+    def add(key, t):
+        x = np.zeros(step, np.int64)
+        for d in t["data"]:
+            x += np.frombuffer(zlib.decompress(d.as_py()), "<u4")
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([0], pa.int64()), pa.array([packed(x)], pa.binary())], ["piece", "part", "data"])
+
+    schema = "piece long, part long, data binary"
+    sums = docs.select("text").mapInArrow(count, schema).groupBy("piece", "part").applyInArrow(add, schema).groupBy("piece").applyInArrow(add, schema)
+    total = np.zeros(COUNTERS, np.uint32)
+    for r in sums.toLocalIterator():
+        total[r.piece * step : (r.piece + 1) * step] = np.frombuffer(zlib.decompress(r.data), "<u4")
+    mean = total.mean(dtype=np.float64)
+    least = mean + 8 * mean**0.5 + HOT_DF
+    return np.where(total < least, 0, np.clip(1 + 8 * np.log2(np.maximum(total, 1) / least), 1, 255)).astype(np.uint8)
+
+
+def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(doc_id, n, ck, gk, prefix): set size, set digest, digest of size and prefix, and the prefix.
 
-    The order of shingles is by hash, hot ones after all others.
+    The order of shingles is by level, then by hash.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches):
-        hot = shared.value
+        levels = shared.value
         for b in batches:
             sets = _sets(b, k)
             prefixes, keys = [], []
             for s in sets:
                 p = prefix_length(len(s), percent)
-                if len(hot) and len(s):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    last = hot[at] == s
-                    s = np.concatenate([s[~last], s[last]])
+                level = levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                if level.any():
+                    s = s[np.argsort(level, kind="stable")]
                 prefixes.append(s[:p].view(np.int64))
                 keys.append(int(c.mix(np.sum(c.mix(s[:p]), dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]))
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
@@ -191,7 +222,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     c.arrow_batches(spark, rows=1000, size="4m")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty().alias("text"))
-    sig = c.stored(signatures(docs, k, percent, hot_tokens(docs, k, percent)), "jaccard-signatures")
+    sig = c.stored(signatures(docs, k, percent, frequencies(docs, k)), "jaccard-signatures")
     full = sig.filter("n > 0 AND doc_id IS NOT NULL")
     classes = c.stored(full.groupBy("ck", "n", "gk").agg(F.min("doc_id").alias("id"), F.count("*").alias("count")), "jaccard-classes")
     groups = c.stored(full.groupBy("gk", "n", "prefix").agg(F.min("doc_id").alias("g")), "jaccard-groups")
