@@ -271,11 +271,40 @@ def volume_axial(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vw.axial(tb.volume(spark), 2, 9), "intens")
 
 
-@query()
+def _inline(n: int, letter: str) -> str:
+    """The uniform rotations as rows of SQL."""
+    rows = ", ".join("(" + ", ".join([str(i), *(f"{float(x)!r}::DOUBLE" for x in q)]) + ")" for i, q in enumerate(ori.uniform(n)))
+    return f"(VALUES {rows}) {letter}(r, q0, q1, q2, q3, w)"
+
+
+_CORNERS_3D = f"""big AS (SELECT range AS vox, 0.5::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 AS intens FROM range(2197)),
+q AS (SELECT * FROM {_inline(1, "q")}),
+t AS (SELECT r, pix, corr,
+  (1 - 2 * (q2*q2 + q3*q3)) * qx + 2 * (q1*q2 - q0*q3) * qy + 2 * (q1*q3 + q0*q2) * qz + 6 AS t0,
+  2 * (q1*q2 + q0*q3) * qx + (1 - 2 * (q1*q1 + q3*q3)) * qy + 2 * (q2*q3 - q0*q1) * qz + 6 AS t1,
+  2 * (q1*q3 - q0*q2) * qx + 2 * (q2*q3 + q0*q1) * qy + (1 - 2 * (q1*q1 + q2*q2)) * qz + 6 AS t2 FROM q, det WHERE mask < 2),
+i AS (SELECT *, CAST(TRUNC(t0) AS BIGINT) AS i0, CAST(TRUNC(t1) AS BIGINT) AS i1, CAST(TRUNC(t2) AS BIGINT) AS i2 FROM t),
+c AS (SELECT r, pix, corr, ((i0 + a) * 13 + i1 + b) * 13 + i2 + d AS vox,
+  (CASE WHEN a = 1 THEN t0 - i0 ELSE 1 - (t0 - i0) END) * (CASE WHEN b = 1 THEN t1 - i1 ELSE 1 - (t1 - i1) END) * (CASE WHEN d = 1 THEN t2 - i2 ELSE 1 - (t2 - i2) END) AS f
+  FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(d) WHERE t0 >= 0 AND t1 >= 0 AND t2 >= 0 AND i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11 AND i2 BETWEEN 0 AND 11),
+g AS (SELECT r, pix, SUM(f * intens) AS v FROM c JOIN big USING (vox) GROUP BY 1, 2),
+views AS (SELECT t.r, t.pix, CASE WHEN v * corr > 0 THEN v * corr ELSE 2.2250738585072014e-308 END AS value FROM t LEFT JOIN g ON g.r = t.r AND g.pix = t.pix)"""
+
+
+def _views_3d(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    coords = vw.coords3d(ori.table(spark, ori.uniform(1)), tb.detector(spark), SIZE)
+    return coords, vw.views(coords, tb.volume(spark, SIZE).withColumn("mode", F.lit(0).cast("long")), SIZE)
+
+
+@query(_CORNERS_3D + " SELECT 0::BIGINT AS mode, r::BIGINT AS r, pix, ROUND(value, 6) AS value FROM views")
 def views_3d(spark: SparkSession, sf: str) -> DataFrame:
-    rot = ori.table(spark, ori.uniform(1))
-    cube = tb.volume(spark, SIZE).withColumn("mode", F.lit(0).cast("long"))
-    return rounded(vw.views(vw.coords3d(rot, tb.detector(spark), SIZE), cube, SIZE), "value")
+    return rounded(_views_3d(spark)[1], "value")
+
+
+@query(_CORNERS_3D + " SELECT 0::BIGINT AS mode, vox, ROUND(SUM(f * value / corr), 5) AS num, ROUND(SUM(f), 5) AS weight FROM c JOIN views USING (r, pix) GROUP BY 2")
+def views_merged_3d(spark: SparkSession, sf: str) -> DataFrame:
+    coords, v = _views_3d(spark)
+    return rounded(vw.merged(coords, v, SIZE), "num", "weight", digits=5)
 
 
 @query()
@@ -318,9 +347,16 @@ def rotations_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query()
+@query(f"x AS (SELECT f.r, MIN(ROUND(1 - POWER(f.q0*c.q0 + f.q1*c.q1 + f.q2*c.q2 + f.q3*c.q3, 2), 9)) AS dist FROM {_inline(2, 'f')}, {_inline(1, 'c')} GROUP BY 1) SELECT r::BIGINT AS r, dist + 0.0 AS dist FROM x")
 def rotations_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ori.nearest(ori.table(spark, ori.uniform(4)), ori.table(spark, ori.uniform(2))), "dist", digits=9)
+    return rounded(ori.nearest(ori.table(spark, ori.uniform(2)), ori.table(spark, ori.uniform(1))).select("r", "dist"), "dist", digits=9)
+
+
+@query(f"SELECT r::BIGINT AS r, ROUND(1 - 2 * (q2*q2 + q3*q3), 9) + 0.0 AS m00, ROUND(2 * (q1*q2 - q0*q3), 9) + 0.0 AS m01, ROUND(2 * (q1*q3 + q0*q2), 9) + 0.0 AS m02, ROUND(1 - 2 * (q1*q1 + q2*q2), 9) + 0.0 AS m22 FROM {_inline(2, 'q')}")
+def rotation_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    m = vw.rotation_matrix()
+    x = ori.table(spark, ori.uniform(2)).select("r", m[0][0].alias("m00"), m[0][1].alias("m01"), m[0][2].alias("m02"), m[2][2].alias("m22"))
+    return rounded(x, "m00", "m01", "m02", "m22", digits=9)
 
 
 @query()
@@ -540,9 +576,12 @@ def frames_polar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(an.polar(tb.photons(spark, sf), _bins(spark)), "mean")
 
 
-@query()
+@query(_POLAR + """, p AS (SELECT frame_id, rbin, abin, v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT COUNT(*) FROM n) AS mean FROM s),
+d AS (SELECT frame_id, rbin, SQRT(GREATEST(SUM(mean * mean) - SUM(mean) * SUM(mean) / 6, 0)) AS norm FROM p GROUP BY 1, 2),
+k AS (SELECT p.frame_id, p.rbin, k.range AS k, SUM(mean * COS(2 * PI() * k.range * abin / 6)) AS re, SUM(mean * SIN(2 * PI() * k.range * abin / 6)) AS im FROM p, range(1, 10) k GROUP BY 1, 2, 3)
+SELECT k.frame_id, k.rbin, CAST(k AS INT) AS k, ROUND(CASE WHEN norm > 1e-6 THEN SQRT(re * re + im * im) / norm ELSE 0 END, 4) + 0.0 AS value FROM k JOIN d USING (frame_id, rbin)""")
 def frames_angular_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.angular_correlation(an.polar(tb.photons(spark, sf), _bins(spark)), 6), "value")
+    return rounded(an.angular_correlation(an.polar(tb.photons(spark, sf), _bins(spark)), 6), "value", digits=4)
 
 
 @query(_POLAR + "SELECT frame_id, pix, ROUND(cnt * (SELECT COUNT(*) FROM b) / SUM(cnt) OVER (PARTITION BY frame_id), 6) AS value FROM photons JOIN b USING (pix)")
@@ -743,7 +782,10 @@ def lattice_spots(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vo.spots(tb.volume(spark), vo.lattice(spark, 1, extinct=False), 3.0, 9, 1.2), "total")
 
 
-@query()
+@query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c WHERE (a.v <> 0 OR b.v % 2 = 0) AND (b.v <> 0 OR c.v % 2 = 0) AND (c.v <> 0 OR a.v % 2 = 0)
+AND (b.v <> 0 OR c.v <> 0 OR a.v % 2 = 0) AND (a.v <> 0 OR c.v <> 0 OR b.v % 2 = 0) AND (a.v <> 0 OR b.v <> 0 OR c.v % 2 = 0)),
+g AS (SELECT vox, vox // 81 - 4 - 3 * h AS x, vox // 9 % 9 - 4 - 3 * k AS y, vox % 9 - 4 - 3 * l AS z FROM p, cube)
+SELECT vox, ROUND(SUM(EXP(-(x*x + y*y + z*z) / (2 * 0.49))), 6) AS intens FROM g WHERE ABS(x) <= 1 AND ABS(y) <= 1 AND ABS(z) <= 1 GROUP BY 1""")
 def volume_crystal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vo.crystal(vo.lattice(spark, 1).withColumn("f", F.lit(1.0)), 3.0, 9, 0.7), "intens")
 
@@ -770,3 +812,48 @@ def powder_blurred(spark: SparkSession, sf: str) -> DataFrame:
     n = b.groupBy("rbin", "abin").agg(F.count("*").alias("n"))
     t = tb.photons(spark, sf).join(F.broadcast(b), "pix").groupBy("rbin", "abin").agg(F.sum("cnt").alias("s")).join(n, ["rbin", "abin"])
     return rounded(vo.blurred(t.select("rbin", "abin", (F.col("s") / F.col("n")).alias("value")), 1.0, 2), "value", digits=5)
+
+
+@query("SELECT vox, ROUND(b.intens, 6) AS intens FROM (SELECT vox, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube) a JOIN (SELECT vox AS v, intens FROM cube) b ON v = (-y + 4) * 81 + (x + 4) * 9 + z + 4 WHERE x*x + y*y + z*z < 16")
+def volume_rotated(spark: SparkSession, sf: str) -> DataFrame:
+    m = spark.createDataFrame([(0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    return rounded(vw.rotated(tb.volume(spark), m, 9).select("vox", "intens"), "intens")
+
+
+@query(_CORNERS + """, d AS (SELECT frame_id, pix, CAST(FLOOR(val * 20) AS INT) AS cnt FROM dense JOIN det USING (pix) WHERE mask < 1 AND FLOOR(val * 20) > 0),
+u AS (SELECT mode, r, SUM(value) AS u FROM views JOIN det USING (pix) WHERE mask < 1 GROUP BY 1, 2),
+h AS (SELECT frame_id, mode, r, SUM(cnt * LN(value)) AS s FROM d JOIN views USING (pix) GROUP BY 1, 2, 3)
+SELECT f.frame_id, u.mode, u.r, ROUND(LN(w) - u + COALESCE(s, 0), 5) AS logl FROM (SELECT DISTINCT frame_id FROM dense) f CROSS JOIN u JOIN rot USING (r) LEFT JOIN h ON h.frame_id = f.frame_id AND h.mode = u.mode AND h.r = u.r""")
+def log_likelihood_dense(spark: SparkSession, sf: str) -> DataFrame:
+    det, v = tb.detector(spark), _views(spark)
+    dense = tb.dense_frames(spark, sf)
+    photons = fr.sparsified(dense.withColumn("val", F.floor(F.col("val") * 20).cast("double")), det)
+    phi = dense.select("frame_id").distinct().withColumn("phi", F.lit(1.0))
+    return rounded(mx.log_likelihood(photons, v, mx.view_totals(v, det), tb.rotations(spark), phi, det), "logl", digits=5)
+
+
+@query("SELECT mode, vox, ROUND(0.3 * intens + 0.7 * (intens * intens), 6) AS intens FROM model")
+def model_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    m = tb.model(spark)
+    return rounded(mx.mixed_model(m, m.withColumn("intens", F.col("intens") * F.col("intens")), 0.3), "intens")
+
+
+@query("""a AS (SELECT CAST(s_suppkey AS DOUBLE) % 7 * 0.63 AS x, CAST(s_nationkey AS DOUBLE) * 0.21 AS y, CAST(s_suppkey AS DOUBLE) % 11 * 0.37 AS z, 1.0 + s_suppkey % 3 AS f0 FROM supplier),
+m AS (SELECT (MIN(x) + MAX(x)) / 2 AS cx, (MIN(y) + MAX(y)) / 2 AS cy, (MIN(z) + MAX(z)) / 2 AS cz FROM a),
+t AS (SELECT f0, x - cx + 6 AS t0, y - cy + 6 AS t1, z - cz + 6 AS t2 FROM a, m),
+c AS (SELECT ((TRUNC(t0) + i) * 13 + TRUNC(t1) + j) * 13 + TRUNC(t2) + k AS vox, f0 * ABS(1 - i - (t0 - TRUNC(t0))) * ABS(1 - j - (t1 - TRUNC(t1))) * ABS(1 - k - (t2 - TRUNC(t2))) AS v
+  FROM t, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j), (VALUES (0), (1)) r(k))
+SELECT CAST(vox AS BIGINT) AS vox, ROUND(SUM(v), 5) + 0.0 AS value FROM c GROUP BY 1""")
+def density_from_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    from speckle.operators.simulate import density
+
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    key = F.col("s_suppkey").cast("double")
+    atoms = s.select((key % 7 * 0.63).alias("x"), (F.col("s_nationkey").cast("double") * 0.21).alias("y"), (key % 11 * 0.37).alias("z"), (1.0 + F.col("s_suppkey") % 3).alias("f0"))
+    return rounded(density(atoms, 1.0, SIZE), "value", digits=5)
+
+
+@query(_COUNTS + " SELECT file_id, ROUND(AVG(fcount), 6) AS mean_count FROM counts JOIN frames USING (frame_id) GROUP BY 1")
+def mean_counts(spark: SparkSession, sf: str) -> DataFrame:
+    f = tb.frames(spark, sf)
+    return rounded(fr.frame_counts(tb.photons(spark, sf), f, tb.detector(spark)).join(f, "frame_id").groupBy("file_id").agg(F.avg("fcount").alias("mean_count")), "mean_count")
