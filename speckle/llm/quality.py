@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from speckle.llm import _common as c
 
 #: Labelled rows that a model is fitted on, at most: those of the least hash of their doc_id.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 6000
 UPDATES, BATCH_ROWS, RATE, SEED = 400, 32, 0.01, 7
 #: A chunk is two blocks, and chunks start at every block, so they overlap by half; a filter reads KERNEL bytes every STEP bytes.
 BLOCK, KERNEL, STEP, WIDTH, FILTERS = 256, 12, 4, 8, 16
