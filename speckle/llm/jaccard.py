@@ -340,7 +340,8 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         return pa.Table.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], ["a", "b", "na", "nb"])
 
-    found = rows.groupBy("token", "i", "j").applyInArrow(compare, PAIR).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    # Dealt by blocks: else the blocks of a token would all stay in the task of the join before.
+    found = rows.repartition("token", "i", "j").groupBy("token", "i", "j").applyInArrow(compare, PAIR).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     return found.filter(_can_link(percent)).select("a", "b")
 
 
