@@ -363,6 +363,12 @@ def test_pseudonyms_are_permutations(spark):
     assert got.distinct().count() == ssn.count() and got.filter(~pii.is_ssn(F.col("d"))).count() == 0
 
 
+def test_values_side_by_side(spark):
+    values = ["+1 (826) 555-4081", "190.137.223.204", "4111111111111111", "+49 30 1234567", "10.0.0.1", "2020-02-29", "bob@example.com"]
+    (text, n, _), = pseudonyms(spark, [" ".join(values)])
+    assert n == len(values) and not any(v in text for v in values)
+
+
 def test_other_numbers_stay(spark):
     clean = [None, "", "no data", "4111111111111112", "000-12-3456", "DE89370400440532013001", "2021-02-29", "25/12/2001", "300.1.1.1", "v1.2.3 3.14 1.2.3.4.5", "Apache License, Version 2.0, January 2004", "a@b", "12345"]
     assert [(t, n) for t, n, _ in pseudonyms(spark, clean)] == [(t, 0) for t in clean]
