@@ -13,7 +13,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a worker's table of encoded words; there are two, a new and an old one.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Texts are handed to a tokenizer in blocks of about this many characters.
 BLOCK_CHARS = 1 << 20
 

@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     rows that share a doc_id follow each other in the order of their texts. An empty table gives no segments.
     """
     spark = docs.sparkSession
-    c.arrow_batches(spark, rows=500)
+    c.arrow_batches(spark, rows=200, size="4m")
 
     def run(batches):
         from pyspark import TaskContext
