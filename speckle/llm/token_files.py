@@ -1,8 +1,8 @@
 """Token-ID files: patched frame-of-reference blocks with exception lists and an index of block starts.
 
-A file is one segment of a shard, all integers little-endian:
+A file is a shard, segments one after the other. A segment, all integers little-endian:
 
-    "SPKTOK1\\0"; u64 shard, ids of the shard before this file, documents, ids, blocks
+    "SPKTOK1\\0"; u64 shard, ids of the shard before this segment, documents, ids, blocks
     i64 doc_id and u64 ids, for each document
     u32 minimum, u8 width, u32 exceptions, for each block of 128 ids
     u64 start of each block in the blocks' bytes, and their end
@@ -10,7 +10,7 @@ A file is one segment of a shard, all integers little-endian:
     u32 crc32 of all before; "\\n"
 
 The last byte is a line feed, so Spark's text writer, whose commits survive lost tasks and executors, can write
-each segment as one line on any file system, and the binary reader reads it back.
+each segment as one line on any file system, and the binary reader reads a file back. Segments say how long they are.
 """
 
 from __future__ import annotations
@@ -91,9 +91,28 @@ def write_segment(shard: int, before: int, doc_ids: np.ndarray, counts: np.ndarr
     return data + struct.pack("<I", zlib.crc32(data))
 
 
-def read_segment(data: bytes):
-    """(shard, ids of the shard before, doc_ids, counts, ids) of a file's bytes; a damaged file raises ValueError."""
-    if data[:8] != MAGIC or data[-1:] != b"\n" or struct.unpack("<I", data[-5:-1])[0] != zlib.crc32(data[:-5]):
+def read_segments(data: bytes):
+    """(shard, ids of the shard before, doc_ids, counts, ids) of each segment in a file's bytes; a damaged file raises ValueError."""
+    at = 0
+    while at < len(data):
+        size = _length(data, at)
+        yield _read(data[at : at + size])
+        at += size
+
+
+def _length(data: bytes, at: int) -> int:
+    """Bytes of the segment that starts at `at`."""
+    if data[at : at + 8] != MAGIC or len(data) < at + 48:
+        raise ValueError("not a token file")
+    _, _, docs, _, n = struct.unpack_from("<5Q", data, at + 8)
+    end = 48 + 16 * docs + 9 * n + 8 * n
+    if len(data) < at + end + 8:
+        raise ValueError("not a whole token file")
+    return end + 8 + struct.unpack_from("<Q", data, at + end)[0] + 5
+
+
+def _read(data: bytes):
+    if data[-1:] != b"\n" or struct.unpack("<I", data[-5:-1])[0] != zlib.crc32(data[:-5]):
         raise ValueError("not a whole token file")
     shard, before, docs, size, n = struct.unpack_from("<5Q", data, 8)
     at = 48
@@ -153,18 +172,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), c.text_or_empty().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     segments = rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string"))
-    segments.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    segments.write.option("maxRecordsPerFile", 0).option("compression", "none").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files at `path`, and its ids if asked for."""
-    c.arrow_batches(spark, rows=2)
+    c.arrow_batches(spark, rows=1)
 
     def run(batches):
         for b in batches:
             for data in b.column("content"):
-                if data := data.as_py():
-                    shard, before, doc_ids, counts, ids = read_segment(data)
+                for shard, before, doc_ids, counts, ids in read_segments(data.as_py()):
                     ends = np.cumsum(counts)
                     pieces = [ids[e - k : e].astype("<u4").tobytes() for e, k in zip(ends, counts, strict=True)]
                     cols = [pa.array([shard] * len(counts), pa.int64()), pa.array(doc_ids), pa.array(before + ends - counts), pa.array(counts), pa.array([zlib.crc32(x) for x in pieces], pa.int64())]

@@ -181,10 +181,13 @@ def test_token_segments(n):
     ids[: n // 3] = 7
     counts = np.array([n - n // 4, 0, n // 4])
     data = token_files.write_segment(3, 11, np.array([1, 2, -5]), counts, ids) + b"\n"
-    shard, before, docs, c, back = token_files.read_segment(data)
+    (shard, before, docs, c, back), two = token_files.read_segments(data + data)
+    assert (two[4] == ids).all()
     assert (shard, before, docs.tolist(), c.tolist()) == (3, 11, [1, 2, -5], counts.tolist()) and (back == ids).all()
     with pytest.raises(ValueError):
-        token_files.read_segment(data[:20] + b"\x00\x01" + data[22:])
+        list(token_files.read_segments(data[:-6] + bytes([data[-6] ^ 1]) + data[-5:]))
+    with pytest.raises(ValueError):
+        list(token_files.read_segments(data[:-3]))
 
 
 def test_token_files(spark, docs, empty, tmp_path):
