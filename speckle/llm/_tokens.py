@@ -13,7 +13,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a worker's table of encoded words; there are two, a new and an old one.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Texts are handed to a tokenizer in blocks of about this many characters.
 BLOCK_CHARS = 1 << 20
 
@@ -116,6 +116,12 @@ def _latin(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and word.lower().isalpha()))
 
 
+@functools.cache
+def _id_bytes(path: str, dtype: str) -> list[bytes]:
+    """The bytes of each rank's id."""
+    return [np.array(i if i >= 0 else 0, dtype).tobytes() for i in _merger(path)[1].tolist()]
+
+
 #: Signs that words end in; a run of them is a piece of its own.
 SIGNS = ".,!?|$%&#*"
 
@@ -127,13 +133,16 @@ def _encoded(path: str, new: list[bytes], dtype: str) -> list[bytes]:
     one text in which a special token parts them; words that hold special strings one by one.
     """
     merger = _merger(path)
+    merge, as_bytes = (merger[0], _id_bytes(path, dtype).__getitem__) if merger else (None, None)
     got, plain = {}, []
     for w in new:
         s = w.decode()
         head = s.rstrip(SIGNS)
         if merger and _latin(head):
-            ranks = merger[0](head.lower().encode() + b"\xff")
-            got[w] = merger[1][ranks + merger[0](s[len(head) :].encode() + b"\xff") if len(head) < len(s) else ranks].astype(dtype).tobytes()
+            ranks = merge(head.lower().encode() + b"\xff")
+            if len(head) < len(s):
+                ranks += merge(s[len(head) :].encode() + b"\xff")
+            got[w] = b"".join(map(as_bytes, ranks))
         elif "<|" in s:
             got[w] = np.asarray(_json(path).encode(s, add_special_tokens=False).ids, dtype).tobytes()
         else:
