@@ -753,7 +753,7 @@ def frames_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CORNERS + " SELECT frame_id, pix, ROUND(value, 9) AS value FROM (SELECT frame_id, frame_id % 2 AS mode, frame_id % 12 AS r FROM frames WHERE frame_id < 400) JOIN views USING (mode, r)")
 def frames_predicted(spark: SparkSession, sf: str) -> DataFrame:
-    best = tb.frames(spark, sf).filter("frame_id < 400").select("frame_id", (F.col("frame_id") % 2).alias("mode"), (F.col("frame_id") % 12).alias("r"))
+    best = tb.frames(spark, sf).select("frame_id", (F.col("frame_id") % 2).alias("mode"), (F.col("frame_id") % 12).alias("r"))
     return rounded(kn.predicted(best, _views(spark)), "value", digits=9)
 
 
