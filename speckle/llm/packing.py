@@ -13,6 +13,8 @@ from speckle.llm import _common as c
 from speckle.llm import _tokens
 
 LENGTH, END = 1024, 0
+#: Rows, bytes and pieces of a batch of the second pass, which holds ids on both sides.
+CUT_ROWS, CUT_BYTES, CUT_PIECES = 100, "2m", 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,21 +58,29 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
 
     def cut(batches):
+        def made(out):
+            cols = [pa.array(x, pa.int64()) for x in out[:7]] + ([pa.array(out[7], pa.binary())] if with_ids else [])
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for b in batches:
             out = [[] for _ in range(8)]
-            for doc, at, n, short, data in zip(b["doc_id"].to_pylist(), b["at"].to_pylist(), b["n"].to_pylist(), b["short"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                ids = np.frombuffer(data, "<u2" if short else "<u4").astype("<u4")
+            for doc, at, n, short, data in zip(*(b[k].to_pylist() for k in ("doc_id", "at", "n", "short", "ids")), strict=True):
+                ids = np.frombuffer(data, "<u2" if short else "<u4")
                 edges = [at, *range((at // length + 1) * length, at + n, length), at + n]
                 for lo, hi in zip(edges, edges[1:]):
-                    piece = ids[lo - at : hi - at].tobytes()
+                    piece = ids[lo - at : hi - at].astype("<u4").tobytes()
                     for to, x in zip(out, (doc, lo - at, hi - lo, zlib.crc32(piece), n, lo // length, lo % length, piece)):
                         to.append(x)
-            cols = [pa.array(x, pa.int64()) for x in out[:7]] + ([pa.array(out[7], pa.binary())] if with_ids else [])
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    if len(out[0]) == CUT_PIECES:
+                        yield made(out)
+                        out = [[] for _ in range(8)]
+            if out[0]:
+                yield made(out)
 
     schema = PIECE + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     placed = stored.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "short", "ids")
+    c.arrow_batches(spark, rows=CUT_ROWS, size=CUT_BYTES)
     return placed.mapInArrow(cut, schema)
 
 
