@@ -129,7 +129,8 @@ def frames_offsets(spark: SparkSession, sf: str) -> DataFrame:
 @query("""o AS (SELECT file_id, COUNT(*) AS n, COALESCE(SUM(COUNT(*)) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM frames GROUP BY 1)
 SELECT range AS num, file_id, CAST(range - first AS BIGINT) AS local FROM range(0, 100000, 37) JOIN o ON range >= first AND range < first + n""")
 def frames_located(spark: SparkSession, sf: str) -> DataFrame:
-    return fr.located(spark.range(0, 100000, 37).withColumnRenamed("id", "num"), tb.frames(spark, sf))
+    f = tb.frames(spark, sf)
+    return fr.located(spark.range(f.count()).withColumnRenamed("id", "num"), f)
 
 
 def _parity_sql(keep: int) -> str:

@@ -32,3 +32,12 @@ def test_every_frame_is_predicted(spark, con):
     assert all(got[i] == pytest.approx(views[i % 2, i % 12], abs=1e-8) for i in ids)
     part = con.sql(ORACLE["frames_predicted"]).fetchall()
     assert part and all(got[i][pix] == pytest.approx(value, abs=1e-8) for i, pix, value in part)
+
+
+def test_every_frame_is_located(spark, con):
+    files = sorted(r.file_id for r in tb.frames(spark, SF).collect())
+    want = {k: (f, k - files.index(f)) for k, f in enumerate(files)}
+    rows = QUERIES["frames_located"](spark, SF).collect()
+    assert len(rows) == len(files) and {r.num: (r.file_id, r.local) for r in rows} == want
+    part = con.sql(ORACLE["frames_located"]).fetchall()
+    assert part and all(want[num] == (f, local) for num, f, local in part)
