@@ -42,7 +42,7 @@ def scale_background(photons: DataFrame, post: DataFrame, views: DataFrame, coun
     """(frame_id, phi): the scale at which the views' gradient vanishes for each frame, over a background.
 
     sum over views of p times (sum of count v / (phi v + b) less the view's total) falls with phi. Frames with fewer
-    counts than their background take 0.001. Every step halves all brackets at once, frame by frame within a task.
+    counts than their background or without lit good pixels take 0.001. Every step halves all brackets at once, frame by frame within a task.
     """
     b = F.col("bgscale") * F.col("background")
     goods = det.filter("mask < 1").select("pix", "background")
@@ -50,14 +50,17 @@ def scale_background(photons: DataFrame, post: DataFrame, views: DataFrame, coun
     p = post.filter(F.col("p") > mx.PROB_MIN).select("frame_id", "mode", "r", "p")
     u = mx.view_totals(views, det)
     goal = p.join(F.broadcast(u), ["mode", "r"]).groupBy("frame_id").agg(F.sum(F.col("p") * F.col("u")).alias("goal"))
-    hits = photons.join(F.broadcast(goods), "pix").join(phi, "frame_id").join(p, "frame_id").join(views, ["mode", "r", "pix"])
-    hits = hits.join(goal, "frame_id").join(counts, "frame_id").crossJoin(F.broadcast(total))
-    hits = hits.select("frame_id", "goal", "fcount", (F.col("bgscale") * F.col("bsum")).alias("bsum"), F.col("phi").alias("start"), (F.col("p") * F.col("cnt")).alias("a"), "value", b.alias("b"))
+    hits = photons.join(F.broadcast(goods), "pix").join(phi.select("frame_id", "bgscale"), "frame_id").join(p, "frame_id").join(views, ["mode", "r", "pix"])
+    hits = hits.select("frame_id", (F.col("p") * F.col("cnt")).alias("a"), "value", b.alias("b"))
+    # A frame without hits keeps one row, whose a, value and b are null.
+    x = phi.join(counts, "frame_id", "left").join(goal, "frame_id", "left").crossJoin(F.broadcast(total))
+    x = x.select("frame_id", F.coalesce("goal", F.lit(0.0)).alias("goal"), F.coalesce("fcount", F.lit(0)).alias("fcount"), (F.col("bgscale") * F.col("bsum")).alias("bsum"), F.col("phi").alias("start"))
+    hits = x.join(hits, "frame_id", "left")
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
         first = t.iloc[0]
         out = 0.001
-        if first["fcount"] > first["bsum"]:
+        if first["fcount"] > first["bsum"] and pd.notna(first["a"]):
             a, v, b = t["a"].to_numpy(), t["value"].to_numpy(), t["b"].to_numpy()
             at = lambda x: (a * v / np.maximum(x * v + b, TINY)).sum() - first["goal"]
             lo, hi = 0.0, max(4 * first["start"], 32.0)

@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from speckle.operators import known
 from speckle.plans.catalog import ORACLE, QUERIES, _views
 from speckle.sources import tables as tb
 
@@ -41,3 +42,21 @@ def test_every_frame_is_located(spark, con):
     assert len(rows) == len(files) and {r.num: (r.file_id, r.local) for r in rows} == want
     part = con.sql(ORACLE["frames_located"]).fetchall()
     assert part and all(want[num] == (f, local) for num, f, local in part)
+
+
+def test_frames_without_lit_good_pixels_have_a_scale(spark):
+    post = spark.createDataFrame([(k, 0, 0, 1.0) for k in (1, 2, 3)], "frame_id long, mode long, r long, p double")
+    photons = spark.createDataFrame([(1, 0, 9), (3, 1, 9)], "frame_id long, pix int, cnt int")
+    views = spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 1, 2.0)], "mode long, r long, pix int, value double")
+    counts = spark.createDataFrame([(1, 9), (2, 0), (3, 0)], "frame_id long, fcount long")
+    det = spark.createDataFrame([(0, 0, 0.5), (1, 1, 0.5)], "pix int, mask int, background double")
+    phi = spark.createDataFrame([(k, 1.0, 1.0) for k in (1, 2, 3)], "frame_id long, phi double, bgscale double")
+    got = {r.frame_id: r.phi for r in known.scale_background(photons, post, views, counts, det, phi).collect()}
+    # 9 * 2 / (2 phi + 0.5) = 2 at phi 4.25
+    assert got == {1: pytest.approx(4.25), 2: 0.001, 3: 0.001}
+
+
+def test_background_scales_of_all_frames(spark):
+    ids = {r.frame_id for r in tb.frames(spark, SF).filter("blacklist = 0").collect()}
+    rows = QUERIES["scale_background"](spark, SF).collect()
+    assert len(rows) == len(ids) and {r.frame_id for r in rows} == ids
