@@ -27,6 +27,10 @@ CARD = r"(?<!\w)(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{
 KINDS = ("email", "iban", "ssn", "date", "phone", "ipv4", "card")
 #: Days from FIRST_DAY to the end of 2096, years without an exception to the leap rule: DAYS = 147 * 487 exactly.
 FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1901-01-01", 71589, 147, 487
+#: The other days of the years 1 to 9999 are permuted among themselves: EARLY of them before FIRST_DAY, OTHER_A * OTHER_B in all.
+EARLY, OTHER_A, OTHER_B = 693960, 1490, 2403
+#: Steps at most until a day after the 12th comes up; each misses it two times in five.
+WALK = 64
 
 
 def pattern(emails: bool = True) -> str:
@@ -154,30 +158,47 @@ def ssn(m: Column, key: str) -> Column:
 
 def _format(m: Column) -> Column:
     """Month first where both readings of dd/mm/yyyy are dates, day first where only that is one."""
-    return F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(m.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    slashes = F.when(F.substr(m, F.lit(1), F.lit(2)) > "12", "dd/MM/yyyy").otherwise("MM/dd/yyyy")
+    return F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(m.contains("."), "dd.MM.yyyy").otherwise(slashes)
 
 
 def _day(m: Column) -> Column:
-    """Days from FIRST_DAY, null if it is not a date between then and 2096."""
-    iso = F.when(m.rlike(r"^\d{4}"), F.translate(m, "/", "-")).when(m.contains("."), F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
-    iso = iso.otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))))
+    """Days from FIRST_DAY, negative before it; null if it is not a date of the years 1 to 9999."""
+    at = lambda i, n: F.substr(m, F.lit(i), F.lit(n))
+    f = _format(m)
+    iso = F.when(f.startswith("yyyy"), F.translate(m, "/", "-")).when(f.startswith("dd"), F.concat_ws("-", at(7, 4), at(4, 2), at(1, 2))).otherwise(F.concat_ws("-", at(7, 4), at(1, 2), at(4, 2)))
     day = F.date_diff(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))), F.lit(FIRST_DAY).cast("date"))
-    return F.when(day.between(0, DAYS - 1), _long(day))
+    return F.when(day.between(-EARLY, OTHER_A * OTHER_B + DAYS - EARLY - 1), _long(day))
 
 
 def is_date(m: Column) -> Column:
     return _day(m).isNotNull()
 
 
+def _moved(day: Column, key: str) -> Column:
+    """Another day by the permutation of the DAYS from FIRST_DAY, or by that of all others."""
+    inside = day.between(0, DAYS - 1)
+    n = F.when(inside, day).when(day < 0, day + EARLY).otherwise(day + EARLY - DAYS)
+    a, b = F.when(inside, DAYS_A).otherwise(OTHER_A), F.when(inside, DAYS_B).otherwise(OTHER_B)
+    p = let(n, lambda n: feistel(F.floor(n / b), n % b, a, b, F.when(inside, "date").otherwise("date|other"), key))
+    back = lambda n: F.when(inside, n).when(n < EARLY, n - EARLY).otherwise(n - EARLY + DAYS)
+    return let(let(p, lambda p: p["l"] * b + p["r"]), back)
+
+
 def date(m: Column, key: str) -> Column:
-    p = let(_day(m), lambda day: feistel(F.floor(day / DAYS_B), day % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), F.lit("date"), key))
+    """The format stays. A day-first date with slashes goes on until the day is after the 12th, so that it is read day first again."""
     f = _format(m)
+    of = lambda day: F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+    one = let(_day(m), lambda day: _moved(day, key))
+    again = lambda day: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), day, lambda d, _: F.when(F.dayofmonth(of(d)) > 12, d).otherwise(let(d, lambda d: _moved(d, key))))
+    p = let(one, lambda day: F.when(f == "dd/MM/yyyy", again(day)).otherwise(day))
 
     def written(iso: Column) -> Column:
         y, mo, d = F.substr(iso, F.lit(1), F.lit(4)), F.substr(iso, F.lit(6), F.lit(2)), F.substr(iso, F.lit(9), F.lit(2))
-        return F.when(f == "yyyy-MM-dd", iso).when(f == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(f == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+        out = F.when(f == "yyyy-MM-dd", iso).when(f == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(f == "dd.MM.yyyy", F.concat_ws(".", d, mo, y))
+        return out.when(f == "dd/MM/yyyy", F.concat_ws("/", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
 
-    return let(let(p, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_B + p["r"]).cast("int")).cast("string")), written)
+    return let(let(p, lambda day: of(day).cast("string")), written)
 
 
 def is_phone(m: Column) -> Column:
@@ -253,8 +274,8 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_found, kinds) for every row of docs: the text with each value replaced, its values' number and kinds.
 
-    Values are e-mail addresses, IBANs (remainder 97), social security numbers (ranges), dates (calendar, 1901 to
-    2096; MM/dd/yyyy where slashes end in the year), international and North American phone numbers, IPv4 addresses
+    Values are e-mail addresses, IBANs (remainder 97), social security numbers (ranges), dates (calendar, years 1
+    to 9999; where slashes end in the year MM/dd/yyyy, or dd/MM/yyyy if only that is a date), international and North American phone numbers, IPv4 addresses
     (octets) and payment cards (Luhn); numbers that fail their check stay. A null text stays null with nothing
     found; empty texts, repeated rows and an empty table give what they hold; other columns are ignored. Nothing is
     shuffled, and a text without a match is returned as it is.
