@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speckle.llm import _tokens, quality
+from speckle.llm import _common, _tokens, quality
 from speckle.llm.exact_dedup import exact_dedup
 from speckle.llm.jaccard import near_dedup
 from speckle.llm.mixing import mixed_documents
@@ -43,6 +43,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = _common.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

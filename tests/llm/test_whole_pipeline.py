@@ -23,3 +23,22 @@ def test_packing_stage_keeps_the_token_ids(spark):
         have[r.doc_id].extend(np.frombuffer(r.ids, "<u4").tolist())
         at += r.length
     assert have == want and got[-1].sequence_id > 2
+
+
+def test_every_stage_reads_what_the_one_before_it_wrote(spark, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(set(docs.inputFiles()))
+        return docs.filter("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first one", stage), ("second", stage), ("third", stage)])
+    out = corpus_pipeline.run(spark, SF)
+    read.append(set(out.inputFiles()))
+    assert all(read) and not any(a & b for i, a in enumerate(read) for b in read[:i])
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 2 = 0").count()
+
+
+def test_run_ends_in_token_ids(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length for r in rows)
