@@ -373,7 +373,7 @@ def test_values_side_by_side(spark):
 
 
 def test_other_numbers_stay(spark):
-    clean = [None, "", "no data", "4111111111111112", "000-12-3456", "DE89370400440532013001", "2021-02-29", "25/12/2001", "300.1.1.1", "v1.2.3 3.14 1.2.3.4.5", "Apache License, Version 2.0, January 2004", "a@b", "12345"]
+    clean = [None, "", "no data", "4111111111111112", "000-12-3456", "DE89370400440532013001", "2021-02-29", "300.1.1.1", "v1.2.3 3.14 1.2.3.4.5", "Apache License, Version 2.0, January 2004", "a@b", "12345"]
     assert [(t, n) for t, n, _ in pseudonyms(spark, clean)] == [(t, 0) for t in clean]
 
 
