@@ -127,7 +127,7 @@ def frames_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""o AS (SELECT file_id, COUNT(*) AS n, COALESCE(SUM(COUNT(*)) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM frames GROUP BY 1)
-SELECT range AS num, file_id, CAST(range - first AS BIGINT) AS local FROM range(0, 100000, 37) JOIN o ON range >= first AND range < first + n""")
+SELECT range AS num, file_id, CAST(range - first AS BIGINT) AS local FROM range((SELECT COUNT(*) FROM frames)) JOIN o ON range >= first AND range < first + n""")
 def frames_located(spark: SparkSession, sf: str) -> DataFrame:
     f = tb.frames(spark, sf)
     return fr.located(spark.range(f.count()).withColumnRenamed("id", "num"), f)
@@ -752,7 +752,7 @@ def frames_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
     return kn.ranked_by_orientation(f, f.select("frame_id", (F.col("frame_id") % 12).alias("r")))
 
 
-@query(_CORNERS + " SELECT frame_id, pix, ROUND(value, 9) AS value FROM (SELECT frame_id, frame_id % 2 AS mode, frame_id % 12 AS r FROM frames WHERE frame_id < 400) JOIN views USING (mode, r)")
+@query(_CORNERS + " SELECT frame_id, pix, ROUND(value, 9) AS value FROM (SELECT frame_id, frame_id % 2 AS mode, frame_id % 12 AS r FROM frames) JOIN views USING (mode, r)")
 def frames_predicted(spark: SparkSession, sf: str) -> DataFrame:
     best = tb.frames(spark, sf).select("frame_id", (F.col("frame_id") % 2).alias("mode"), (F.col("frame_id") % 12).alias("r"))
     return rounded(kn.predicted(best, _views(spark)), "value", digits=9)

@@ -1,4 +1,4 @@
-"""Queries that cover every frame of the tables, against brute force; their SQL covers a part and is held to that part."""
+"""Queries that cover every frame of the tables, against brute force and their SQL."""
 
 from pathlib import Path
 
@@ -31,8 +31,8 @@ def test_every_frame_is_predicted(spark, con):
         got[r.frame_id][r.pix] = r.value
     assert set(got) == ids and max(ids) >= 400
     assert all(got[i] == pytest.approx(views[i % 2, i % 12], abs=1e-8) for i in ids)
-    part = con.sql(ORACLE["frames_predicted"]).fetchall()
-    assert part and all(got[i][pix] == pytest.approx(value, abs=1e-8) for i, pix, value in part)
+    every = con.sql(ORACLE["frames_predicted"]).fetchall()
+    assert {i for i, _, _ in every} == ids and all(got[i][pix] == pytest.approx(value, abs=1e-8) for i, pix, value in every)
 
 
 def test_every_frame_is_located(spark, con):
@@ -40,8 +40,7 @@ def test_every_frame_is_located(spark, con):
     want = {k: (f, k - files.index(f)) for k, f in enumerate(files)}
     rows = QUERIES["frames_located"](spark, SF).collect()
     assert len(rows) == len(files) and {r.num: (r.file_id, r.local) for r in rows} == want
-    part = con.sql(ORACLE["frames_located"]).fetchall()
-    assert part and all(want[num] == (f, local) for num, f, local in part)
+    assert {num: (f, local) for num, f, local in con.sql(ORACLE["frames_located"]).fetchall()} == want
 
 
 def test_frames_without_lit_good_pixels_have_a_scale(spark):
