@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
 
-KEY, ROUNDS = "speckle", 5
-#: What is looked for. Each pattern starts and ends at a non-word character, so no two matches overlap.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
+ROUNDS = 5
+#: The key of the registered query, which is public and so protects nothing: callers bring their own.
+TEST_KEY = "test key, not secret"
+#: What is looked for. Each pattern starts and ends at a non-word character, so no two matches overlap. Loops without a
+#: bound are over one class of characters or possessive: Java matches others by recursion, whose stack a long text exhausts.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)++"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 DATE = r"(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/\-]|\.\d)"
 PHONE = (
     r"(?<![\w+])\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)"
     r"|(?<![\w+])\+(?!1[ .(\-])\d{1,3}[ \-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ \-]?\d{2,4}){2,4}(?!\w|\.\d)"
-    r"|(?<![\w+\-.(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\w\-])"
+    r"|(?<![\w+\-.(])(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\w\-])"
 )
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 CARD = r"(?<!\w)(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\w)"
 KINDS = ("email", "iban", "ssn", "date", "phone", "ipv4", "card")
+#: The longest local part and address that mail standards allow, and the country codes of two digits
+#: (1 and 7 have one, all others three).
+LONGEST_LOCAL, LONGEST_EMAIL = 64, 254
+TWO_DIGIT_CODES = (
+    "20", "27", "28", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "83", "84", "86", "89", "90", "91", "92", "93", "94", "95", "98",
+)
 #: Days from FIRST_DAY to the end of 2096, years without an exception to the leap rule: DAYS = 147 * 487 exactly.
 FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1901-01-01", 71589, 147, 487
 #: The other days of the years 1 to 9999 are permuted among themselves: EARLY of them before FIRST_DAY, OTHER_A * OTHER_B in all.
@@ -48,7 +58,7 @@ def _long(x: Column) -> Column:
     return x.cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, tag: Column, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, tag: Column, key: str, rounds: int = ROUNDS) -> Column:
     """(l, r): the pair of numbers below a and b, keyed-permuted; every round adds a keyed hash of one to the other."""
 
     def prf(half: Column, n: Column, of: Column, side: str) -> Column:
@@ -205,11 +215,38 @@ def is_phone(m: Column) -> Column:
     return F.length(digits(m)).between(8, 15)
 
 
+def is_north_american(m: Column) -> Column:
+    """Ten digits, with or without the country code 1: one number however it is written."""
+    return ~m.startswith("+") | (digits(m).startswith("1") & (F.length(digits(m)) == 11))
+
+
+def _north_american(n: Column, key: str) -> Column:
+    """Ten digits as ten others. Area and exchange codes from 200 on stay from 200 on, the others below."""
+
+    def permuted(n: Column) -> Column:
+        area, exchange, line = (_long(F.substr(n, F.lit(i), F.lit(k))) for i, k in ((1, 3), (4, 3), (7, 4)))
+        sizes = [F.when(x < 200, 200).otherwise(800) for x in (area, exchange)]
+        bases = [F.when(x < 200, 0).otherwise(200) for x in (area, exchange)]
+        tag = F.concat_ws("|", F.lit("phone|1"), *[x.cast("string") for x in sizes])
+        p = feistel(area - bases[0], (exchange - bases[1]) * 10000 + line, sizes[0], sizes[1] * 10000, tag, key)
+        parts = lambda p: ((p["l"] + bases[0], 3), (F.floor(p["r"] / 10000) + bases[1], 3), (p["r"] % 10000, 4))
+        return let(p, lambda p: F.concat(*[F.lpad(x.cast("string"), k, "0") for x, k in parts(p)]))
+
+    return let(n, permuted)
+
+
 def phone(m: Column, key: str) -> Column:
-    """Separators and an international prefix stay; the digits after it are permuted."""
-    head = F.regexp_extract(m, r"^(\+\d{1,3}(?=\D)|\+\d)?", 1)
-    rest = F.substr(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, refill(rest, digits_permuted(digits(rest), F.concat(F.lit("phone"), head), key)))
+    """Separators and country code stay; the digits after it are permuted, however they are grouped."""
+
+    def written(d: Column) -> Column:
+        two = F.substr(d, F.lit(1), F.lit(2))
+        code = F.when(F.substr(d, F.lit(1), F.lit(1)).isin("1", "7"), 1).when(two.isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+        code = F.when(is_north_american(m), F.length(d) - 10).otherwise(code)
+        rest, head = F.substr(d, code + 1, F.length(d)), F.substr(d, F.lit(1), code)
+        new = F.when(is_north_american(m), _north_american(rest, key)).otherwise(digits_permuted(rest, F.concat(F.lit("phone|"), head), key))
+        return refill(m, F.concat(head, new))
+
+    return let(digits(m), written)
 
 
 def is_ipv4(m: Column) -> Column:
@@ -253,7 +290,7 @@ def email(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a match, null if its number or date is not valid."""
     return (
-        F.when(m.contains("@"), F.lit("email"))
+        F.when(m.contains("@"), F.when((F.length(F.substring_index(m, "@", 1)) <= LONGEST_LOCAL) & (F.length(m) <= LONGEST_EMAIL), F.lit("email")))
         .when(m.rlike(r"^[A-Z]{2}\d"), F.when(is_iban(m), F.lit("iban")))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(is_ssn(m), F.lit("ssn")))
         .when(m.rlike(r"^(?:\d{4}[\-/]\d{2}[\-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), F.when(is_date(m), F.lit("date")))
@@ -263,7 +300,7 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     made = {"email": email, "iban": iban, "ssn": ssn, "date": date, "ipv4": ipv4, "card": card, "phone": phone}
     out = F.when(kind.isNull(), m)
     for k, f in made.items():
@@ -271,12 +308,14 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_found, kinds) for every row of docs: the text with each value replaced, its values' number and kinds.
 
-    Values are e-mail addresses, IBANs (remainder 97), social security numbers (ranges), dates (calendar, years 1
+    `key` is the caller's secret: who knows it can undo the permutations, and one key links values over all documents.
+    Values are e-mail addresses (of at most 254 characters, 64 before the @), IBANs (remainder 97), social security numbers (ranges), dates (calendar, years 1
     to 9999; where slashes end in the year MM/dd/yyyy, or dd/MM/yyyy if only that is a date), international and North American phone numbers, IPv4 addresses
-    (octets) and payment cards (Luhn); numbers that fail their check stay. A null text stays null with nothing
+    (octets) and payment cards (Luhn); numbers that fail their check stay. North American numbers are one with and
+    without their country code. Texts may be of any length: no pattern recurs with the text. A null text stays null with nothing
     found; empty texts, repeated rows and an empty table give what they hold; other columns are ignored. Nothing is
     shuffled, and a text without a match is returned as it is.
     """
@@ -294,7 +333,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """With the key TEST_KEY."""
+    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEST_KEY)
 
 
 QUERIES = {"op3_pii": op3_pii}

@@ -330,7 +330,7 @@ def test_nearest_neighbours(spark):
 
 
 def pseudonyms(spark, texts):
-    return [(r.text, r.n_found, r.kinds) for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    return [(r.text, r.n_found, r.kinds) for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
 
 
 def luhn(s):

@@ -9,13 +9,13 @@ from speckle.llm import pii
 
 def test_day_first_and_distant_dates_are_replaced(spark):
     values = ["25/12/2001", "31/01/1850", "1850-06-01", "2100/01/01", "31.12.1899", "12/25/2150", "0001-01-01", "9999-12-31", "2001-12-25"]
-    df = pii.pseudonymised(spark.createDataFrame([(i, f"On {v}, see.") for i, v in enumerate(values)], "doc_id long, text string")).orderBy("doc_id")
+    df = pii.pseudonymised(spark.createDataFrame([(i, f"On {v}, see.") for i, v in enumerate(values)], "doc_id long, text string"), "k").orderBy("doc_id")
     for r, v in zip(df.collect(), values):
         new = r.text[3:-6]
         assert r.n_found == 1 and r.kinds == ["date"] and v not in r.text and len(new) == len(v)
         assert [c for c in new if not c.isdigit()] == [c for c in v if not c.isdigit()]
     stay = ["25/13/2001", "31/04/2001", "29/02/2001", "0000-01-01", "00/12/2001"]
-    df = pii.pseudonymised(spark.createDataFrame(list(enumerate(stay)), "doc_id long, text string")).orderBy("doc_id")
+    df = pii.pseudonymised(spark.createDataFrame(list(enumerate(stay)), "doc_id long, text string"), "k").orderBy("doc_id")
     assert [(r.text, r.n_found) for r in df.collect()] == [(v, 0) for v in stay]
 
 
