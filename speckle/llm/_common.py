@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
@@ -37,11 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete stored() tables, wherever they are; only those that no result reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,10 +54,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound the Arrow batches that texts travel in, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+class arrow_batches:
+    """Bounds the Arrow batches that texts travel in, by rows and by bytes, for the plans that run within.
+
+    For what runs at once; a lazy result runs under the session's own settings, and its functions use slices().
+    """
+
+    def __init__(self, spark: SparkSession, rows: int = 1000, size: str = "16m"):
+        self.spark, self.wanted = spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k, None) for k in self.wanted}
+        for k, v in self.wanted.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+
+
+def slices(batches, column: str, rows: int = 500, size: int = 8 << 20):
+    """The batches cut to at most so many rows and about so many bytes of one column, a row at least."""
+    for b in batches:
+        _, ends = flat_bytes(b.column(column))
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def hot_keys(counts: DataFrame, key: str, total: int, count: str = "count") -> DataFrame:
@@ -79,6 +107,36 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows of a few numbers; else Spark joins it as it finds fit."""
+    return df if df.limit(rows + 1).count() > rows else F.broadcast(df)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for df that none of its own clashes with, in any case of letters."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def running(parts: DataFrame, group: list[str], at: str, size: str, out: str, step: int = 1024) -> DataFrame:
+    """Adds `out`: the sum of `size` over the group's rows of a lesser number `at`, which is not negative.
+
+    Sums of `step` numbers each come first, so no task orders more than these sums, or the rows of one of them.
+    """
+    coarse = parts.withColumn("_step", F.floor(F.col(at) / step))
+    sums = coarse.groupBy(*group, "_step").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*group, "_step", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "_step").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    x = coarse.join(base, [*group, "_step"])
+    return x.withColumn(out, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_step", "_base")
+
+
 def text_or_empty(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

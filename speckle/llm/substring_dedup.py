@@ -1,15 +1,23 @@
 """Repeated substrings by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases. A window of WINDOW bytes that starts in a phrase is known by the
-phrase's rest, the trigger that ends it and the bytes after that, so windows are equal only within one *core*, the
-bytes after a trigger that all of them share. The dictionary holds each distinct phrase with its context (an *item*),
-the parse its occurrences. Corpus order is made of both: items in the order of (core, item), which many occurrences
-settle at once, and then the windows of the items that occur once, in the order of their content. Orders are by
-64-bit hash, not lexicographic: the removal only asks whether neighbours agree on WINDOW bytes.
+Rolling-hash triggers cut every text into phrases. A window of WINDOW bytes belongs to the first trigger within its
+reach (to the least rolling hash there, where no trigger is), so equal windows have their trigger at the same place and
+agree on the *core*, the CORE bytes after it. All windows of one trigger make an *item*: the phrase before the trigger,
+of which they are suffixes, and what the parse goes on with, up to the last window's end.
+
+The dictionary is the items' phrases, sorted from their ends; neighbours' common suffixes give, for each length d, the
+classes of equal phrase suffixes. The parse is sorted by what follows the triggers; neighbours' common prefixes give the
+classes of equal continuations. A window is a pair of both, so corpus order is that of (suffix class, rank in the
+parse), and a window is repeated where a neighbour in this order agrees on WINDOW bytes. Bytes are compared, not hashes.
+
+Only items whose core occurs again are sorted: a count of hashed cores, in which a clash merely adds work, finds them.
+Items of one core meet in one task; a core of more than PART_ROWS items is dealt to parts, whose windows then meet by
+126-bit digests, one row for each class of a part.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -20,69 +28,129 @@ from pyspark.sql import functions as F
 from speckle.llm import _common as c
 from speckle.llm._shingles import ODD, _powers
 
-WINDOW, GRAM, PERIOD, CORE = 200, 12, 32, 64
-#: Texts are parsed in chunks of about this many bytes; entries of a chunk are collapsed before the shuffle.
-CHUNK = 1 << 21
-#: Entries that one bucket of the shuffle holds on average.
-BUCKET_ROWS = 400_000
-#: Rows of positions up to this number may be broadcast to the texts.
-BROADCAST_ROWS = 500_000
-TABLE, FULL, PROBE, SINGLE = 0, 1, 2, 3
+WINDOW, GRAM, PERIOD, CORE = 200, 12, 64, 64
+#: Texts are parsed in chunks of about this many bytes; a longer text in slabs that overlap by a window.
+CHUNK, SLAB = 1 << 21, 1 << 20
+#: Cores that a bucket of the count holds on average, items that a bucket of the sort holds, and items of a core in one part.
+BUCKET_CORES, BUCKET_ROWS, PART_ROWS = 200_000, 32_768, 4096
+BUCKETS = 32
+TABLE, FULL, PROBE, OTHERS, SORTED, DIGESTS = range(6)
+#: Buckets from here on hold digests; negative ones hold what goes to the chunks as it is.
+DIGEST_BUCKETS = 1 << 60
 ROW = "bucket long, chunk long, kind int, data binary"
+FOUND = "doc_id long, th long, spans binary, live binary, hot binary, n_live long"
+CORES = np.dtype([("core", "<u8"), ("item", "<u4"), ("n", "<u4")])
+HEAD = np.dtype([("at", "<u4"), ("size", "<u2"), ("back", "u1"), ("hot", "u1")])
+DIGEST = np.dtype([("a", "<u8"), ("b", "<u8"), ("chunk", "<i8"), ("at", "<u4")])
+PRIMES = ((2147483647, 1140671485), (2147483629, 1664525))
+
+
+@functools.lru_cache(4)
+def _prime_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers below n of a number and of its inverse, modulo a prime; n is a power of two."""
+    p, base = PRIMES[which]
+    out = []
+    for x in (base, pow(base, -1, p)):
+        a = np.ones(1, np.uint64)
+        while len(a) < n:
+            a = np.concatenate([a, a * np.uint64(pow(x, len(a), p)) % np.uint64(p)])
+        out.append(a)
+    return out[0], out[1]
 
 
 class Text:
-    """Rolling hashes of texts end to end."""
+    """Rolling hashes of pieces of text end to end."""
 
     table = c.mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
     def __init__(self, raw: np.ndarray, ends: np.ndarray):
-        n = len(raw)
-        self.n, self.ends = n, ends
-        self.power, self.inverse = _powers(1 << max(1, int(n)).bit_length())
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.table[raw] * self.power[:n], dtype=np.uint64)])
+        self.n, self.raw, self.ends = len(raw), raw, ends
+        self.room = 1 << max(1, int(self.n)).bit_length()
+        self.power, self.inverse = _powers(self.room)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.table[raw] * self.power[: self.n], dtype=np.uint64)])
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return c.mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * ODD)
 
-    def parse(self, window: int, gram: int, period: int, core: int):
-        """Triggers that have window starts, the first and last of these, and window starts far from any trigger.
-
-        The window starts of a trigger are those to which it is the next one and that its core still lies within.
-        A start with no trigger near enough is far from one wherever its window occurs.
-        """
-        reach = window - core
-        at = np.arange(max(0, self.n - gram + 1))
-        roll = c.mix((self.sums[gram:] - self.sums[: self.n - gram + 1]) * self.inverse[at]) if len(at) else np.zeros(0, np.uint64)
-        q = np.nonzero(roll % np.uint64(period) == 0)[0]
-        doc = np.searchsorted(self.ends, q, "right") - 1
-        start, end = self.ends[doc], self.ends[doc + 1]
-        inside = q + gram <= end
-        q, start, end = q[inside], start[inside], end[inside]
-        before = np.maximum(np.concatenate([[-1], q[:-1]]), start - 1) if len(q) else q
-        first, last = np.maximum(before + 1, q - reach), np.minimum(q, end - window)
-        ok = first <= last
-        # starts between a trigger and where the next one reaches to, or the last start of the text
-        lo, hi = before + 1, np.minimum(q - reach, end - window + 1)
-        d0, d1 = self.ends[:-1], self.ends[1:]
-        tail = d0.copy()
-        where = np.searchsorted(d0, q, "right") - 1
-        np.maximum.at(tail, where, q + 1)
-        lo, hi = np.concatenate([lo, tail]), np.concatenate([hi, d1 - window + 1])
-        far = lo < hi
-        lo, hi = lo[far], hi[far]
-        far = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        return q[ok], first[ok], last[ok], far, end[ok]
-
-
-def _collapsed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place of each distinct key, whether it comes again, and for all places whether their key does."""
-    _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return first, n > 1, n[inverse] > 1
-
-
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return np.stack([lo, hi], 1).astype("<i8").ravel()
+    def second(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """62 bits more, of two hashes modulo primes."""
+        out = np.zeros(len(a), np.uint64)
+        for which, (p, _) in enumerate(PRIMES):
+            p, (power, inverse) = np.uint64(p), _prime_powers(self.room, which)
+            values = c.mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(7919 * (which + 1))) % p
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[self.raw] * power[: self.n] % p, dtype=np.uint64)])
+            out = out << np.uint64(31) | (sums[b] - sums[a]) % p * inverse[a] % p
+        return out
+
+    def parse(self, window: int, gram: int, period: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(trigger, first, last) of each item: the window starts from first to last are those of this trigger."""
+        reach, n = window - core, self.n
+        if n < window:
+            return (np.zeros(0, np.int64),) * 3
+        at = np.arange(n - gram + 1)
+        roll = c.mix((self.sums[gram:] - self.sums[: n - gram + 1]) * self.inverse[at])
+        after = np.full(n + 1, n + window, np.int32)
+        triggers = np.nonzero(roll % np.uint64(period) == 0)[0]
+        after[triggers] = triggers
+        after = np.minimum.accumulate(after[::-1])[::-1]
+        sizes = np.diff(self.ends)
+        start = np.nonzero(np.arange(n) + window <= np.repeat(self.ends[1:], sizes))[0]
+        if not len(start):
+            return (np.zeros(0, np.int64),) * 3
+        trigger = after[start].astype(np.int64)
+        far = np.nonzero(trigger > start + reach)[0]
+        if len(far):
+            key = np.full(-(-(n + reach) // (reach + 1)) * (reach + 1) + reach + 1, ~np.uint64(0))
+            key[: len(roll)] = (roll >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+            key = key.reshape(-1, reach + 1)
+            up, down = np.minimum.accumulate(key, 1).ravel(), np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
+            s = start[far]
+            trigger[far] = (np.minimum(down[s], up[s + reach]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1)])
+        head = np.nonzero(new)[0]
+        return trigger[head], start[head], start[np.concatenate([head[1:] - 1, [len(start) - 1]])]
+
+
+class Chunk:
+    """Texts end to end as pieces no longer than a slab and a window, and their items; at: first starts in the texts' own bytes."""
+
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, window: int, gram: int, period: int, core: int, slab: int):
+        sizes = np.diff(ends)
+        parts = np.maximum(1, -(-np.maximum(sizes - window + 1, 0) // slab))
+        row = np.repeat(np.arange(len(sizes)), parts)
+        lo = ends[row] + (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * slab
+        hi = np.minimum(lo + slab + window - 1, ends[row + 1])
+        if len(row) > len(sizes):
+            raw = np.concatenate([raw[a:b] for a, b in zip(lo, hi)])
+        cuts = np.concatenate([[0], np.cumsum(hi - lo)])
+        self.text = Text(raw, cuts)
+        self.trigger, self.first, self.last = self.text.parse(window, gram, period, core)
+        piece = np.searchsorted(cuts, self.first, "right") - 1
+        self.at = self.first - cuts[piece] + lo[piece]
+        #: How many items each text has; items of a text follow each other.
+        self.items = np.bincount(row[piece], minlength=len(sizes))
+
+
+def _same(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each distinct key, how often it comes, and for all places the number of their key."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    heads = np.nonzero(new)[0]
+    return order[heads], np.diff(np.concatenate([heads, [len(order)]])), number
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each lo on, n of them."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> bytes:
+    return np.stack([lo, hi], 1).astype("<i8").tobytes()
 
 
 def _merged(pairs: np.ndarray) -> np.ndarray:
@@ -108,13 +176,16 @@ def _chunks(batches, least: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _runs(x: np.ndarray):
+    cuts = np.concatenate([[0], np.nonzero(x[1:] != x[:-1])[0] + 1, [len(x)]]) if len(x) else [0]
+    return [(x[lo], lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
 def _rows(bucket: np.ndarray, chunk: int, kind: int, data: np.ndarray):
     """One row for each bucket, of the records that fall into it."""
     order = np.argsort(bucket, kind="stable")
-    bucket, data = bucket[order], data[order]
-    cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]]) if len(bucket) else [0]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield int(bucket[lo]), chunk, kind, data[lo:hi].tobytes()
+    for b, lo, hi in _runs(bucket[order]):
+        yield int(b), chunk, kind, data[order[lo:hi]].tobytes()
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -122,105 +193,18 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["bucket", "chunk", "kind", "data"])
 
 
-ITEM = np.dtype([("core", "<u4"), ("item", "<u8"), ("at", "<u4"), ("back", "<u2"), ("ahead", "<u2"), ("many", "<u1")])
-WIN = np.dtype([("hash", "<u8"), ("at", "<u4"), ("many", "<u1")])
-
-
-def _windows(hashes: np.ndarray, at: np.ndarray, chunk: int, buckets: int, window: int):
-    """Records of distinct windows for the shuffle, and the ranges of those that come again in the chunk."""
-    first, again, all_again = _collapsed(hashes)
-    w = np.zeros(len(first), WIN)
-    w["hash"], w["at"], w["many"] = hashes[first], at[first], again
-    yield from _rows((w["hash"] >> np.uint64(20)).astype(np.int64) % buckets + (1 << 40), chunk, SINGLE, w)
-    mine = at[all_again]
-    if len(mine):
-        yield -1 - chunk % buckets, chunk, FULL, _ranges(mine, mine + window).tobytes()
-
-
-def _reduce(window: int):
-    def reduce(key, t):
-        """Decides the entries of a bucket: FULL ranges and PROBE triggers of each chunk."""
-        bucket = key[0].as_py()
-        if bucket < 0:
-            return t.select(["bucket", "chunk", "kind", "data"])
-        t = t.sort_by("chunk")
-        chunks, data = t["chunk"].to_numpy(), t["data"].to_pylist()
-        kind = ITEM if bucket < 1 << 40 else WIN
-        x = np.concatenate([np.frombuffer(d, kind) for d in data])
-        chunk = np.repeat(chunks, [len(d) // kind.itemsize for d in data])
-        out = []
-        if kind is WIN:
-            _, inverse, n = np.unique(x["hash"], return_inverse=True, return_counts=True)
-            hit = (n[inverse] > 1) & (x["many"] == 0)
-            at, of = x["at"][hit].astype(np.int64), chunk[hit]
-            for k, lo, hi in _runs(of):
-                out.append((-1, int(k), FULL, _ranges(at[lo:hi], at[lo:hi] + window).tobytes()))
-            return pa.Table.from_batches([_batch(out)])
-        _, core, cores = np.unique(x["core"], return_inverse=True, return_counts=True)
-        _, item, items = np.unique(x["item"], return_inverse=True, return_counts=True)
-        weight = np.bincount(core, x["many"], len(cores)) + cores
-        full = (items[item] > 1) | (x["many"] > 0)
-        edge = (weight[core] > 1) & ~full
-        # an edge's windows may be those of an item that occurs often: one of its occurrences is looked at too
-        near = np.zeros(len(cores), bool)
-        near[core[edge]] = True
-        once = np.zeros(len(x), bool)
-        once[np.unique(item, return_index=True)[1]] = True
-        probe = edge | (full & near[core] & once)
-        at, back, ahead = (x[k].astype(np.int64) for k in ("at", "back", "ahead"))
-        tell = np.nonzero(full & (x["many"] == 0))[0]
-        for k, lo, hi in _runs(chunk[tell]):
-            s = tell[lo:hi]
-            out.append((-1, int(k), FULL, _ranges(at[s] - back[s], at[s] + ahead[s]).tobytes()))
-        probe = np.nonzero(probe)[0]
-        for k, lo, hi in _runs(chunk[probe]):
-            out.append((-1, int(k), PROBE, at[probe[lo:hi]].astype("<i8").tobytes()))
-        return pa.Table.from_batches([_batch(out)])
-
-    return reduce
-
-
-def _assemble(key, t):
-    """A chunk's ranges and probes dealt to its rows: (doc_id, th, spans, probes)."""
-    kinds, data = t["kind"].to_pylist(), t["data"].to_pylist()
-    table = next((np.frombuffer(d, "<i8").reshape(-1, 3) for k, d in zip(kinds, data) if k == TABLE), None)
-    if table is None:
-        raise ValueError("a chunk without its table")
-    spans = _merged(np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == FULL), "<i8").reshape(-1, 2))
-    probes = np.sort(np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == PROBE), "<i8"))
-    ends = np.concatenate([[0], table[:, 2]])
-    # ranges of neighbouring texts may have met
-    parts = []
-    if len(spans):
-        lo, hi = (np.searchsorted(ends, spans[:, i], "right" if i == 0 else "left") - (i == 0) for i in (0, 1))
-        n = hi - lo
-        doc = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        parts = np.stack([doc, np.maximum(np.repeat(spans[:, 0], n), ends[doc]) - ends[doc], np.minimum(np.repeat(spans[:, 1], n), ends[doc + 1]) - ends[doc]], 1)
-        parts = parts[parts[:, 1] < parts[:, 2]]
-    of = np.searchsorted(ends, probes, "right") - 1
-    with_spans = {} if not len(parts) else {int(d): parts[lo:hi, 1:] for d, lo, hi in _runs(parts[:, 0])}
-    with_probes = {int(d): probes[lo:hi] - ends[d] for d, lo, hi in _runs(of)}
-    some = sorted(with_spans.keys() | with_probes.keys())
-    cols = [
-        pa.array(table[some, 0] if some else [], pa.int64()), pa.array(table[some, 1] if some else [], pa.int64()),
-        pa.array([with_spans[d].astype("<i8").tobytes() if d in with_spans else b"" for d in some], pa.binary()),
-        pa.array([with_probes[d].astype("<i8").tobytes() if d in with_probes else b"" for d in some], pa.binary()),
-    ]
-    return pa.Table.from_arrays(cols, ["doc_id", "th", "spans", "probes"])
-
+def _to_chunk(chunk: int, kind: int, data: bytes, buckets: int) -> tuple:
+    return -1 - chunk % buckets, chunk, kind, data
 
-def _runs(x: np.ndarray):
-    cuts = np.concatenate([[0], np.nonzero(x[1:] != x[:-1])[0] + 1, [len(x)]]) if len(x) else [0]
-    return [(x[lo], lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
+def _table(t: pa.Table, ends: np.ndarray, items: np.ndarray, chunk: int, buckets: int) -> tuple:
+    """The row that names a chunk's texts, their ends and their numbers of items."""
+    return _to_chunk(chunk, TABLE, np.stack([t["doc_id"].to_numpy(), t["th"].to_numpy(), ends[1:], items], 1).astype("<i8").tobytes(), buckets)
 
-def _tables(t: pa.Table, ends: np.ndarray, chunk: int, buckets: int):
-    """The row that names a chunk's texts."""
-    ids = np.stack([t["doc_id"].to_numpy(), t["th"].to_numpy(), ends[1:]], 1).astype("<i8")
-    return -1 - chunk % buckets, chunk, TABLE, ids.tobytes()
 
+def _first_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int, slab: int):
+    """Of each chunk: its texts, items that come again within it, and the cores of its distinct items for the count."""
 
-def _first_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -228,25 +212,80 @@ def _first_pass(buckets: int, window: int, gram: int, period: int, core: int, ch
         for t in _chunks(batches, chunk_bytes):
             chunk += 1
             raw, ends = c.flat_bytes(t["text"])
-            x = Text(raw, ends)
-            q, first, last, far, end = x.parse(window, gram, period, core)
-            rows = [_tables(t, ends, chunk, buckets)]
-            item = x.hash(first, np.minimum(q + window, end))
-            head, again, all_again = _collapsed(item)
-            e = np.zeros(len(head), ITEM)
-            cores = x.hash(q[head], q[head] + core)
-            e["core"], e["item"], e["at"], e["many"] = cores.astype("<u4"), item[head], q[head], again
-            e["back"], e["ahead"] = (q - first)[head], (last + window - q)[head]
-            rows += _rows((cores >> np.uint64(32)).astype(np.int64) % buckets, chunk, PROBE, e)
-            if all_again.any():
-                rows.append((-1 - chunk % buckets, chunk, FULL, _ranges(first[all_again], last[all_again] + window).tobytes()))
-            rows += _windows(x.hash(far, far + window), far, chunk, buckets, window)
+            x = Chunk(raw, ends, window, gram, period, core, slab)
+            rows = [_table(t, ends, x.items, chunk, buckets)]
+            if len(x.at):
+                stop = x.last + window
+                head, n, number = _same(x.text.hash(x.first, stop), x.text.second(x.first, stop), x.trigger - x.first)
+                again = n[number] > 1
+                if again.any():
+                    rows.append(_to_chunk(chunk, FULL, _ranges(x.at[again], (x.at + stop - x.first)[again]), buckets))
+                cores = x.text.hash(x.trigger[head], x.trigger[head] + core)
+                one, n, number = _same(cores)
+                e = np.zeros(len(one), CORES)
+                e["core"], e["item"], e["n"] = cores[one], head[one], n
+                rows += _rows((e["core"] >> np.uint64(32)).astype(np.int64) % buckets, chunk, PROBE, e)
+                more = np.setdiff1d(np.arange(len(head)), one)
+                if len(more):
+                    rows.append(_to_chunk(chunk, OTHERS, np.stack([head[one][number[more]], head[more]], 1).astype("<u4").tobytes(), buckets))
             yield _batch(rows)
 
     return run
 
 
-def _second_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int):
+def _count(key, t):
+    """Tells each chunk which of its cores occur again, and how many items they have."""
+    if key[0].as_py() < 0:
+        return t.select(["bucket", "chunk", "kind", "data"])
+    t = t.sort_by("chunk")
+    data = t["data"].to_pylist()
+    x = np.frombuffer(b"".join(data), CORES)
+    chunk = np.repeat(t["chunk"].to_numpy(), [len(d) // CORES.itemsize for d in data])
+    _, inverse = np.unique(x["core"], return_inverse=True)
+    total = np.bincount(inverse, x["n"].astype(float))[inverse]
+    live = np.nonzero(total > 1)[0]
+    pairs = np.stack([x["item"][live], np.minimum(total[live], 2**32 - 1)], 1).astype("<u4")
+    return pa.Table.from_batches([_batch([(-1, int(k), PROBE, pairs[lo:hi].tobytes()) for k, lo, hi in _runs(chunk[live])])])
+
+
+def _assemble(part_rows: int):
+    """A chunk's ranges and items dealt to its texts: a bit for each item that is to be sorted, and the items of hot cores."""
+
+    def assemble(key, t):
+        kinds, data = t["kind"].to_pylist(), t["data"].to_pylist()
+        of = lambda kind, dtype: np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == kind), dtype)
+        table = next((np.frombuffer(d, "<i8").reshape(-1, 4) for k, d in zip(kinds, data) if k == TABLE), None)
+        if table is None:
+            raise ValueError("a chunk without its table")
+        ends, starts = np.concatenate([[0], table[:, 2]]), np.concatenate([[0], np.cumsum(table[:, 3])])
+        spans = _merged(of(FULL, "<i8").reshape(-1, 2))
+        # ranges of neighbouring texts may have met
+        lo, hi = np.searchsorted(ends, spans[:, 0], "right") - 1, np.searchsorted(ends, spans[:, 1], "left")
+        doc = _spread(lo, hi - lo)
+        parts = np.stack([doc, np.maximum(np.repeat(spans[:, 0], hi - lo), ends[doc]) - ends[doc], np.minimum(np.repeat(spans[:, 1], hi - lo), ends[doc + 1]) - ends[doc]], 1)
+        parts = parts[parts[:, 1] < parts[:, 2]]
+        probes, others = of(PROBE, "<u4").reshape(-1, 2).astype(np.int64), of(OTHERS, "<u4").reshape(-1, 2).astype(np.int64)
+        live = np.zeros(starts[-1], np.int64)
+        live[probes[:, 0]] = probes[:, 1]
+        live[others[:, 1]] = live[others[:, 0]]
+        with_spans = {int(d): parts[a:b, 1:] for d, a, b in _runs(parts[:, 0])}
+        some = sorted(with_spans.keys() | set((np.searchsorted(starts, np.nonzero(live)[0], "right") - 1).tolist()))
+        cols = [[], [], [], [], []]
+        for d in some:
+            n = live[starts[d] : starts[d + 1]]
+            hot = np.nonzero(n > part_rows)[0]
+            for to, v in zip(cols, (d, with_spans[d].astype("<i8").tobytes() if d in with_spans else b"", np.packbits(n > 0).tobytes(), np.stack([hot, n[hot]], 1).astype("<u4").tobytes(), int((n > 0).sum()))):
+                to.append(v)
+        docs = np.array(cols[0], np.int64)
+        arrays = [pa.array(table[docs, 0]), pa.array(table[docs, 1]), *[pa.array(x, pa.binary()) for x in cols[1:4]], pa.array(cols[4], pa.int64())]
+        return pa.Table.from_arrays(arrays, ["doc_id", "th", "spans", "live", "hot", "n_live"])
+
+    return assemble
+
+
+def _second_pass(buckets: int, window: int, gram: int, period: int, core: int, chunk_bytes: int, slab: int, part_rows: int):
+    """The live items' bytes, dealt by their core; those of a hot core by core and part."""
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -254,47 +293,170 @@ def _second_pass(buckets: int, window: int, gram: int, period: int, core: int, c
         for t in _chunks(batches, chunk_bytes):
             chunk += 1
             raw, ends = c.flat_bytes(t["text"])
-            x = Text(raw, ends)
-            q, first, last, _, _ = x.parse(window, gram, period, core)
-            wanted = [np.frombuffer(p, "<i8") + e for p, e in zip(t["probes"].to_pylist(), ends)]
-            at = np.searchsorted(q, np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
-            n = last[at] - first[at] + 1
-            starts = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield _batch([_tables(t, ends, chunk, buckets), *_windows(x.hash(starts, starts + window), starts, chunk, buckets, window)])
+            x = Chunk(raw, ends, window, gram, period, core, slab)
+            starts = np.cumsum(x.items) - x.items
+            bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(n)) for b, n in zip(t["live"].to_pylist(), x.items)]
+            live = np.nonzero(np.concatenate(bits))[0]
+            hot = [np.frombuffer(h, "<u4").reshape(-1, 2).astype(np.int64) + [[s, 0]] for h, s in zip(t["hot"].to_pylist(), starts)]
+            parts = np.zeros(len(x.at), np.int64)
+            hot = np.concatenate(hot)
+            parts[hot[:, 0]] = -(-hot[:, 1] // part_rows)
+            first, q, parts = x.first[live], x.trigger[live], parts[live]
+            size = x.last[live] + window - first
+            part = (c.mix(live.astype(np.uint64) + np.uint64(chunk)) % np.maximum(parts, 1).astype(np.uint64)) * (parts > 0)
+            bucket = (c.mix(x.text.hash(q, q + core) + part * ODD) % np.uint64(buckets)).astype(np.int64)
+            rows = [_table(t, ends, x.items, chunk, buckets)]
+            order = np.argsort(bucket, kind="stable")
+            heads = np.zeros(len(live), HEAD)
+            heads["at"], heads["size"], heads["back"], heads["hot"] = x.at[live], size, q - first, parts > 0
+            for b, lo, hi in _runs(bucket[order]):
+                i = order[lo:hi]
+                rows.append((int(b), chunk, SORTED, len(i).to_bytes(4, "little") + heads[i].tobytes() + x.text.raw[_spread(first[i], size[i])].tobytes()))
+            yield _batch(rows)
 
     return run
 
 
-def _joined(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """docs with side's columns by (doc_id, th); side is broadcast only if it is small."""
-    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(side) if small else side, ["doc_id", "th"], how)
+def _in_order(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each row, common, best): rows sorted by their first `sizes` bytes.
+
+    common: how many bytes each place's row has in common with the one before; best: each row's most with a neighbour.
+    """
+    rows = np.ascontiguousarray(rows)
+    order = np.lexsort((sizes, rows.view(f"S{rows.shape[1]}").ravel()))
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = rows[order[1:]] != rows[order[:-1]]
+        depth = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+        common[1:] = np.minimum(depth, np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    best = np.empty(len(order), np.int64)
+    best[order] = np.maximum(common, np.concatenate([common[1:], [0]]))
+    return place, common, best
+
+
+def repeated_windows(rows: np.ndarray, back: np.ndarray, ahead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each distinct item, number of each row's item, which windows of an item occur in two rows or items).
+
+    rows: an item's phrase of `back` bytes, right-aligned, then its continuation of `ahead` bytes; a window of item i that
+    starts d bytes before the trigger is told by [i, d].
+    """
+    reach = rows.shape[1] - window
+    left_place, left_common, left_best = _in_order(rows[:, :reach][:, ::-1], back)
+    right_place, right_common, right_best = _in_order(rows[:, reach:], ahead)
+    # places whose row equals the one before have one class; equal sizes sort side by side
+    whole = []
+    for place, common, sizes in ((left_place, left_common, back), (right_place, right_common, ahead)):
+        at = np.empty(len(place), np.int64)
+        at[place] = sizes
+        same = np.concatenate([[False], (common[1:] == at[1:]) & (at[1:] == at[:-1])])
+        whole.append((np.cumsum(~same) - 1)[place])
+    head, n, number = _same(*whole)
+    out = np.zeros((len(head), reach + 1), bool)
+    d = np.arange(reach + 1)
+    has = (d >= window - ahead[head][:, None]) & (d <= back[head][:, None])
+    out[n > 1] = has[n > 1]
+    lp, rp, lb, rb = left_place[head], right_place[head], left_best[head], right_best[head]
+    for d in range(reach + 1):
+        some = np.nonzero(has[:, d] & (lb >= d) & (rb >= window - d))[0]
+        if len(some) < 2:
+            continue
+        suffix, follows = np.cumsum(left_common < d)[lp[some]], np.cumsum(right_common < window - d)[rp[some]]
+        # corpus order of these windows: classes of equal suffixes, then ranks in the parse
+        order = np.lexsort((rp[some], suffix))
+        agree = (suffix[order[1:]] == suffix[order[:-1]]) & (follows[order[1:]] == follows[order[:-1]])
+        out[some[order[1:][agree]], d] = out[some[order[:-1][agree]], d] = True
+    return head, number, out
+
+
+def _sort(window: int, core: int, buckets: int):
+    """Repeated windows of a bucket's items as FULL ranges of their chunks; digests of the windows of hot cores."""
+    reach = window - core
+
+    def reduce(key, t):
+        if key[0].as_py() < 0:
+            return t.select(["bucket", "chunk", "kind", "data"])
+        t = t.sort_by("chunk")
+        heads, bodies, counts = [], [], []
+        for d in t["data"].to_pylist():
+            n = int.from_bytes(d[:4], "little")
+            heads.append(np.frombuffer(d, HEAD, n, 4))
+            bodies.append(np.frombuffer(d, np.uint8, offset=4 + n * HEAD.itemsize))
+            counts.append(n)
+        h, chunk = np.concatenate(heads), np.repeat(t["chunk"].to_numpy(), counts)
+        at, size, back, width = h["at"].astype(np.int64), h["size"].astype(np.int64), h["back"].astype(np.int64), reach + window
+        rows = np.zeros((len(h), width), np.uint8)
+        rows.ravel()[_spread(np.arange(len(h)) * width + reach - back, size)] = np.concatenate(bodies)
+        head, number, repeated = repeated_windows(rows, back, size - back, window)
+        out = []
+        # runs of repeated windows, from the one that starts first
+        edge = np.diff(repeated[number].astype(np.int8), axis=1, prepend=0, append=0)
+        (i, least), (_, most) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        lo, hi = at[i] + back[i] - most + 1, at[i] + back[i] - least + window
+        for k, a, b in _runs(chunk[i]):
+            out.append(_to_chunk(int(k), FULL, _ranges(lo[a:b], hi[a:b]), buckets))
+        hot = np.zeros(len(head), bool)
+        hot[number[h["hot"] > 0]] = True
+        i = np.nonzero(hot)[0]
+        if len(i):
+            row = head[i]
+            n = back[row] - (window - size[row] + back[row]) + 1
+            d = _spread(window - size[row] + back[row], n)
+            i, row, start = np.repeat(i, n), np.repeat(head[i], n), np.repeat(np.arange(len(i)) * width, n) + reach - d
+            text = Text(np.ascontiguousarray(rows[head[np.nonzero(hot)[0]]]).ravel(), np.array([0]))
+            e = np.zeros(len(start), DIGEST)
+            e["a"], e["b"] = text.hash(start, start + window), text.second(start, start + window)
+            e["chunk"], e["at"] = np.where(repeated[i, d], -1, chunk[row]), np.where(repeated[i, d], 0, at[row] + back[row] - d)
+            e = e[_same(e["a"], e["b"])[0]]
+            out += _rows((e["a"] >> np.uint64(20)).astype(np.int64) % buckets + DIGEST_BUCKETS, -1, DIGESTS, e)
+        return pa.Table.from_batches([_batch(out)])
 
+    return reduce
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, period: int = PERIOD, core: int = CORE, chunk_bytes: int = CHUNK) -> DataFrame:
+
+def _meet(window: int):
+    """Windows of hot cores that other parts have too."""
+
+    def reduce(key, t):
+        if key[0].as_py() < 0:
+            return t.select(["bucket", "chunk", "kind", "data"])
+        e = np.frombuffer(b"".join(t["data"].to_pylist()), DIGEST)
+        _, n, number = _same(e["a"], e["b"])
+        again = n > 1
+        again[number[e["chunk"] < 0]] = True
+        e = e[again[number] & (e["chunk"] >= 0)]
+        e = e[np.argsort(e["chunk"], kind="stable")]
+        at = e["at"].astype(np.int64)
+        return pa.Table.from_batches([_batch([(-1, int(k), FULL, _ranges(at[lo:hi], at[lo:hi] + window)) for k, lo, hi in _runs(e["chunk"])])])
+
+    return reduce
+
+
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, period: int = PERIOD, core: int = CORE, chunk_bytes: int = CHUNK, slab: int = SLAB, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, th, spans) of the rows (doc_id, th, text) that share a window with another place; th is a hash of the text.
 
-    spans: sorted disjoint ranges of bytes, pairs of little-endian 64-bit integers, that such windows cover.
+    spans: ranges of bytes, pairs of little-endian 64-bit integers, in one or more binaries of a list; their union is
+    what such windows cover. gram is at most core, and window - core below 256.
     """
     spark = rows.sparkSession
-    c.arrow_batches(spark, rows=500, size="2m")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, size // period // BUCKET_ROWS)
-    args = buckets, window, gram, period, core, chunk_bytes
-    passed = rows.mapInArrow(_first_pass(*args), ROW).groupBy("bucket").applyInArrow(_reduce(window), ROW)
-    out = "doc_id long, th long, spans binary, probes binary"
-    found = c.stored(passed.groupBy("chunk").applyInArrow(_assemble, out), "spans-first")
-    probes = found.filter("length(probes) > 0").groupBy("doc_id", "th").agg(F.max("probes").alias("probes"))
-    again = _joined(rows, probes, "inner").select("doc_id", "th", "text", "probes")
-    again = again.mapInArrow(_second_pass(*args), ROW).groupBy("bucket").applyInArrow(_reduce(window), ROW)
-    more = c.stored(again.groupBy("chunk").applyInArrow(_assemble, out), "spans-second")
+    args, assemble = (window, gram, period, core, chunk_bytes, slab), _assemble(part_rows)
+    with c.arrow_batches(spark, rows=500, size="2m"):
+        passed = rows.mapInArrow(_first_pass(max(BUCKETS, size // period // BUCKET_CORES), *args), ROW).groupBy("bucket").applyInArrow(_count, ROW)
+        found = c.stored(passed.groupBy("chunk").applyInArrow(assemble, FOUND), "spans-first")
+        live = found.agg(F.sum("n_live")).first()[0] or 0
+        if not live:
+            return found.groupBy("doc_id", "th").agg(F.collect_set("spans").alias("spans"))
+        # Of rows that repeat a doc_id and its text any stands for all, as their spans are joined below.
+        wanted = found.filter("n_live > 0").groupBy("doc_id", "th").agg(F.max(F.struct("n_live", "live", "hot")).alias("w")).select("doc_id", "th", "w.live", "w.hot")
+        again = rows.join(c.stored(wanted, "spans-live"), ["doc_id", "th"]).select("doc_id", "th", "text", "live", "hot")
+        buckets = max(BUCKETS, live // BUCKET_ROWS)
+        items = again.mapInArrow(_second_pass(buckets, *args, part_rows), ROW).groupBy("bucket").applyInArrow(_sort(window, core, buckets), ROW)
+        met = items.groupBy("bucket").applyInArrow(_meet(window), ROW)
+        more = c.stored(met.groupBy("chunk").applyInArrow(assemble, FOUND), "spans-second")
     both = found.select("doc_id", "th", "spans").union(more.select("doc_id", "th", "spans")).filter("length(spans) > 0")
-
-    def merge(key, t):
-        pairs = _merged(np.frombuffer(b"".join(t["spans"].to_pylist()), "<i8").reshape(-1, 2))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64()), pa.array([pairs.astype("<i8").tobytes()], pa.binary())], ["doc_id", "th", "spans"])
-
-    return c.stored(both.groupBy("doc_id", "th").applyInArrow(merge, "doc_id long, th long, spans binary"), "spans")
+    return c.stored(both.groupBy("doc_id", "th").agg(F.collect_set("spans").alias("spans")), "spans")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -306,18 +468,20 @@ def without_repeats(docs: DataFrame, with_text: bool = False, **how) -> DataFram
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs, and the bytes kept if with_text.
 
     A byte goes if a window of WINDOW bytes that covers it also starts at another place of any text, or of the same.
-    All copies go. Texts are UTF-8 bytes, null is empty; windows do not cross texts. Rows that repeat are places of
-    their own. An empty table gives an empty result; other columns are ignored.
+    All copies go. Texts are UTF-8 bytes of any length, null is empty; windows do not cross texts. Rows that repeat are
+    places of their own. An empty table gives an empty result; other columns are ignored.
+
+    Where spans go to texts, Spark joins by their size: small ones are broadcast, others shuffled with the texts.
     """
     rows = _keyed(docs)
     spans = repeated_spans(rows, **how)
 
     def cut(batches):
-        for b in batches:
+        for b in c.slices(batches, "text"):
             raw, ends = c.flat_bytes(b["text"])
             cols = [[], [], [], [], []]
             for lo, hi, s in zip(ends[:-1], ends[1:], b["spans"].to_pylist()):
-                pairs = np.frombuffer(s or b"", "<i8").reshape(-1, 2)
+                pairs = _merged(np.frombuffer(b"".join(s or []), "<i8").reshape(-1, 2))
                 text, edges = raw[lo:hi].tobytes(), [0, *pairs.ravel().tolist(), int(hi - lo)]
                 kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2]))
                 for to, v in zip(cols, (len(text), len(text) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), kept)):
@@ -328,7 +492,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False, **how) -> DataFram
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
-    done = _joined(rows, spans, "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    done = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     return done.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
 
 

@@ -283,19 +283,63 @@ def brute_spans(texts, window):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1000, 20000])
-def test_substrings(spark, chunk):
-    r = random.Random(chunk)
+def spliced(seed):
+    r = random.Random(seed)
     base = [prose(r.randint(1, 150), r) for _ in range(30)]
-    texts = [t or "" for t in TEXTS if t is None or len(t) < 5000] + ["a" * 1000, "x" * 199, "x" * 200] + base
+    texts = [t or "" for t in TEXTS if t is None or len(t) < 5000] + ["a" * 1000, "x" * 199, "x" * 200, "\0" * 300 + "y", "a\0" * 150] + base
     for _ in range(50):
         a, k = r.choice(base), r.randint(0, 300)
         texts.append(a[k : k + r.randint(1, 600)] + " " + prose(r.randint(1, 30), r) + r.choice(base)[: r.randint(0, 400)])
+    return texts
+
+
+@pytest.mark.parametrize("how", [{"chunk_bytes": 1000}, {"chunk_bytes": 20000}, {"chunk_bytes": 4000, "slab": 333}, {"chunk_bytes": 1000, "part_rows": 1}, {"chunk_bytes": 3000, "part_rows": 3, "period": 16}], ids=str)
+def test_substrings(spark, how):
+    texts = spliced(str(how))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = by_id(substring_dedup.without_repeats(df, chunk_bytes=chunk))
+    got = by_id(substring_dedup.without_repeats(df, **how))
     assert [tuple(got[i])[1:] for i in range(len(texts))] == brute_spans(texts, 200)
 
 
+def test_a_passage_of_every_text_is_dealt_to_parts(spark):
+    r = random.Random(9)
+    passage = prose(60, r)
+    texts = [prose(r.randint(0, 40), r) + " " + passage + " " + prose(r.randint(0, 40), r) for _ in range(300)] + [passage] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = by_id(substring_dedup.without_repeats(df, chunk_bytes=2000, part_rows=16))
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == brute_spans(texts, 200)
+
+
+def test_corpus_order_of_windows():
+    """Items against a comparison of all windows."""
+    r = np.random.default_rng(4)
+    rows = np.zeros((60, 36), np.uint8)
+    back, ahead = r.integers(0, 17, 60), r.integers(12, 21, 60)
+    for i in range(60):
+        rows[i, 16 - back[i] : 16 + ahead[i]] = r.integers(0, 2, back[i] + ahead[i])
+    rows[40:50], back[40:50], ahead[40:50] = rows[30:40], back[30:40], ahead[30:40]
+    head, number, out = substring_dedup.repeated_windows(rows, back, ahead, 20)
+    where = {}
+    for i in range(60):
+        for d in range(max(0, 20 - ahead[i]), back[i] + 1):
+            where.setdefault((d, rows[i, 16 - d : 36 - d].tobytes()), []).append(i)
+    want = np.zeros((60, 17), bool)
+    for (d, _), found in where.items():
+        want[found, d] = len(found) > 1
+    assert (out[number] == want).all()
+
+
+def test_long_texts_repeat_across_slabs(spark):
+    r = random.Random(3)
+    line = prose(100, r)
+    long = "".join(r.choice("abcdefghij ") for _ in range(1_300_000))
+    texts = [long[:1_048_000] + line + long[1_048_000:], "head " + line, long[700:1100], "q" * 1_200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(substring_dedup.without_repeats(df))
+    assert got[3].n_removed == 1_200_000 and got[2].n_removed == 400 and got[1].n_removed == len(line) and got[1].n_spans == 1
+    assert (got[0].n_bytes, got[0].n_removed, got[0].n_spans) == (len(texts[0]), 400 + len(line), 2)
+
+
 def test_substring_edges(docs, empty):
     got = substring_dedup.without_repeats(docs, with_text=True).collect()
     assert len(got) == docs.count() and all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
