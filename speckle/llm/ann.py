@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from speckle.llm import _common as c
 
 #: Vectors that the index is fitted on, at most: those of the least hash of their id. Every vector is indexed.
-SAMPLE_ROWS, CELLS, SUBSPACES, CODES, ROUNDS, SEED = 16384, 64, 16, 256, 8, 11
-K, PROBES, SHORTLIST = 20, 48, 300
+SAMPLE_ROWS, SUBSPACES, CODES, ROUNDS, SEED = 16384, 16, 256, 8, 11
+#: Sample vectors that a cell is fitted on, at least; sample queries, and the share of their neighbours in the sample
+#: that the cells probed must hold.
+CELL_ROWS, TRIALS, TARGET = 32, 256, 0.97
+#: Rows of a block that are reranked exactly for a query.
+K, SHORTLIST = 20, 300
 #: Vectors and queries that one task compares at once, on average.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS, BLOCK_QUERIES, BATCH_QUERIES = 16384, 8192, 64
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -36,7 +40,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and, for each subspace of the residuals, a codebook."""
 
-    def __init__(self, sample: np.ndarray, cells: int = CELLS, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, cells: int, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.centres = kmeans(sample, cells, rng)
@@ -49,24 +53,46 @@ class Index:
         rest = x - self.centres[cell]
         return cell, np.stack([nearest(rest[:, p], b) for p, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :n]
-
-    def search(self, q: np.ndarray, q_id: np.ndarray, cell: int, codes: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, shortlist: int):
-        """(query index, row, exact score) of each query's best rows of one cell; rows come in ascending id."""
-        base = q @ self.centres[cell]
-        approx = np.repeat(base[:, None], len(x), 1)
-        for m, (p, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            approx += (q[:, p] @ book.T)[:, codes[:, m]]
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Cells from the largest inner product with each query on."""
+        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+
+    def probes(self, sample: np.ndarray, k: int, target: float = TARGET, trials: int = TRIALS) -> int:
+        """The least number of cells that hold `target` of the k nearest of the first sample vectors, within the sample."""
+        q = sample[:trials]
+        scores = q @ sample.T
+        scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centres)
+        near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        place = np.argsort(self.order(q), axis=1)
+        need = np.sort(place[np.arange(len(q))[:, None], nearest(sample, self.centres)[near]].ravel())
+        return int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]) + 1
+
+    def search(self, q: np.ndarray, q_id: np.ndarray, asks: np.ndarray, cells: np.ndarray, cuts: np.ndarray, codes: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, shortlist: int):
+        """(query index, rows, exact scores) of each query's best rows of a block's cells.
+
+        Rows from cuts[i] to cuts[i + 1] are of cells[i], which the queries of asks[:, i] want. The `shortlist` best by
+        asymmetric tables are reranked; ties go to the first rows.
+        """
+        tables = [(q[:, p] @ book.T).astype("f4") for p, book in zip(self.cuts, self.books, strict=True)]
+        approx = np.full((len(q), len(x)), -np.inf, "f4")
+        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+            mine = np.nonzero(asks[:, i])[0]
+            if len(mine):
+                a = np.repeat((q[mine] @ self.centres[cells[i]]).astype("f4")[:, None], hi - lo, 1)
+                for m, t in enumerate(tables):
+                    a += t[mine][:, codes[lo:hi, m]]
+                approx[mine, lo:hi] = a
         approx[q_id[:, None] == x_id[None]] = -np.inf
-        for i in range(len(q)):
-            a = approx[i]
-            top = np.arange(len(a))
-            if len(a) > shortlist:
-                least = np.partition(a, len(a) - shortlist)[len(a) - shortlist]
-                above = np.nonzero(a > least)[0]
-                top = np.concatenate([above, np.nonzero(a == least)[0][: shortlist - len(above)]])
-            top = top[np.isfinite(a[top])]
+        for i, a in enumerate(approx):
+            top = np.nonzero(np.isfinite(a))[0]
+            if len(top) > shortlist:
+                b = a[top]
+                least = np.partition(b, len(b) - shortlist)[len(b) - shortlist]
+                above = np.nonzero(b > least)[0]
+                top = top[np.concatenate([above, np.nonzero(b == least)[0][: shortlist - len(above)]])]
             exact = (x[top] * q[i]).sum(1)
             best = np.lexsort([x_id[top], -exact])[:k]
             yield i, top[best], exact[best]
@@ -84,69 +110,121 @@ def _matrix(col) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = K, probes: int = PROBES, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, cells: int = CELLS) -> DataFrame:
+def _blocks(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: small cells share a block, large ones are dealt to several."""
+    first, parts, block, full = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows)), 0, 0
+    for i, n in enumerate(sizes):
+        if full and full + n > rows:
+            block, full = block + 1, 0
+        first[i], full = block, full + n
+        if parts[i] > 1:
+            block, full = block + parts[i], 0
+    return first, parts
+
+
+def search(
+    queries: DataFrame, vectors: DataFrame, k: int = K, probes: int | None = None, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, cells: int | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found among vectors by inner product, its own id left out.
 
-    queries and vectors are (id, vec) as usable() gives them, of one dimension; vectors of another dimension than the
-    first of the sample take no part. Ties go to the smaller id. Rows that repeat an id are candidates each; of
-    queries that repeat an id one is answered. No vectors or no queries: no rows.
+    queries and vectors are (id, vec) as usable() gives them. There is an index for each dimension, as vectors of
+    different ones have no inner product: a query's candidates are the vectors of its own. Ties go to the smaller id.
+    Rows that repeat an id are candidates each; of queries that repeat an id one is answered. No vectors or no queries:
+    no rows; fewer candidates than k: all of them.
 
-    A query is compared with the `probes` cells of largest inner product; cells are dealt to blocks by their size, so
-    a cell of very many vectors is shared out; each block reranks its shortlist exactly and returns k rows a query.
+    There are about as many cells as the root of the number of vectors, at most one for CELL_ROWS of the sample. A query
+    is compared with the `probes` cells of largest inner product, by default as many as hold TARGET of the neighbours
+    of sample vectors in the sample, and with more until they hold k candidates. Cells of few vectors share a block and
+    a cell of many is dealt to several, so a query is sent once to each block that holds a cell of its; each block
+    reranks its best `shortlist` rows for a query exactly and returns k.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
-    if not sample:
+    counts = {r.d: r.n for r in vectors.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).collect()}
+    found = [_found(queries.filter(F.size("vec") == d), vectors.filter(F.size("vec") == d), n, k, probes, shortlist, sample_rows, cells, block_rows, block_queries) for d, n in sorted(counts.items())]
+    if not found:
         return spark.createDataFrame([], out)
-    dim = len(sample[0].vec)
-    index = Index(np.array([r.vec for r in sample if len(r.vec) == dim]), cells)
-    c.arrow_batches(spark, rows=4096)
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(queries: DataFrame, vectors: DataFrame, total: int, k: int, probes: int | None, shortlist: int, sample_rows: int, cells: int | None, block_rows: int, block_queries: int) -> DataFrame:
+    """(query_id, vec_id, score) of vectors of one dimension, more than k for a query."""
+    spark = vectors.sparkSession
+    sample = _matrix(vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow()["vec"])
+    index = Index(sample, cells or max(1, min(len(sample) // CELL_ROWS, int(np.ceil(total**0.5)))))
+    probes = probes or index.probes(sample, k)
+    shared = spark.sparkContext.broadcast(index)
 
     def encode(batches):
         for b in batches:
             x = _matrix(b["vec"])
             if len(x):
-                cell, codes = index.encode(x)
+                cell, codes = shared.value.encode(x)
                 yield pa.RecordBatch.from_arrays([b["id"], b["vec"], pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in codes], pa.binary())], ["id", "vec", "cell", "codes"])
 
+    with c.arrow_batches(spark, rows=4096):
+        lists = c.stored(vectors.mapInArrow(encode, "id long, vec array<double>, cell int, codes binary"), "ann-lists")
+    # A row for each cell, of which there are at most sample_rows / CELL_ROWS.
+    sizes = np.zeros(len(index.centres), np.int64)
+    for r in lists.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    first, parts = _blocks(sizes, block_rows)
+
     def probe(batches):
         for b in batches:
             x = _matrix(b["vec"])
-            if len(x):
-                yield pa.RecordBatch.from_arrays([b["id"], b["vec"], pa.array(list(index.probes(x, probes)), pa.list_(pa.int32()))], ["id", "vec", "cells"])
-
-    same = F.size("vec") == dim
-    lists = c.stored(vectors.filter(same).mapInArrow(encode, "id long, vec array<double>, cell int, codes binary"), "ann-lists")
-    asked = c.stored(queries.filter(same).dropDuplicates(["id"]).mapInArrow(probe, "id long, vec array<double>, cells array<int>"), "ann-queries")
-    asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-    # At most `cells` rows each: how many blocks a cell's vectors and queries are dealt to.
-    sizes = lists.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nv"))
-    loads = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
-    deal = F.broadcast(sizes.join(loads, "cell"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = lists.join(deal, "cell").withColumn("v", F.pmod(F.xxhash64("id"), "nv").cast("int")).withColumn("q", every("nq")).select("cell", "v", "q", "id", "vec", "codes")
-    right = asked.join(deal, "cell").withColumn("q", F.pmod(F.xxhash64("id"), "nq").cast("int")).withColumn("v", every("nv")).select("cell", "v", "q", "id", "vec")
+            if not len(x):
+                continue
+            order = shared.value.order(x)
+            enough = (np.cumsum(sizes[order], 1) <= k).sum(1) + 1
+            rows, blocks, wanted = [], [], []
+            for i, n in enumerate(np.minimum(np.maximum(enough, probes), order.shape[1]).tolist()):
+                near = order[i, :n]
+                near = np.repeat(near[sizes[near] > 0], parts[near[sizes[near] > 0]])
+                block = first[near] + np.concatenate([np.arange(p) for p in parts[near[np.concatenate([[True], near[1:] != near[:-1]])]]]) if len(near) else near
+                for one in np.unique(block):
+                    rows.append(i)
+                    blocks.append(one)
+                    wanted.append(np.sort(near[block == one]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(rows)), b["vec"].take(pa.array(rows)), pa.array(blocks, pa.int64()), pa.array(wanted, pa.list_(pa.int32()))], ["id", "vec", "block", "cells"])
+
+    with c.arrow_batches(spark, rows=1024):
+        asked = c.stored(queries.dropDuplicates(["id"]).mapInArrow(probe, "id long, vec array<double>, block long, cells array<int>"), "ann-queries")
+    deal = F.broadcast(spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "cell int, first long, parts long"))
+    lists = lists.join(deal, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
+    # At most one row for each block: in how many parts its queries are compared.
+    loads = asked.groupBy("block").agg(F.ceil(F.count("*") / block_queries).alias("nq"))
+    left = lists.join(loads, "block").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).select("block", "q", "cell", "id", "vec", "codes")
+    right = asked.join(loads, "block").withColumn("q", F.pmod(F.xxhash64("id"), "nq")).select("block", "q", "id", "vec", "cells")
 
     def compare(x, q):
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not x.num_rows or not q.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
-        x = x.sort_by("id")
-        ids, q_ids, qs = x["id"].to_numpy(), q["id"].to_numpy(), _matrix(q["vec"])
+        x = x.sort_by([("cell", "ascending"), ("id", "ascending")])  # ties of a shortlist go to the smaller id of a cell
+        ids, q_ids, vecs, qs, cell = x["id"].to_numpy(), q["id"].to_numpy(), _matrix(x["vec"]), _matrix(q["vec"]), x["cell"].to_numpy()
         codes = np.frombuffer(b"".join(x["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        vecs, cell, got = _matrix(x["vec"]), x["cell"][0].as_py(), ([], [], [])
-        for lo in range(0, len(qs), 256):
-            for i, rows, exact in index.search(qs[lo : lo + 256], q_ids[lo : lo + 256], cell, codes, vecs, ids, k, shortlist):
+        asks = q["cells"].combine_chunks()
+        of, wanted = np.repeat(np.arange(len(q_ids)), np.diff(asks.offsets.to_numpy())), asks.flatten().to_numpy()
+        cuts = np.concatenate([[0], np.nonzero(cell[1:] != cell[:-1])[0] + 1, [len(cell)]])
+        cells = cell[cuts[:-1]]
+        asked = np.zeros((len(q_ids), len(cells)), bool)
+        here = np.isin(wanted, cells)
+        asked[of[here], np.searchsorted(cells, wanted[here])] = True
+        got = ([], [], [])
+        for lo in range(0, len(q_ids), BATCH_QUERIES):
+            some = slice(lo, lo + BATCH_QUERIES)
+            for i, rows, exact in shared.value.search(qs[some], q_ids[some], asked[some], cells, cuts, codes, vecs, ids, k, shortlist):
                 got[0].append(np.full(len(rows), q_ids[lo + i]))
                 got[1].append(ids[rows])
                 got[2].append(exact)
-        return pa.Table.from_arrays([pa.array(np.concatenate(g), t) for g, t in zip(got, kinds, strict=True)], names)
+        return pa.Table.from_arrays([pa.array(np.concatenate(g) if g else [], t) for g, t in zip(got, kinds, strict=True)], names)
 
-    keys = ["cell", "v", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("block", "q").cogroup(right.groupBy("block", "q")).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
