@@ -219,16 +219,22 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     many groups each with its pivots, by their first members; and members of a group with its first. Second round, for
     exactness: what pairs of members are left whose components still differ, tokens of many groups in blocks.
     """
-    spark = docs.sparkSession
-    c.arrow_batches(spark, rows=1000, size="4m")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty().alias("text"))
+    with c.arrow_batches(docs.sparkSession, rows=1000, size="4m"):
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty().alias("text")), k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sig = c.stored(signatures(docs, k, percent, frequencies(docs, k)), "jaccard-signatures")
     full = sig.filter("n > 0 AND doc_id IS NOT NULL")
     classes = c.stored(full.groupBy("ck", "n", "gk").agg(F.min("doc_id").alias("id"), F.count("*").alias("count")), "jaccard-classes")
     groups = c.stored(full.groupBy("gk", "n", "prefix").agg(F.min("doc_id").alias("g")), "jaccard-groups")
-    index = groups.select(F.explode("prefix").alias("token"), "n", "g").repartition("token").sortWithinPartitions("token", "n", "g")
-    found = c.stored(index.mapInArrow(_bucket_pairs(percent), PAIR + ", token long"), "jaccard-candidates")
-    heat = found.filter("b IS NULL").select("token", F.col("a").alias("g"), F.col("na").alias("n"))
+    # Tokens of a thousandth of all groups go straight to the hot ones, so that no task gathers them.
+    index = groups.select(F.explode("prefix").alias("token"), "n", "g")
+    hottest = c.stored(c.hot_keys(index.groupBy("token").count(), "token", groups.count()), "jaccard-hottest")
+    flagged = index.join(F.broadcast(hottest.withColumn("hottest", F.lit(True))), "token", "left")
+    rest = flagged.filter("hottest IS NULL").select("token", "n", "g").repartition("token").sortWithinPartitions("token", "n", "g")
+    found = c.stored(rest.mapInArrow(_bucket_pairs(percent), PAIR + ", token long"), "jaccard-candidates")
+    heat = found.filter("b IS NULL").select("token", F.col("a").alias("g"), F.col("na").alias("n")).union(flagged.filter("hottest").select("token", "g", "n"))
     any_hot = not heat.isEmpty()
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     if any_hot:
@@ -245,7 +251,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     inside = members.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
     links = verified(docs, pairs.union(inside).distinct(), k, percent)
     links = _second_round(docs, links, pairs, members, heat if any_hot else None, k, percent)
-    comp = c.components(links)
+    comp = c.stored(c.components(links), "jaccard-components")
+    c.drop(groups, hottest, found, pairs, *[heat] * any_hot)
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("ck", F.coalesce("component", "id").alias("component_id"), "count")
     hot = c.hot_keys(named, "ck", sig.count())
     linked = c.spread_join(full.select("doc_id", "n", "ck"), named.drop("count"), "ck", hot)
@@ -270,23 +277,53 @@ def _second_round(docs: DataFrame, links: DataFrame, pairs: DataFrame, members:
         return links
     comp = c.components(links)
     members = c.stored(members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).select("g", "id", "n", "comp"), "jaccard-members")
-    left, right = (members.select(F.col("g").alias(f"g{x}"), F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     more = []
     if not crowded.isEmpty():
-        # Pairs of groups of which one has several members, and each such group with itself.
-        both = pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-        wide = both.join(crowded.withColumnRenamed("g", "ga"), "ga", "left_semi").union(both.join(crowded.withColumnRenamed("g", "gb"), "gb", "left_semi").select("ga", "gb"))
-        wide = wide.union(crowded.select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
-        x = wide.join(left, "ga").join(right, "gb").filter("ca <> cb AND NOT (a = ga AND b = gb) AND (ga <> gb OR (a < b AND a <> ga))")
-        more.append(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        more.append(_crowded_pairs(members, pairs, crowded))
     if heat is not None:
-        mixed = _hot_pairs(heat.join(members.select("g", "id", "comp"), "g"), percent)
-        more.append(mixed.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        sizes = members.groupBy("g").count()
+        spread = c.spread_join(members.select("g", "id", "comp"), heat, "g", c.hot_keys(sizes, "g", members.count()))
+        more.append(_hot_pairs(spread, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     new = more[0] if len(more) == 1 else more[0].union(more[1])
     new = c.stored(new.distinct(), "jaccard-more")
     return links if new.isEmpty() else links.union(verified(docs, new, k, percent))
 
 
+def _crowded_pairs(members: DataFrame, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of different components, of pairs of groups of which one has several members, and of each
+    such group with itself; members are (g, id, comp).
+
+    Nearly all members of a group are of one component by now. So components are paired first, and members only where
+    these differ; groups of many components or members are dealt out.
+    """
+    both = pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    wide = both.join(crowded.withColumnRenamed("g", "ga"), "ga", "left_semi").union(both.join(crowded.withColumnRenamed("g", "gb"), "gb", "left_semi").select("ga", "gb"))
+    wide = wide.union(crowded.select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
+    comps = c.stored(members.groupBy("g", "comp").agg(F.count("*").alias("n")), "jaccard-comps")
+    ends = comps.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    for x in "ab":
+        wide = wide.join(ends.select(F.col("g").alias(f"g{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")), f"g{x}")
+    wide = wide.filter("NOT (loa = hia AND lob = hib AND loa = lob)").select("ga", "gb")
+
+    def expanded(rows: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """rows joined with right on (group) or (group, component), rows of hot keys dealt out."""
+        key = F.xxhash64(*on).alias("_key") if len(on) > 1 else F.col(on[0]).alias("_key")
+        left = rows.withColumn("_key", key)
+        hot = c.hot_keys(left.groupBy("_key").count(), "_key", left.count())
+        pair = right.withColumn("_key", key).toDF(*[f"_r_{n}" if n in on else n for n in right.columns], "_key")
+        x = c.spread_join(left, pair, "_key", hot)
+        for n in on:
+            x = x.filter(F.col(n) == F.col(f"_r_{n}"))
+        return x.drop("_key", *[f"_r_{n}" for n in on])
+
+    own = lambda x: (F.col("g").alias(f"g{x}"), F.col("comp").alias(f"c{x}"))
+    apart = expanded(expanded(wide, comps.select(*own("a")), ["ga"]), comps.select(*own("b")), ["gb"])
+    apart = apart.filter("ca <> cb AND (ga <> gb OR ca < cb)")
+    x = expanded(expanded(apart, members.select(*own("a"), F.col("id").alias("a")), ["ga", "ca"]), members.select(*own("b"), F.col("id").alias("b")), ["gb", "cb"])
+    x = x.filter("NOT (a = ga AND b = gb) AND (ga <> gb OR (a <> ga AND b <> ga))")
+    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _pivot_pairs(heat: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each group of a hot token (token, g, n, h) with the token's pivots of a size that can link.
 
@@ -310,19 +347,26 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Tokens whose members are all of one component are done. A pair that shares no other prefix token needs as many hot
     ones as _can_link() says, and has at most the smaller h of the two, the hot tokens of their prefixes: a member that
-    reaches this with no size there is in its bucket goes before any pairing. The others are dealt to blocks, and every
-    two blocks are compared in a task of their own.
+    reaches this with no size there is in its bucket goes before any pairing. The others are dealt to blocks, those of
+    the token's largest component by themselves, and every two blocks but for two of these are compared in a task of
+    their own: m members of which all but a few are of one component make about m rows, not m squared.
     """
-    stats = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("lo < hi")
-    rows = rows.join(stats, "token")
+    counts = rows.groupBy("token", "comp").agg(F.count("*").alias("count"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    stats = counts.groupBy("token").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("count").alias("count"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    stats = c.stored(stats.filter("comps > 1").select("token", F.col("top.comp").alias("top"), "count", "n0", "n1"), "jaccard-tokens")
+    hot = c.hot_keys(stats, "token", rows.count())
+    rows = c.spread_join(rows, stats.drop("count"), "token", hot)
     # the tokens needed fall with the partner's distance in size, so the ends of the sizes that can link decide
     rest = lambda n: F.ceil(n * percent / 100) - 1
     need = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m))
     low, high = F.greatest("n0", F.ceil(F.col("n") * percent / 100)), F.least("n1", F.floor(F.col("n") * 100 / percent))
     rows = rows.filter(F.col("h") >= F.least(need(low), need(high)) - 1)
-    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = c.stored(rows.withColumn("apart", F.col("comp") != F.col("top")).select("token", "id", "n", "comp", "h", "apart"), "jaccard-apart")
+    blocks = lambda flag: F.ceil(F.count(F.when(F.col("apart") == flag, 1)) / BLOCK).cast("int")
+    sizes = rows.groupBy("token").agg(blocks(False).alias("nb0"), blocks(True).alias("nb1")).filter("nb1 > 0")
+    rows = c.spread_join(rows, sizes, "token", hot)
+    rows = rows.withColumn("block", F.when(F.col("apart"), F.col("nb0") + F.pmod(F.xxhash64("id"), "nb1")).otherwise(F.pmod(F.xxhash64("id"), "nb0")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("apart"), 0).otherwise(F.col("nb0")), F.col("nb0") + F.col("nb1") - 1)))
     rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "h")
 
     def compare(key, t):
@@ -348,10 +392,12 @@ def _hot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with their columns, of which one document of each component stays: that of the least doc_id.
 
-    Documents without words are no near copies of each other and all stay.
+    Documents without words are no near copies of each other and all stay, and so do rows without a doc_id; rows that
+    repeat a doc_id that stays all stay. An empty table gives an empty result; columns may have any names.
     """
-    ids = jaccard_components(docs, k, percent).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
+    (near,) = c.fresh(docs, "_near_id")
+    ids = jaccard_components(docs, k, percent).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias(near)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(near)), "left_semi")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
