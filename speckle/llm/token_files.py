@@ -1,6 +1,6 @@
 """Token-ID files: patched frame-of-reference blocks with exception lists and an index of block starts.
 
-A file is a shard, segments one after the other. A segment, all integers little-endian:
+A shard is one file, or several of FILE_SEGMENTS segments, one after the other. A segment, all integers little-endian:
 
     "SPKTOK1\\0"; u64 shard, ids of the shard before this segment, documents, ids, blocks
     i64 doc_id and u64 ids, for each document
@@ -28,6 +28,8 @@ from speckle.llm import _tokens
 
 MAGIC = b"SPKTOK1\0"
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 0.9, 1 << 20
+#: Bytes of text that a shard holds on average, and segments that a file holds at most, so that a file is read as one row.
+SHARD_BYTES, FILE_SEGMENTS = 16 << 20, 16
 END = 1
 
 
@@ -143,10 +145,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     """Token files of all rows of docs at `path`, in ascending doc_id; each document ends with the id `end`.
 
     Null and empty texts are the end id alone; a null doc_id comes first and is written as the least 64-bit integer;
-    rows that share a doc_id follow each other in the order of their texts. An empty table gives no segments.
+    rows that share a doc_id follow each other in the order of their texts' hashes, then texts. A text of any length is
+    written whole, in one segment. An empty table gives no segments; other columns are ignored.
+
+    Shards are ranges of (doc_id, hash of the text), as many as the bytes of all texts ask for.
     """
     spark = docs.sparkSession
-    c.arrow_batches(spark, rows=200, size="4m")
 
     def run(batches):
         from pyspark import TaskContext
@@ -170,14 +174,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
             yield segment()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), c.text_or_empty().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    rows = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(int(shards), "doc_id", "th").sortWithinPartitions("doc_id", "th", "text").drop("th")
     segments = rows.mapInArrow(run, "segment binary").select(F.col("segment").cast("string"))
-    segments.write.option("maxRecordsPerFile", 0).option("compression", "none").text(path)
+    with c.arrow_batches(spark, rows=200, size="4m"):
+        segments.write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "none").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files at `path`, and its ids if asked for."""
-    c.arrow_batches(spark, rows=1)
 
     def run(batches):
         for b in batches:
@@ -190,12 +195,13 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     names = ["shard", "doc_id", "place", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = c.stored(files.mapInArrow(run, "shard long, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids), "token-rows")
+    with c.arrow_batches(spark, rows=1):
+        rows = c.stored(files.mapInArrow(run, "shard long, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids), "token-rows")
     # One row for each shard, of which there are as many as partitions wrote.
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
     doc_id = F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id"))
-    return rows.join(F.broadcast(bases), "shard").select(doc_id.alias("doc_id"), (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return rows.join(c.small(bases), "shard").select(doc_id.alias("doc_id"), (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
