@@ -20,8 +20,8 @@ def exact_groups(docs: DataFrame, hashed=F.md5) -> DataFrame:
 
     Rows are equal when their normalised texts are the same bytes. Of equal rows the one with the most code
     points in its original text stays, ties to the smallest doc_id; of repeated rows with that same doc_id all
-    are marked kept, and exact_dedup() leaves one. Rows without a doc_id stay only where no equal row has one. Null text is empty text; an empty table gives an empty
-    result; other columns are ignored.
+    are marked kept, and exact_dedup() leaves one. Rows without a doc_id stay only where no equal row has one. Null
+    text is empty text, and texts may be of any length; an empty table gives an empty result; other columns are ignored.
 
     Texts are shuffled once, and copies are merged before that: the aggregation's key is (hash, text), so a
     group of any size sends one row from each map task, and equal keys mean equal bytes. Rows then find their
@@ -53,14 +53,17 @@ def exact_groups(docs: DataFrame, hashed=F.md5) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat a doc_id and its text, one stays.
+    """The rows of docs that stay, with all their columns. Of rows that repeat a doc_id and its text, one stays, any if
+    they differ in other columns.
 
-    Rows that share a doc_id but not their text are told apart by the hash of the normalised text.
+    Rows that share a doc_id but not their text are told apart by the hash of the normalised text. Nulls, empty texts
+    and empty tables as in exact_groups(); columns may have any names.
     """
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    mine = docs.withColumn("_s", F.sha2(normalised(), 256)).withColumn("_n", F.length(c.text_or_empty()))
-    left = mine.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_s"]).select(*docs.columns) if _repeats(docs) else left.select(*docs.columns)
+    own, doc, sha = c.fresh(docs, "_own", "_doc", "_sha")
+    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha)).distinct()
+    mine = docs.withColumn(own, F.sha2(normalised(), 256))
+    left = mine.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sha)), "left_semi")
+    return left.dropDuplicates(["doc_id", own]).select(*docs.columns) if _repeats(docs) else left.select(*docs.columns)
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -17,6 +17,11 @@ def words(text: Column | str = "text") -> Column:
     return F.regexp_count(c.text_or_empty(text), F.lit(WORD)).cast("long")
 
 
+def _key(seed: str) -> Column:
+    """A row's random key, from its doc_id and text, so that rows without an id have different ones too."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(c.text_or_empty())))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(no, is_null, s, source_size, target) from (is_null, s, source_size), one row per source.
 
@@ -46,11 +51,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     size: words of the text, 0 for null. Each source takes its documents whole as often as its target holds its
     size, then in the order of their random keys until the rest of the target, rounded down to words, is met:
     the document at the cut gives some of its words. Null sources are one source. Ties of keys go by doc_id,
-    then size. An empty table gives an empty result; other columns are ignored.
+    then size; rows that repeat both id and text have one key and share a range. Texts may be of any length. An empty
+    table gives an empty result; other columns are ignored. Targets are found in one task, of a row for each source.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("is_null"), F.coalesce("source", F.lit("")).alias("s"),
-        words().alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        words().alias("size"), _key(seed).alias("key"),
     )
     rows = c.stored(rows, "mix-rows")
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
@@ -59,8 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     group = ["is_null", "s", "range"]
     parts = rows.groupBy(*group).agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy("is_null", "s").agg(F.sum("part_size").alias("source_size"))
-    earlier = Window.partitionBy("is_null", "s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("base", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
+    offsets = c.running(parts, ["is_null", "s"], "range", "part_size", "base")
     offsets = offsets.join(source_targets(sizes, weights, share, most), ["is_null", "s"]).drop("part_size", "no")
     inside = Window.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     x = rows.join(offsets, group).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -77,15 +82,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken by no target and goes. Rows are told apart by doc_id and size; rows alike in both share what they take.
     """
     plan = mix(docs, **how).filter("taken > 0").groupBy("doc_id", "size").agg(F.collect_list("taken").alias("takes"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), "takes")
-    mine = docs.withColumn("_mix_words", words())
-    x = mine.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
-    rank = Window.partitionBy("_mix_id", "_mix_size").orderBy("text")
-    x = x.withColumn("_mix_take", F.element_at("takes", F.when(F.size("takes") > 1, F.row_number().over(rank)).otherwise(F.lit(1))))
-    x = x.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_take") / F.col("_mix_size")).cast("int"))))
-    left = F.col("_mix_take") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
+    doc, size, takes, own, take, copy = c.fresh(docs, "_mix_id", "_mix_size", "_mix_takes", "_mix_words", "_mix_take", "_mix_copy")
+    plan = plan.select(F.col("doc_id").alias(doc), F.col("size").alias(size), F.col("takes").alias(takes))
+    mine = docs.withColumn(own, words())
+    x = mine.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(size)))
+    rank = Window.partitionBy(doc, size).orderBy("text")
+    x = x.withColumn(take, F.element_at(takes, F.when(F.size(takes) > 1, F.row_number().over(rank)).otherwise(F.lit(1))))
+    x = x.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(take) / F.col(size)).cast("int"))))
+    left = F.col(take) - (F.col(copy) - 1) * F.col(size)
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), left.cast("int")), "")
-    text = F.when(left >= F.col("_mix_size"), F.col("text")).otherwise(head)
+    text = F.when(left >= F.col(size), F.col("text")).otherwise(head)
     out = x.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -101,7 +107,7 @@ ORACLE = {
     "op8_mix": r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS is_null, coalesce(source, '') AS s,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key
   FROM documents),
 src AS (SELECT is_null, s, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, row_number() OVER (ORDER BY is_null, s) - 1 AS no FROM src),

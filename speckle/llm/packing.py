@@ -14,7 +14,7 @@ from speckle.llm import _tokens
 
 LENGTH, END = 1024, 0
 #: Rows, bytes and pieces of a batch of the second pass, which holds ids on both sides.
-CUT_ROWS, CUT_BYTES, CUT_PIECES = 100, "2m", 256
+CUT_ROWS, CUT_BYTES, CUT_PIECES = 100, 2 << 20, 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -31,7 +31,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     each, are summed up, and the second pass cuts at global offsets.
     """
     spark = docs.sparkSession
-    c.arrow_batches(spark, rows=500)
 
     def encode(batches):
         from pyspark import TaskContext
@@ -52,7 +51,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored = c.stored(rows.mapInArrow(encode, "doc_id long, part long, start long, n long, short boolean, ids binary"), "packed-ids")
+    with c.arrow_batches(spark, rows=500):
+        stored = c.stored(rows.mapInArrow(encode, "doc_id long, part long, start long, n long, short boolean, ids binary"), "packed-ids")
     # One row for each partition of the first pass.
     totals = stored.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
@@ -62,7 +62,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
             cols = [pa.array(x, pa.int64()) for x in out[:7]] + ([pa.array(out[7], pa.binary())] if with_ids else [])
             return pa.RecordBatch.from_arrays(cols, names)
 
-        for b in batches:
+        for b in c.slices(batches, "ids", CUT_ROWS, CUT_BYTES):
             out = [[] for _ in range(8)]
             for doc, at, n, short, data in zip(*(b[k].to_pylist() for k in ("doc_id", "at", "n", "short", "ids")), strict=True):
                 ids = np.frombuffer(data, "<u2" if short else "<u4")
@@ -79,8 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
 
     schema = PIECE + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    placed = stored.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "short", "ids")
-    c.arrow_batches(spark, rows=CUT_ROWS, size=CUT_BYTES)
+    placed = stored.join(c.small(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "short", "ids")
     return placed.mapInArrow(cut, schema)
 
 

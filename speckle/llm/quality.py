@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
 
-#: Labelled rows that a model is fitted on, at most: those of the least hash of their doc_id.
-SAMPLE_ROWS = 6000
+#: Labelled rows that a model is fitted on, at most, and bytes of their texts: those of the least hash of their doc_id.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
 UPDATES, BATCH_ROWS, RATE, SEED = 400, 32, 0.01, 7
 #: A chunk is two blocks, and chunks start at every block, so they overlap by half; a filter reads KERNEL bytes every STEP bytes.
 BLOCK, KERNEL, STEP, WIDTH, FILTERS = 256, 12, 4, 8, 16
@@ -119,24 +119,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, updates: int = UPDATES) -> ByteConv:
-    """A model of labels.quality from at most `rows` labelled rows that are not held out.
+    """A model of labels.quality from at most `rows` labelled rows that are not held out, of SAMPLE_BYTES in all.
 
     Only the whole texts of these rows reach the driver. Null labels and ids teach nothing; of several labels of a
-    document the largest holds. Without any label every score is that of the untrained net.
+    document the largest holds, of rows that repeat an id any. Without any label every score is that of the untrained
+    net. Other columns are ignored.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "_y", c.text_or_empty().alias("_t")).dropDuplicates(["_id"]).collect()
+    texts = docs.select(F.col("doc_id").alias("_id"), c.text_or_empty().alias("_t"))
+    sizes = texts.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.max(F.octet_length("_t")).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    fits = [(r._id, r._y) for r, total in zip(sizes, np.cumsum([r.n for r in sizes])) if total <= SAMPLE_BYTES]
+    known = docs.sparkSession.createDataFrame(fits, known.schema)
+    got = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).collect()
     got.sort(key=lambda r: r._id)
     return ByteConv().fit([r._t.encode("utf-8", "replace") for r in got], np.array([r._y for r in got], "f4"), updates)
 
 
 def score(docs: DataFrame, model: ByteConv) -> DataFrame:
-    """docs' rows as (doc_id, held_out, score, predicted). Null text is empty text; only the text enters the score."""
-    c.arrow_batches(docs.sparkSession, rows=500, size="8m")
+    """docs' rows as (doc_id, held_out, score, predicted). Only the text enters the score.
+
+    Null text is empty text, which has a score too; texts of any length are read whole; a null doc_id is not held out;
+    rows that repeat are scored each; an empty table gives an empty result; other columns are ignored.
+    """
 
     def run(batches):
-        for b in batches:
+        for b in c.slices(batches, "text"):
             s = model.scores(*c.flat_bytes(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -145,14 +153,12 @@ def score(docs: DataFrame, model: ByteConv) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: ByteConv) -> DataFrame:
-    """The rows of docs, with their columns, that the model predicts as good."""
-    c.arrow_batches(docs.sparkSession, rows=500, size="8m")
+    """The rows of docs, with their columns whatever their names, that the model predicts as good, as score() has it."""
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(model.scores(*c.flat_bytes(b.column(at))) >= 0.5))
+        for b in c.slices(batches, "text"):
+            yield b.filter(pa.array(model.scores(*c.flat_bytes(b.column("text"))) >= 0.5))
 
-    at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -20,11 +20,11 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     Content is the text as it is, null as empty: any further normalising could change what the tokenizer counts.
     Its SHA-256 and that of the tokenizer's file are the cache's key. Rows whose content is stored are not
     encoded; of the others, copies are merged (before and after the shuffle, by digest and text) and each
-    distinct text is encoded once. An empty table gives an empty result and appends nothing; other columns are
-    ignored. `cache` is a Parquet folder on any file system that Spark writes; it may not exist yet.
+    distinct text is encoded once. Repeated rows are rows of the result each; texts of any length are encoded whole. An
+    empty table gives an empty result and appends nothing; other columns are ignored. `cache` is a Parquet folder on any
+    file system that Spark writes; it may not exist yet, and outlives the session.
     """
     spark = docs.sparkSession
-    c.arrow_batches(spark)
     version = _tokens.version(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_or_empty().alias("text"))
     rows = rows.withColumn("content", F.unhex(F.sha2("text", 256)))
@@ -40,7 +40,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(n, pa.int64())], ["content", "n_tokens"])
 
     new = distinct.select("content", "text").mapInArrow(count, "content binary, n_tokens long")
-    new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    with c.arrow_batches(spark):
+        new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     known = _cached(spark, cache, version).select("content", "n_tokens")
     stats = slim.groupBy("content").agg(F.count("*").alias("count"))
     out = c.spread_join(slim, known, "content", c.hot_keys(stats, "content", slim.count()))
@@ -56,8 +57,9 @@ def _cached(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the cache at the folder that the setting speckle.token_cache names; if unset, with a new one of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts(docs, _tokens.vocabulary("piece_bpe_32k.model"), c.scratch(spark, "count-cache"))
+    return token_counts(docs, _tokens.vocabulary("piece_bpe_32k.model"), spark.conf.get("speckle.token_cache", None) or c.scratch(spark, "count-cache"))
 
 
 QUERIES = {"op4_token_counts": op4_token_counts}
