@@ -30,7 +30,7 @@ from speckle.llm._shingles import ODD, _powers
 
 WINDOW, GRAM, PERIOD, CORE = 200, 12, 64, 64
 #: Texts are parsed in chunks of about this many bytes; a longer text in slabs that overlap by a window.
-CHUNK, SLAB = 1 << 21, 1 << 20
+CHUNK, SLAB = 1 << 20, 1 << 19
 #: Cores that a bucket of the count holds on average, items that a bucket of the sort holds, and items of a core in one part.
 BUCKET_CORES, BUCKET_ROWS, PART_ROWS = 200_000, 32_768, 4096
 BUCKETS = 32
@@ -54,7 +54,7 @@ def _prime_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         a = np.ones(1, np.uint64)
         while len(a) < n:
             a = np.concatenate([a, a * np.uint64(pow(x, len(a), p)) % np.uint64(p)])
-        out.append(a)
+        out.append(a.astype(np.uint32))
     return out[0], out[1]
 
 
@@ -87,28 +87,29 @@ class Text:
         reach, n = window - core, self.n
         if n < window:
             return (np.zeros(0, np.int64),) * 3
-        at = np.arange(n - gram + 1)
-        roll = c.mix((self.sums[gram:] - self.sums[: n - gram + 1]) * self.inverse[at])
+        roll = c.mix((self.sums[gram:] - self.sums[: n - gram + 1]) * self.inverse[: n - gram + 1])
         after = np.full(n + 1, n + window, np.int32)
         triggers = np.nonzero(roll % np.uint64(period) == 0)[0]
         after[triggers] = triggers
         after = np.minimum.accumulate(after[::-1])[::-1]
-        sizes = np.diff(self.ends)
-        start = np.nonzero(np.arange(n) + window <= np.repeat(self.ends[1:], sizes))[0]
+        room = np.maximum(np.diff(self.ends) - window + 1, 0)
+        start = _spread(self.ends[:-1][room > 0].astype(np.int32), room[room > 0])
         if not len(start):
             return (np.zeros(0, np.int64),) * 3
-        trigger = after[start].astype(np.int64)
+        trigger = after[start]
+        del after
         far = np.nonzero(trigger > start + reach)[0]
         if len(far):
             key = np.full(-(-(n + reach) // (reach + 1)) * (reach + 1) + reach + 1, ~np.uint64(0))
-            key[: len(roll)] = (roll >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+            key[: len(roll)] = (roll >> np.uint64(32) << np.uint64(32)) | np.arange(len(roll), dtype=np.uint64)
             key = key.reshape(-1, reach + 1)
             up, down = np.minimum.accumulate(key, 1).ravel(), np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
             s = start[far]
-            trigger[far] = (np.minimum(down[s], up[s + reach]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            trigger[far] = (np.minimum(down[s], up[s + reach]) & np.uint64(0xFFFFFFFF)).astype(np.int32)
+            del key, up, down
         new = np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1)])
         head = np.nonzero(new)[0]
-        return trigger[head], start[head], start[np.concatenate([head[1:] - 1, [len(start) - 1]])]
+        return tuple(x.astype(np.int64) for x in (trigger[head], start[head], start[np.concatenate([head[1:] - 1, [len(start) - 1]])]))
 
 
 class Chunk:
@@ -146,7 +147,7 @@ def _same(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers from each lo on, n of them."""
-    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat((lo - np.cumsum(n) + n).astype(lo.dtype), n) + np.arange(n.sum(), dtype=lo.dtype)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -442,7 +443,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, peri
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     args, assemble = (window, gram, period, core, chunk_bytes, slab), _assemble(part_rows)
-    with c.arrow_batches(spark, rows=500, size="2m"):
+    with c.arrow_batches(spark, rows=500, size="1m"):
         passed = rows.mapInArrow(_first_pass(max(BUCKETS, size // period // BUCKET_CORES), *args), ROW).groupBy("bucket").applyInArrow(_count, ROW)
         found = c.stored(passed.groupBy("chunk").applyInArrow(assemble, FOUND), "spans-first")
         live = found.agg(F.sum("n_live")).first()[0] or 0
