@@ -282,7 +282,7 @@ def _second_round(docs: DataFrame, links: DataFrame, pairs: DataFrame, members:
         more.append(_crowded_pairs(members, pairs, crowded))
     if heat is not None:
         sizes = members.groupBy("g").count()
-        spread = c.spread_join(members.select("g", "id", "comp"), heat, "g", c.hot_keys(sizes, "g", members.count()))
+        spread = c.stored(c.spread_join(members.select("g", "id", "comp"), heat, "g", c.hot_keys(sizes, "g", members.count())), "jaccard-heat")
         more.append(_hot_pairs(spread, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     new = more[0] if len(more) == 1 else more[0].union(more[1])
     new = c.stored(new.distinct(), "jaccard-more")
@@ -308,7 +308,7 @@ def _crowded_pairs(members: DataFrame, pairs: DataFrame, crowded: DataFrame) ->
     def expanded(rows: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         """rows joined with right on (group) or (group, component), rows of hot keys dealt out."""
         key = F.xxhash64(*on).alias("_key") if len(on) > 1 else F.col(on[0]).alias("_key")
-        left = rows.withColumn("_key", key)
+        left = c.stored(rows.withColumn("_key", key), "jaccard-crowded")
         hot = c.hot_keys(left.groupBy("_key").count(), "_key", left.count())
         pair = right.withColumn("_key", key).toDF(*[f"_r_{n}" if n in on else n for n in right.columns], "_key")
         x = c.spread_join(left, pair, "_key", hot)
