@@ -1,140 +1,156 @@
-"""The hot loop on arrays: likelihood, posterior and view sums of a block of frames at once.
+"""The hot loop on arrays: a grid of blocks of frames by tiles of views.
 
-A block's photons meet all views as one gather and one segmented sum, and leave as partial sums, so the product of
-photons and views is never a table. The views are an array that every worker holds; FITS says when that is so, and
-beyond it the relational operators of `maximize` do the same.
+A cell of the grid meets its photons with its views as one gather and one segmented sum, so the product of photons and
+views is never a table. Neither side passes through the driver or is held whole by a task: frames and views are dealt
+by hash, and there are as many blocks and tiles as their numbers ask for.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speckle.operators.frames import good
 from speckle.operators.maximize import PROB_MIN, SPAN
 from speckle.operators.views import TINY
 
-#: View pixels (views times pixels) that may be collected and broadcast: 8 bytes each.
-FITS = 1 << 25
-#: Frames in a block, and views that a block meets at once.
-FRAMES, VIEWS = 8192, 512
-
-
-@dataclass
-class Views:
-    """Log views, their totals and weights; the pixels that count, by number."""
-
-    mode: np.ndarray
-    r: np.ndarray
-    logs: np.ndarray  # (pixel, view), 0 for pixels that only merging uses
-    totals: np.ndarray
-    log_w: np.ndarray
-    orient: np.ndarray  # pixels of mask 0
-    merge: np.ndarray  # pixels of mask below 2
-
-
-def gathered(views: DataFrame, rot: DataFrame, det: DataFrame) -> Views | None:
-    """The views as arrays, None if there are too many view pixels."""
-    d = det.select("pix", "mask").toPandas()
-    if views.limit(FITS + 1).count() > FITS:
-        return None
-    v, w = views.toPandas(), rot.select("r", "w").toPandas().set_index("r")["w"]
-    keys, index = np.unique(v[["mode", "r"]].to_numpy(np.int64), axis=0, return_inverse=True)
-    n = int(d["pix"].max()) + 1
-    orient, merge = np.zeros(n, bool), np.zeros(n, bool)
-    orient[d["pix"][d["mask"] < 1]] = True
-    merge[d["pix"][d["mask"] < 2]] = True
-    values = np.full((n, len(keys)), TINY)
-    values[v["pix"].to_numpy(), index.ravel()] = v["value"]
-    values[~orient] = 1.0
-    totals = np.where(orient[:, None], values, 0).sum(0)
-    return Views(keys[:, 0], keys[:, 1], np.log(values), totals, np.log(w.loc[keys[:, 1]].to_numpy()), orient, merge)
-
-
-def _posterior(v: Views, starts: np.ndarray, lit: np.ndarray, pix: np.ndarray, cnt: np.ndarray, phi: np.ndarray, beta: np.ndarray | None):
-    """(frames, views) log-likelihoods and posteriors; starts: first photon of each frame that has any (lit)."""
-    logl = v.log_w[None] - v.totals[None] * phi[:, None]
-    if len(pix):
-        for lo in range(0, len(v.r), VIEWS):
-            part = v.logs[pix, lo : lo + VIEWS] * cnt[:, None]
-            logl[lit, lo : lo + VIEWS] += np.add.reduceat(part, starts)
-    if beta is None:
-        count = np.zeros(len(phi))
-        if len(pix):
-            count[lit] = np.add.reduceat(np.where(v.orient[pix], cnt, 0), starts)
-        beta = np.exp(-6.5 * (count * 1e-5) ** 0.15)
-    best = logl.max(1)
-    gap = logl - best[:, None]
-    p = np.where(gap > -SPAN / beta[:, None], np.exp(beta[:, None] * gap), 0)
-    return logl, p / p.sum(1)[:, None]
-
-
-def tomogram_sums(photons: DataFrame, phi: DataFrame, v: Views, frames: int) -> DataFrame:
-    """(mode, r, pix, s, psum): sums of p count and of p phi over all frames, a row for every merged pixel of a view.
-
-    One shuffle brings a block's photons together; each block gives one row for each view that explains a frame of it.
-    """
-    shared = photons.sparkSession.sparkContext.broadcast(v)
-    parts = max(1, -(-frames // FRAMES))
-    rows = phi.join(photons, "frame_id", "left").select(F.pmod(F.xxhash64("frame_id"), F.lit(parts)).alias("part"), "frame_id", "pix", "cnt", "phi")
-
-    def block(key, t):
-        v = shared.value
-        t = t.to_pandas().sort_values("frame_id", kind="stable")
-        frame, index = np.unique(t["frame_id"].to_numpy(), return_index=True)
-        phi = t["phi"].to_numpy()[index]
-        has = t["pix"].notna().to_numpy()
-        pix, cnt, of = t["pix"].to_numpy()[has].astype(np.int64), t["cnt"].to_numpy()[has].astype(float), np.repeat(np.arange(len(frame)), np.diff(np.r_[index, len(t)]))[has]
-        lit, starts = np.unique(of, return_index=True)
-        _, p = _posterior(v, starts, lit, pix, cnt, phi, None)
-        p = np.where(p > PROB_MIN, p, 0)
-        weight = p.T @ phi
-        ok = v.merge[pix]
-        pix, cnt, of = pix[ok], cnt[ok], of[ok]
-        order = np.argsort(pix, kind="stable")
-        seen, first = np.unique(pix[order], return_index=True)
-        rows = []
-        for lo in range(0, len(v.r), VIEWS):
-            s = np.add.reduceat(p[of[order], lo : lo + VIEWS] * cnt[order][:, None], first) if len(seen) else np.zeros((0, len(v.r[lo : lo + VIEWS])))
-            rows += [(int(v.mode[lo + k]), int(v.r[lo + k]), float(weight[lo + k]), seen.astype(np.int32), s[:, k]) for k in np.nonzero(weight[lo : lo + VIEWS] > 0)[0]]
-        cols = list(zip(*rows)) if rows else [[], [], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["mode", "r", "weight", "pix", "s"])
+#: Frames in a block, view pixels in a tile, and cells of an array that are computed at once.
+FRAMES, TILE_PIXELS, CELLS = 8192, 1 << 22, 1 << 21
+LOGL = "frame_id long, mode long, r long, logl double"
+
+
+def _part(parts: int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c).cast("long") for c in cols]), F.lit(parts)).cast("int")
+
+
+def _each(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
 
-    parts_out = rows.groupBy("part").applyInArrow(block, "mode long, r long, weight double, pix array<int>, s array<double>")
-    # psum travels as pixel -1 so that the blocks run once
-    flat = parts_out.select("mode", "r", F.inline(F.arrays_zip(F.concat(F.array(F.lit(-1)), "pix").alias("pix"), F.concat(F.array("weight"), "s").alias("s"))))
-    return flat.groupBy("mode", "r", "pix").agg(F.sum("s").alias("s"))
+def _frames(t: pa.Table, *per_frame: str):
+    """(frame ids, values of each column per frame, frame number, pixel and value of each lit pixel); photons in frame order."""
+    t = t.sort_by("frame_id")
+    ids, first, of = np.unique(t["frame_id"].to_numpy(), return_index=True, return_inverse=True)
+    lit = ~np.asarray(t["pix"].is_null())
+    return ids, [t[k].to_numpy()[first] for k in per_frame], of[lit], t["pix"].drop_null().to_numpy(), t["cnt"].drop_null().to_numpy().astype(float)
 
 
-def tomograms(photons: DataFrame, phi: DataFrame, v: Views, frames: int) -> DataFrame:
+def _tile(t: pa.Table):
+    """(mode, r, ln w, pixels, values of (pixel, view), background of each pixel)."""
+    key, pix = np.stack([t["mode"].to_numpy(), t["r"].to_numpy()], 1), t["pix"].to_numpy()
+    keys, view = np.unique(key, axis=0, return_inverse=True)
+    pixels, place = np.unique(pix, return_inverse=True)
+    values = np.full((len(pixels), len(keys)), TINY)
+    values[place, view.ravel()] = t["value"].to_numpy()
+    w, back = np.empty(len(keys)), np.empty(len(pixels))
+    w[view.ravel()], back[place] = t["w"].to_numpy(), t["background"].to_numpy()
+    return keys[:, 0], keys[:, 1], np.log(w), pixels, values, back
+
+
+def likelihoods(photons: DataFrame, frames: DataFrame, views: DataFrame, rot: DataFrame, det: DataFrame, n_frames: int, n_views: int, form: str = "poisson", keep: bool = False, frames_in_block: int = FRAMES, tile_pixels: int = TILE_PIXELS) -> DataFrame:
+    """(frame_id, mode, r, logl) of every frame with every view, over good pixels.
+
+    form: `poisson` as maximize.log_likelihood; `background` as maximize.log_likelihood_background, with bgscale in
+    frames and background in det; `gauss` as maximize.log_likelihood_gauss, photons being (frame_id, pix, cnt) of every
+    pixel and frames.phi the scale. frames: (frame_id, phi) and beta if `keep`, which leaves of each tile the views
+    within SPAN / beta of the frame's best there: all that the posterior needs.
+    """
+    pixels = det.filter("mask < 1").select("pix", F.col("background") if form == "background" else F.lit(0.0).alias("background"))
+    blocks = max(1, -(-n_frames // frames_in_block))
+    tiles = max(1, -(-n_views * pixels.count() // tile_pixels))
+    per_frame = ["phi"] + ["bgscale"] * (form == "background") + ["beta"] * keep
+    left = frames.select("frame_id", *per_frame).join(photons.join(good(det), "pix"), "frame_id", "left")
+    left = left.select(_part(blocks, "frame_id").alias("block"), _each(tiles).alias("tile"), "frame_id", *per_frame, "pix", "cnt")
+    right = views.join(F.broadcast(pixels), "pix").join(F.broadcast(rot.select("r", "w")), "r")
+    right = right.select(_each(blocks).alias("block"), _part(tiles, "mode", "r").alias("tile"), "mode", "r", "pix", "value", "w", "background")
+
+    def cell(f, v):
+        out = [[], [], [], []]
+        if f.num_rows and v.num_rows:
+            ids, given, of, pix, cnt = _frames(f, *per_frame)
+            extra = dict(zip(per_frame, given))
+            mode, r, log_w, own, values, back = _tile(v)
+            at = np.searchsorted(own, pix)
+            totals, squares, logs = values.sum(0), (values * values).sum(0), np.log(values) if form == "poisson" else None
+            step = max(1, CELLS // len(r))
+            for lo in range(0, len(ids), step):
+                hi = min(lo + step, len(ids))
+                phi = extra["phi"][lo:hi, None]
+                logl = np.zeros((hi - lo, len(r))) if form == "gauss" else log_w[None] - totals[None] * phi
+                a, b = np.searchsorted(of, [lo, hi])
+                # photons a few at a time, cut between frames
+                while a < b:
+                    c = b if (b - a) * len(r) <= CELLS else max(int(np.searchsorted(of, of[min(b - 1, a + max(1, CELLS // len(r)))])), int(np.searchsorted(of, of[a], "right")))
+                    lit, starts = np.unique(of[a:c], return_index=True)
+                    n = cnt[a:c, None]
+                    if form == "poisson":
+                        part = logs[at[a:c]] * n
+                    elif form == "background":
+                        x = values[at[a:c]] * extra["phi"][of[a:c], None] + (extra["bgscale"][of[a:c]] * back[at[a:c]])[:, None]
+                        part = n * np.log(np.maximum(x, TINY))
+                    else:
+                        part = 2 * extra["phi"][of[a:c], None] * n * values[at[a:c]] - n * n
+                    logl[lit - lo] += np.add.reduceat(part, starts)
+                    a = c
+                if form == "gauss":
+                    logl -= phi * phi * squares[None]
+                some = logl > logl.max(1)[:, None] - SPAN / extra["beta"][lo:hi, None] if keep else np.ones(logl.shape, bool)
+                i, k = np.nonzero(some)
+                for to, x in zip(out, (ids[lo + i], mode[k], r[k], logl[i, k])):
+                    to.append(x)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], ["frame_id", "mode", "r", "logl"])
+
+    return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(cell, LOGL)
+
+
+def tomogram_sums(post: DataFrame, photons: DataFrame, phi: DataFrame, det: DataFrame, n_frames: int, frames_in_block: int = FRAMES) -> DataFrame:
+    """(mode, r, pix, s) of a posterior: sums of p count over all frames, and as pixel -1 those of p phi.
+
+    A block of frames gives one row for each view that explains a frame of it, so what is shuffled on is partial sums.
+    """
+    blocks = max(1, -(-n_frames // frames_in_block))
+    left = phi.select("frame_id", "phi").join(photons.join(good(det, 2), "pix"), "frame_id", "left").select(_part(blocks, "frame_id").alias("block"), "frame_id", "phi", "pix", "cnt")
+    right = post.filter(F.col("p") > PROB_MIN).select(_part(blocks, "frame_id").alias("block"), "frame_id", "mode", "r", "p")
+
+    def cell(f, v):
+        rows = []
+        if f.num_rows and v.num_rows:
+            ids, (phi,), of, pix, cnt = _frames(f, "phi")
+            key = np.stack([v["mode"].to_numpy(), v["r"].to_numpy()], 1)
+            keys, view = np.unique(key, axis=0, return_inverse=True)
+            order = np.argsort(view.ravel(), kind="stable")
+            view, p, frame = view.ravel()[order], v["p"].to_numpy()[order], np.searchsorted(ids, v["frame_id"].to_numpy()[order])
+            weight = np.bincount(view, p * phi[frame], len(keys))
+            pixels, place = np.unique(pix, return_inverse=True)
+            first = np.searchsorted(of, np.arange(len(ids) + 1))
+            n = np.diff(first)[frame]
+            cuts = np.searchsorted(view, np.arange(len(keys) + 1))
+            lo = 0
+            while lo < len(keys):
+                # views a few at a time, by the photons and pixels that they take
+                done = np.cumsum(np.add.reduceat(n, cuts[lo:-1]) + len(pixels)) if len(n) else np.zeros(len(keys) - lo)
+                hi = lo + max(1, int(np.searchsorted(done, CELLS, "right")))
+                a, b = cuts[lo], cuts[hi]
+                k = n[a:b]
+                photon = np.repeat(first[frame[a:b]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                cell = np.repeat(view[a:b] - lo, k) * len(pixels) + place[photon]
+                s = np.bincount(cell, np.repeat(p[a:b], k) * cnt[photon], (hi - lo) * len(pixels)).reshape(hi - lo, len(pixels))
+                rows += [(int(keys[lo + j, 0]), int(keys[lo + j, 1]), np.r_[-1, pixels[s[j] > 0]].astype("i4"), np.r_[weight[lo + j], s[j][s[j] > 0]]) for j in range(hi - lo)]
+                lo = hi
+        cols = list(zip(*rows)) if rows else [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["mode", "r", "pix", "s"])
+
+    parts = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cell, "mode long, r long, pix array<int>, s array<double>")
+    return parts.select("mode", "r", F.inline(F.arrays_zip("pix", "s"))).groupBy("mode", "r", "pix").agg(F.sum("s").alias("s"))
+
+
+def tomograms(post: DataFrame, photons: DataFrame, phi: DataFrame, det: DataFrame, n_frames: int, frames_in_block: int = FRAMES) -> DataFrame:
     """(mode, r, pix, value) as maximize.tomograms gives them."""
-    sums = tomogram_sums(photons, phi, v, frames)
-    merge = [int(x) for x in np.nonzero(v.merge)[0]]
-    rows = sums.groupBy("mode", "r").agg(F.max(F.when(F.col("pix") == -1, F.col("s"))).alias("psum"), F.map_from_entries(F.collect_list(F.struct("pix", "s"))).alias("m"))
-    pix = F.explode(F.array(*[F.lit(x) for x in merge])) if len(merge) <= 4096 else F.explode(F.sequence(F.lit(0), F.lit(len(v.merge) - 1)))
-    return rows.select("mode", "r", "psum", "m", pix.alias("pix")).select("mode", "r", "pix", (F.coalesce(F.try_element_at("m", "pix"), F.lit(0.0)) / F.col("psum")).alias("value"))
-
-
-def posterior(photons: DataFrame, phi: DataFrame, v: Views, frames: int) -> DataFrame:
-    """(frame_id, mode, r, logl, p): what of each frame's posterior is not 0."""
-    shared = photons.sparkSession.sparkContext.broadcast(v)
-    parts = max(1, -(-frames // FRAMES))
-    rows = phi.join(photons, "frame_id", "left").select(F.pmod(F.xxhash64("frame_id"), F.lit(parts)).alias("part"), "frame_id", "pix", "cnt", "phi")
-
-    def block(t: pd.DataFrame) -> pd.DataFrame:
-        v = shared.value
-        t = t.sort_values("frame_id", kind="stable")
-        frame, index = np.unique(t["frame_id"].to_numpy(), return_index=True)
-        has = t["pix"].notna().to_numpy()
-        of = np.repeat(np.arange(len(frame)), np.diff(np.r_[index, len(t)]))[has]
-        lit, starts = np.unique(of, return_index=True)
-        logl, p = _posterior(v, starts, lit, t["pix"].to_numpy()[has].astype(np.int64), t["cnt"].to_numpy()[has].astype(float), t["phi"].to_numpy()[index], None)
-        i, k = np.nonzero(p)
-        return pd.DataFrame({"frame_id": frame[i], "mode": v.mode[k], "r": v.r[k], "logl": logl[i, k], "p": p[i, k]})
-
-    return rows.groupBy("part").applyInPandas(block, "frame_id long, mode long, r long, logl double, p double")
+    rows = tomogram_sums(post, photons, phi, det, n_frames, frames_in_block).groupBy("mode", "r")
+    rows = rows.agg(F.max(F.when(F.col("pix") == -1, F.col("s"))).alias("psum"), F.map_from_entries(F.collect_list(F.struct("pix", "s"))).alias("m")).filter("psum > 0")
+    every = rows.crossJoin(F.broadcast(det.filter("mask < 2").select("pix")))
+    return every.select("mode", "r", "pix", (F.coalesce(F.try_element_at("m", "pix"), F.lit(0.0)) / F.col("psum")).alias("value"))

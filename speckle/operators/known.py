@@ -25,17 +25,21 @@ def mode_posterior(logl: DataFrame, best: DataFrame, betas: DataFrame, least: fl
     return mx.posterior(held, betas).filter(F.col("p") >= least)
 
 
-def saved_posterior(post: DataFrame) -> DataFrame:
-    """(frame_id, places, probs): what an iteration stores of each frame."""
-    x = post.filter(F.col("p") > mx.PROB_MIN).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("mode", "r", "p"))).alias("v"))
-    return x.select("frame_id", F.col("v.r").alias("places"), F.col("v.p").alias("probs"))
+def saved_posterior(post: DataFrame, rot_count: int, modes: int) -> DataFrame:
+    """(frame_id, places, probs): what an iteration stores of each frame; places are running view numbers, which hold the mode."""
+    x = post.filter(F.col("p") > mx.PROB_MIN).select("frame_id", mx.running_index(rot_count, modes).alias("place"), "p")
+    x = x.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("place", "p"))).alias("v"))
+    return x.select("frame_id", F.col("v.place").alias("places"), F.col("v.p").alias("probs"))
 
 
-def previous_posterior(saved: DataFrame | None, orientations: DataFrame) -> DataFrame:
-    """(frame_id, r, p) of an earlier run: its stored probabilities, else its orientations with certainty."""
+def previous_posterior(saved: DataFrame | None, orientations: DataFrame, rot_count: int, modes: int) -> DataFrame:
+    """(frame_id, mode, r, p) of an earlier run: its stored probabilities, else its orientations (frame_id, place) with certainty."""
     if saved is None:
-        return orientations.select("frame_id", "r", F.lit(1.0).alias("p"))
-    return saved.select("frame_id", F.inline(F.arrays_zip(F.col("places").alias("r"), F.col("probs").alias("p"))))
+        x = orientations.select("frame_id", F.col("place").alias("r"), F.lit(1.0).alias("p"))
+    else:
+        x = saved.select("frame_id", F.inline(F.arrays_zip(F.col("places").alias("r"), F.col("probs").alias("p"))))
+    rotind, mode = mx.split_index(rot_count, modes)
+    return x.select("frame_id", mode, rotind.alias("r"), "p")
 
 
 def scale_background(photons: DataFrame, post: DataFrame, views: DataFrame, counts: DataFrame, det: DataFrame, phi: DataFrame, steps: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speckle.operators.frames import good
@@ -68,8 +68,12 @@ def log_likelihood_gauss(dense: DataFrame, views: DataFrame, det: DataFrame, sca
     return dense.select("frame_id", "pix", "val").join(v, "pix").groupBy("frame_id", "mode", "r").agg((-F.sum(d * d)).alias("logl"))
 
 
-def posterior(logl: DataFrame, betas: DataFrame) -> DataFrame:
-    """(frame_id, mode, r, logl, p, best): likelihoods within SPAN / beta of the frame's best, normalised at beta."""
+def posterior(logl: DataFrame, betas: DataFrame, spread: float = 1.0) -> DataFrame:
+    """(frame_id, mode, r, logl, p, best): likelihoods within SPAN / beta of the frame's best, normalised at beta.
+
+    Squared distances of dense frames are likelihoods over `spread`, twice the square of their sigma.
+    """
+    logl = logl.withColumn("logl", F.col("logl") / spread) if spread != 1.0 else logl
     x = logl.join(betas, "frame_id")
     own = Window.partitionBy("frame_id")
     x = x.withColumn("best", F.max("logl").over(own)).filter(F.col("logl") > F.col("best") - SPAN / F.col("beta"))
@@ -84,11 +88,15 @@ def best_rotation(logl: DataFrame) -> DataFrame:
 
 
 def frame_metrics(post: DataFrame, rot: DataFrame, facts: DataFrame, modes: int) -> DataFrame:
-    """(frame_id, info, likelihood): mutual information and expected log-likelihood of each frame."""
+    """(frame_id, info, likelihood): mutual information and expected log-likelihood of each frame.
+
+    A view of a mode from `modes` on, which does not rotate, has the prior of its mode alone.
+    """
+    prior = F.when(F.col("mode") < modes, F.col("w") / modes).otherwise(F.lit(float(modes)))
     x = post.filter(F.col("p") >= PROB_MIN).join(F.broadcast(rot.select("r", "w")), "r")
     x = x.join(facts, "frame_id", "left")
     return x.groupBy("frame_id").agg(
-        F.sum(F.col("p") * F.ln(F.col("p") * modes / F.col("w"))).alias("info"), F.sum(F.col("p") * (F.col("logl") - F.coalesce("sum_fact", F.lit(0.0)))).alias("likelihood")
+        F.sum(F.col("p") * F.ln(F.col("p") / prior)).alias("info"), F.sum(F.col("p") * (F.col("logl") - F.coalesce("sum_fact", F.lit(0.0)))).alias("likelihood")
     )
 
 
@@ -115,7 +123,7 @@ def tomograms_background(post: DataFrame, photons: DataFrame, phi: DataFrame, de
     """tomograms() with a background: for each view pixel the W of sum p count phi / (W phi + b) = sum p phi.
 
     The left side falls with W, so a bracket is widened until it holds the root and then halved: at most `most` steps
-    on all the pixels of a view at once, one task a view.
+    on 16 pixels of a view at once, which are a group of their own.
     """
     p = post.filter(F.col("p") > PROB_MIN).select("frame_id", "mode", "r", "p").join(phi, "frame_id")
     base = p.groupBy("mode", "r").agg(F.sum(F.col("p") * F.col("phi")).alias("psum")).filter("psum > 0")
@@ -136,7 +144,7 @@ def tomograms_background(post: DataFrame, photons: DataFrame, phi: DataFrame, de
                 break
         return pd.DataFrame({"mode": t["mode"].iloc[0], "r": t["r"].iloc[0], "pix": pix, "value": np.where(none, 0.0, (lo + hi) / 2)})
 
-    found = hits.groupBy("mode", "r").applyInPandas(solve, "mode long, r long, pix int, value double")
+    found = hits.groupBy("mode", "r", F.floor(F.col("pix") / 16)).applyInPandas(solve, "mode long, r long, pix int, value double")
     every = base.crossJoin(F.broadcast(det.filter("mask < 2").select("pix")))
     return every.join(found, ["mode", "r", "pix"], "left").select("mode", "r", "pix", F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -175,6 +183,11 @@ def split_index(rot_count: int, modes: int):
     return F.when(turns, F.floor(r / modes)).otherwise(0).alias("rotind"), F.when(turns, r % modes).otherwise(r - modes * (rot_count - 1)).alias("mode")
 
 
+def running_index(rot_count: int, modes: int) -> Column:
+    """The running view number of (r, mode); modes from `modes` on do not rotate."""
+    return F.when(F.col("mode") < modes, F.col("r") * modes + F.col("mode")).otherwise(F.col("mode") + modes * (rot_count - 1))
+
+
 def refined(pairs: DataFrame, coarse: DataFrame, kept: DataFrame) -> DataFrame:
     """Of (frame_id, r) those whose coarse rotation (r, coarse) was kept for the frame (frame_id, coarse)."""
     return pairs.join(F.broadcast(coarse), "r").join(kept.select("frame_id", "coarse").distinct(), ["frame_id", "coarse"], "left_semi").select("frame_id", "r")

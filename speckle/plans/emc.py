@@ -47,13 +47,35 @@ class State:
     def counts(self) -> DataFrame:
         return fr.frame_counts(self.photons, self.frames, self.det)
 
+    @cached_property
+    def n_frames(self) -> int:
+        return self.phi.count()
+
+    @cached_property
+    def n_views(self) -> int:
+        return self.rot.count() * self.modes
+
+    @cached_property
+    def betas(self) -> DataFrame:
+        return mx.start_beta(self.counts)
+
+    def likelihoods(self, frames: DataFrame, **how) -> DataFrame:
+        how = {"det": self.det, "photons": self.photons} | how
+        return bl.likelihoods(how.pop("photons"), frames, self.views, self.rot, how.pop("det"), self.n_frames, self.n_views, **how)
+
     @cached_property
     def logl(self) -> DataFrame:
-        return mx.log_likelihood(self.photons, self.views, self.totals, self.rot, self.phi, self.det)
+        """Of every frame with every view."""
+        return self.likelihoods(self.phi)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Those that the posterior may need: each frame's best views of each tile."""
+        return self.likelihoods(self.phi.join(self.betas, "frame_id"), keep=True)
 
     @cached_property
     def post(self) -> DataFrame:
-        return mx.posterior(self.logl, mx.start_beta(self.counts))
+        return mx.posterior(self.candidates, self.betas)
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -61,16 +83,10 @@ class State:
 
     @cached_property
     def tomograms(self) -> DataFrame:
-        return mx.tomograms(self.post, self.photons, self.phi, self.det)
-
-    @cached_property
-    def block_tomograms(self) -> DataFrame:
-        """The same from arrays, if the views are few enough to be held by every worker."""
-        v = bl.gathered(self.views, self.rot, self.det)
-        return self.tomograms if v is None else bl.tomograms(self.photons, self.phi, v, self.phi.count())
+        return bl.tomograms(self.post, self.photons, self.phi, self.det, self.n_frames)
 
     def next_model(self, alpha: float = 0.0) -> DataFrame:
-        new = vw.divided(vw.merged(self.coords, self.block_tomograms, self.size))
+        new = vw.divided(vw.merged(self.coords, self.tomograms, self.size))
         return vw.friedel(mx.mixed_model(self.model, new, alpha), self.size, 2)
 
 
