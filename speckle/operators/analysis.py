@@ -103,7 +103,13 @@ def orientation_order(log: DataFrame) -> DataFrame:
     seg = it.withColumn("new", F.when(F.col("n") != F.lag("n").over(w), 1).otherwise(0)).withColumn("segment", F.sum("new").over(w))
     seg = seg.withColumn("last", F.max("iteration").over(Window.partitionBy("segment"))).select("iteration", "segment", "last")
     end = log.join(F.broadcast(seg.filter("iteration = last").select("iteration", "segment")), "iteration")
-    place = end.withColumn("place", F.row_number().over(Window.partitionBy("segment").orderBy("rmax", "frame_id")) - 1).select("segment", "frame_id", "place")
+    # places by orientation and range of frames first, so that no task orders a whole segment
+    end = end.withColumn("slab", F.floor(F.col("frame_id") / 65536))
+    part = end.groupBy("segment", "rmax", "slab").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("segment").orderBy("rmax", "slab").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("segment", "rmax", "slab", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("segment", "rmax", "slab").orderBy("frame_id")
+    place = end.join(part, ["segment", "rmax", "slab"]).select("segment", "frame_id", (F.col("base") + F.row_number().over(inside) - 1).cast("int").alias("place"))
     return log.join(F.broadcast(seg), "iteration").join(place, ["segment", "frame_id"]).select("iteration", "frame_id", "segment", "place")
 
 
@@ -162,9 +168,28 @@ def classify(features: DataFrame, labelled: DataFrame, layers: list[int], seed:
     return net.transform(features).select("frame_id", (F.col("prediction") + 1).cast("int").alias("cls"))
 
 
-def embedding(matrix: np.ndarray, k: int = 2, method: str = "mds") -> np.ndarray:
-    """Coordinates of items from their distances (mds), or from their affinities (spectral). The items are class averages."""
+def embedding(matrix: np.ndarray, k: int = 2, method: str = "mds", neighbours: int = 5) -> np.ndarray:
+    """Coordinates of items from their distances (mds, isomap, lle), or from their affinities (spectral). The items are class averages."""
     n = len(matrix)
+    if method == "isomap":
+        # distances along the graph of each item's nearest neighbours
+        g = np.full((n, n), np.inf)
+        near = np.argsort(matrix, axis=1)[:, : neighbours + 1]
+        g[np.arange(n)[:, None], near] = np.take_along_axis(matrix, near, 1)
+        g = np.minimum(g, g.T)
+        for m in range(n):
+            g = np.minimum(g, g[:, m : m + 1] + g[m : m + 1])
+        return embedding(np.where(np.isfinite(g), g, g[np.isfinite(g)].max()), k)
+    if method == "lle":
+        # weights that make each item from its neighbours, from distances alone; coordinates that keep them
+        near, w = np.argsort(matrix, axis=1)[:, 1 : neighbours + 1], np.zeros((n, n))
+        for i in range(n):
+            d = matrix[i, near[i]] ** 2
+            gram = (d[:, None] + d[None] - matrix[np.ix_(near[i], near[i])] ** 2) / 2
+            x = np.linalg.solve(gram + np.eye(len(d)) * 1e-3 * max(np.trace(gram), 1e-12), np.ones(len(d)))
+            w[i, near[i]] = x / x.sum()
+        m = np.eye(n) - w
+        return np.linalg.eigh(m.T @ m)[1][:, 1 : k + 1]
     if method == "mds":
         c = np.eye(n) - 1 / n
         w, v = np.linalg.eigh(-0.5 * c @ matrix**2 @ c)
@@ -177,8 +202,8 @@ def embedding(matrix: np.ndarray, k: int = 2, method: str = "mds") -> np.ndarray
 def phased(images: DataFrame, size: int, keep: int, steps: str = "20 ER 20 DM 20 ER", seed: int = 3) -> DataFrame:
     """(mode, vox, density): phase retrieval of each class average (mode, vox, intens) by error reduction and difference map.
 
-    Magnitudes are roots of the intensities, those below 0 free; the support is the `keep` largest values after every
-    ten steps, positive inside. One class in a task.
+    Magnitudes are roots of the intensities, those below 0 free; the support is what lies above the `keep`-th largest
+    smoothed value at each step, positive inside; in the end the support's centre goes to the middle. One class in a task.
     """
     words = steps.split()
     plan = [a for n, a in zip(words[::2], words[1::2]) for _ in range(int(n))]
@@ -188,36 +213,73 @@ def phased(images: DataFrame, size: int, keep: int, steps: str = "20 ER 20 DM 20
         grid[t["vox"].to_numpy()] = t["intens"].to_numpy()
         mag = np.fft.ifftshift(np.where(grid < 0, -1, np.sqrt(np.maximum(grid, 0))).reshape(size, size))
         x = np.random.default_rng(seed).random((size, size))
-        inside = np.ones_like(x, bool)
 
         def fit(x):
             f = np.fft.fft2(x)
-            return np.fft.ifft2(np.where(mag < 0, f, mag * np.exp(1j * np.angle(f)))).real
+            return np.fft.ifft2(np.where((mag < 0) | (f == 0), f, mag * np.exp(1j * np.angle(f)))).real
 
-        def cut(x):
-            return np.where(inside & (x > 0), x, 0)
+        def support(x):
+            low = smoothed(x)
+            return low > np.sort(low.ravel())[-keep]
 
-        for i, a in enumerate(plan):
-            x = cut(fit(x)) if a == "ER" else x + fit(2 * cut(x) - x) - cut(x)
-            if i % 10 == 9:
-                flat = np.sort(fit(x).ravel())
-                inside = fit(x) >= flat[max(0, len(flat) - keep)]
-        return pd.DataFrame({"mode": t["mode"].iloc[0], "vox": np.arange(size * size), "density": cut(x).ravel()})
+        def cut(x):
+            return np.where(support(x) & (x > 0), x, 0)
+
+        for a in plan:
+            if a == "ER":
+                last, x = support(x), fit(cut(x))
+            else:
+                p = fit(x)
+                last = support(2 * p - x)
+                x = x + cut(2 * p - x) - p
+        for _ in range(2):
+            at = np.nonzero(last)
+            shift = [int(size // 2 - i.mean()) for i in at] if len(at[0]) else [0, 0]
+            x, last = np.roll(x, shift, (0, 1)), np.roll(last, shift, (0, 1))
+        return pd.DataFrame({"mode": t["mode"].iloc[0], "vox": np.arange(size * size), "density": x.ravel()})
 
     return images.groupBy("mode").applyInPandas(run, "mode long, vox long, density double")
 
 
-def low_passed(density: np.ndarray, resolution: float, cycles: int = 2, floor: float = 0.0) -> np.ndarray:
-    """A density smoothed by a Gaussian in Fourier space and cut below `floor`, in turns."""
-    n = density.shape[0]
-    q = np.fft.fftfreq(n)
-    q2 = q[:, None, None] ** 2 + q[None, :, None] ** 2 + q[None, None] ** 2
+def low_passed(density: np.ndarray, damping: float = -1.0, floor: float = 1e-3, cycles: int = 2) -> np.ndarray:
+    """A density times exp(damping r^2) in Fourier space, r from -1 to 1 along each axis, and 0 up to `floor`, in turns."""
+    axes = np.meshgrid(*[np.linspace(-1, 1, n) for n in density.shape], indexing="ij")
+    keep = np.fft.ifftshift(np.exp(damping * sum(a * a for a in axes)))
     for _ in range(cycles):
-        density = np.fft.ifftn(np.fft.fftn(density) * np.exp(-2 * (np.pi * resolution) ** 2 * q2)).real
+        density = np.fft.ifftn(np.fft.fftn(density) * keep).real
         density = np.where(density > floor, density, 0)
     return density
 
 
+def smoothed(x: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """Gaussian smoothing of an array, mirrored at its edges, cut at four sigma."""
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    w /= w.sum()
+    for axis in range(x.ndim):
+        pad = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(x.ndim)], "symmetric")
+        x = np.tensordot(np.lib.stride_tricks.sliding_window_view(pad, 2 * reach + 1, axis), w, (-1, 0))
+    return x
+
+
+def prepared(image: np.ndarray, least: float, most: float, width: int = 30) -> np.ndarray:
+    """Intensities less the least value about each pixel; -1 up to the radius `least`, 0 from `most` on."""
+    c = np.indices(image.shape) - np.reshape([n // 2 for n in image.shape], (-1,) + (1,) * image.ndim)
+    rad = np.sqrt((c * c).sum(0))
+    x = np.where((rad <= least) | (rad >= most), 1e20, image)
+    low = x
+    for axis in range(x.ndim):
+        pad = np.pad(low, [(width // 2, width - width // 2 - 1) if a == axis else (0, 0) for a in range(x.ndim)], "symmetric")
+        low = np.lib.stride_tricks.sliding_window_view(pad, width, axis).min(-1)
+    return np.where(rad <= least, -1.0, np.where(rad >= most, 0.0, x - low))
+
+
+def nearest_class(points: DataFrame, x: float, y: float) -> DataFrame:
+    """(mode, x, y): the embedded class nearest to a place, ties to the least mode."""
+    d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    return points.agg(F.min_by(F.struct("mode", "x", "y"), F.struct(d, F.col("mode"))).alias("p")).select("p.*")
+
+
 def intensities(density: np.ndarray, size: int) -> np.ndarray:
     """Squared Fourier magnitudes of a density padded to `size`, centred."""
     pad = np.zeros((size,) * 3)

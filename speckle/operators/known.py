@@ -104,7 +104,8 @@ def expected_likelihood(post: DataFrame, views: DataFrame, phi: DataFrame, det:
 def start_model(given: DataFrame | None, spark, modes: int, size: int, dims: int, mean: float, seed: int = 0x5EED) -> DataFrame:
     """(mode, vox, intens): the given model, with random values times `mean` for modes that it lacks; modes beyond go."""
     v = spark.range(size**dims).withColumnRenamed("id", "vox").crossJoin(F.broadcast(spark.range(modes).withColumnRenamed("id", "mode")))
-    noise = F.pmod(F.xxhash64(F.lit(seed), "mode", "vox"), F.lit(1 << 30)) / float(1 << 30) * mean
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("mode").cast("string"), F.col("vox").cast("string")))
+    noise = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32) * mean
     x = v.select("mode", "vox", noise.alias("noise"))
     if given is None:
         return x.select("mode", "vox", F.col("noise").alias("intens"))
@@ -149,8 +150,12 @@ def zoom(image: DataFrame, border: int) -> DataFrame:
 
 def ranked_by_orientation(frames: DataFrame, best: DataFrame) -> DataFrame:
     """(file_id, frame_id, place): frames of each file in the order of their rotation."""
-    x = frames.select("frame_id", "file_id").join(best.select("frame_id", "r"), "frame_id")
-    return x.select("file_id", "frame_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("r", "frame_id")) - 1).alias("place"))
+    x = frames.select("frame_id", "file_id").join(best.select("frame_id", "r"), "frame_id").withColumn("slab", F.floor(F.col("frame_id") / 65536))
+    part = x.groupBy("file_id", "r", "slab").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_id").orderBy("r", "slab").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("file_id", "r", "slab", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("file_id", "r", "slab").orderBy("frame_id")) - 1
+    return x.join(part, ["file_id", "r", "slab"]).select("file_id", "frame_id", place.cast("int").alias("place"))
 
 
 def good_photons(photons: DataFrame, det: DataFrame) -> DataFrame:

@@ -114,6 +114,34 @@ def matrix(q: np.ndarray) -> np.ndarray:
     ])
 
 
+def weighted(q):
+    """Rows of five numbers whose weights sum to 1; rows of four weigh the same."""
+    q = np.asarray(q, float)
+    w = q[:, 4] if q.shape[1] > 4 else np.ones(len(q))
+    return np.column_stack([q[:, :4], w / w.sum()])
+
+
+def configured(spark: SparkSession, recon_type: str = "3d", num_div: int = 0, num_rot: int = 0, point_group: str = "1", friedel_sym: bool = False) -> DataFrame:
+    """The orientations that a configuration asks for: angles in the plane, or uniform rotations, reduced by A5 or S4."""
+    if recon_type.lower() == "2d":
+        return in_plane(spark, num_rot, 2 if friedel_sym else 1)
+    groups = {"1": None, "A5": icosahedral_group(), "S4": octahedral_group()}
+    if point_group not in groups:
+        raise ValueError(f"unknown point group {point_group}")
+    q = uniform(num_div)
+    return table(spark, q if groups[point_group] is None else reduced(q, groups[point_group]))
+
+
+def share(rot: DataFrame, rank: int, ranks: int) -> DataFrame:
+    """Every `ranks`-th rotation from `rank` on: one part of the set, where parts are run apart."""
+    return rot.filter(F.col("r") % ranks == rank)
+
+
+def about(rot: DataFrame, best: tuple[float, float, float, float], most: float) -> DataFrame:
+    """Rotations whose quaternion lies within the squared distance `most` of the best."""
+    return rot.filter(sum(((F.col(f"q{i}") - float(b)) * (F.col(f"q{i}") - float(b)) for i, b in enumerate(best)), F.lit(0.0)) < most)
+
+
 def nearest(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     """(r, coarse, dist): the nearest coarse rotation, ties to the least; a coarse set is a few thousand rows.
 

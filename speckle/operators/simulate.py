@@ -55,44 +55,86 @@ def density(atoms: DataFrame, voxel: float, size: int) -> DataFrame:
     return corners(x, size).groupBy("vox").agg(F.sum(F.col("f") * F.col("weight")).alias("value"))
 
 
-def simulated(spark, n: int, volume: np.ndarray, det: pd.DataFrame, mean_count: float, seed: int = 5, gamma: bool = False, background: float = 0.0) -> DataFrame:
-    """(frame_id, pix, cnt, q0..q3, fluence): Poisson counts of random views of a cube of intensities.
+#: Square of the classical electron radius in micrometres: photons per square micrometre times intensity times this.
+ELECTRON = 2.81794e-9**2
 
-    A frame's random numbers depend on the seed and its number alone, so any partitioning makes the same frames. The
-    cube and the detector are arrays that every worker holds.
-    """
+
+def _views(volume: np.ndarray, q: np.ndarray, corr: np.ndarray, quats: np.ndarray) -> np.ndarray:
+    """(rotation, pixel) values of a cube looked up at rotated q-vectors; 0 outside."""
     from speckle.operators.orientation import matrix
 
     size = volume.shape[0]
-    use = det[det["mask"] < 2]
-    q, corr, pix = use[["qx", "qy", "qz"]].to_numpy(), use["corr"].to_numpy(), use["pix"].to_numpy()
-
-    def view(quat):
-        t = q @ matrix(quat).T + size // 2
-        i = np.trunc(t).astype(int)
-        ok = ((t >= 0) & (i >= 0) & (i <= size - 2)).all(1)
-        i, f = np.clip(i, 0, size - 2), t - i
-        out = np.zeros(len(q))
-        for k in range(8):
-            b = [(k >> j) & 1 for j in range(3)]
-            out += np.prod([f[:, j] if b[j] else 1 - f[:, j] for j in range(3)], 0) * volume[i[:, 0] + b[0], i[:, 1] + b[1], i[:, 2] + b[2]]
-        return np.where(ok, out * corr, 0)
+    t = np.einsum("rij,pj->rpi", np.array([matrix(x) for x in quats]), q) + size // 2
+    i = np.trunc(t).astype(int)
+    ok = ((t >= 0) & (i >= 0) & (i <= size - 2)).all(2)
+    i, out = np.clip(i, 0, size - 2), np.zeros(ok.shape)
+    f = t - i
+    for k in range(8):
+        b = [(k >> j) & 1 for j in range(3)]
+        out += np.prod([f[..., j] if b[j] else 1 - f[..., j] for j in range(3)], 0) * volume[i[..., 0] + b[0], i[..., 1] + b[1], i[..., 2] + b[2]]
+    return np.where(ok, out * corr, 0)
+
 
+def level(volume: np.ndarray, det: pd.DataFrame, mean_count: float | None = None, fluence: float | None = None, views: int = 5000, seed: int = 5) -> tuple[float, float]:
+    """(factor, mean count): what intensities are multiplied by for a fluence, or for a mean count of frames.
+
+    The mean over random views counts pixels that are not bad.
+    """
     from speckle.operators.orientation import random_unit
 
-    level = mean_count / max(np.mean([view(u).sum() for u in random_unit(200, seed)]), 1e-300)
+    if (mean_count is None) == (fluence is None):
+        raise ValueError("give either the mean count or the fluence")
+    use = det[det["mask"] < 2]
+    q, corr = use[["qx", "qy", "qz"]].to_numpy(), use["corr"].to_numpy()
+    quats = random_unit(views, seed)
+    mean = np.mean([_views(volume, q, corr, quats[i : i + 200]).sum(1).mean() for i in range(0, views, 200)])
+    factor = fluence * ELECTRON if fluence is not None else mean_count / max(mean, 1e-300)
+    return factor, factor * mean
+
+
+def simulated(spark, n: int, volume: np.ndarray, det: pd.DataFrame, mean_count: float | None = None, seed: int = 5, gamma: bool = False, background: float = 0.0, fluence: float | None = None, orientations: np.ndarray | None = None) -> DataFrame:
+    """(frame_id, pix, cnt, q0..q3, fluence): Poisson counts of views of a cube of intensities.
+
+    Views are random, or of a list of orientations, drawn at random. A frame's random numbers depend on the seed and its
+    number alone, so any partitioning makes the same frames. The cube and the detector are arrays that every worker holds.
+    """
+    import pyarrow as pa
+
+    use = det[det["mask"] < 2]
+    q, corr, pix = use[["qx", "qy", "qz"]].to_numpy(), use["corr"].to_numpy(), use["pix"].to_numpy().astype("i4")
+    factor, _ = level(volume, det, mean_count, fluence, seed=seed)
+    names = ["frame_id", "pix", "cnt", "q0", "q1", "q2", "q3", "fluence"]
 
     def make(batches):
         for b in batches:
-            parts = []
-            for k in b["id"]:
-                r = np.random.default_rng([seed, int(k)])
-                u = r.normal(size=4)
-                u /= np.linalg.norm(u)
-                phi = r.gamma(2, 0.5) if gamma else 1.0
-                c = r.poisson(view(u) * level * phi + background)
-                lit = c > 0
-                parts.append(pd.DataFrame({"frame_id": k, "pix": pix[lit], "cnt": c[lit], "q0": u[0], "q1": u[1], "q2": u[2], "q3": u[3], "fluence": phi}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"frame_id": [], "pix": [], "cnt": [], "q0": [], "q1": [], "q2": [], "q3": [], "fluence": []})
-
-    return spark.range(n).mapInPandas(make, "frame_id long, pix int, cnt int, q0 double, q1 double, q2 double, q3 double, fluence double")
+            every = b.column(0).to_numpy()
+            for lo in range(0, len(every), 256):
+                ids = every[lo : lo + 256]
+                rngs = [np.random.default_rng([seed, int(k)]) for k in ids]
+                u = np.array([r.normal(size=4) if orientations is None else orientations[r.integers(len(orientations)), :4] for r in rngs])
+                u /= np.linalg.norm(u, axis=1)[:, None]
+                phi = np.array([r.gamma(2, 0.5) if gamma else 1.0 for r in rngs])
+                mean = _views(volume, q, corr, u) * factor * phi[:, None] + background
+                c = np.array([r.poisson(m) for r, m in zip(rngs, mean)])
+                i, k = np.nonzero(c)
+                cols = [ids[i], pix[k], c[i, k].astype("i4"), *u[i].T, phi[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names)
+
+    return spark.range(n).mapInArrow(make, "frame_id long, pix int, cnt int, q0 double, q1 double, q2 double, q3 double, fluence double")
+
+
+def actual_mean_count(frames: DataFrame, n: int) -> DataFrame:
+    """(mean_count): photons over frames, those without photons too."""
+    return frames.agg((F.coalesce(F.sum("cnt"), F.lit(0)) / n).alias("mean_count"))
+
+
+def pipeline(spark, atom_lines: DataFrame, table: DataFrame, det: pd.DataFrame, n: int, wavelength: float, voxel: float, size: int, mean_count: float, seed: int = 5, damping: float = -1.0) -> tuple[DataFrame, np.ndarray]:
+    """(frames, intensities): atoms to a density, smoothed, to intensities, to frames. A density is a cube of one molecule."""
+    from speckle.operators.analysis import intensities, low_passed
+
+    small = size // 2 | 1
+    d = density(scattering(atoms(atom_lines), table, energy(wavelength)), voxel, small).toPandas()
+    cube = np.zeros(small**3)
+    cube[d["vox"]] = d["value"]
+    volume = intensities(low_passed(cube.reshape((small,) * 3), damping), size)
+    return simulated(spark, n, volume, det, mean_count, seed), volume

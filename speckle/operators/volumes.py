@@ -90,6 +90,27 @@ def spots(volume: DataFrame, points: DataFrame, spacing: float, size: int, radiu
     return v.filter(near < radius * radius).join(points.select("h", "k", "l"), ["h", "k", "l"]).groupBy("h", "k", "l").agg(F.sum("intens").alias("total"))
 
 
+def sphere_spots(volume: DataFrame, points: DataFrame, spacing: float, size: int, radius: int) -> DataFrame:
+    """(h, k, l, total): each spot's sum over the voxels nearer than `radius` to its middle voxel, where that is above 0.
+
+    Spots too near to an edge are left out. Spheres may overlap: a voxel counts for the first spot in the order of
+    (h, k, l). A spot looks up its own voxels, so this is an equi-join; one more aggregation finds each voxel's owner.
+    """
+    c, step = size // 2, F.sequence(F.lit(-radius), F.lit(radius))
+    at = points.select("h", "k", "l", *[(F.col(x) * spacing + c).alias(f"t{i}") for i, x in enumerate("hkl")])
+    for i in range(3):
+        at = at.filter((F.col(f"t{i}") - radius >= 0) & (F.col(f"t{i}") + radius < size))
+    vox, r2 = F.lit(0).cast("long"), F.lit(0)
+    for i in range(3):
+        # the box from the cut place, the distance from the rounded one
+        at = at.withColumn(f"d{i}", F.explode(step)).withColumn(f"v{i}", F.floor(f"t{i}").cast("int") + F.col(f"d{i}")).filter(F.col(f"d{i}") < radius)
+        d = F.col(f"v{i}") - F.floor(F.col(f"t{i}") + 0.5).cast("int")
+        vox, r2 = vox * size + F.col(f"v{i}"), r2 + d * d
+    cells = at.filter(r2 < radius * radius).select("h", "k", "l", vox.alias("vox"))
+    own = cells.groupBy("vox").agg(F.min(F.struct("h", "k", "l")).alias("s")).select("vox", "s.*")
+    return own.join(volume.select("vox", "intens"), "vox").groupBy("h", "k", "l").agg(F.sum("intens").alias("total")).filter("total > 0")
+
+
 def minimum_filtered(image: DataFrame, size: int, reach: int) -> DataFrame:
     """(vox, value): a 2D image less the least value within `reach` pixels."""
     x = image.select(F.floor(F.col("vox") / size).alias("x"), (F.col("vox") % size).alias("y"), "intens")

@@ -11,6 +11,7 @@ from speckle.operators import detector as dt
 from speckle.operators import frames as fr
 from speckle.operators import known as kn
 from speckle.operators import maximize as mx
+from speckle.operators import multi as mu
 from speckle.operators import orientation as ori
 from speckle.operators import views as vw
 from speckle.operators import volumes as vo
@@ -260,11 +261,6 @@ def volume_octahedral(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vw.octahedral(tb.volume(spark), 9), "intens", digits=9)
 
 
-@query()
-def volume_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.icosahedral(tb.volume(spark), 9), "intens")
-
-
 @query("""x AS (SELECT vox, intens, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
 s AS (SELECT a.vox, AVG(b.intens) AS m FROM x a JOIN x b ON a.z = b.z AND ((b.x = a.x AND b.y = a.y) OR (b.x = -a.x AND b.y = -a.y)) WHERE a.x*a.x + a.y*a.y + a.z*a.z < 16 GROUP BY 1)
 SELECT x.vox, ROUND(COALESCE(CASE WHEN x.x = 0 AND x.y = 0 THEN x.intens ELSE m END, intens), 6) AS intens FROM x LEFT JOIN s USING (vox)""")
@@ -308,12 +304,27 @@ def views_merged_3d(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vw.merged(coords, v, SIZE), "num", "weight", digits=5)
 
 
-@query()
-def views_rz(spark: SparkSession, sf: str) -> DataFrame:
+_RZ = """rz AS (SELECT p.range * 4 + b.range AS r, p.range * 2 * PI() / 6 AS phi, (b.range + 0.5::DOUBLE) * PI() / 8 - PI() / 4 AS beta FROM range(6) p, range(4) b),
+a AS (SELECT r, pix, corr, qz, beta, COS(phi) * qx - SIN(phi) * qy AS u, SIN(phi) * qx + COS(phi) * qy AS v FROM rz, det WHERE mask < 2),
+t AS (SELECT r, pix, corr, SQRT(u * u + POWER(SIN(beta) * v + COS(beta) * qz, 2)) AS t0, COS(beta) * v - SIN(beta) * qz + 6 AS t1 FROM a),
+""" + _CORNERS[_CORNERS.index("i AS (") :]
+
+
+def _coords_rz(spark: SparkSession) -> DataFrame:
     import math
 
-    rot = ori.rz_grid(spark, 6, math.pi / 2, math.pi / 8)
-    return rounded(vw.views(vw.coords_rz(rot, tb.detector(spark), SIZE), tb.model(spark), SIZE), "value")
+    return vw.coords_rz(ori.rz_grid(spark, 6, math.pi / 2, math.pi / 8), tb.detector(spark), SIZE)
+
+
+@query(_RZ + " SELECT mode, r, pix, ROUND(value, 9) AS value FROM views")
+def views_rz(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.views(_coords_rz(spark), tb.model(spark), SIZE), "value", digits=9)
+
+
+@query(_RZ + " SELECT mode, vox, ROUND(SUM(f * value / corr), 6) AS num, ROUND(SUM(f), 6) AS weight FROM c JOIN views USING (r, pix) GROUP BY 1, 2")
+def views_merged_rz(spark: SparkSession, sf: str) -> DataFrame:
+    x = _coords_rz(spark)
+    return rounded(vw.merged(x, vw.views(x, tb.model(spark), SIZE), SIZE), "num", "weight")
 
 
 @query("""p AS (SELECT i.range - 4 AS i, j.range - 4 AS j FROM range(9) i, range(9) j)
@@ -387,14 +398,85 @@ def rotation_matrices(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(x, "m00", "m01", "m02", "m22", digits=9)
 
 
-@query()
+def _kept(group: str) -> str:
+    """Those of the uniform rotations that are not nearer to another element of the group (a, b, c, d) than to the identity."""
+    return f""", f AS (SELECT * FROM {_inline(3, "f")}),
+d AS (SELECT r, MAX(CASE WHEN ABS(a) > 0.999999 THEN ABS(q0*a + q1*b + q2*c + q3*d) END) AS one, MAX(CASE WHEN ABS(a) <= 0.999999 THEN ABS(q0*a + q1*b + q2*c + q3*d) END) AS other FROM f, {group} GROUP BY 1),
+k AS (SELECT f.* FROM f JOIN d USING (r) WHERE one >= other - 1e-12)
+SELECT ROUND(q0, 6) + 0.0 AS q0, ROUND(q1, 6) + 0.0 AS q1, ROUND(q2, 6) + 0.0 AS q2, ROUND(q3, 6) + 0.0 AS q3, ROUND(w / SUM(w) OVER (), 9) AS w FROM k"""
+
+
+def _reduced(spark: SparkSession, group) -> DataFrame:
+    x = ori.table(spark, ori.reduced(ori.uniform(3), group)).drop("r")
+    return rounded(rounded(x, "q0", "q1", "q2", "q3"), "w", digits=9)
+
+
+@query(_CELL600 + _kept("v"))
 def rotations_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ori.table(spark, ori.reduced(ori.uniform(4), ori.icosahedral_group())), "q0", "q1", "q2", "q3", "w")
+    return _reduced(spark, ori.icosahedral_group())
 
 
-@query()
+# 24 rotations of a cube: of the axes and halves, and the sums and differences of two axes.
+_CUBE = _CELL600 + """, two AS (SELECT (p.a + q.a) / SQRT(2) AS a, (p.b + q.b) / SQRT(2) AS b, (p.c + q.c) / SQRT(2) AS c, (p.d + q.d) / SQRT(2) AS d FROM axes p, axes q WHERE p.a*q.a + p.b*q.b + p.c*q.c + p.d*q.d = 0),
+every AS (SELECT * FROM axes UNION ALL SELECT * FROM halves UNION ALL SELECT * FROM two), o AS (SELECT DISTINCT ROUND(a, 12) AS a, ROUND(b, 12) AS b, ROUND(c, 12) AS c, ROUND(d, 12) AS d FROM every)"""
+
+
+@query(_CUBE + _kept("o"))
 def rotations_octahedral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ori.table(spark, ori.reduced(ori.uniform(4), ori.octahedral_group())), "q0", "q1", "q2", "q3", "w")
+    return _reduced(spark, ori.octahedral_group())
+
+
+_ROTATED = """, m AS (SELECT *, 1 - 2*(c*c + d*d) AS m00, 2*(b*c - a*d) AS m01, 2*(b*d + a*c) AS m02, 2*(b*c + a*d) AS m10, 1 - 2*(b*b + d*d) AS m11, 2*(c*d - a*b) AS m12,
+  2*(b*d - a*c) AS m20, 2*(c*d + a*b) AS m21, 1 - 2*(b*b + c*c) AS m22 FROM {group}),
+x AS (SELECT vox AS dest, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
+t AS (SELECT m.*, dest, m00*x + m01*y + m02*z + 4 AS t0, m10*x + m11*y + m12*z + 4 AS t1, m20*x + m21*y + m22*z + 4 AS t2 FROM m, x WHERE x*x + y*y + z*z < 16),
+j AS (SELECT *, CAST(TRUNC(t0) AS BIGINT) AS i0, CAST(TRUNC(t1) AS BIGINT) AS i1, CAST(TRUNC(t2) AS BIGINT) AS i2 FROM t),
+f AS (SELECT a, b, c, d, dest, ((i0 + k0) * 9 + i1 + k1) * 9 + i2 + k2 AS vox, ABS(1 - k0 - (t0 - i0)) * ABS(1 - k1 - (t1 - i1)) * ABS(1 - k2 - (t2 - i2)) AS f
+  FROM j, (VALUES (0), (1)) p(k0), (VALUES (0), (1)) q(k1), (VALUES (0), (1)) r(k2) WHERE t0 >= 0 AND t1 >= 0 AND t2 >= 0 AND i0 <= 7 AND i1 <= 7 AND i2 <= 7),
+turned AS (SELECT a, b, c, d, dest AS vox, SUM(f * intens) AS intens FROM f JOIN cube USING (vox) GROUP BY ALL)"""
+
+
+@query(_CELL600 + f", sixty AS (SELECT a, b, c, d FROM v WHERE {_HALF.replace('q0', 'a').replace('q1', 'b').replace('q2', 'c').replace('q3', 'd')})" + _ROTATED.format(group="sixty")
+       + " SELECT cube.vox, ROUND(COALESCE(s / 60, intens), 6) AS intens FROM cube LEFT JOIN (SELECT vox, SUM(intens) AS s FROM turned GROUP BY 1) USING (vox)")
+def volume_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.icosahedral(tb.volume(spark), 9), "intens")
+
+
+@query(_CUBE + f", four AS (SELECT a, b, c, d FROM o WHERE {_HALF.replace('q0', 'a').replace('q1', 'b').replace('q2', 'c').replace('q3', 'd')})" + _ROTATED.format(group="four")
+       + " SELECT ROUND(a, 6) + 0.0 AS q0, ROUND(b, 6) + 0.0 AS q1, ROUND(c, 6) + 0.0 AS q2, ROUND(d, 6) + 0.0 AS q3, ROUND(CORR(turned.intens, cube.intens), 6) AS cc FROM turned JOIN cube USING (vox) GROUP BY ALL")
+def volume_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    cube, group = tb.volume(spark), ori.half(ori.octahedral_group())
+    m = [(k, *map(float, ori.matrix(q).ravel())) for k, q in enumerate(group)]
+    df = spark.createDataFrame(m, "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    quats = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(group)], "k int, q0 double, q1 double, q2 double, q3 double")
+    return rounded(vo.rotation_correlation(cube, cube, df, 9).join(quats, "k").drop("k"), "q0", "q1", "q2", "q3", "cc")
+
+
+@query()
+def volume_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The rotation of a volume that was rotated by a quarter turn, searched from coarse to fine."""
+    import numpy as np
+
+    cube = tb.volume(spark)
+    m = spark.createDataFrame([(0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    turned = cube.join(vw.rotated(cube, m, 9).select("vox", F.col("intens").alias("t")), "vox", "left").select("vox", F.coalesce("t", "intens").alias("intens"))
+    q, cc = vo.best_alignment(spark, turned, cube, np.column_stack([ori.octahedral_group(), np.ones(24)]), 9)
+    return spark.createDataFrame([(*map(float, q), cc)], "q0 double, q1 double, q2 double, q3 double, cc double")
+
+
+@query(f"SELECT CAST(r AS BIGINT) AS r FROM {_inline(2, 'f')} WHERE POWER(q0 - 1, 2) + q1*q1 + q2*q2 + q3*q3 < 0.3")
+def rotations_about(spark: SparkSession, sf: str) -> DataFrame:
+    return ori.about(ori.table(spark, ori.uniform(2)), (1.0, 0.0, 0.0, 0.0), 0.3).select("r")
+
+
+@query("SELECT CAST(range AS BIGINT) AS r FROM range(420) WHERE range % 3 = 1")
+def rotations_shared(spark: SparkSession, sf: str) -> DataFrame:
+    return ori.share(ori.configured(spark, "3d", num_div=2), 1, 3).select("r")
+
+
+@query("SELECT CAST(range AS BIGINT) AS r, ROUND(range * PI() / 12, 9) AS angle, ROUND(1.0::DOUBLE / 12, 9) AS w FROM range(12)")
+def rotations_configured(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ori.configured(spark, "2D", num_rot=12, friedel_sym=True), "angle", "w", digits=9)
 
 
 @query("SELECT range AS r, CAST(CASE WHEN range < 24 THEN range // 2 ELSE 0 END AS BIGINT) AS rotind, CAST(CASE WHEN range < 24 THEN range % 2 ELSE range - 22 END AS BIGINT) AS mode FROM range(27)")
@@ -686,6 +768,11 @@ def embedding_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return an.in_polygon(_points(spark, sf), [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("frame_id")
 
 
+@query("WITH_P SELECT CAST(frame_id AS BIGINT) AS mode, ROUND(x, 9) AS x, ROUND(y, 9) AS y FROM pts ORDER BY POWER(x - 0.05, 2) + POWER(y + 0.02, 2), frame_id LIMIT 1".replace("WITH_P", _POINTS))
+def embedding_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(an.nearest_class(_points(spark, sf).withColumnRenamed("frame_id", "mode"), 0.05, -0.02), "x", "y", digits=9)
+
+
 @query("SELECT mode, ROUND(0.5 * ATAN2(2 * SUM(intens * (vox // 13 - 6) * (vox % 13 - 6)), SUM(intens * POWER(vox // 13 - 6, 2)) - SUM(intens * POWER(vox % 13 - 6, 2))), 6) AS angle FROM model GROUP BY 1")
 def model_principal_axis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(an.principal_axis(tb.model(spark), SIZE), "angle")
@@ -718,7 +805,8 @@ def frames_simulated(spark: SparkSession, sf: str) -> DataFrame:
     from speckle.operators.simulate import simulated
 
     cube = (0.5 + (np.arange(SIZE**3) * 37 % 101) / 101).reshape((SIZE,) * 3)
-    return simulated(spark, 200, cube, tb.detector(spark).toPandas(), 50.0).select("frame_id", "pix", "cnt")
+    n = tb.frames(spark, sf).count()
+    return simulated(spark, n, cube, tb.detector(spark).toPandas(), 50.0).select("frame_id", "pix", "cnt")
 
 
 # Known orientations, volumes, bookkeeping
@@ -759,15 +847,20 @@ def scale_background(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kn.scale_background(s.photons, s.post, s.views, s.counts, emc.with_background(s.det), s.phi.withColumn("bgscale", F.lit(0.5))), "phi", digits=5)
 
 
-@query()
+@query(_POST + """, z AS (SELECT post.frame_id, p, 2 * (v.value * scale + 0.5 * (0.01 + 0.001 * (v.pix % 7))) AS z FROM post JOIN frames f ON f.frame_id = post.frame_id
+  JOIN views v ON v.mode = post.mode AND v.r = post.r JOIN det d ON d.pix = v.pix WHERE p > 1e-6 AND mask < 1), y AS (SELECT *, z * z / 4 AS y FROM z)
+SELECT frame_id, ROUND(SUM(p * (LN(1 + y * (1 + y / 4 * (1 + y / 9 * (1 + y / 16 * (1 + y / 25 * (1 + y / 36)))))) - z)), 6) AS expected FROM y GROUP BY 1""")
 def expected_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Views and backgrounds are small here, so that the series of the Bessel function ends after a few terms."""
     s = emc.State(spark, sf)
-    return rounded(kn.expected_likelihood(s.post, s.views, s.phi.withColumn("bgscale", F.lit(0.5)), emc.with_background(s.det)), "expected", digits=4)
+    return rounded(kn.expected_likelihood(s.post, s.views, s.phi.withColumn("bgscale", F.lit(0.5)), emc.with_background(s.det)), "expected")
 
 
-@query("SELECT mode, vox, ROUND(intens, 9) AS intens FROM model")
+@query("""v AS (SELECT m.range AS mode, v.range AS vox FROM range(3) m, range(169) v)
+SELECT v.mode, v.vox, ROUND(COALESCE(intens, CAST(('0x' || substr(md5('24301|' || v.mode || '|' || v.vox), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 1.5), 6) AS intens FROM v LEFT JOIN model ON model.mode = v.mode AND model.vox = v.vox""")
 def start_model(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kn.start_model(tb.model(spark), spark, 2, SIZE, 2, 1.0), "intens", digits=9)
+    """Two modes are given, the third is random."""
+    return rounded(kn.start_model(tb.model(spark), spark, 3, SIZE, 2, 1.5), "intens")
 
 
 @query("SELECT MIN(CASE WHEN frame_id > 500 THEN frame_id END) AS next, MAX(CASE WHEN frame_id < 500 THEN frame_id END) AS previous FROM frames WHERE blacklist = 0")
@@ -822,6 +915,16 @@ def lattice_allowed(spark: SparkSession, sf: str) -> DataFrame:
     return vo.lattice(spark, 3)
 
 
+@query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l, a.v * 2.4::DOUBLE + 4 AS x, b.v * 2.4::DOUBLE + 4 AS y, c.v * 2.4::DOUBLE + 4 AS z FROM r a, r b, r c),
+b AS (SELECT * FROM p WHERE x - 2 >= 0 AND x + 2 < 9 AND y - 2 >= 0 AND y + 2 < 9 AND z - 2 >= 0 AND z + 2 < 9),
+v AS (SELECT vox, intens, vox // 81 AS i, vox // 9 % 9 AS j, vox % 9 AS m FROM cube),
+o AS (SELECT vox, MAX(intens) AS intens, MIN((h + 8) * 256 + (k + 8) * 16 + l + 8) AS own FROM b, v WHERE i BETWEEN FLOOR(x) - 2 AND FLOOR(x) + 1 AND j BETWEEN FLOOR(y) - 2 AND FLOOR(y) + 1 AND m BETWEEN FLOOR(z) - 2 AND FLOOR(z) + 1
+  AND POWER(i - FLOOR(x + 0.5), 2) + POWER(j - FLOOR(y + 0.5), 2) + POWER(m - FLOOR(z + 0.5), 2) < 4 GROUP BY 1)
+SELECT CAST(own // 256 - 8 AS BIGINT) AS h, CAST(own // 16 % 16 - 8 AS BIGINT) AS k, CAST(own % 16 - 8 AS BIGINT) AS l, ROUND(SUM(intens), 6) AS total FROM o GROUP BY own HAVING SUM(intens) > 0""")
+def lattice_sphere_spots(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vo.sphere_spots(tb.volume(spark), vo.lattice(spark, 1, extinct=False), 2.4, 9, 2), "total")
+
+
 @query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)
 SELECT h, k, l, ROUND(SUM(intens), 6) AS total FROM p JOIN cube ON POWER(vox // 81 - 4 - 3 * h, 2) + POWER(vox // 9 % 9 - 4 - 3 * k, 2) + POWER(vox % 9 - 4 - 3 * l, 2) < 1.44 GROUP BY 1, 2, 3""")
 def lattice_spots(spark: SparkSession, sf: str) -> DataFrame:
@@ -842,14 +945,6 @@ def image_minimum_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vo.minimum_filtered(tb.model(spark).filter("mode = 0"), SIZE, 2), "value")
 
 
-@query()
-def volume_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    cube = tb.volume(spark)
-    m = [(k, *map(float, ori.matrix(q).ravel())) for k, q in enumerate(ori.octahedral_group())]
-    df = spark.createDataFrame(m, "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
-    return rounded(vo.rotation_correlation(cube, cube, df, 9), "cc")
-
-
 @query(_POLAR + """, t AS (SELECT rbin, abin, SUM(v) AS value FROM s GROUP BY 1, 2), m AS (SELECT MAX(abin) + 1 AS n FROM t),
 x AS (SELECT rbin, ((abin + d) % n + n) % n AS abin, EXP(-d * d / 2.0) AS w, value FROM t, m, (SELECT range - 2 AS d FROM range(5)))
 SELECT rbin, CAST(abin AS INT) AS abin, ROUND(SUM(w * value) / SUM(w), 5) AS value FROM x GROUP BY 1, 2""")
@@ -899,6 +994,69 @@ def density_from_atoms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(density(atoms, 1.0, SIZE), "value", digits=5)
 
 
+# Several detectors: the second ignores pixels beyond a radius
+
+_DET2 = """det2 AS (SELECT 0 AS det_id, pix, mask FROM det UNION ALL SELECT 1, pix, CASE WHEN mask = 0 AND SQRT(qx*qx + qy*qy + qz*qz) > 2.5 THEN 1 ELSE mask END FROM det),
+own AS (SELECT frame_id, CAST(file_id % 2 AS INT) AS det_id, scale, blacklist FROM frames)"""
+
+
+def _detectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    det = tb.detector(spark)
+    both = det.withColumn("det_id", F.lit(0)).union(dt.remask(det, 2.5).withColumn("det_id", F.lit(1)))
+    return both, tb.frames(spark, sf).withColumn("det_id", (F.col("file_id") % 2).cast("int"))
+
+
+@query(_DET2 + """, s AS (SELECT o.frame_id, SUM(cnt) AS s FROM own o JOIN photons p ON p.frame_id = o.frame_id JOIN det2 d ON d.det_id = o.det_id AND d.pix = p.pix WHERE mask < 1 GROUP BY 1)
+SELECT own.frame_id, det_id, CAST(COALESCE(s, 0) AS BIGINT) AS fcount FROM own LEFT JOIN s USING (frame_id)""")
+def detectors_counts(spark: SparkSession, sf: str) -> DataFrame:
+    det, frames = _detectors(spark, sf)
+    return mu.frame_counts(tb.photons(spark, sf), frames, det)
+
+
+@query(_DET2 + """, s AS (SELECT o.det_id, p.pix, SUM(cnt) AS s FROM own o JOIN photons p ON p.frame_id = o.frame_id GROUP BY 1, 2)
+SELECT d.det_id, d.pix, ROUND(COALESCE(s, 0) / (SELECT COUNT(*) FROM own o WHERE o.det_id = d.det_id), 9) AS mean FROM det2 d LEFT JOIN s ON s.det_id = d.det_id AND s.pix = d.pix WHERE mask < 1""")
+def detectors_mean_powder(spark: SparkSession, sf: str) -> DataFrame:
+    det, frames = _detectors(spark, sf)
+    return rounded(mu.mean_powder(tb.photons(spark, sf), frames, det), "mean", digits=9)
+
+
+@query(_CORNERS + ", " + _DET2 + " SELECT det_id, mode, r, ROUND(SUM(value), 6) AS u FROM views JOIN det2 USING (pix) WHERE mask < 1 GROUP BY 1, 2, 3")
+def detectors_view_totals(spark: SparkSession, sf: str) -> DataFrame:
+    det, _ = _detectors(spark, sf)
+    both = _views(spark).crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("det_id"))))
+    return rounded(mu.view_totals(both, det), "u")
+
+
+@query(_CORNERS + ", " + _DET2 + """, tot AS (SELECT det_id, mode, r, SUM(value) AS u FROM views JOIN det2 USING (pix) WHERE mask < 1 GROUP BY 1, 2, 3),
+h AS (SELECT o.frame_id, v.mode, v.r, SUM(cnt * LN(v.value)) AS s FROM own o JOIN photons p ON p.frame_id = o.frame_id JOIN det2 d ON d.det_id = o.det_id AND d.pix = p.pix JOIN views v ON v.pix = p.pix WHERE d.mask < 1 AND blacklist = 0 GROUP BY 1, 2, 3),
+l AS (SELECT o.frame_id, t.mode, t.r, ROUND(LN(w) - u * scale + COALESCE(s, 0), 9) AS logl FROM own o JOIN tot t ON t.det_id = o.det_id JOIN rot ON rot.r = t.r LEFT JOIN h ON h.frame_id = o.frame_id AND h.mode = t.mode AND h.r = t.r WHERE blacklist = 0)
+SELECT frame_id, mode, r, ROUND(logl, 5) AS logl FROM l QUALIFY ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY logl DESC, mode, r) = 1""")
+def detectors_best_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    det, frames = _detectors(spark, sf)
+    v, phi = _views(spark), frames.filter("blacklist = 0").withColumn("phi", F.col("scale"))
+    logl = mu.log_likelihood(tb.photons(spark, sf), phi, {0: v, 1: v}, tb.rotations(spark), det, 24)
+    return rounded(mu.best_rotation(rounded(logl, "logl", digits=9)), "logl", digits=5)
+
+
+@query("SELECT frame_id, file_id, blacklist, scale, cls FROM frames WHERE (file_id + 1) % 2 = 1 AND frame_id < (SELECT COUNT(*) FROM frames)")
+def frames_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """By a list of numbers."""
+    from speckle.sources import reader
+
+    f = tb.frames(spark, sf)
+    numbers = f.filter(((F.col("file_id") + 1) % 2 == 1) & (F.col("frame_id") < f.count())).select(F.lit(0).alias("line"), F.col("frame_id").alias("value"))
+    return reader.chosen(f, numbers)
+
+
+@query("""c AS (SELECT frame_id, CAST(FLOOR(FLOOR(pix / 8) / 2) * 4 + FLOOR((pix % 8) / 2) AS INT) AS pix, FLOOR(val * 20) AS v FROM dense WHERE FLOOR(val * 20) > 0)
+SELECT frame_id, pix, CAST(SUM(v) AS INT) AS cnt FROM c GROUP BY 1, 2""")
+def frames_from_stack(spark: SparkSession, sf: str) -> DataFrame:
+    from speckle.sources import reader
+
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("frame_id"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 20).cast("double")).alias("frame"))
+    return reader.from_stack(x, (8, 8), 2)
+
+
 @query(_COUNTS + " SELECT file_id, ROUND(AVG(fcount), 6) AS mean_count FROM counts JOIN frames USING (frame_id) GROUP BY 1")
 def mean_counts(spark: SparkSession, sf: str) -> DataFrame:
     f = tb.frames(spark, sf)
