@@ -64,7 +64,7 @@ def likelihoods(photons: DataFrame, frames: DataFrame, views: DataFrame, rot: Da
     left = frames.select("frame_id", *per_frame).join(photons.join(good(det), "pix"), "frame_id", "left")
     left = left.select(_part(blocks, "frame_id").alias("block"), _each(tiles).alias("tile"), "frame_id", *per_frame, "pix", "cnt")
     right = views.join(F.broadcast(pixels), "pix").join(F.broadcast(rot.select("r", "w")), "r")
-    right = right.select(_each(blocks).alias("block"), _part(tiles, "mode", "r").alias("tile"), "mode", "r", "pix", "value", "w", "background")
+    right = right.select(_each(blocks).alias("block"), _part(tiles, "mode", "r").alias("tile"), "mode", "r", F.col("pix").alias("pix"), "value", "w", "background")
 
     def cell(f, v):
         out = [[], [], [], []]
@@ -113,7 +113,8 @@ def tomogram_sums(post: DataFrame, photons: DataFrame, phi: DataFrame, det: Data
     """
     blocks = max(1, -(-n_frames // frames_in_block))
     left = phi.select("frame_id", "phi").join(photons.join(good(det, 2), "pix"), "frame_id", "left").select(_part(blocks, "frame_id").alias("block"), "frame_id", "phi", "pix", "cnt")
-    right = post.filter(F.col("p") > PROB_MIN).select(_part(blocks, "frame_id").alias("block"), "frame_id", "mode", "r", "p")
+    # an alias, as both sides may come from one table of frames
+    right = post.filter(F.col("p") > PROB_MIN).select(_part(blocks, "frame_id").alias("block"), F.col("frame_id").alias("frame_id"), "mode", "r", "p")
 
     def cell(f, v):
         rows = []

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,10 @@ from speckle.operators import blocks as bl
 from speckle.operators import frames as fr
 from speckle.operators import maximize as mx
 from speckle.operators import views as vw
+from speckle.sources import sinks
 from speckle.sources import tables as tb
+from speckle.sources import texts
+from speckle.sources.texts import Params
 
 
 def with_background(det: DataFrame) -> DataFrame:
@@ -90,26 +95,44 @@ class State:
         return vw.friedel(mx.mixed_model(self.model, new, alpha), self.size, 2)
 
 
-def reconstruct(spark: SparkSession, sf: str, iterations: int, out: str) -> list[dict]:
-    """Runs the loop; every iteration's model, orientations and metrics go to partitions under `out`.
+def reconstruct(spark: SparkSession, sf: str, iterations: int, out: str, p: Params | None = None) -> list[dict]:
+    """Runs the loop; every iteration's tables go to partitions under `out`, and a line of the log as each one ends.
 
-    The model that the next iteration reads is the written one, so plans do not grow. Stops where the change is not a
-    number. Returns the log: iteration, rms_change, info_rate, log_likelihood, num_rot.
+    Tables: params, model, inter_weight, posterior, orientations, metrics, occupancies, scale, quaternions. p: alpha,
+    need_scaling, beta (the start, if above 0, in place of one for each frame), beta_jump and beta_period. What the next
+    iteration reads is written, so plans do not grow. A log with iterations is gone on from; one without is moved aside.
+    Stops where the change is not a number. Returns the rows of this call: iteration, seconds, rms_change, info_rate,
+    log_likelihood, num_rot, beta.
     """
-    model, log = tb.model(spark), []
-    model.write.mode("overwrite").parquet(f"{out}/model/iteration=0")
-    for k in range(1, iterations + 1):
-        old = spark.read.parquet(f"{out}/model/iteration={k - 1}")
+    p, path, log = p or Params(), f"{out}/EMC.log", []
+    os.makedirs(out, exist_ok=True)
+    read = lambda name, k: spark.read.parquet(f"{out}/{name}/iteration={k}")
+    start = texts.resumed(spark, path)
+    if start == 1:
+        sinks.backup(path)
+        sinks.iteration(out, 0, model=tb.model(spark))
+        sinks.log_head(path, num_data=tb.frames(spark, sf).count(), alpha=p.alpha, need_scaling=p.need_scaling)
+    for k in range(start, start + iterations):
+        began, old = time.monotonic(), read("model", k - 1)
         s = State(spark, sf, old)
-        s.post.write.mode("overwrite").parquet(f"{out}/posterior/iteration={k}")
-        s.post = spark.read.parquet(f"{out}/posterior/iteration={k}")
-        s.next_model().write.mode("overwrite").parquet(f"{out}/model/iteration={k}")
-        s.metrics.write.mode("overwrite").parquet(f"{out}/metrics/iteration={k}")
-        mx.best_rotation(s.post).write.mode("overwrite").parquet(f"{out}/orientations/iteration={k}")
-        rms = mx.rms_change(old, spark.read.parquet(f"{out}/model/iteration={k}")).first()[0]
-        mean = mx.averages(spark.read.parquet(f"{out}/metrics/iteration={k}"), s.frames).first()
-        log.append({"iteration": k, "rms_change": rms, "info_rate": mean[0], "log_likelihood": mean[1], "num_rot": s.rot.count()})
+        if p.need_scaling and k > 1:
+            s.phi = read("scale", k - 1)
+        first = s.betas if p.beta <= 0 else s.betas.withColumn("beta", F.lit(p.beta))
+        s.betas = mx.scheduled_beta(first, k, p.beta_jump, p.beta_period)
+        sinks.params(spark, out, k, p, iteration=k, num_rot=s.rot.count())
+        sinks.iteration(out, k, posterior=s.post, quaternions=s.rot)
+        s.post = read("posterior", k)
+        sums = vw.merged(s.coords, s.tomograms, s.size)
+        sinks.iteration(out, k, inter_weight=sums)
+        new = vw.friedel(mx.mixed_model(old, vw.divided(read("inter_weight", k)), p.alpha), s.size, 2)
+        if p.need_scaling:
+            phi, new = mx.normalised_scales(mx.updated_scale(s.post, s.totals, s.counts), new)
+            sinks.iteration(out, k, scale=phi)
+        sinks.iteration(out, k, model=new, metrics=s.metrics, occupancies=mx.occupancy(s.post), orientations=mx.best_rotation(s.post))
+        rms, mean = mx.rms_change(old, read("model", k)).first()[0], mx.averages(read("metrics", k), s.frames).first()
+        beta = s.betas.join(s.phi.select("frame_id"), "frame_id", "left_semi").agg(F.avg("beta")).first()[0]
+        log.append({"iteration": k, "seconds": time.monotonic() - began, "rms_change": rms, "info_rate": mean[0], "log_likelihood": mean[1], "num_rot": s.rot.count(), "beta": beta})
+        sinks.log_row(path, *log[-1].values())
         if math.isnan(rms):
             break
-    spark.createDataFrame(log).write.mode("overwrite").parquet(f"{out}/iter_log")
     return log
