@@ -95,8 +95,9 @@ def friedel(model: DataFrame, size: int, dims: int) -> DataFrame:
     ok, mirror = F.lit(True), F.lit(0).cast("long")
     for i, e in enumerate(idx):
         ok, mirror = ok & (e >= first), mirror + (size - 1 + first - e) * size**i
-    other = model.select(*keys, F.when(ok, mirror).otherwise(F.col("vox")).cast("long").alias("vox"), "intens")
-    return model.union(other).groupBy(*keys, "vox").agg(F.avg("intens").alias("intens"))
+    # both places from one row: a union would compute the model twice
+    both = F.explode(F.array("vox", F.when(ok, mirror).otherwise(F.col("vox")).cast("long")))
+    return model.select(*keys, both.alias("vox"), "intens").groupBy(*keys, "vox").agg(F.avg("intens").alias("intens"))
 
 
 def rotated(volume: DataFrame, matrices: DataFrame, size: int) -> DataFrame:
