@@ -88,12 +88,12 @@ class ByteConv:
         at, k = np.nonzero(g)
         row, value = rows[at, k], g[at, k]
         window = x[row[:, None], (arg[row, k] * STEP)[:, None] + np.arange(KERNEL)]
-        back = np.zeros((KERNEL * WIDTH, FILTERS), "f4")
-        np.add.at(back.T, k, p["embed"][window].reshape(len(k), -1) * value[:, None])
-        embed = np.zeros_like(p["embed"])
-        np.add.at(embed, window, (value[:, None] * p["filters"].T[k]).reshape(len(k), KERNEL, WIDTH))
-        bias = np.zeros(FILTERS, "f4")
-        np.add.at(bias, k, value)
+        # What each byte at each place of each filter adds; both gradients are products of it.
+        seen = np.bincount(((k[:, None] * KERNEL + np.arange(KERNEL)) * 256 + window).ravel(), np.repeat(value, KERNEL), FILTERS * KERNEL * 256)
+        seen = seen.reshape(FILTERS * KERNEL, 256).astype("f4")
+        back = (seen @ p["embed"]).reshape(FILTERS, KERNEL * WIDTH).T
+        embed = seen.T @ p["filters"].T.reshape(FILTERS * KERNEL, WIDTH)
+        bias = np.bincount(k, value, FILTERS).astype("f4")
         return {"embed": embed, "filters": back, "bias": bias, "out": f.T @ d, "out_bias": d.sum(keepdims=True)}
 
     def fit(self, texts: list[bytes], y: np.ndarray, updates: int = UPDATES, seed: int = SEED) -> ByteConv:
