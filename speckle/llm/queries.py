@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_counts", "mixing", "exact_dedup", "quality", "token_files", "ann", "pii", "jaccard", "substring_dedup", "quality_rules", "alignment")
+MODULES = ("packing", "token_counts", "mixing", "exact_dedup", "quality", "token_files", "ann", "pii", "jaccard", "substring_dedup", "quality_rules", "alignment", "filter_audit")
 
 
 def _modules():
