@@ -121,7 +121,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, updates: int = UPDATES) -> ByteConv:
     """A model of labels.quality from at most `rows` labelled rows that are not held out, of SAMPLE_BYTES in all.
 
-    Only the whole texts of these rows reach the driver. Null labels and ids teach nothing; of several labels of a
+    Only the whole texts of these rows reach the driver; a row whose text does not fit any more is left out, and those after
+    it are tried. Null labels and ids teach nothing; of several labels of a
     document the largest holds, of rows that repeat an id any. Without any label every score is that of the untrained
     net. Other columns are ignored.
     """
@@ -129,7 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, updates: in
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col("doc_id").alias("_id"), c.text_or_empty().alias("_t"))
     sizes = texts.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.max(F.octet_length("_t")).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
-    fits = [(r._id, r._y) for r, total in zip(sizes, np.cumsum([r.n for r in sizes])) if total <= SAMPLE_BYTES]
+    fits, left = [], SAMPLE_BYTES
+    for r in sizes:
+        if r.n <= left:
+            fits.append((r._id, r._y))
+            left -= r.n
     known = docs.sparkSession.createDataFrame(fits, known.schema)
     got = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).collect()
     got.sort(key=lambda r: r._id)
