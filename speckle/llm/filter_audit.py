@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
-from speckle.llm.quality_rules import _pieces
+from speckle.llm._shingles import pieces
 
 FILTERS = "ABCDE"
 CAPITALS, SIGNS = bytes(range(65, 91)), b"#$%&*|"
@@ -30,7 +30,7 @@ def masks(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         text = raw[lo:hi].tobytes()
         n, distinct = 0, set()
-        for piece in _pieces(text):
+        for piece in pieces(text):
             words = piece.split()
             n += len(words)
             distinct.update(words)

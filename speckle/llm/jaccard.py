@@ -1,7 +1,12 @@
-"""N-gram Jaccard join by grouped prefixes: collapse, filter group pairs, expand and verify members."""
+"""N-gram Jaccard join by grouped prefixes: collapse, filter group pairs, expand and verify members.
+
+Candidates are found by 64 bits of a shingle's hash, and texts are one class when the 128-bit digest of their sets of
+128-bit shingles is the same (BLAKE2b, by words and by sets). Pairs are verified by their words, not by hashes.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
-from speckle.llm._shingles import shingle_sets
+from speckle.llm._shingles import exact_sets, shingle_sets
 
 WORDS, PERCENT = 4, 85
 #: Counters of shingles (a byte each is broadcast), the pieces that they are added up in, and what makes a shingle frequent.
@@ -41,8 +46,7 @@ def _sets(batch, k: int):
 
 def _digest(s: np.ndarray) -> bytes:
     """128 bits of a set."""
-    a, b = c.mix(s + np.uint64(1)), c.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)], "<u8").tobytes()
+    return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
@@ -62,7 +66,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            got = [s for s in _sets(b, k) if len(s)]
+            got = [s[:, 0] for s in _sets(b, k) if len(s)]
             if got:
                 at, n = np.unique((np.concatenate(got) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
                 total[at] += n
@@ -101,6 +105,7 @@ def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
             sets = _sets(b, k)
             prefixes, keys = [], []
             for s in sets:
+                s = s[:, 0]
                 p = prefix_length(len(s), percent)
                 level = levels[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 if level.any():
@@ -176,35 +181,32 @@ def _bucket_pairs(percent: int):
     return pairs
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) of the documents with these distinct ids, from their texts once more."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with these distinct ids."""
     ids = ids.select(F.col("id").alias("_id"))
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    some = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.astype("<u8").tobytes() for s in _sets(b, k)], pa.binary())], ["id", "set"])
-
-    return some.mapInArrow(run, "id long, set binary")
+    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose sets link; pairs are distinct."""
+    """Those of the pairs (a, b) of documents whose sets link, by their words; pairs are distinct."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = c.stored(_sets_of(docs, ids, k), "jaccard-sets")
+    texts = c.stored(_texts_of(docs, ids), "jaccard-texts")
 
     def check(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for b in c.slices([whole], "tb", size=4 << 20):
+                x, y = (b.column(n).dictionary_encode() for n in ("ta", "tb"))
+                sets = exact_sets([*x.dictionary.to_pylist(), *y.dictionary.to_pylist()], k)
+                good = []
+                for i, j in zip(x.indices.to_pylist(), y.indices.to_pylist()):
+                    p, q = sets[i], sets[len(x.dictionary) + j]
+                    both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                    good.append(len(p) > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return c.stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "jaccard-links")
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return c.stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -212,8 +214,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
 
     Two documents link when the Jaccard similarity of their sets of k-word shingles is at least percent / 100; the
     component is the least doc_id reachable by links. Null, empty and blank texts have empty sets and link with
-    nothing. Equal sets are one class from the start, so rows that repeat cost nothing more. An empty table gives an
-    empty result; other columns are ignored. Shingles are compared by 64-bit hashes.
+    nothing. Equal sets are one class from the start, so rows that repeat cost nothing more. Rows that repeat a doc_id with
+    other texts are one document, which links where any of its texts does; rows without a doc_id link with nothing and have
+    no component. An empty table gives an empty result; other columns are ignored.
 
     First round: every two groups (equal size and prefix) that share a prefix token of few groups, and for tokens of
     many groups each with its pivots, by their first members; and members of a group with its first. Second round, for
@@ -251,6 +254,9 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     inside = members.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
     links = verified(docs, pairs.union(inside).distinct(), k, percent)
     links = _second_round(docs, links, pairs, members, heat if any_hot else None, k, percent)
+    # A doc_id of several texts joins their classes.
+    several = full.groupBy("doc_id").agg(F.min("ck").alias("lo"), F.max("ck").alias("hi")).filter("lo <> hi").select("doc_id")
+    links = links.union(full.select("doc_id", "ck").join(several, "doc_id", "left_semi").distinct().join(classes.select("ck", "id"), "ck").select("doc_id", "id"))
     comp = c.stored(c.components(links), "jaccard-components")
     c.drop(groups, hottest, found, pairs, *[heat] * any_hot)
     named = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("ck", F.coalesce("component", "id").alias("component_id"), "count")

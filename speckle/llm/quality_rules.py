@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
-from speckle.llm._shingles import SPACE
+from speckle.llm._shingles import SPACE, pieces
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
-#: Texts are cut into words in pieces of about so many bytes.
-PIECE = 1 << 20
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 #: Ratios are taken as if a text had this many ordinary words more, of ORDINARY characters each: a short text says less.
 PRIOR, ORDINARY = 30, 5
@@ -44,18 +42,6 @@ _SYMBOL[list(SYMBOLS)] = True
 _LETTER = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
 
 
-def _pieces(text: bytes):
-    """text cut at white space into pieces of about PIECE bytes; a longer word is one."""
-    lo = 0
-    while lo < len(text):
-        hi = lo + PIECE
-        while hi < len(text) and not (near := SPACE[np.frombuffer(text, np.uint8, min(4096, len(text) - hi), hi)]).any():
-            hi += len(near)
-        hi = len(text) if hi >= len(text) else hi + int(near.argmax())
-        yield text[lo:hi]
-        lo = hi
-
-
 def statistics(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A row of the five statistics of each text; words, lines and windows are compared as they are, not by hashes."""
     out = np.zeros((len(ends) - 1, 5), np.int64)
@@ -63,7 +49,7 @@ def statistics(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     ids = []
     for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         own, text = raw[lo:hi], raw[lo:hi].tobytes()
-        for piece in _pieces(text):
+        for piece in pieces(text):
             words = piece.split()
             for w in set(words).difference(numbers):
                 numbers[w] = len(numbers)

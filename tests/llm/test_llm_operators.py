@@ -265,7 +265,36 @@ def test_words_match_the_pattern():
     h, n = words(raw, ends)
     assert n.tolist() == [len(t.split()) for t in texts]
     want = [w.lower() for t in texts for w in t.split()]
-    assert [h[i] == h[j] for i in range(len(want)) for j in range(i)] == [want[i] == want[j] for i in range(len(want)) for j in range(i)]
+    assert [(h[i] == h[j]).all() for i in range(len(want)) for j in range(i)] == [want[i] == want[j] for i in range(len(want)) for j in range(i)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 7])
+def test_exact_sets_are_those_of_the_shingles(k):
+    from speckle.llm import _shingles
+
+    r = random.Random(k)
+    texts = [" ".join(r.choice(["a", "B", "b", "cc", "d"]) for _ in range(n)).encode() for n in (0, 1, 2, 3, 4, 5, 8, 40, 200)] + [b"", b" \n", b"a\x0bB\x0c"]
+    want = []
+    for t in texts:
+        w = t.lower().split()
+        want.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    for got in (_shingles.exact_sets(texts, k), [[tuple(x) for x in s.tolist()] for s in _shingles.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]), k)]):
+        assert [len(x) for x in got] == [len(x) for x in want]
+        assert all(len(set(list(x)) & set(list(y))) == len(p & q) for x, p in zip(got, want) for y, q in zip(got, want))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    # a Thue-Morse word and its complement: equal under any polynomial hash modulo a power of two
+    one, two = ("".join(x[bin(i).count("1") & 1] for i in range(1024)) for x in ("ab", "ba"))
+    df = spark.createDataFrame([(1, one + " one two three four"), (2, two + " one two three four"), (3, one), (4, two)], "doc_id long, text string")
+    assert [(r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).orderBy("doc_id").collect()] == [(2, 1), (2, 2), (1, 3), (1, 4)]
+
+
+def test_a_doc_id_of_several_texts_is_one_document(spark):
+    x, y = BASE, prose(80)
+    df = spark.createDataFrame([(5, x), (5, y), (3, y), (9, x + " end"), (None, x), (7, prose(50))], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (None, None), (7, 7)}
 
 
 def brute_spans(texts, window):
@@ -451,6 +480,43 @@ def test_scores_do_not_depend_on_company():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_scores_are_those_of_a_second_forward_pass():
+    """The network written out, byte by byte and chunk by chunk."""
+    m = quality.ByteConv(5)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    block, kernel, step = quality.BLOCK, quality.KERNEL, quality.STEP
+
+    def score(text):
+        rows = max(1, -(-len(text) // block))
+        padded = text + b"\0" * (rows * block + kernel - len(text))
+        best = []
+        for row in range(rows):
+            # a row's last windows look ahead into the next row of the same text
+            acts = []
+            for at in range(row * block, (row + 1) * block, step):
+                values = np.concatenate([p["embed"][b] for b in padded[at : at + kernel]])
+                acts.append(values @ p["filters"] + p["bias"])
+            best.append(np.max(acts, 0))
+        chunks = [np.maximum(np.maximum(best[i], best[min(i + 1, rows - 1)]), 0) for i in range(max(1, rows - 1))]
+        last = np.maximum(best[-1], 0)
+        features = np.concatenate([np.maximum(np.max(chunks, 0), last), np.mean(chunks, 0)])
+        return 1 / (1 + np.exp(-(features @ p["out"] + p["out_bias"][0])))
+
+    texts = [t.encode() for t in ("", "a", prose(30), prose(400), "x" * 255, "x" * 256, "y" * 257, "naïve café 日本語 " * 40, prose(2000))]
+    got = m.scores(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    assert np.allclose(got, [score(t) for t in texts], atol=1e-5)
+
+
+def test_a_text_past_the_bound_leaves_the_rest_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    texts = {i: ("good words here " * 20 if i % 2 else "$$$ %%% junk " * 20) for i in range(90)}
+    first = min((i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0])
+    texts[first] = "z" * 30_000
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    m = quality.fit(d, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"), updates=20)
+    assert any((m.p[k] != quality.ByteConv().p[k]).any() for k in m.p)
+
+
 def test_quality(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
