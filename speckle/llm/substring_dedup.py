@@ -8,11 +8,12 @@ of which they are suffixes, and what the parse goes on with, up to the last wind
 The dictionary is the items' phrases, sorted from their ends; neighbours' common suffixes give, for each length d, the
 classes of equal phrase suffixes. The parse is sorted by what follows the triggers; neighbours' common prefixes give the
 classes of equal continuations. A window is a pair of both, so corpus order is that of (suffix class, rank in the
-parse), and a window is repeated where a neighbour in this order agrees on WINDOW bytes. Bytes are compared, not hashes.
+parse), and a window is repeated where a neighbour in this order agrees on WINDOW bytes. Bytes are compared, not hashes;
+items that come again within a chunk are found by hashes and their bytes compared too.
 
 Only items whose core occurs again are sorted: a count of hashed cores, in which a clash merely adds work, finds them.
-Items of one core meet in one task; a core of more than PART_ROWS items is dealt to parts, whose windows then meet by
-126-bit digests, one row for each class of a part.
+Items of one core meet in one task; a core of more than PART_ROWS items is dealt to parts, whose windows then meet by the
+128 bits of BLAKE2b, one row for each class of a part: these windows alone are not compared byte by byte.
 """
 
 from __future__ import annotations
@@ -182,6 +183,20 @@ def _runs(x: np.ndarray):
     return [(x[lo], lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
+def _same_bytes(text: Text, first: np.ndarray, stop: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_same() of items by their bytes and the trigger's place in them: grouped by hashes, then compared with their group's first."""
+    head, n, number = _same(text.hash(first, stop), text.second(first, stop), trigger - first)
+    i = np.nonzero(n[number] > 1)[0]
+    j = head[number[i]]
+    size = stop[i] - first[i]
+    if (size == stop[j] - first[j]).all() and (text.raw[_spread(first[i], size)] == text.raw[_spread(first[j], size)]).all():
+        return head, n, number
+    seen: dict[tuple, int] = {}
+    number = np.array([seen.setdefault((q - a, text.raw[a:b].tobytes()), len(seen)) for a, b, q in zip(first.tolist(), stop.tolist(), trigger.tolist())], np.int64)
+    _, head, n = np.unique(number, return_index=True, return_counts=True)
+    return head, n, number
+
+
 def _rows(bucket: np.ndarray, chunk: int, kind: int, data: np.ndarray):
     """One row for each bucket, of the records that fall into it."""
     order = np.argsort(bucket, kind="stable")
@@ -217,7 +232,7 @@ def _first_pass(buckets: int, window: int, gram: int, period: int, core: int, ch
             rows = [_table(t, ends, x.items, chunk, buckets)]
             if len(x.at):
                 stop = x.last + window
-                head, n, number = _same(x.text.hash(x.first, stop), x.text.second(x.first, stop), x.trigger - x.first)
+                head, n, number = _same_bytes(x.text, x.first, stop, x.trigger)
                 again = n[number] > 1
                 if again.any():
                     rows.append(_to_chunk(chunk, FULL, _ranges(x.at[again], (x.at + stop - x.first)[again]), buckets))
@@ -405,9 +420,10 @@ def _sort(window: int, core: int, buckets: int):
             n = back[row] - (window - size[row] + back[row]) + 1
             d = _spread(window - size[row] + back[row], n)
             i, row, start = np.repeat(i, n), np.repeat(head[i], n), np.repeat(np.arange(len(i)) * width, n) + reach - d
-            text = Text(np.ascontiguousarray(rows[head[np.nonzero(hot)[0]]]).ravel(), np.array([0]))
+            text = np.ascontiguousarray(rows[head[np.nonzero(hot)[0]]]).tobytes()
             e = np.zeros(len(start), DIGEST)
-            e["a"], e["b"] = text.hash(start, start + window), text.second(start, start + window)
+            digests = b"".join(hashlib.blake2b(text[k : k + window], digest_size=16).digest() for k in start.tolist())
+            e["a"], e["b"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
             e["chunk"], e["at"] = np.where(repeated[i, d], -1, chunk[row]), np.where(repeated[i, d], 0, at[row] + back[row] - d)
             e = e[_same(e["a"], e["b"])[0]]
             out += _rows((e["a"] >> np.uint64(20)).astype(np.int64) % buckets + DIGEST_BUCKETS, -1, DIGESTS, e)
@@ -438,7 +454,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, peri
     """(doc_id, th, spans) of the rows (doc_id, th, text) that share a window with another place; th is a hash of the text.
 
     spans: ranges of bytes, pairs of little-endian 64-bit integers, in one or more binaries of a list; their union is
-    what such windows cover. gram is at most core, and window - core below 256.
+    what such windows cover. gram is at most core, and window - core below 256. rows come from a table, so that a task
+    that runs again reads them in the same order.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -451,7 +468,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, peri
             return found.groupBy("doc_id", "th").agg(F.collect_set("spans").alias("spans"))
         # Of rows that repeat a doc_id and its text any stands for all, as their spans are joined below.
         wanted = found.filter("n_live > 0").groupBy("doc_id", "th").agg(F.max(F.struct("n_live", "live", "hot")).alias("w")).select("doc_id", "th", "w.live", "w.hot")
-        again = rows.join(c.stored(wanted, "spans-live"), ["doc_id", "th"]).select("doc_id", "th", "text", "live", "hot")
+        # In a fixed order: a task that runs again after a lost executor must cut the same chunks.
+        again = rows.join(c.stored(wanted, "spans-live"), ["doc_id", "th"]).select("doc_id", "th", "text", "live", "hot").sortWithinPartitions("doc_id", "th")
         buckets = max(BUCKETS, live // BUCKET_ROWS)
         items = again.mapInArrow(_second_pass(buckets, *args, part_rows), ROW).groupBy("bucket").applyInArrow(_sort(window, core, buckets), ROW)
         met = items.groupBy("bucket").applyInArrow(_meet(window), ROW)

@@ -322,6 +322,19 @@ def spliced(seed):
     return texts
 
 
+def test_items_of_equal_hashes_are_told_apart(monkeypatch):
+    raw = np.frombuffer(b"abcdabcdabceabcd", np.uint8)
+    text = substring_dedup.Text(raw, np.array([0, 16]))
+    first = np.array([0, 4, 8, 12])
+    want = [0, 0, 1, 0]
+    for same in (text.hash, lambda a, b: np.zeros(len(a), np.uint64)):
+        monkeypatch.setattr(text, "hash", same)
+        monkeypatch.setattr(text, "second", same)
+        head, n, number = substring_dedup._same_bytes(text, first, first + 4, first + 1)
+        assert [number[i] == number[0] for i in range(4)] == [x == 0 for x in want]
+        assert sorted(n.tolist()) == [1, 3] and sorted(number[head].tolist()) == [0, 1] and sorted(head.tolist()) == [0, 2]
+
+
 @pytest.mark.parametrize("how", [{"chunk_bytes": 1000}, {"chunk_bytes": 20000}, {"chunk_bytes": 4000, "slab": 333}, {"chunk_bytes": 1000, "part_rows": 1}, {"chunk_bytes": 3000, "part_rows": 3, "period": 16}], ids=str)
 def test_substrings(spark, how):
     texts = spliced(str(how))
