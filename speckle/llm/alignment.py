@@ -18,6 +18,8 @@ from speckle.llm import _tokens
 CACHE_UNITS, CACHE_CHARS = 300_000, 32 << 20
 #: Texts are cut into units in pieces of about so many characters.
 PIECE = 1 << 20
+#: Units are encoded together up to about so many characters; links of a group beyond so many are counted by distinct ids.
+AT_ONCE, LONG = 1 << 16, 1 << 12
 #: Pairs of ids whose counts are broadcast, at most (16 bytes each): the most frequent ones. Others are joined.
 HEAD = 1 << 19
 #: Pairs that a task holds before it merges them.
@@ -27,7 +29,7 @@ ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha
 
 @functools.cache
 def _byte_level(path: str):
-    """The tokenizer, for which special tokens' strings are plain text, and the bytes of each id."""
+    """The tokenizer, for which special tokens' strings are plain text, and the bytes of each id and how many."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -36,12 +38,15 @@ def _byte_level(path: str):
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    return t, {i: bytes(byte[x] for x in token) if all(x in byte for x in token) else token.encode() for token, i in vocab.items()}
+    entry = {i: bytes(byte[x] for x in token) if all(x in byte for x in token) else token.encode() for token, i in vocab.items()}
+    sizes = np.zeros(max(entry) + 1, np.int64)
+    sizes[list(entry)] = [len(x) for x in entry.values()]
+    return t, entry, sizes
 
 
 @functools.cache
 def _sentence_pieces(path: str):
-    """The tokenizer, the bytes of each id, and whether the id stands for a single byte.
+    """The tokenizer, the bytes of each id, how many, and whether the id stands for a single byte.
 
     No piece may hold a space after another character: then nothing merges across the start of a word, and units can be
     encoded by themselves.
@@ -50,98 +55,74 @@ def _sentence_pieces(path: str):
     pieces = [t.id_to_piece(i) for i in range(t.get_piece_size())]
     if any("▁" in p.lstrip("▁") for p in pieces):
         raise ValueError(f"{path}: pieces run across words")
-    single = [t.is_byte(i) for i in range(len(pieces))]
-    return t, [bytes([int(p[1:-1], 16)]) if s else p.replace("▁", " ").encode() for p, s in zip(pieces, single)], single
+    single = np.array([t.is_byte(i) for i in range(len(pieces))])
+    entry = [bytes([int(p[1:-1], 16)]) if s else p.replace("▁", " ").encode() for p, s in zip(pieces, single)]
+    return t, entry, np.array([len(x) for x in entry]), single
 
 
-def _cuts(spans: list[tuple[int, int]], rough: list[bool], sizes: list[int]) -> list[int]:
+def _ends(coarse: np.ndarray, rough: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte offsets at which tokens end: the ends of their spans, refined by decoded bytes where a span says too little."""
-    out, at = [], 0
-    for (_, end), unsure, size in zip(spans, rough, sizes):
-        at = at + size if unsure else end
-        out.append(at)
-    return out
+    return np.where(rough, np.cumsum(sizes), coarse)
 
 
-def spans_a(path: str, texts: list[str]):
-    """(ids, ends) of each text that begins with a space; None where the tokens' bytes are not the text's.
+def spans_a(path: str, text: str):
+    """(ids, ends) of a text that begins with a space; None where the tokens' bytes are not the text's.
 
     Spans count characters, and all tokens of a character that is split have the span of the whole: those that another
     one of the same character follows are placed by their own bytes.
     """
-    t, entry = _byte_level(path)
-    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
-        raw, ids, spans = text.encode(), e.ids, e.offsets
-        if b"".join(map(entry.__getitem__, ids)) != raw:
-            yield None
-            continue
-        if len(raw) != len(text):
-            byte_at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in text])]).tolist()
-            spans = [(byte_at[a], byte_at[b]) for a, b in spans]
-        rough = [nxt[0] < own[1] for own, nxt in zip(spans, spans[1:])] + [False]
-        yield ids, _cuts(spans, rough, [len(entry[i]) for i in ids])
-
-
-def spans_b(path: str, texts: list[str]):
+    t, entry, sizes = _byte_level(path)
+    (e,) = t.encode_batch([text], add_special_tokens=False)
+    if b"".join(map(entry.__getitem__, e.ids)) != text.encode():
+        return None
+    ids, spans = np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)
+    rough = np.append(spans[1:, 0] < spans[:-1, 1], False)[: len(ids)]
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        byte_at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
+        spans = byte_at[spans]
+    return ids, _ends(spans[:, 1], rough, sizes[ids])
+
+
+def spans_b(path: str, text: str):
     """The same of the other tokenizer, which adds the first space itself.
 
     Its proto has spans in bytes of the text without that space. Byte-fallback tokens of a character have empty spans
     but for the last one, and are placed by the byte that each stands for. (The library's former 'immutable_proto' is
     called 'proto' in the version installed.)
     """
-    t, entry, single = _sentence_pieces(path)
-    for text, p in zip(texts, t.encode([x[1:] for x in texts], return_type="proto")):
-        pieces = p.pieces
-        ids = [x.id for x in pieces]
-        if b"".join(map(entry.__getitem__, ids)) != text.encode():
-            yield None
-            continue
-        yield ids, _cuts([(x.begin + 1, x.end + 1) for x in pieces], [single[i] for i in ids], [len(entry[i]) for i in ids])
-
-
-def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]):
-    """Runs (ids of A, ids of B) between the offsets at which both have an end."""
-    out, i, j = [], 0, 0
-    of_b = {end: k + 1 for k, end in enumerate(b_ends)}
-    for k, end in enumerate(a_ends):
-        if (to := of_b.get(end)) is not None:
-            out.append((a[i : k + 1], b[j:to]))
-            i, j = k + 1, to
-    return out
+    t, entry, sizes, single = _sentence_pieces(path)
+    pieces = t.encode(text[1:], return_type="proto").pieces
+    ids = [x.id for x in pieces]
+    if b"".join(map(entry.__getitem__, ids)) != text.encode():
+        return None
+    ids = np.array(ids, np.int64)
+    return ids, _ends(np.fromiter((x.end + 1 for x in pieces), np.int64, len(ids)), single[ids], sizes[ids])
 
 
-def linked(groups) -> dict[int, int]:
-    """How often each pair of ids, as a number of 64 bits, is linked; a long group by its distinct ids."""
-    out: dict[int, int] = {}
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            k = a[0] << 32 | b[0]
-            out[k] = out.get(k, 0) + 1
-            continue
-        b = [(x, b.count(x)) for x in set(b)] if len(b) < 9 else list(zip(*map(np.ndarray.tolist, np.unique(b, return_counts=True))))
-        for x in set(a):
-            n = a.count(x)
-            for y, m in b:
-                k = x << 32 | y
-                out[k] = out.get(k, 0) + n * m
-    return out
+def _firm(x: str) -> bool:
+    """Whether units() cuts after the character."""
+    return "!" <= x <= "~" or x.isalnum()
 
 
 def units(text: str) -> list[str]:
-    """space + text cut before single spaces that follow a letter, digit or ASCII sign.
+    """space + text cut before single spaces that follow a letter, digit or ASCII sign; without that space each.
 
     Neither tokenizer has a token, or looks, across such a place: the first splits there whatever stands around it, the
-    second has no piece with a space inside.
+    second has no piece with a space inside, which _sentence_pieces() makes sure of.
     """
-    out, parts = [], []
-    for x in text.split(" "):
-        if parts and (last := parts[-1][-1:]) and ("!" <= last <= "~" or last.isalnum()):
-            out.append(" " + " ".join(parts))
-            parts = [x]
+    parts = text.split(" ")
+    if parts[-1] and all(map(_firm, {x[-1:] for x in parts})):
+        return parts
+    out, own = [], parts[:1]
+    for x in parts[1:]:
+        if own[-1] and _firm(own[-1][-1]):
+            out.append(" ".join(own))
+            own = [x]
         else:
-            parts.append(x)
-    out.append(" " + " ".join(parts))
-    if len(out) > 1 and out[-1] == " ":
+            own.append(x)
+    out.append(" ".join(own))
+    if len(out) > 1 and not out[-1]:
         out[-2:] = [out[-2] + " "]
     return out
 
@@ -160,6 +141,52 @@ def pieces(text: str):
     yield text[lo:]
 
 
+class Batch:
+    """Units encoded as one text: of each its numbers of tokens, groups and links, what its groups are, and its links."""
+
+    def __init__(self, a, b, ends: np.ndarray):
+        """a, b: (ids, ends) of the text; ends: where the units end."""
+        n = len(ends)
+        common = np.intersect1d(a[1], b[1], assume_unique=True)
+        unit, of_a, of_b = np.searchsorted(ends, common), np.searchsorted(common, a[1]), np.searchsorted(common, b[1])
+        n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        add = lambda x: np.bincount(unit, x, n).astype(np.int64)
+        self.counts = np.stack([add(n_a), add(n_b), np.bincount(unit, minlength=n), add(n_a * n_b)], 1)
+        # links: every token of A with every one of B of its group; of long groups every distinct id with every other
+        long = n_a * n_b > LONG
+        each = np.nonzero(~long[of_a])[0]
+        first = np.concatenate([[0], np.cumsum(n_b)])[of_a[each]]
+        size = n_b[of_a[each]]
+        at_b = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pair, owner = np.repeat(a[0][each], size) << 32 | b[0][at_b], np.repeat(unit[of_a[each]], size)
+        times = np.ones(len(pair), np.int64)
+        for g in np.nonzero(long)[0].tolist():
+            (x, nx), (y, ny) = (np.unique(ids[of == g], return_counts=True) for ids, of in ((a[0], of_a), (b[0], of_b)))
+            pair = np.concatenate([pair, (x[:, None] << 32 | y[None]).ravel()])
+            times = np.concatenate([times, (nx[:, None] * ny[None]).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), unit[g])])
+        order = np.argsort(owner, kind="stable")
+        self.pair, self.times, self.n_links = pair[order], times[order], np.bincount(owner, minlength=n)
+        # ids in order, the tokens of A of a group before those of B
+        ids, side = np.concatenate([a[0], b[0]]), np.repeat([0, 1], [len(a[0]), len(b[0])])
+        of = np.concatenate([of_a, of_b])
+        order = np.lexsort((side, of))
+        ids, side, of = ids[order], side[order], of[order]
+        last = np.append((of[1:] != of[:-1]) | (side[1:] != side[:-1]), True)[: len(ids)]
+        said = _said()
+        words = list(map(said.__getitem__, (ids * 3 + last * (1 + side)).tolist()))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(unit[of], size, n).astype(np.int64))]).tolist()
+        text = b"".join(words)
+        self.said = [text[i : j - 1] for i, j in zip(cuts, cuts[1:])]
+
+
+@functools.cache
+def _said() -> list[bytes]:
+    """Each id with what may follow it: another of its kind, the other kind, the next group."""
+    return [f"{i}{x}".encode() for i in range(1 << 16) for x in ",|;"]
+
+
 class Aligned:
     """Units aligned so far: counts and texts of each, and its links as ranges of flat arrays."""
 
@@ -169,54 +196,74 @@ class Aligned:
 
     def clear(self):
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int, bool]] = []
+        self.bad: set[int] = set()
         self.said: list[bytes] = []
-        self.links: list[dict[int, int]] = []
+        self.parts: list[Batch] = []
         self.chars, self.flat = 0, None
 
+    def encoded(self, new: list[str]) -> Batch | None:
+        """Of the units as one text; None if it has other bytes than its tokens."""
+        text = " " + " ".join(new)
+        a, b = spans_a(self.a, text), spans_b(self.b, text)
+        return None if a is None or b is None else Batch(a, b, np.cumsum([1 + len(u.encode()) for u in new]))
+
     def add(self, new: list[str]):
         self.flat = None
-        for u, x, y in zip(new, spans_a(self.a, new), spans_b(self.b, new), strict=True):
-            ok = x is not None and y is not None
-            g = grouped(*x, *y) if ok else []
-            links = linked(g)
-            self.known[u] = len(self.known)
-            self.counts.append((len(x[0]), len(y[0]), len(g), sum(links.values()), True) if ok else (0, 0, 0, 0, False))
-            self.said.append(";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in g).encode())
-            self.links.append(links)
-            self.chars += len(u)
-
-    def numbers(self, text: str) -> np.ndarray:
-        """The numbers of the text's units; none for a text without tokens."""
+        lo = 0
+        while lo < len(new):
+            # so many at once; units that end in what no unit may follow come alone
+            hi, size = lo, 0
+            while hi < len(new) and size < AT_ONCE and (hi == lo or _firm(new[hi - 1][-1:])):
+                size += len(new[hi])
+                hi += 1
+            if (x := self.encoded(new[lo:hi])) is None:
+                if hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    self.add(new[lo:mid])
+                    self.add(new[mid:hi])
+                    lo = hi
+                    continue
+                self.bad.add(len(self.known))
+                x = Batch((np.zeros(0, np.int64),) * 2, (np.zeros(0, np.int64),) * 2, np.array([1]))
+            for u in new[lo:hi]:
+                self.known[u] = len(self.known)
+            self.said += x.said
+            self.parts.append(x)
+            self.chars += size
+            lo = hi
+
+    def numbers(self, text: str, cut: list[list[str]]) -> np.ndarray:
+        """The numbers of the text's units; none for a text without tokens. cut: its units, where they are known."""
         out = []
-        for p in pieces(text) if text else []:
-            us = units(p)
-            if new := set(us).difference(self.known):
-                self.add(sorted(new))
+        for us in cut or map(units, pieces(text)):
+            if not cut and (new := set(us).difference(self.known)):
+                self.add(sorted(new, key=lambda u: _firm(u[-1:]), reverse=True))
             out.append(np.fromiter(map(self.known.__getitem__, us), np.int64, len(us)))
         at = np.concatenate(out) if out else np.zeros(0, np.int64)
-        if not all(self.counts[i][4] for i in np.unique(at).tolist()):
+        if self.bad and not self.bad.isdisjoint(at.tolist()):
             # A unit with other bytes than the tokens': the whole text decides.
-            if (whole := " " + text) not in self.known:
-                self.add([whole])
-            i = self.known[whole]
-            return np.array([i] if self.counts[i][4] else [], np.int64)
+            if text not in self.known:
+                self.add([text])
+            i = self.known[text]
+            return np.array([] if i in self.bad else [i], np.int64)
         return at
 
     def arrays(self):
         if self.flat is None:
-            first = np.concatenate([[0], np.cumsum([len(x) for x in self.links])]).astype(np.int64)
-            n = int(first[-1])
-            key = np.fromiter((k for x in self.links for k in x), np.int64, n)
-            times = np.fromiter((v for x in self.links for v in x.values()), np.int64, n)
-            ids, place = np.unique(key, return_inverse=True)
-            self.flat = first, ids, place.reshape(-1), times, np.array([x[:4] for x in self.counts], np.int64).reshape(-1, 4)
+            join = lambda name: np.concatenate([getattr(x, name) for x in self.parts]) if self.parts else np.zeros(0, np.int64)
+            first = np.concatenate([[0], np.cumsum(join("n_links"))]).astype(np.int64)
+            ids, place = np.unique(join("pair"), return_inverse=True)
+            self.flat = first, ids, place.reshape(-1), join("times"), join("counts").reshape(-1, 4)
         return self.flat
 
     def rows(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         if len(self.known) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.clear()
-        of = [self.numbers(t) for t in texts]
+        # units of all short texts at once
+        cut = [[units(t)] if 0 < len(t) <= PIECE else [] for t in texts]
+        if new := set().union(*(x[0] for x in cut if x)).difference(self.known):
+            self.add(sorted(new, key=lambda u: _firm(u[-1:]), reverse=True))
+        of = [self.numbers(t, x) if t else np.zeros(0, np.int64) for t, x in zip(texts, cut)]
         first, ids, place, times, counts = self.arrays()
         n = np.array([len(x) for x in of])
         at = np.concatenate(of) if of else np.zeros(0, np.int64)
