@@ -86,5 +86,5 @@ def put_back(total: np.ndarray, weights: np.ndarray, coords: np.ndarray, values:
     inside, corners = cells(coords, size)
     for place, weight in corners:
         at, w = place[inside], weight[inside]
-        total += np.bincount(at, w * values[inside], len(total))
-        weights += np.bincount(at, w, len(total))
+        np.add.at(total, at, w * values[inside])
+        np.add.at(weights, at, w)

@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,15 +143,57 @@ def about(rot: DataFrame, best: tuple[float, float, float, float], most: float)
     return rot.filter(sum(((F.col(f"q{i}") - float(b)) * (F.col(f"q{i}") - float(b)) for i, b in enumerate(best)), F.lit(0.0)) < most)
 
 
+def _angle(dots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.minimum(np.abs(dots), 1.0))
+
+
+def _reach() -> float:
+    """The largest angle from a rotation to the nearest vertex of the 600-cell: that of a cell's centre."""
+    v = cell600()
+    one = v[0]
+    near = v[np.abs(v @ one - PHI / 2) < 1e-6]
+    a = near[0]
+    b = near[np.abs(near @ a - PHI / 2) < 1e-6][0]
+    d = near[(np.abs(near @ a - PHI / 2) < 1e-6) & (np.abs(near @ b - PHI / 2) < 1e-6)][0]
+    centre = one + a + b + d
+    return float(_angle(one @ centre / np.linalg.norm(centre)))
+
+
+def indexed(rot: DataFrame, within: str | None = None) -> DataFrame:
+    """rot with `place`, the nearest of the 60 vertices of the 600-cell up to sign; or a row for each place that may hold a
+    rotation within the distance that the column `within` names (null: every place)."""
+    names, kinds = rot.columns, {f.name: f.dataType for f in rot.schema.fields}
+
+    def run(batches):
+        v, reach = half(cell600()), _reach()
+        for b in batches:
+            q = np.stack([b.column(f"q{i}").to_numpy() for i in range(4)], 1)
+            angle = _angle(q @ v.T)
+            if within is None:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle.argmin(1))], [*names, "place"])
+                continue
+            dist = b.column(within).to_numpy(zero_copy_only=False).astype(float)
+            most = np.where(np.isnan(dist), np.pi, np.arcsin(np.sqrt(np.clip(dist, 0, 1)))) + reach + 1e-9
+            i, place = np.nonzero(angle <= most[:, None])
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(i)).columns, pa.array(place)], [*names, "place"])
+
+    return rot.mapInArrow(run, ", ".join(f"{n} {kinds[n].simpleString()}" for n in names) + ", place long")
+
+
 def nearest(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-    """(r, coarse, dist): the nearest coarse rotation, ties to the least; a coarse set is a few thousand rows.
+    """(r, coarse, dist): the nearest coarse rotation, ties to the least, of every fine one.
 
-    The distance is one minus the squared inner product.
+    The distance is one minus the squared inner product. Coarse rotations are indexed by the nearest vertex of the
+    600-cell. The nearest in a rotation's own place bounds the distance, and only places that reach into that bound are
+    joined then; a place is as far from its rotations as a cell's centre from its corners at most.
     """
-    c = F.broadcast(coarse.select(F.col("r").alias("coarse"), *[F.col(f"q{i}").alias(f"c{i}") for i in range(4)]))
     dot = F.col("q0") * F.col("c0") + F.col("q1") * F.col("c1") + F.col("q2") * F.col("c2") + F.col("q3") * F.col("c3")
-    x = fine.crossJoin(c).withColumn("dist", 1 - dot * dot)
-    return x.groupBy("r").agg(F.min(F.struct("dist", "coarse")).alias("m")).select("r", F.col("m.coarse").alias("coarse"), F.col("m.dist").alias("dist"))
+    placed = indexed(coarse.select("r", *[f"q{i}" for i in range(4)])).select(F.col("r").alias("coarse"), *[F.col(f"q{i}").alias(f"c{i}") for i in range(4)], "place")
+    near = lambda x: x.join(placed, "place").withColumn("dist", 1 - dot * dot).groupBy("r").agg(F.min(F.struct("dist", "coarse")).alias("m"))
+    rows = fine.select("r", *[f"q{i}" for i in range(4)])
+    bound = near(indexed(rows)).select("r", F.col("m.dist").alias("bound"))
+    found = near(indexed(rows.join(bound, "r", "left"), "bound"))
+    return found.select("r", F.col("m.coarse").alias("coarse"), F.col("m.dist").alias("dist"))
 
 
 def from_text(rows: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ from speckle.operators import analysis as an
 from speckle.operators import blocks as bl
 from speckle.operators import detector as dt
 from speckle.operators import frames as fr
+from speckle.operators import grid
 from speckle.operators import known as kn
 from speckle.operators import maximize as mx
 from speckle.operators import multi as mu
 from speckle.operators import orientation as ori
 from speckle.operators import views as vw
 from speckle.operators import volumes as vo
-from speckle.plans import emc
+from speckle.operators.geometry import Axial, Volume
+from speckle.plans import emc, recon
 from speckle.sources import tables as tb
 
 QUERIES: dict = {}
@@ -651,6 +653,93 @@ def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return mx.refined(f.crossJoin(F.broadcast(rot.select("r"))), rot, kept)
 
 
+# The iteration in three dimensions and of axial models: views are made in the tasks that meet frames
+
+_AT_3D = """t AS (SELECT r, pix, corr,
+  (1 - 2 * (q2*q2 + q3*q3)) * qx + 2 * (q1*q2 - q0*q3) * qy + 2 * (q1*q3 + q0*q2) * qz + 6 AS t0,
+  2 * (q1*q2 + q0*q3) * qx + (1 - 2 * (q1*q1 + q3*q3)) * qy + 2 * (q2*q3 - q0*q1) * qz + 6 AS t1,
+  2 * (q1*q3 - q0*q2) * qx + 2 * (q2*q3 + q0*q1) * qy + (1 - 2 * (q1*q1 + q2*q2)) * qz + 6 AS t2 FROM turns, det WHERE mask < 2),
+i AS (SELECT *, CAST(TRUNC(t0) AS BIGINT) AS i0, CAST(TRUNC(t1) AS BIGINT) AS i1, CAST(TRUNC(t2) AS BIGINT) AS i2 FROM t),
+c AS (SELECT r, pix, corr, ((i0 + a) * 13 + i1 + b) * 13 + i2 + d AS vox,
+  (CASE WHEN a = 1 THEN t0 - i0 ELSE 1 - (t0 - i0) END) * (CASE WHEN b = 1 THEN t1 - i1 ELSE 1 - (t1 - i1) END) * (CASE WHEN d = 1 THEN t2 - i2 ELSE 1 - (t2 - i2) END) AS f
+  FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(d) WHERE t0 >= 0 AND t1 >= 0 AND t2 >= 0 AND i0 BETWEEN 0 AND 11 AND i1 BETWEEN 0 AND 11 AND i2 BETWEEN 0 AND 11)"""
+_AT_RZ = """a AS (SELECT r, pix, corr, qz, beta, COS(phi) * qx - SIN(phi) * qy AS u, SIN(phi) * qx + COS(phi) * qy AS v FROM tilts, det WHERE mask < 2),
+t AS (SELECT r, pix, corr, SQRT(u * u + POWER(SIN(beta) * v + COS(beta) * qz, 2)) AS t0, COS(beta) * v - SIN(beta) * qz + 6 AS t1 FROM a),
+""" + _CORNERS[_CORNERS.index("i AS (") : _CORNERS.index("g AS (")].rstrip(",\n ")
+
+
+def _step_sql(at: str, rot: str, model: str, pairs: str = "", where: str = "") -> str:
+    """An iteration from the corners c on; pairs: tables that say which frames meet which rotations, and where."""
+    return at + f""", g AS (SELECT mode, r, pix, SUM(f * intens) AS v FROM c JOIN {model} USING (vox) GROUP BY 1, 2, 3),
+views AS (SELECT m.mode, t.r, t.pix, CASE WHEN v * corr > 0 THEN v * corr ELSE 2.2250738585072014e-308 END AS value FROM t CROSS JOIN (SELECT DISTINCT mode FROM {model}) m LEFT JOIN g ON g.mode = m.mode AND g.r = t.r AND g.pix = t.pix),
+totals AS (SELECT mode, r, SUM(value) AS u FROM views JOIN det USING (pix) WHERE mask < 1 GROUP BY 1, 2), {_COUNTS},
+phi AS (SELECT frame_id, (SELECT AVG(fcount) FROM counts JOIN frames USING (frame_id)) / (SELECT SUM(w * u) / 2 FROM totals JOIN {rot} USING (r)) AS phi FROM frames WHERE blacklist = 0),
+{pairs}hits AS (SELECT frame_id, mode, r, SUM(cnt * LN(value)) AS s FROM photons JOIN views USING (pix) JOIN det USING (pix) WHERE mask < 1 GROUP BY 1, 2, 3),
+logl AS (SELECT p.frame_id, t.mode, t.r, LN(w) - u * p.phi + COALESCE(s, 0) AS logl FROM phi p CROSS JOIN totals t JOIN {rot} ON {rot}.r = t.r LEFT JOIN hits h ON h.frame_id = p.frame_id AND h.mode = t.mode AND h.r = t.r{where})""" + _TOMO[len(_LOGL) :]
+
+
+_STEP_3D, _STEP_RZ = _step_sql(_AT_3D, "turns", "solids"), _step_sql(_AT_RZ, "tilts", "flats")
+_SUMS = """, sums AS (SELECT mode, vox, SUM(f * value / corr) AS num, SUM(f) AS weight FROM c JOIN tomo USING (r, pix) GROUP BY 1, 2),
+new AS (SELECT m.mode, m.vox, COALESCE(num / weight, 0) AS intens FROM {0} m LEFT JOIN sums s ON s.mode = m.mode AND s.vox = m.vox),
+sym AS (SELECT a.mode, a.vox, (a.intens + b.intens) / 2 AS intens FROM new a JOIN new b ON b.mode = a.mode AND b.vox = {1} - a.vox)
+SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym"""
+
+
+def _problem(spark: SparkSession, sf: str, kind: str = "3d") -> recon.Problem:
+    frames, photons, det = tb.frames(spark, sf), tb.photons(spark, sf), tb.detector(spark)
+    if kind == "rz":
+        return recon.Problem(photons, frames, det, tb.tilts(spark, sf), tb.models(spark, sf, 2), Axial(), SIZE)
+    return recon.Problem(photons, frames, det, tb.turns(spark, sf), tb.models(spark, sf, 3), Volume(), SIZE)
+
+
+@query(_STEP_3D + _SUMS.format("solids", 2196))
+def emc_iteration_3d(spark: SparkSession, sf: str) -> DataFrame:
+    s = recon.Step(_problem(spark, sf))
+    return rounded(s.next_model(s.rows()), "intens", digits=5)
+
+
+@query(_STEP_RZ + _SUMS.format("flats", 168))
+def emc_iteration_rz(spark: SparkSession, sf: str) -> DataFrame:
+    s = recon.Step(_problem(spark, sf, "rz"))
+    return rounded(s.next_model(s.rows()), "intens", digits=5)
+
+
+@query(_STEP_3D + " SELECT frame_id, mode, r, ROUND(p, 6) AS p FROM post WHERE p > 1e-3")
+def posterior_3d(spark: SparkSession, sf: str) -> DataFrame:
+    post = grid.posterior(recon.Step(_problem(spark, sf)).rows())
+    return rounded(post.filter("p > 1e-3").select("frame_id", "mode", "r", "p"), "p")
+
+
+#: Every fourth rotation is a coarse one; a frame keeps two coarse ones, by its number.
+_ALLOWED = """coarse AS (SELECT r AS cell, q0 AS c0, q1 AS c1, q2 AS c2, q3 AS c3, ROW_NUMBER() OVER (ORDER BY r) - 1 AS k FROM turns WHERE r % 4 = 1),
+cells AS (SELECT r, cell FROM turns, coarse QUALIFY ROW_NUMBER() OVER (PARTITION BY r ORDER BY 1 - POWER(q0*c0 + q1*c1 + q2*c2 + q3*c3, 2), cell) = 1),
+kept AS (SELECT DISTINCT f.frame_id, cell FROM frames f, (SELECT COUNT(*) AS n FROM coarse) z, (VALUES (0), (1)) x(i), coarse WHERE blacklist = 0 AND coarse.k = (f.frame_id + i * 3) % n),
+pairs AS (SELECT frame_id, r FROM kept JOIN cells USING (cell)),
+"""
+_STEP_REFINED = _step_sql(_AT_3D, "turns", "solids", _ALLOWED, " JOIN pairs ON pairs.frame_id = p.frame_id AND pairs.r = t.r")
+
+
+def _refinement(spark: SparkSession, sf: str) -> recon.Step:
+    x = _problem(spark, sf)
+    coarse = x.rot.filter("r % 4 = 1")
+    ids = F.broadcast(coarse.agg(F.array_sort(F.collect_list("r")).alias("ids")))
+    some = x.frames.filter("blacklist = 0").crossJoin(ids)
+    nth = lambda i: F.get("ids", ((F.col("frame_id") + 3 * i) % F.size("ids")).cast("int"))
+    kept = some.select("frame_id", F.explode(F.array_distinct(F.array(nth(0), nth(1)))).alias("cell"))
+    return recon.Step(x, allowed=(kept, recon.cells(x.rot, coarse)))
+
+
+@query(_STEP_REFINED + " SELECT frame_id, mode, r, ROUND(logl, 5) AS logl FROM logl")
+def refined_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_refinement(spark, sf).likelihoods(), "logl", digits=5)
+
+
+@query(_STEP_REFINED + _SUMS.format("solids", 2196))
+def refined_iteration(spark: SparkSession, sf: str) -> DataFrame:
+    s = _refinement(spark, sf)
+    return rounded(s.next_model(s.rows()), "intens", digits=5)
+
+
 # Analysis
 
 _RBIN = "CAST(TRUNC(SQRT(POWER(vox // 13 - 6, 2) + POWER(vox % 13 - 6, 2))) AS INT)"

@@ -63,6 +63,29 @@ def volume(spark: SparkSession, size: int = 9) -> DataFrame:
     return spark.range(size**3).select(F.col("id").alias("vox"), (F.lit(0.5) + ((F.col("id") * 37) % 101).cast("double") / 101.0).alias("intens"))
 
 
+def turns(spark: SparkSession, sf: str, table: str = "supplier") -> DataFrame:
+    """(r, q0..q3, w): a rotation for each row of `supplier` or `customer`."""
+    key = _read(spark, sf, table).select(F.col(f"{table[0]}_{table[:4]}key").cast("long").alias("r"))
+    q = [F.lit(1.0) + F.col("r") * 7 % 13, F.col("r") * 11 % 17 - 8.0, F.col("r") * 5 % 19 - 9.0, F.col("r") * 3 % 23 - 11.0]
+    size = F.sqrt(sum((x * x for x in q), F.lit(0.0)))
+    x = key.select("r", *[(x / size).alias(f"q{i}") for i, x in enumerate(q)], (1.0 + F.col("r") % 3).alias("w"))
+    return x.crossJoin(F.broadcast(x.agg(F.sum("w").alias("all")))).withColumn("w", F.col("w") / F.col("all")).drop("all")
+
+
+def tilts(spark: SparkSession, sf: str) -> DataFrame:
+    """(r, phi, beta, w): an angle about the beam and a tilt for each row of `supplier`."""
+    x = _read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("r"))
+    n = F.broadcast(x.agg(F.count("*").alias("n")))
+    return x.crossJoin(n).select("r", (2 * F.pi() * (F.col("r") * 37 % 101) / 101).alias("phi"), (F.pi() * ((F.col("r") * 17 % 89) / F.lit(89.0) - 0.5) / 2).alias("beta"), (1.0 / F.col("n")).alias("w"))
+
+
+def models(spark: SparkSession, sf: str, dims: int, modes: int = 2, size: int = MODEL_SIZE) -> DataFrame:
+    """(mode, vox, intens): sizes of the parts whose numbers fall on each voxel, over a floor of 0.2."""
+    x = _read(spark, sf, "part").groupBy((F.col("p_partkey") % modes).cast("long").alias("mode"), (F.floor(F.col("p_partkey") / modes) % size**dims).alias("vox")).agg(F.sum("p_size").alias("n"))
+    every = spark.range(size**dims * modes).select((F.col("id") % modes).alias("mode"), F.floor(F.col("id") / modes).alias("vox"))
+    return every.join(x, ["mode", "vox"], "left").select("mode", "vox", (F.lit(0.2) + F.coalesce(F.col("n") % 101, F.lit(0)) / F.lit(50.0)).alias("intens"))
+
+
 def iter_log(spark: SparkSession, sf: str) -> DataFrame:
     """(iteration, frame_id, rmax): one row each, that of the least event."""
     x = _read(spark, sf, "events").select(F.dayofmonth("ts").alias("iteration"), F.col("user_id").alias("frame_id"), (F.col("event_id") % 60).cast("int").alias("rmax"), "event_id")
@@ -82,5 +105,13 @@ dense AS (SELECT CAST(vec_id AS BIGINT) AS frame_id, CAST(label AS INT) AS mode,
 rot AS (SELECT CAST(range AS BIGINT) AS r, 2.0::DOUBLE * PI() * range / 12 AS angle, 1.0::DOUBLE / 12 AS w FROM range(12)),
 model AS (SELECT m.range AS mode, v.range AS vox, 0.5::DOUBLE + CAST((v.range * 37 + m.range * 11) % 101 AS DOUBLE) / 101.0 AS intens FROM range(169) v, range(2) m),
 cube AS (SELECT range AS vox, 0.5::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 AS intens FROM range(729)),
+turns AS (SELECT r, q0 / l AS q0, q1 / l AS q1, q2 / l AS q2, q3 / l AS q3, w / SUM(w) OVER () AS w FROM (
+  SELECT *, SQRT(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS l FROM (SELECT CAST(s_suppkey AS BIGINT) AS r, 1.0::DOUBLE + s_suppkey * 7 % 13 AS q0, s_suppkey * 11 % 17 - 8.0::DOUBLE AS q1,
+    s_suppkey * 5 % 19 - 9.0::DOUBLE AS q2, s_suppkey * 3 % 23 - 11.0::DOUBLE AS q3, 1.0::DOUBLE + s_suppkey % 3 AS w FROM supplier))),
+tilts AS (SELECT CAST(s_suppkey AS BIGINT) AS r, 2.0::DOUBLE * PI() * (s_suppkey * 37 % 101) / 101 AS phi, PI() * ((s_suppkey * 17 % 89) / 89.0::DOUBLE - 0.5) / 2 AS beta, 1.0::DOUBLE / COUNT(*) OVER () AS w FROM supplier),
+flats AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(169) v CROSS JOIN range(2) m
+  LEFT JOIN (SELECT p_partkey % 2 AS mode, p_partkey // 2 % 169 AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range),
+solids AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(2197) v CROSS JOIN range(2) m
+  LEFT JOIN (SELECT p_partkey % 2 AS mode, p_partkey // 2 % 2197 AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range),
 iter_log AS (SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS iteration, user_id AS frame_id, arg_min(CAST(event_id % 60 AS INT), event_id) AS rmax FROM events GROUP BY 1, 2)
 """

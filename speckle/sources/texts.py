@@ -60,6 +60,18 @@ class Params:
     beta_jump: float = 1.0
     beta_period: int = 100
     sym_icosahedral: bool = False
+    friedel_sym: bool = True
+    update_scale: bool = True
+    #: Of a refinement: `num_div = fine coarse`.
+    coarse_div: int = 0
+    #: Pixels beyond the radius take no part; it grows by radius_jump every radius_period, and rotations with it.
+    radius: float = 0.0
+    radius_jump: float = 0.0
+    radius_period: int = 100
+    oversampling: float = 10.0
+    #: Of axial models: the range of tilts, and their step.
+    beta_range: float = 1.0
+    beta_step: float = 0.1
     selection: str = ""
     output_folder: str = "data/"
     log_file: str = "EMC.log"
@@ -87,12 +99,18 @@ def params(text: str) -> Params:
     """Params of a configuration; unknown keys that end in _file, _list or _photons are kept in files."""
     s = config(text)["emc"]
     p, kinds = {}, {f: type(getattr(Params(), f)) for f in Params.__dataclass_fields__ if f != "files"}
+    divs = s.get("num_div", "0").split()
+    if len(divs) > 1:
+        p |= {"num_div": int(divs[0]), "coarse_div": int(divs[1])}
     for k, kind in kinds.items():
-        if k in s:
+        if k in s and k not in p:
             p[k] = s.getboolean(k) if kind is bool else kind(s[k])
     if "beta_schedule" in s:
         jump, period = s["beta_schedule"].split()
         p |= {"beta_jump": float(jump), "beta_period": int(period)}
+    if "radius_schedule" in s:
+        jump, period = s["radius_schedule"].split()
+        p |= {"radius_jump": float(jump), "radius_period": int(period)}
     p["files"] = {k: v for k, v in s.items() if k.endswith(("_file", "_list", "_photons")) and k not in kinds}
     return Params(**p)
 
