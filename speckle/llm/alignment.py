@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 
 import numpy as np
@@ -15,7 +16,7 @@ from speckle.llm import _common as c
 from speckle.llm import _tokens
 
 #: A worker forgets its aligned units beyond so many, or so many characters of them.
-CACHE_UNITS, CACHE_CHARS = 300_000, 32 << 20
+CACHE_UNITS, CACHE_CHARS = 600_000, 32 << 20
 #: Texts are cut into units in pieces of about so many characters.
 PIECE = 1 << 20
 #: Units are encoded together up to about so many characters; links of a group beyond so many are counted by distinct ids.
@@ -53,8 +54,8 @@ def _sentence_pieces(path: str):
     """
     t = _tokens._pieces(path)
     pieces = [t.id_to_piece(i) for i in range(t.get_piece_size())]
-    if any("▁" in p.lstrip("▁") for p in pieces):
-        raise ValueError(f"{path}: pieces run across words")
+    if len(pieces) > 1 << 16 or any("▁" in p.lstrip("▁") for p in pieces):
+        raise ValueError(f"{path}: pieces run across words, or are too many")
     single = np.array([t.is_byte(i) for i in range(len(pieces))])
     entry = [bytes([int(p[1:-1], 16)]) if s else p.replace("▁", " ").encode() for p, s in zip(pieces, single)]
     return t, entry, np.array([len(x) for x in entry]), single
@@ -75,7 +76,8 @@ def spans_a(path: str, text: str):
     (e,) = t.encode_batch([text], add_special_tokens=False)
     if b"".join(map(entry.__getitem__, e.ids)) != text.encode():
         return None
-    ids, spans = np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)
+    ids = np.array(e.ids, np.int64)
+    spans = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
     rough = np.append(spans[1:, 0] < spans[:-1, 1], False)[: len(ids)]
     if not text.isascii():
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -92,12 +94,11 @@ def spans_b(path: str, text: str):
     called 'proto' in the version installed.)
     """
     t, entry, sizes, single = _sentence_pieces(path)
-    pieces = t.encode(text[1:], return_type="proto").pieces
-    ids = [x.id for x in pieces]
-    if b"".join(map(entry.__getitem__, ids)) != text.encode():
+    found = [v for x in t.encode(text[1:], return_type="proto").pieces for v in (x.id, x.end)]
+    ids, ends = np.array(found, np.int64).reshape(-1, 2).T
+    if b"".join(map(entry.__getitem__, found[::2])) != text.encode():
         return None
-    ids = np.array(ids, np.int64)
-    return ids, _ends(np.fromiter((x.end + 1 for x in pieces), np.int64, len(ids)), single[ids], sizes[ids])
+    return ids, _ends(ends + 1, single[ids], sizes[ids])
 
 
 def _firm(x: str) -> bool:
@@ -252,8 +253,8 @@ class Aligned:
         if self.flat is None:
             join = lambda name: np.concatenate([getattr(x, name) for x in self.parts]) if self.parts else np.zeros(0, np.int64)
             first = np.concatenate([[0], np.cumsum(join("n_links"))]).astype(np.int64)
-            ids, place = np.unique(join("pair"), return_inverse=True)
-            self.flat = first, ids, place.reshape(-1), join("times"), join("counts").reshape(-1, 4)
+            times = join("times")
+            self.flat = first, join("pair"), None if (times == 1).all() else times, join("counts").reshape(-1, 4)
         return self.flat
 
     def rows(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
@@ -264,25 +265,27 @@ class Aligned:
         if new := set().union(*(x[0] for x in cut if x)).difference(self.known):
             self.add(sorted(new, key=lambda u: _firm(u[-1:]), reverse=True))
         of = [self.numbers(t, x) if t else np.zeros(0, np.int64) for t, x in zip(texts, cut)]
-        first, ids, place, times, counts = self.arrays()
+        first, pair, times, counts = self.arrays()
         n = np.array([len(x) for x in of])
         at = np.concatenate(of) if of else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(of)), n)
         total = np.zeros((len(of), 4), np.int64)
         for k in range(4):
             total[:, k] = np.bincount(doc, counts[at, k], len(of)) if len(at) else 0
-        # links of all units of all texts, and the same pair of a text added up
+        # links of all units of all texts, and the same pair of a text added up; ids of B are below 2^16
         size = first[at + 1] - first[at]
         flat = np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        both = np.repeat(doc, size) * max(1, len(ids)) + place[flat]
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        new = np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]
-        where = np.nonzero(new)[0]
-        sums = np.add.reduceat(times[flat][order], where) if len(where) else np.zeros(0, np.int64)
-        owner = both[where] // max(1, len(ids))
-        cuts = pa.array(np.searchsorted(owner, np.arange(len(of) + 1)).astype(np.int32))
-        pairs = pa.ListArray.from_arrays(cuts, pa.array(ids[both[where] % max(1, len(ids))] if len(where) else np.zeros(0, np.int64)))
+        both = np.repeat(doc, size) << 40 | pair[flat] >> 32 << 16 | pair[flat] & 0xFFFF
+        if times is None:
+            both.sort()
+        else:
+            order = np.argsort(both, kind="stable")
+            both, times = both[order], times[flat][order]
+        where = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
+        sums = np.diff(np.append(where, len(both))) if times is None else np.add.reduceat(times, where) if len(where) else np.zeros(0, np.int64)
+        both = both[where]
+        cuts = pa.array(np.searchsorted(both >> 40, np.arange(len(of) + 1)).astype(np.int32))
+        pairs = pa.ListArray.from_arrays(cuts, pa.array((both >> 16 & 0xFFFFFF) << 32 | both & 0xFFFF))
         sha = [hashlib.sha256(b";".join(map(self.said.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in of]
         cols = [doc_ids, *[pa.array(total[:, k]) for k in range(4)], pa.array(sha, pa.string()), pairs, pa.ListArray.from_arrays(cuts, pa.array(sums))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
