@@ -111,7 +111,8 @@ def sketch(rows: DataFrame, slots: int) -> np.ndarray:
     parts = rows.select("sha").mapInArrow(count, schema).groupBy("piece", "part").applyInArrow(merge, schema)
     whole = np.zeros(slots // 8, np.uint8)
     for r in parts.groupBy("piece").applyInArrow(bits, "piece long, bits binary").toLocalIterator():
-        whole[r.piece * PIECE // 8 :][: PIECE // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+        part = whole[r.piece * PIECE // 8 :][: PIECE // 8]
+        part[:] = np.frombuffer(zlib.decompress(r.bits), np.uint8)[: len(part)]
     return whole
 
 
