@@ -161,3 +161,34 @@ def test_refinement_in_the_loop(spark, tmp_path):
     fine = read("posterior", 2).collect()
     assert fine and all((r.frame_id, cells[(r.r,)]) in kept for r in fine)
     assert {r.frame_id for r in fine} == {f for f, _ in kept}
+
+
+def test_background_roots_of_split_views(spark):
+    x = flat_problem(spark)
+    s = recon.Step(x)
+    post = grid.posterior(s.rows()).cache()
+    phi, det = s.phi.withColumn("bgscale", 0.2 + (F.col("frame_id") % 5) / 10), x.det.withColumn("background", F.when(F.col("pix") % 5 == 0, 50.0).otherwise(0.005 + 0.001 * (F.col("pix") % 7)))
+    # views of all frames, each dealt to some fifty parts
+    got = pairs(mx.tomograms_background(post, x.photons, phi, det, hits_in_part=40), "mode", "r", "pix", "value")
+    scale = {r.frame_id: (r.phi, r.bgscale) for r in phi.collect()}
+    back, lit = {r.pix: r.background for r in det.filter("mask < 2").collect()}, {}
+    for r in x.photons.collect():
+        lit.setdefault(r.frame_id, []).append((r.pix, r.cnt))
+    goal, terms = {}, {}
+    for r in post.filter(F.col("p") > mx.PROB_MIN).collect():
+        f, b = scale[r.frame_id]
+        goal[r.mode, r.r] = goal.get((r.mode, r.r), 0) + r.p * f
+        for pix, cnt in lit.get(r.frame_id, []):
+            if pix in back:
+                terms.setdefault((r.mode, r.r, pix), []).append((r.p * cnt * f, f, b * back[pix]))
+    want = {(m, r, pix): 0.0 for m, r in goal for pix in back}
+    for k, v in terms.items():
+        a, f, b = np.array(v).T
+        lo, hi = 0.0, (a / f).sum() / goal[k[:2]]
+        if (a / b).sum() > goal[k[:2]]:
+            for _ in range(80):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (a / (mid * f + b)).sum() > goal[k[:2]] else (lo, mid)
+            want[k] = (lo + hi) / 2
+    close(got, want, 1e-8)
+    assert 0 < sum(v > 0 for v in want.values()) < len(want)
