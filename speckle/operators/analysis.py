@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,47 +20,57 @@ def radial(model: DataFrame, size: int, dims: int) -> DataFrame:
     return model.withColumn("rbin", radius("vox", size, dims).cast("int")).groupBy("mode", "rbin").agg(F.avg("intens").alias("mean"), F.min("intens").alias("least"))
 
 
-def minus_radial(model: DataFrame, size: int, dims: int, what: str = "mean", exponent: float = 1.0) -> DataFrame:
-    """Intensities to a power less the mean or the minimum of their shell."""
+def minus_radial(model: DataFrame, size: int, dims: int, what: str = "mean", exponent: float = 1.0, limits: tuple[int, int] | None = None) -> DataFrame:
+    """Intensities to a power less the mean or the minimum of their shell; 0 in shells outside the limits, if there are some."""
     x = model.withColumn("rbin", radius("vox", size, dims).cast("int")).withColumn("v", F.pow("intens", F.lit(exponent)))
     shell = Window.partitionBy("mode", "rbin")
-    return x.select("mode", "vox", (F.col("v") - (F.avg("v") if what == "mean" else F.min("v")).over(shell)).alias("intens"))
+    out = F.col("v") - (F.avg("v") if what == "mean" else F.min("v")).over(shell)
+    return x.select("mode", "vox", (F.when(F.col("rbin").between(*limits), out).otherwise(0.0) if limits else out).alias("intens"))
 
 
 def high_q_normalised(model: DataFrame, size: int, dims: int) -> DataFrame:
-    """Intensities over their mean from 0.9 of half the size to 3 short of it."""
+    """Intensities over their mean in the shells above 0.9 of half the size and below 3 short of it; null where none is, as
+    in models of 82 and fewer cells."""
     h = size // 2
-    r = radius("vox", size, dims)
-    x = model.withColumn("in", (r > 0.9 * h - 1) & (r < h))
+    r = radius("vox", size, dims).cast("int")
+    x = model.withColumn("in", (r > 0.9 * h) & (r < h - 3))
     level = F.avg(F.when(F.col("in"), F.col("intens"))).over(Window.partitionBy("mode"))
     return x.select("mode", "vox", (F.col("intens") / level).alias("intens"))
 
 
 def shell_correlation(a: DataFrame, b: DataFrame, size: int, dims: int) -> DataFrame:
-    """(rbin, fsc): sum ab over the root of sum aa times sum bb, 0 where there is nothing."""
+    """(rbin, fsc) of the shells inside the grid: sum ab over the root of sum aa times sum bb, 0 where there is nothing."""
     x = a.select("vox", F.col("intens").alias("a")).join(b.select("vox", F.col("intens").alias("b")), "vox").withColumn("rbin", radius("vox", size, dims).cast("int"))
-    s = x.groupBy("rbin").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    s = x.filter(F.col("rbin") < size // 2).groupBy("rbin").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
     return s.select("rbin", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt("aa") / F.sqrt("bb")).otherwise(0.0).alias("fsc"))
 
 
-def polar_bins(det: DataFrame, r_min: float, r_max: float, dr: float, degrees: float) -> DataFrame:
-    """(pix, rbin, abin) of the pixels in a ring; angles from 0 to 180 degrees; limits are in bins."""
+def polar_bins(det: DataFrame, dr: float, degrees: float) -> DataFrame:
+    """(pix, rbin, abin, good) of every pixel: angles modulo 180 degrees from the least one on, and whether it is counted."""
     ang = F.atan2("x", "y")
-    ang = F.when(ang < 0, ang + F.pi()).otherwise(ang) / (F.pi() * degrees / 180)
-    rad = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / dr
-    x = det.select("pix", rad.alias("rad"), ang.alias("ang")).filter(F.col("rad").between(r_min, r_max))
-    every = Window.partitionBy()
-    return x.select("pix", F.floor(F.col("rad") - F.floor(F.min("rad").over(every))).cast("int").alias("rbin"), F.floor(F.col("ang") - F.floor(F.min("ang").over(every))).cast("int").alias("abin"))
-
-
-def polar(photons: DataFrame, bins: DataFrame) -> DataFrame:
-    """(frame_id, rbin, abin, mean): polar images over their own mean; frames without photons in the ring have none."""
-    n = bins.groupBy("rbin", "abin").agg(F.count("*").alias("n"))
-    x = photons.join(F.broadcast(bins), "pix").groupBy("frame_id", "rbin", "abin").agg(F.sum("cnt").alias("s"))
-    x = x.join(F.broadcast(n), ["rbin", "abin"]).withColumn("v", F.col("s") / F.col("n"))
+    ang = F.when(ang < 0, ang + F.pi()).when(ang >= F.pi(), ang - F.pi()).otherwise(ang) / (F.pi() * degrees / 180)
+    rad = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    x = det.select("pix", (F.col("mask") < 1).alias("good"), rad.alias("rad"), ang.alias("ang"))
+    return x.select("pix", (F.col("rad") / dr).cast("int").alias("rbin"), (F.col("ang") - F.min("ang").over(Window.partitionBy())).cast("int").alias("abin"), "good")
+
+
+def ring_means(photons: DataFrame, bins: DataFrame, r_min: int, r_max: int, *keys: str) -> DataFrame:
+    """(keys, rbin, abin, v): counts of good pixels over the number of these, of bins from r_min to r_max - 1; lit bins only."""
+    own = bins.filter(F.col("good") & F.col("rbin").between(r_min, r_max - 1)).select("pix", "rbin", "abin")
+    n = own.groupBy("rbin", "abin").agg(F.count("*").alias("n"))
+    x = photons.join(F.broadcast(own), "pix").groupBy(*keys, "rbin", "abin").agg(F.sum("cnt").alias("s"))
+    return x.join(F.broadcast(n), ["rbin", "abin"]).select(*keys, "rbin", "abin", (F.col("s") / F.col("n")).alias("v"))
+
+
+def polar(photons: DataFrame, bins: DataFrame, r_min: int, r_max: int) -> DataFrame:
+    """(frame_id, rbin, abin, mean): polar images over their mean, taken over all bins of all angles from r_min to r_max - 1.
+
+    Bins without photons are 0 and have no row; frames without photons there have none at all.
+    """
+    x = ring_means(photons, bins, r_min, r_max, "frame_id")
+    cells = bins.agg(((F.least(F.lit(r_max), F.max("rbin") + 1) - r_min) * (F.max("abin") + 1)).alias("cells"))
     total = F.sum("v").over(Window.partitionBy("frame_id"))
-    bins_n = n.agg(F.count("*").alias("bins"))
-    return x.crossJoin(F.broadcast(bins_n)).select("frame_id", "rbin", "abin", (F.col("v") / total * F.col("bins")).alias("mean"))
+    return x.crossJoin(F.broadcast(cells)).select("frame_id", "rbin", "abin", (F.col("v") / total * F.col("cells")).alias("mean"))
 
 
 def angular_correlation(polar_images: DataFrame, n_angles: int, orders: int = 9) -> DataFrame:
@@ -73,24 +84,61 @@ def angular_correlation(polar_images: DataFrame, n_angles: int, orders: int = 9)
     return s.select("frame_id", "rbin", "k", F.when(F.col("norm") > 1e-9, size / F.col("norm")).otherwise(0.0).alias("value"))
 
 
-def raw_features(photons: DataFrame, bins: DataFrame) -> DataFrame:
-    """(frame_id, pix, value): counts of the ring's pixels over their mean."""
-    x = photons.join(F.broadcast(bins.select("pix")), "pix")
-    n = bins.agg(F.count("*").alias("n"))
+def raw_features(photons: DataFrame, det: DataFrame, r_min: float, r_max: float) -> DataFrame:
+    """(frame_id, pix, value): counts of the pixels from r_min to r_max over their mean, whatever their mask."""
+    rad = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    ring = det.filter(rad.between(r_min, r_max)).select("pix")
+    x = photons.join(F.broadcast(ring), "pix")
+    n = ring.agg(F.count("*").alias("n"))
     return x.crossJoin(F.broadcast(n)).select("frame_id", "pix", (F.col("cnt") * F.col("n") / F.sum("cnt").over(Window.partitionBy("frame_id"))).alias("value"))
 
 
-def common_lines(lines: DataFrame) -> DataFrame:
-    """(i, j, cc): the best correlation of a radial line of model i with one of model j, from (mode, line, k, v).
+def radial_lines(models: DataFrame, size: int, n: int, mask_radius: int = 0) -> DataFrame:
+    """(mode, line, k, v): each 2D model along n lines through its centre, less what lies within mask_radius, at the nearest cells."""
+    c = size // 2
+    points = models.sparkSession.range(n).select(F.col("id").alias("line"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k")).filter(F.abs(F.col("k") - c) > mask_radius)
+    angle = F.col("line") * (float(np.pi) / n)
+    at = F.rint((F.col("k") - c) * F.cos(angle) + c) * size + F.rint((F.col("k") - c) * F.sin(angle) + c)
+    return models.join(F.broadcast(points.select("line", "k", at.cast("long").alias("vox"))), "vox").select("mode", "line", "k", F.col("intens").alias("v"))
+
 
-    Lines of length 1 and mean 0 are multiplied, so a pair of models is one equi-join on k. 1 for a model with itself.
+def common_lines(lines: DataFrame, block: int = 64) -> DataFrame:
+    """(i, j, cc): the best correlation of a line of model i with one of model j, from (mode, line, k, v). 1 with itself.
+
+    Models are packed, lines of mean 0 and length 1 (those without variation correlate with none), and dealt to blocks of
+    `block`; every two blocks are multiplied in a task, which gives a row for each pair of models. Pairs without a line that
+    varies have no row.
     """
-    own = Window.partitionBy("mode", "line")
-    x = lines.withColumn("d", F.col("v") - F.avg("v").over(own)).withColumn("d", F.col("d") / F.sqrt(F.sum(F.col("d") * F.col("d")).over(own)))
-    a, b = (x.select(F.col("mode").alias(m), F.col("line").alias(f"l{m}"), "k", F.col("d").alias(f"d{m}")) for m in "ij")
-    best = a.join(b, "k").filter("i < j").groupBy("i", "j", "li", "lj").agg(F.sum(F.col("di") * F.col("dj")).alias("c")).groupBy("i", "j").agg(F.max("c").alias("cc"))
-    modes = lines.select("mode").distinct()
-    return best.union(best.select(F.col("j").alias("i"), F.col("i").alias("j"), "cc")).union(modes.select("mode", F.col("mode").alias("j"), F.lit(1.0)))
+
+    def pack(key, t):
+        line, v = t["line"].to_numpy(), t["v"].to_numpy()[np.lexsort((t["k"].to_numpy(), t["line"].to_numpy()))]
+        v = v.reshape(len(np.unique(line)), -1)
+        v = v - v.mean(1, keepdims=True)
+        size = np.sqrt((v * v).sum(1))
+        v = v[size > 1e-12] / size[size > 1e-12, None]
+        return pa.table({"mode": [key[0].as_py()], "n": [len(v)], "v": pa.array([v.ravel()], pa.list_(pa.float64()))})
+
+    packed = lines.groupBy("mode").applyInArrow(pack, "mode long, n long, v array<double>")
+    most = lines.agg(F.max("mode")).first()[0]
+    own, other = F.floor(F.col("mode") / block), F.explode(F.sequence(F.lit(0), F.lit((most or 0) // block)).cast("array<long>"))
+    dealt = packed.filter("n > 0").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "mode", "n", "v")
+
+    def multiply(key, t):
+        a, b = key[0].as_py(), key[1].as_py()
+        of, mode, n = (t[x].to_numpy() for x in ("own", "mode", "n"))
+        length = len(t["v"][0]) // int(n[0]) if t.num_rows else 1
+        i, j = (np.nonzero(of == x)[0] for x in (a, b))
+        left, right = (np.concatenate([t["v"][int(k)].values.to_numpy() for k in x]).reshape(-1, length) if len(x) else np.zeros((0, length)) for x in (i, j))
+        if not len(i) or not len(j):
+            return pa.table({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "cc": np.zeros(0)})
+        starts = [np.concatenate([[0], np.cumsum(n[x])[:-1]]) for x in (i, j)]
+        cc = np.maximum.reduceat(np.maximum.reduceat(left @ right.T, starts[0], 0), starts[1], 1)
+        x, y = np.nonzero(mode[i][:, None] != mode[j][None] if a != b else mode[i][:, None] < mode[j][None])
+        return pa.table({"i": mode[i][x], "j": mode[j][y], "cc": cc[x, y]})
+
+    best = dealt.groupBy("a", "b").applyInArrow(multiply, "i long, j long, cc double")
+    return best.union(best.select(F.col("j").alias("i"), F.col("i").alias("j"), "cc")).union(packed.select("mode", F.col("mode").alias("j"), F.lit(1.0)))
 
 
 def orientation_order(log: DataFrame) -> DataFrame:

@@ -100,23 +100,28 @@ def friedel(model: DataFrame, size: int, dims: int) -> DataFrame:
     return model.select(*keys, both.alias("vox"), "intens").groupBy(*keys, "vox").agg(F.avg("intens").alias("intens"))
 
 
-def rotated(volume: DataFrame, matrices: DataFrame, size: int) -> DataFrame:
-    """(k, vox, intens): the volume looked up at each rotated voxel within its inscribed sphere, for each matrix k."""
+def rotated(volume: DataFrame, matrices: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(k, keys, vox, intens): volumes looked up at each rotated voxel within the inscribed sphere, for each matrix k."""
     c = size // 2
     idx = [F.floor(F.col("vox") / size ** (2 - i)) % size - c for i in range(3)]
-    grid = volume.select("vox", *[e.cast("double").alias(f"x{i}") for i, e in enumerate(idx)]).filter(F.col("x0") ** 2 + F.col("x1") ** 2 + F.col("x2") ** 2 < c * c)
+    grid = volume.select("vox").distinct() if keys else volume.select("vox")
+    grid = grid.select("vox", *[e.cast("double").alias(f"x{i}") for i, e in enumerate(idx)]).filter(F.col("x0") ** 2 + F.col("x1") ** 2 + F.col("x2") ** 2 < c * c)
     t = [F.col(f"m{i}0") * F.col("x0") + F.col(f"m{i}1") * F.col("x1") + F.col(f"m{i}2") * F.col("x2") + c for i in range(3)]
     at = grid.withColumnRenamed("vox", "to").crossJoin(F.broadcast(matrices)).select("k", "to", *[e.alias(f"t{i}") for i, e in enumerate(t)])
-    return corners(at, size).join(volume, "vox").groupBy("k", "to").agg(F.sum(F.col("f") * F.col("intens")).alias("intens")).withColumnRenamed("to", "vox")
+    return corners(at, size).join(volume, "vox").groupBy("k", *keys, "to").agg(F.sum(F.col("f") * F.col("intens")).alias("intens")).withColumnRenamed("to", "vox")
 
 
 def axial(volume: DataFrame, order: int, size: int) -> DataFrame:
-    """Mean over `order` rotations about the last axis; voxels that no rotation reaches stay."""
+    """Weighted mean over `order` rotations about the last axis, of (vox, intens, weight); 0 where no weight comes to."""
     rows = []
     for k in range(order):
         a = 2 * math.pi * k / order
         rows.append((k, math.cos(a), -math.sin(a), 0.0, math.sin(a), math.cos(a), 0.0, 0.0, 0.0, 1.0))
-    return _averaged(volume, rows, size)
+    m = volume.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    # numerator and denominator as two volumes, turned at once
+    both = volume.select("vox", F.inline(F.array(F.struct(F.lit(0).alias("what"), (F.col("intens") * F.col("weight")).alias("intens")), F.struct(F.lit(1).alias("what"), F.col("weight").alias("intens")))))
+    turned = rotated(both, m, size, "what").groupBy("vox").agg(F.sum(F.when(F.col("what") == 0, F.col("intens"))).alias("num"), F.sum(F.when(F.col("what") == 1, F.col("intens"))).alias("den"))
+    return volume.select("vox").join(turned, "vox", "left").select("vox", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(0.0).alias("intens"))
 
 
 def _averaged(volume: DataFrame, rows: list[tuple], size: int) -> DataFrame:

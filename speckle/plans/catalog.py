@@ -263,11 +263,11 @@ def volume_octahedral(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vw.octahedral(tb.volume(spark), 9), "intens", digits=9)
 
 
-@query("""x AS (SELECT vox, intens, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
-s AS (SELECT a.vox, AVG(b.intens) AS m FROM x a JOIN x b ON a.z = b.z AND ((b.x = a.x AND b.y = a.y) OR (b.x = -a.x AND b.y = -a.y)) WHERE a.x*a.x + a.y*a.y + a.z*a.z < 16 GROUP BY 1)
-SELECT x.vox, ROUND(COALESCE(CASE WHEN x.x = 0 AND x.y = 0 THEN x.intens ELSE m END, intens), 6) AS intens FROM x LEFT JOIN s USING (vox)""")
+@query("""x AS (SELECT vox, intens, 1.0::DOUBLE + vox % 4 AS w, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
+s AS (SELECT a.vox, a.intens * a.w + b.intens * b.w AS num, a.w + b.w AS den FROM x a JOIN x b ON b.x = -a.x AND b.y = -a.y AND b.z = a.z WHERE a.x*a.x + a.y*a.y + a.z*a.z < 16)
+SELECT vox, ROUND(COALESCE(CASE WHEN den > 0 THEN num / den END, 0), 6) AS intens FROM x LEFT JOIN s USING (vox)""")
 def volume_axial(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.axial(tb.volume(spark), 2, 9), "intens")
+    return rounded(vw.axial(tb.volume(spark).withColumn("weight", 1.0 + F.col("vox") % 4), 2, 9), "intens")
 
 
 def _inline(n: int, letter: str) -> str:
@@ -750,9 +750,9 @@ def model_radial(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(an.radial(tb.model(spark), SIZE, 2), "mean", "least", digits=9)
 
 
-@query(f"SELECT mode, vox, ROUND(intens - AVG(intens) OVER (PARTITION BY mode, {_RBIN}), 6) + 0.0 AS intens FROM model")
+@query(f"SELECT mode, vox, ROUND(CASE WHEN {_RBIN} BETWEEN 1 AND 5 THEN SQRT(intens) - AVG(SQRT(intens)) OVER (PARTITION BY mode, {_RBIN}) ELSE 0 END, 6) + 0.0 AS intens FROM model")
 def model_minus_radial_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.minus_radial(tb.model(spark), SIZE, 2), "intens")
+    return rounded(an.minus_radial(tb.model(spark), SIZE, 2, exponent=0.5, limits=(1, 5)), "intens")
 
 
 @query(f"SELECT mode, vox, ROUND(intens - MIN(intens) OVER (PARTITION BY mode, {_RBIN}), 6) + 0.0 AS intens FROM model")
@@ -760,62 +760,72 @@ def model_minus_radial_min(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(an.minus_radial(tb.model(spark), SIZE, 2, "min"), "intens")
 
 
-@query(f"x AS (SELECT mode, vox, intens, SQRT(POWER(vox // 13 - 6, 2) + POWER(vox % 13 - 6, 2)) AS r FROM model) SELECT mode, vox, ROUND(intens / AVG(CASE WHEN r > 4.4 AND r < 6 THEN intens END) OVER (PARTITION BY mode), 6) AS intens FROM x")
+def _flat_sql(name: str, size: int, modes: int) -> str:
+    """The table that tables.models() gives for two dimensions."""
+    return f"""{name} AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range({size * size}) v CROSS JOIN range({modes}) m
+  LEFT JOIN (SELECT p_partkey % {modes} AS mode, p_partkey // {modes} % {size * size} AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range)"""
+
+
+@query(_flat_sql("wide", 83, 2) + """, x AS (SELECT *, TRUNC(SQRT(POWER(vox // 83 - 41, 2) + POWER(vox % 83 - 41, 2))) AS r FROM wide)
+SELECT mode, vox, ROUND(intens / AVG(CASE WHEN r > 0.9 * 41 AND r < 38 THEN intens END) OVER (PARTITION BY mode), 6) AS intens FROM x""")
 def model_high_q(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.high_q_normalised(tb.model(spark), SIZE, 2), "intens")
+    return rounded(an.high_q_normalised(tb.models(spark, sf, 2, size=83), 83, 2), "intens")
 
 
-@query(f"SELECT {_RBIN.replace('vox', 'a.vox')} AS rbin, ROUND(SUM(a.intens * b.intens) / SQRT(SUM(a.intens * a.intens)) / SQRT(SUM(b.intens * b.intens)), 9) AS fsc FROM model a JOIN model b ON a.vox = b.vox AND a.mode = 0 AND b.mode = 1 GROUP BY 1")
+@query(f"SELECT {_RBIN.replace('vox', 'a.vox')} AS rbin, ROUND(SUM(a.intens * b.intens) / SQRT(SUM(a.intens * a.intens)) / SQRT(SUM(b.intens * b.intens)), 9) AS fsc FROM flats a JOIN flats b ON a.vox = b.vox AND a.mode = 0 AND b.mode = 1 WHERE {_RBIN.replace('vox', 'a.vox')} < 6 GROUP BY 1")
 def shell_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    m = tb.model(spark)
+    m = tb.models(spark, sf, 2)
     return rounded(an.shell_correlation(m.filter("mode = 0"), m.filter("mode = 1"), SIZE, 2), "fsc", digits=9)
 
 
-_POLAR = """a AS (SELECT pix, SQRT(x*x + y*y) AS rad, (CASE WHEN ATAN2(x, y) < 0 THEN ATAN2(x, y) + PI() ELSE ATAN2(x, y) END) / (PI() * 30 / 180) AS ang FROM det),
-b AS (SELECT pix, CAST(FLOOR(rad - FLOOR(MIN(rad) OVER ())) AS INT) AS rbin, CAST(FLOOR(ang - FLOOR(MIN(ang) OVER ())) AS INT) AS abin FROM a WHERE rad BETWEEN 1 AND 4),
-n AS (SELECT rbin, abin, COUNT(*) AS n FROM b GROUP BY 1, 2),
-s AS (SELECT frame_id, rbin, abin, SUM(cnt) / MAX(n) AS v FROM photons JOIN b USING (pix) JOIN n USING (rbin, abin) GROUP BY 1, 2, 3)
+_POLAR = """a AS (SELECT pix, mask, SQRT(x*x + y*y) AS rad, ATAN2(x, y) AS t FROM det),
+b AS (SELECT pix, mask < 1 AS good, rad, CAST(TRUNC(rad) AS INT) AS rbin, CAST(TRUNC(ang - MIN(ang) OVER ()) AS INT) AS abin FROM (SELECT *, (CASE WHEN t < 0 THEN t + PI() WHEN t >= PI() THEN t - PI() ELSE t END) / (PI() * 30 / 180) AS ang FROM a)),
+cells AS (SELECT (LEAST(4, MAX(rbin) + 1) - 1) * (MAX(abin) + 1) AS cells FROM b),
+n AS (SELECT rbin, abin, COUNT(*) AS n FROM b WHERE good AND rbin >= 1 AND rbin < 4 GROUP BY 1, 2),
+s AS (SELECT frame_id, rbin, abin, SUM(cnt) / MAX(n) AS v FROM photons JOIN (SELECT * FROM b WHERE good) USING (pix) JOIN n USING (rbin, abin) GROUP BY 1, 2, 3)
 """
 
 
-def _bins(spark: SparkSession) -> DataFrame:
-    return an.polar_bins(tb.detector(spark), 1.0, 4.0, 1.0, 30.0)
+def _polar(spark: SparkSession, sf: str) -> DataFrame:
+    return an.polar(tb.photons(spark, sf), an.polar_bins(tb.detector(spark), 1.0, 30.0), 1, 4)
 
 
-@query(_POLAR + "SELECT frame_id, rbin, abin, ROUND(v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT COUNT(*) FROM n), 6) AS mean FROM s")
+@query(_POLAR + "SELECT frame_id, rbin, abin, ROUND(v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT cells FROM cells), 6) AS mean FROM s")
 def frames_polar(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.polar(tb.photons(spark, sf), _bins(spark)), "mean")
+    return rounded(_polar(spark, sf), "mean")
 
 
-@query(_POLAR + """, p AS (SELECT frame_id, rbin, abin, v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT COUNT(*) FROM n) AS mean FROM s),
+@query(_POLAR + """, p AS (SELECT frame_id, rbin, abin, v / SUM(v) OVER (PARTITION BY frame_id) * (SELECT cells FROM cells) AS mean FROM s),
 d AS (SELECT frame_id, rbin, SQRT(GREATEST(SUM(mean * mean) - SUM(mean) * SUM(mean) / 6, 0)) AS norm FROM p GROUP BY 1, 2),
 k AS (SELECT p.frame_id, p.rbin, k.range AS k, SUM(mean * COS(2 * PI() * k.range * abin / 6)) AS re, SUM(mean * SIN(2 * PI() * k.range * abin / 6)) AS im FROM p, range(1, 10) k GROUP BY 1, 2, 3)
 SELECT k.frame_id, k.rbin, CAST(k AS INT) AS k, ROUND(CASE WHEN norm > 1e-6 THEN SQRT(re * re + im * im) / norm ELSE 0 END, 4) + 0.0 AS value FROM k JOIN d USING (frame_id, rbin)""")
 def frames_angular_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.angular_correlation(an.polar(tb.photons(spark, sf), _bins(spark)), 6), "value", digits=4)
+    return rounded(an.angular_correlation(_polar(spark, sf), 6), "value", digits=4)
 
 
-@query(_POLAR + "SELECT frame_id, pix, ROUND(cnt * (SELECT COUNT(*) FROM b) / SUM(cnt) OVER (PARTITION BY frame_id), 6) AS value FROM photons JOIN b USING (pix)")
+@query(_POLAR + "SELECT frame_id, pix, ROUND(cnt * (SELECT COUNT(*) FROM b WHERE rad BETWEEN 1 AND 4) / SUM(cnt) OVER (PARTITION BY frame_id), 6) AS value FROM photons JOIN b USING (pix) WHERE rad BETWEEN 1 AND 4")
 def frames_raw_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.raw_features(tb.photons(spark, sf), _bins(spark)), "value")
+    return rounded(an.raw_features(tb.photons(spark, sf), tb.detector(spark), 1.0, 4.0), "value")
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    """Rows of three models as lines."""
-    m = tb.model(spark, 3)
-    return m.select("mode", F.floor(F.col("vox") / SIZE).alias("line"), (F.col("vox") % SIZE).alias("k"), F.col("intens").alias("v"))
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven lines of each of five models, but for the three cells in their middle."""
+    return an.radial_lines(tb.models(spark, sf, 2, modes=5), SIZE, 7, 1)
 
 
-@query("""m3 AS (SELECT m.range AS mode, v.range // 13 AS line, v.range % 13 AS k, 0.5::DOUBLE + CAST((v.range * 37 + m.range * 11) % 101 AS DOUBLE) / 101.0 AS v FROM range(169) v, range(3) m),
-c AS (SELECT a.mode AS i, b.mode AS j, a.line AS li, b.line AS lj, CORR(a.v, b.v) AS c FROM m3 a JOIN m3 b ON a.k = b.k AND a.mode <> b.mode GROUP BY 1, 2, 3, 4)
-SELECT i, j, ROUND(MAX(c), 9) AS cc FROM c GROUP BY 1, 2 UNION ALL SELECT range, range, 1.0 FROM range(3)""")
+@query(_flat_sql("five", 13, 5) + """, spots AS (SELECT i.range AS line, k.range AS k, CAST(ROUND_EVEN((k.range - 6) * COS(i.range * PI() / 7) + 6, 0) * 13 + ROUND_EVEN((k.range - 6) * SIN(i.range * PI() / 7) + 6, 0) AS BIGINT) AS vox FROM range(7) i, range(13) k WHERE ABS(k.range - 6) > 1),
+x AS (SELECT mode, line, k, intens AS v FROM five JOIN spots USING (vox)),
+varied AS (SELECT mode, line FROM x GROUP BY 1, 2 HAVING MAX(v) > MIN(v)),
+y AS (SELECT x.* FROM x JOIN varied USING (mode, line)),
+c AS (SELECT a.mode AS i, b.mode AS j, a.line AS li, b.line AS lj, CORR(a.v, b.v) AS c FROM y a JOIN y b ON a.k = b.k AND a.mode <> b.mode GROUP BY 1, 2, 3, 4)
+SELECT i, j, ROUND(MAX(c), 9) AS cc FROM c GROUP BY 1, 2 UNION ALL SELECT range, range, 1.0 FROM range(5)""")
 def common_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.common_lines(_lines(spark)), "cc", digits=9)
+    return rounded(an.common_lines(_lines(spark, sf), block=2), "cc", digits=9)
 
 
 @query()
 def common_line_components(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.principal_components(an.common_lines(_lines(spark)), 2).withColumn("c1", F.abs("c1")).withColumn("c2", F.abs("c2")), "c1", "c2", digits=5)
+    return rounded(an.principal_components(an.common_lines(_lines(spark, sf)), 2).withColumn("c1", F.abs("c1")).withColumn("c2", F.abs("c2")), "c1", "c2", digits=5)
 
 
 @query("""it AS (SELECT iteration, COUNT(*) AS n FROM iter_log GROUP BY 1),
@@ -1038,10 +1048,8 @@ def image_minimum_filtered(spark: SparkSession, sf: str) -> DataFrame:
 x AS (SELECT rbin, ((abin + d) % n + n) % n AS abin, EXP(-d * d / 2.0) AS w, value FROM t, m, (SELECT range - 2 AS d FROM range(5)))
 SELECT rbin, CAST(abin AS INT) AS abin, ROUND(SUM(w * value) / SUM(w), 5) AS value FROM x GROUP BY 1, 2""")
 def powder_blurred(spark: SparkSession, sf: str) -> DataFrame:
-    b = _bins(spark)
-    n = b.groupBy("rbin", "abin").agg(F.count("*").alias("n"))
-    t = tb.photons(spark, sf).join(F.broadcast(b), "pix").groupBy("rbin", "abin").agg(F.sum("cnt").alias("s")).join(n, ["rbin", "abin"])
-    return rounded(vo.blurred(t.select("rbin", "abin", (F.col("s") / F.col("n")).alias("value")), 1.0, 2), "value", digits=5)
+    t = an.ring_means(tb.photons(spark, sf), an.polar_bins(tb.detector(spark), 1.0, 30.0), 1, 4)
+    return rounded(vo.blurred(t.select("rbin", "abin", F.col("v").alias("value")), 1.0, 2), "value", digits=5)
 
 
 @query("SELECT vox, ROUND(b.intens, 6) AS intens FROM (SELECT vox, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube) a JOIN (SELECT vox AS v, intens FROM cube) b ON v = (-y + 4) * 81 + (x + 4) * 9 + z + 4 WHERE x*x + y*y + z*z < 16")
