@@ -234,40 +234,40 @@ g AS (SELECT mode, r, pix, SUM(f * intens) AS v FROM c JOIN model USING (vox) GR
 views AS (SELECT m.mode, t.r, t.pix, CASE WHEN v * corr > 0 THEN v * corr ELSE 2.2250738585072014e-308 END AS value FROM t CROSS JOIN (SELECT DISTINCT mode FROM model) m LEFT JOIN g ON g.mode = m.mode AND g.r = t.r AND g.pix = t.pix)"""
 
 
-def _views(spark: SparkSession) -> DataFrame:
-    return vw.views(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), tb.model(spark), SIZE)
+def _views(spark: SparkSession, sf: str) -> DataFrame:
+    return vw.views(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), tb.model(spark, sf), SIZE)
 
 
 @query(_CORNERS + " SELECT mode, r, pix, ROUND(value, 9) AS value FROM views")
 def views_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_views(spark), "value", digits=9)
+    return rounded(_views(spark, sf), "value", digits=9)
 
 
 @query(_CORNERS + " SELECT mode, vox, ROUND(SUM(f * value / corr), 6) AS num, ROUND(SUM(f), 6) AS weight FROM c JOIN views USING (r, pix) GROUP BY 1, 2")
 def views_merged_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.merged(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), _views(spark), SIZE), "num", "weight")
+    return rounded(vw.merged(vw.coords2d(tb.rotations(spark), tb.detector(spark), SIZE), _views(spark, sf), SIZE), "num", "weight")
 
 
 @query("SELECT mode, vox, ROUND(AVG(intens), 9) AS intens FROM (SELECT * FROM model UNION ALL SELECT mode, 168 - vox, intens FROM model) GROUP BY 1, 2")
 def model_friedel(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.friedel(tb.model(spark), SIZE, 2), "intens", digits=9)
+    return rounded(vw.friedel(tb.model(spark, sf), SIZE, 2), "intens", digits=9)
 
 
 @query("SELECT vox, ROUND(AVG(intens), 9) AS intens FROM (SELECT * FROM cube UNION ALL SELECT 728 - vox, intens FROM cube) GROUP BY 1")
 def volume_friedel(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.friedel(tb.volume(spark), 9, 3), "intens", digits=9)
+    return rounded(vw.friedel(tb.volume(spark, sf), 9, 3), "intens", digits=9)
 
 
 @query("SELECT vox, ROUND(AVG(intens) OVER (PARTITION BY list_sort([ABS(vox // 81 - 4), ABS(vox // 9 % 9 - 4), ABS(vox % 9 - 4)])), 9) AS intens FROM cube")
 def volume_octahedral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.octahedral(tb.volume(spark), 9), "intens", digits=9)
+    return rounded(vw.octahedral(tb.volume(spark, sf), 9), "intens", digits=9)
 
 
 @query("""x AS (SELECT vox, intens, 1.0::DOUBLE + vox % 4 AS w, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube),
 s AS (SELECT a.vox, a.intens * a.w + b.intens * b.w AS num, a.w + b.w AS den FROM x a JOIN x b ON b.x = -a.x AND b.y = -a.y AND b.z = a.z WHERE a.x*a.x + a.y*a.y + a.z*a.z < 16)
 SELECT vox, ROUND(COALESCE(CASE WHEN den > 0 THEN num / den END, 0), 6) AS intens FROM x LEFT JOIN s USING (vox)""")
 def volume_axial(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.axial(tb.volume(spark).withColumn("weight", 1.0 + F.col("vox") % 4), 2, 9), "intens")
+    return rounded(vw.axial(tb.volume(spark, sf).withColumn("weight", 1.0 + F.col("vox") % 4), 2, 9), "intens")
 
 
 def _inline(n: int, letter: str) -> str:
@@ -276,8 +276,8 @@ def _inline(n: int, letter: str) -> str:
     return f"(VALUES {rows}) {letter}(r, q0, q1, q2, q3, w)"
 
 
-_CORNERS_3D = f"""big AS (SELECT range AS vox, 0.5::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 AS intens FROM range(2197)),
-q AS (SELECT * FROM {_inline(1, "q")}),
+_CORNERS_3D = f"""big AS (SELECT range AS vox, 0.3::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 + 0.2 + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(2197) LEFT JOIN (SELECT p_partkey % 2197 AS k, SUM(p_size) AS n FROM part GROUP BY 1) ON k = range),
+q AS (SELECT * FROM turns),
 t AS (SELECT r, pix, corr,
   (1 - 2 * (q2*q2 + q3*q3)) * qx + 2 * (q1*q2 - q0*q3) * qy + 2 * (q1*q3 + q0*q2) * qz + 6 AS t0,
   2 * (q1*q2 + q0*q3) * qx + (1 - 2 * (q1*q1 + q3*q3)) * qy + 2 * (q2*q3 - q0*q1) * qz + 6 AS t1,
@@ -290,19 +290,19 @@ g AS (SELECT r, pix, SUM(f * intens) AS v FROM c JOIN big USING (vox) GROUP BY 1
 views AS (SELECT t.r, t.pix, CASE WHEN v * corr > 0 THEN v * corr ELSE 2.2250738585072014e-308 END AS value FROM t LEFT JOIN g ON g.r = t.r AND g.pix = t.pix)"""
 
 
-def _views_3d(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    coords = vw.coords3d(ori.table(spark, ori.uniform(1)), tb.detector(spark), SIZE)
-    return coords, vw.views(coords, tb.volume(spark, SIZE).withColumn("mode", F.lit(0).cast("long")), SIZE)
+def _views_3d(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    coords = vw.coords3d(tb.turns(spark, sf), tb.detector(spark), SIZE)
+    return coords, vw.views(coords, tb.volume(spark, sf, SIZE).withColumn("mode", F.lit(0).cast("long")), SIZE)
 
 
 @query(_CORNERS_3D + " SELECT 0::BIGINT AS mode, r::BIGINT AS r, pix, ROUND(value, 6) AS value FROM views")
 def views_3d(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_views_3d(spark)[1], "value")
+    return rounded(_views_3d(spark, sf)[1], "value")
 
 
 @query(_CORNERS_3D + " SELECT 0::BIGINT AS mode, vox, ROUND(SUM(f * value / corr), 5) AS num, ROUND(SUM(f), 5) AS weight FROM c JOIN views USING (r, pix) GROUP BY 2")
 def views_merged_3d(spark: SparkSession, sf: str) -> DataFrame:
-    coords, v = _views_3d(spark)
+    coords, v = _views_3d(spark, sf)
     return rounded(vw.merged(coords, v, SIZE), "num", "weight", digits=5)
 
 
@@ -320,19 +320,19 @@ def _coords_rz(spark: SparkSession) -> DataFrame:
 
 @query(_RZ + " SELECT mode, r, pix, ROUND(value, 9) AS value FROM views")
 def views_rz(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.views(_coords_rz(spark), tb.model(spark), SIZE), "value", digits=9)
+    return rounded(vw.views(_coords_rz(spark), tb.model(spark, sf), SIZE), "value", digits=9)
 
 
 @query(_RZ + " SELECT mode, vox, ROUND(SUM(f * value / corr), 6) AS num, ROUND(SUM(f), 6) AS weight FROM c JOIN views USING (r, pix) GROUP BY 1, 2")
 def views_merged_rz(spark: SparkSession, sf: str) -> DataFrame:
     x = _coords_rz(spark)
-    return rounded(vw.merged(x, vw.views(x, tb.model(spark), SIZE), SIZE), "num", "weight")
+    return rounded(vw.merged(x, vw.views(x, tb.model(spark, sf), SIZE), SIZE), "num", "weight")
 
 
 @query("""p AS (SELECT i.range - 4 AS i, j.range - 4 AS j FROM range(9) i, range(9) j)
 SELECT i, j, ROUND(intens, 6) AS value FROM p JOIN cube ON vox = (i + 4) * 81 + (j + 4) * 9 + 4 WHERE i < 4 AND j < 4""")
 def volume_plane(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.oblique(tb.volume(spark), (1, 0, 0), (0, 1, 0), 9), "value")
+    return rounded(vw.oblique(tb.volume(spark, sf), (1, 0, 0), (0, 1, 0), 9), "value")
 
 
 # Orientations
@@ -441,13 +441,13 @@ turned AS (SELECT a, b, c, d, dest AS vox, SUM(f * intens) AS intens FROM f JOIN
 @query(_CELL600 + f", sixty AS (SELECT a, b, c, d FROM v WHERE {_HALF.replace('q0', 'a').replace('q1', 'b').replace('q2', 'c').replace('q3', 'd')})" + _ROTATED.format(group="sixty")
        + " SELECT cube.vox, ROUND(COALESCE(s / 60, intens), 6) AS intens FROM cube LEFT JOIN (SELECT vox, SUM(intens) AS s FROM turned GROUP BY 1) USING (vox)")
 def volume_icosahedral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vw.icosahedral(tb.volume(spark), 9), "intens")
+    return rounded(vw.icosahedral(tb.volume(spark, sf), 9), "intens")
 
 
 @query(_CUBE + f", four AS (SELECT a, b, c, d FROM o WHERE {_HALF.replace('q0', 'a').replace('q1', 'b').replace('q2', 'c').replace('q3', 'd')})" + _ROTATED.format(group="four")
        + " SELECT ROUND(a, 6) + 0.0 AS q0, ROUND(b, 6) + 0.0 AS q1, ROUND(c, 6) + 0.0 AS q2, ROUND(d, 6) + 0.0 AS q3, ROUND(CORR(turned.intens, cube.intens), 6) AS cc FROM turned JOIN cube USING (vox) GROUP BY ALL")
 def volume_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    cube, group = tb.volume(spark), ori.half(ori.octahedral_group())
+    cube, group = tb.volume(spark, sf), ori.half(ori.octahedral_group())
     m = [(k, *map(float, ori.matrix(q).ravel())) for k, q in enumerate(group)]
     df = spark.createDataFrame(m, "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
     quats = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(group)], "k int, q0 double, q1 double, q2 double, q3 double")
@@ -459,7 +459,7 @@ def volume_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """The rotation of a volume that was rotated by a quarter turn, searched from coarse to fine."""
     import numpy as np
 
-    cube = tb.volume(spark)
+    cube = tb.volume(spark, sf)
     m = spark.createDataFrame([(0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
     turned = cube.join(vw.rotated(cube, m, 9).select("vox", F.col("intens").alias("t")), "vox", "left").select("vox", F.coalesce("t", "intens").alias("intens"))
     q, cc = vo.best_alignment(spark, turned, cube, np.column_stack([ori.octahedral_group(), np.ones(24)]), 9)
@@ -514,7 +514,7 @@ tomo AS (SELECT b.mode, b.r, d.pix, COALESCE(s, 0) / psum AS value FROM base b C
 
 @query(_TOTALS + " SELECT mode, r, ROUND(u, 6) AS u FROM totals")
 def view_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mx.view_totals(_views(spark), tb.detector(spark)), "u")
+    return rounded(mx.view_totals(_views(spark, sf), tb.detector(spark)), "u")
 
 
 @query(_TOTALS + " SELECT ROUND((SELECT AVG(fcount) FROM counts) / SUM(w * u) * 2, 6) AS rescale FROM totals JOIN rot USING (r)")
@@ -747,17 +747,17 @@ _RBIN = "CAST(TRUNC(SQRT(POWER(vox // 13 - 6, 2) + POWER(vox % 13 - 6, 2))) AS I
 
 @query(f"SELECT mode, {_RBIN} AS rbin, ROUND(AVG(intens), 9) AS mean, ROUND(MIN(intens), 9) AS least FROM model GROUP BY 1, 2")
 def model_radial(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.radial(tb.model(spark), SIZE, 2), "mean", "least", digits=9)
+    return rounded(an.radial(tb.model(spark, sf), SIZE, 2), "mean", "least", digits=9)
 
 
 @query(f"SELECT mode, vox, ROUND(CASE WHEN {_RBIN} BETWEEN 1 AND 5 THEN SQRT(intens) - AVG(SQRT(intens)) OVER (PARTITION BY mode, {_RBIN}) ELSE 0 END, 6) + 0.0 AS intens FROM model")
 def model_minus_radial_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.minus_radial(tb.model(spark), SIZE, 2, exponent=0.5, limits=(1, 5)), "intens")
+    return rounded(an.minus_radial(tb.model(spark, sf), SIZE, 2, exponent=0.5, limits=(1, 5)), "intens")
 
 
 @query(f"SELECT mode, vox, ROUND(intens - MIN(intens) OVER (PARTITION BY mode, {_RBIN}), 6) + 0.0 AS intens FROM model")
 def model_minus_radial_min(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.minus_radial(tb.model(spark), SIZE, 2, "min"), "intens")
+    return rounded(an.minus_radial(tb.model(spark, sf), SIZE, 2, "min"), "intens")
 
 
 def _flat_sql(name: str, size: int, modes: int) -> str:
@@ -845,7 +845,7 @@ def orientation_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vox FROM cube ORDER BY intens DESC, vox LIMIT 60")
 def volume_support(spark: SparkSession, sf: str) -> DataFrame:
-    return an.support(tb.volume(spark), 60)
+    return an.support(tb.volume(spark, sf), 60)
 
 
 _POINTS = "pts AS (SELECT frame_id, SUM(CASE WHEN pix = 0 THEN val END) AS x, SUM(CASE WHEN pix = 1 THEN val END) AS y FROM dense WHERE pix < 2 GROUP BY 1)"
@@ -874,7 +874,7 @@ def embedding_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT mode, ROUND(0.5 * ATAN2(2 * SUM(intens * (vox // 13 - 6) * (vox % 13 - 6)), SUM(intens * POWER(vox // 13 - 6, 2)) - SUM(intens * POWER(vox % 13 - 6, 2))), 6) AS angle FROM model GROUP BY 1")
 def model_principal_axis(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(an.principal_axis(tb.model(spark), SIZE), "angle")
+    return rounded(an.principal_axis(tb.model(spark, sf), SIZE), "angle")
 
 
 @query("SELECT mode, COUNT(DISTINCT frame_id) AS n FROM dense GROUP BY 1")
@@ -884,7 +884,7 @@ def frames_per_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def class_phasing(spark: SparkSession, sf: str) -> DataFrame:
-    return an.phased(tb.model(spark), SIZE, 40).select("mode", "vox", F.round("density", 6).alias("density"))
+    return an.phased(tb.model(spark, sf), SIZE, 40).select("mode", "vox", F.round("density", 6).alias("density"))
 
 
 @query()
@@ -959,7 +959,7 @@ def expected_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 SELECT v.mode, v.vox, ROUND(COALESCE(intens, CAST(('0x' || substr(md5('24301|' || v.mode || '|' || v.vox), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 1.5), 6) AS intens FROM v LEFT JOIN model ON model.mode = v.mode AND model.vox = v.vox""")
 def start_model(spark: SparkSession, sf: str) -> DataFrame:
     """Two modes are given, the third is random."""
-    return rounded(kn.start_model(tb.model(spark), spark, 3, SIZE, 2, 1.5), "intens")
+    return rounded(kn.start_model(tb.model(spark, sf), spark, 3, SIZE, 2, 1.5), "intens")
 
 
 @query("SELECT MIN(CASE WHEN frame_id > 500 THEN frame_id END) AS next, MAX(CASE WHEN frame_id < 500 THEN frame_id END) AS previous FROM frames WHERE blacklist = 0")
@@ -992,7 +992,7 @@ def frames_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
 @query(_CORNERS + " SELECT frame_id, pix, ROUND(value, 9) AS value FROM (SELECT frame_id, frame_id % 2 AS mode, frame_id % 12 AS r FROM frames) JOIN views USING (mode, r)")
 def frames_predicted(spark: SparkSession, sf: str) -> DataFrame:
     best = tb.frames(spark, sf).select("frame_id", (F.col("frame_id") % 2).alias("mode"), (F.col("frame_id") % 12).alias("r"))
-    return rounded(kn.predicted(best, _views(spark)), "value", digits=9)
+    return rounded(kn.predicted(best, _views(spark, sf)), "value", digits=9)
 
 
 @query("""i AS (SELECT CAST(x + 3.5 AS INT) AS ix, CAST(y + 3.5 AS INT) AS iy, CAST(COALESCE(SUM(cnt), 0) AS BIGINT) AS value FROM det d LEFT JOIN (SELECT * FROM photons WHERE frame_id = (SELECT MIN(frame_id) FROM photons)) p ON p.pix = d.pix WHERE mask < 2 GROUP BY 1, 2),
@@ -1004,7 +1004,7 @@ def frame_zoomed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vox, ROUND(AVG(intens) OVER (PARTITION BY vox % 9, ROUND_EVEN(SQRT(POWER(vox // 81 - 4, 2) + POWER(vox // 9 % 9 - 4, 2)), 0)), 6) AS intens FROM cube")
 def volume_cylindrical(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vo.cylindrical(tb.volume(spark), 9), "intens")
+    return rounded(vo.cylindrical(tb.volume(spark, sf), 9), "intens")
 
 
 @query("""r AS (SELECT range - 3 AS v FROM range(7)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)
@@ -1021,13 +1021,13 @@ o AS (SELECT vox, MAX(intens) AS intens, MIN((h + 8) * 256 + (k + 8) * 16 + l +
   AND POWER(i - FLOOR(x + 0.5), 2) + POWER(j - FLOOR(y + 0.5), 2) + POWER(m - FLOOR(z + 0.5), 2) < 4 GROUP BY 1)
 SELECT CAST(own // 256 - 8 AS BIGINT) AS h, CAST(own // 16 % 16 - 8 AS BIGINT) AS k, CAST(own % 16 - 8 AS BIGINT) AS l, ROUND(SUM(intens), 6) AS total FROM o GROUP BY own HAVING SUM(intens) > 0""")
 def lattice_sphere_spots(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vo.sphere_spots(tb.volume(spark), vo.lattice(spark, 1, extinct=False), 2.4, 9, 2), "total")
+    return rounded(vo.sphere_spots(tb.volume(spark, sf), vo.lattice(spark, 1, extinct=False), 2.4, 9, 2), "total")
 
 
 @query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)
 SELECT h, k, l, ROUND(SUM(intens), 6) AS total FROM p JOIN cube ON POWER(vox // 81 - 4 - 3 * h, 2) + POWER(vox // 9 % 9 - 4 - 3 * k, 2) + POWER(vox % 9 - 4 - 3 * l, 2) < 1.44 GROUP BY 1, 2, 3""")
 def lattice_spots(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vo.spots(tb.volume(spark), vo.lattice(spark, 1, extinct=False), 3.0, 9, 1.2), "total")
+    return rounded(vo.spots(tb.volume(spark, sf), vo.lattice(spark, 1, extinct=False), 3.0, 9, 1.2), "total")
 
 
 @query("""r AS (SELECT range - 1 AS v FROM range(3)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c WHERE (a.v <> 0 OR b.v % 2 = 0) AND (b.v <> 0 OR c.v % 2 = 0) AND (c.v <> 0 OR a.v % 2 = 0)
@@ -1041,7 +1041,7 @@ def volume_crystal(spark: SparkSession, sf: str) -> DataFrame:
 @query("""a AS (SELECT vox, vox // 13 AS x, vox % 13 AS y, intens FROM model WHERE mode = 0)
 SELECT a.vox, ROUND(MAX(a.intens) - MIN(b.intens), 6) + 0.0 AS value FROM a JOIN a b ON ABS(a.x - b.x) <= 2 AND ABS(a.y - b.y) <= 2 GROUP BY 1""")
 def image_minimum_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vo.minimum_filtered(tb.model(spark).filter("mode = 0"), SIZE, 2), "value")
+    return rounded(vo.minimum_filtered(tb.model(spark, sf).filter("mode = 0"), SIZE, 2), "value")
 
 
 @query(_POLAR + """, t AS (SELECT rbin, abin, SUM(v) AS value FROM s GROUP BY 1, 2), m AS (SELECT MAX(abin) + 1 AS n FROM t),
@@ -1055,7 +1055,7 @@ def powder_blurred(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT vox, ROUND(b.intens, 6) AS intens FROM (SELECT vox, vox // 81 - 4 AS x, vox // 9 % 9 - 4 AS y, vox % 9 - 4 AS z FROM cube) a JOIN (SELECT vox AS v, intens FROM cube) b ON v = (-y + 4) * 81 + (x + 4) * 9 + z + 4 WHERE x*x + y*y + z*z < 16")
 def volume_rotated(spark: SparkSession, sf: str) -> DataFrame:
     m = spark.createDataFrame([(0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "k int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
-    return rounded(vw.rotated(tb.volume(spark), m, 9).select("vox", "intens"), "intens")
+    return rounded(vw.rotated(tb.volume(spark, sf), m, 9).select("vox", "intens"), "intens")
 
 
 @query(_CORNERS + """, d AS (SELECT frame_id, pix, CAST(FLOOR(val * 20) AS INT) AS cnt FROM dense JOIN det USING (pix) WHERE mask < 1 AND FLOOR(val * 20) > 0),
@@ -1063,7 +1063,7 @@ u AS (SELECT mode, r, SUM(value) AS u FROM views JOIN det USING (pix) WHERE mask
 h AS (SELECT frame_id, mode, r, SUM(cnt * LN(value)) AS s FROM d JOIN views USING (pix) GROUP BY 1, 2, 3)
 SELECT f.frame_id, u.mode, u.r, ROUND(LN(w) - u + COALESCE(s, 0), 5) AS logl FROM (SELECT DISTINCT frame_id FROM dense) f CROSS JOIN u JOIN rot USING (r) LEFT JOIN h ON h.frame_id = f.frame_id AND h.mode = u.mode AND h.r = u.r""")
 def log_likelihood_dense(spark: SparkSession, sf: str) -> DataFrame:
-    det, v = tb.detector(spark), _views(spark)
+    det, v = tb.detector(spark), _views(spark, sf)
     dense = tb.dense_frames(spark, sf)
     photons = fr.sparsified(dense.withColumn("val", F.floor(F.col("val") * 20).cast("double")), det)
     phi = dense.select("frame_id").distinct().withColumn("phi", F.lit(1.0))
@@ -1072,7 +1072,7 @@ def log_likelihood_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT mode, vox, ROUND(0.3 * intens + 0.7 * (intens * intens), 6) AS intens FROM model")
 def model_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    m = tb.model(spark)
+    m = tb.model(spark, sf)
     return rounded(mx.mixed_model(m, m.withColumn("intens", F.col("intens") * F.col("intens")), 0.3), "intens")
 
 
@@ -1120,7 +1120,7 @@ def detectors_mean_powder(spark: SparkSession, sf: str) -> DataFrame:
 @query(_CORNERS + ", " + _DET2 + " SELECT det_id, mode, r, ROUND(SUM(value), 6) AS u FROM views JOIN det2 USING (pix) WHERE mask < 1 GROUP BY 1, 2, 3")
 def detectors_view_totals(spark: SparkSession, sf: str) -> DataFrame:
     det, _ = _detectors(spark, sf)
-    both = _views(spark).crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("det_id"))))
+    both = _views(spark, sf).crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("det_id"))))
     return rounded(mu.view_totals(both, det), "u")
 
 
@@ -1130,7 +1130,7 @@ l AS (SELECT o.frame_id, t.mode, t.r, ROUND(LN(w) - u * scale + COALESCE(s, 0),
 SELECT frame_id, mode, r, ROUND(logl, 5) AS logl FROM l QUALIFY ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY logl DESC, mode, r) = 1""")
 def detectors_best_rotation(spark: SparkSession, sf: str) -> DataFrame:
     det, frames = _detectors(spark, sf)
-    v, phi = _views(spark), frames.filter("blacklist = 0").withColumn("phi", F.col("scale"))
+    v, phi = _views(spark, sf), frames.filter("blacklist = 0").withColumn("phi", F.col("scale"))
     logl = mu.log_likelihood(tb.photons(spark, sf), phi, {0: v, 1: v}, tb.rotations(spark), det, 24)
     return rounded(mu.best_rotation(rounded(logl, "logl", digits=9)), "logl", digits=5)
 

@@ -31,7 +31,7 @@ class State:
         self.spark = spark
         self.det, self.rot = tb.detector(spark), tb.rotations(spark)
         self.photons, self.frames = tb.photons(spark, sf), tb.frames(spark, sf)
-        self.model = tb.model(spark) if model is None else model
+        self.model = tb.model(spark, sf) if model is None else model
         self.phi = self.frames.filter("blacklist = 0").select("frame_id", F.col("scale").alias("phi"))
         self.size = tb.MODEL_SIZE
         self.modes = 2
@@ -110,7 +110,7 @@ def reconstruct(spark: SparkSession, sf: str, iterations: int, out: str, p: Para
     start = texts.resumed(spark, path)
     if start == 1:
         sinks.backup(path)
-        sinks.iteration(out, 0, model=tb.model(spark))
+        sinks.iteration(out, 0, model=tb.model(spark, sf))
         sinks.log_head(path, num_data=tb.frames(spark, sf).count(), alpha=p.alpha, need_scaling=p.need_scaling)
     for k in range(start, start + iterations):
         began, old = time.monotonic(), read("model", k - 1)

@@ -52,15 +52,16 @@ def rotations(spark: SparkSession, n: int = 12) -> DataFrame:
     return spark.range(n).select("id", (F.lit(2.0) * F.pi() * F.col("id") / n).alias("angle"), (F.lit(1.0) / n).alias("w")).withColumnRenamed("id", "r")
 
 
-def model(spark: SparkSession, modes: int = 2, size: int = MODEL_SIZE) -> DataFrame:
-    """(mode, vox, intens): a deterministic start model."""
-    v = spark.range(size * size).withColumnRenamed("id", "vox").crossJoin(spark.range(modes).withColumnRenamed("id", "mode"))
-    return v.select("mode", "vox", (F.lit(0.5) + ((F.col("vox") * 37 + F.col("mode") * 11) % 101).cast("double") / 101.0).alias("intens"))
+def model(spark: SparkSession, sf: str, modes: int = 2, size: int = MODEL_SIZE) -> DataFrame:
+    """(mode, vox, intens): a start model of the parts, over a floor that differs from voxel to voxel."""
+    floor = F.lit(0.3) + ((F.col("vox") * 37 + F.col("mode") * 11) % 101).cast("double") / 101.0
+    return models(spark, sf, 2, modes, size).select("mode", "vox", (floor + F.col("intens")).alias("intens"))
 
 
-def volume(spark: SparkSession, size: int = 9) -> DataFrame:
-    """(vox, intens): a deterministic cube."""
-    return spark.range(size**3).select(F.col("id").alias("vox"), (F.lit(0.5) + ((F.col("id") * 37) % 101).cast("double") / 101.0).alias("intens"))
+def volume(spark: SparkSession, sf: str, size: int = 9) -> DataFrame:
+    """(vox, intens): a cube of the parts, over such a floor."""
+    floor = F.lit(0.3) + ((F.col("vox") * 37) % 101).cast("double") / 101.0
+    return models(spark, sf, 3, 1, size).select("vox", (floor + F.col("intens")).alias("intens"))
 
 
 def turns(spark: SparkSession, sf: str, table: str = "supplier") -> DataFrame:
@@ -103,8 +104,6 @@ det AS (SELECT pix, x, y, 20.0::DOUBLE * x / SQRT(x*x + y*y + 400.0) AS qx, 20.0
   CAST(CASE WHEN SQRT(x*x + y*y) < 1.0 THEN 2 WHEN SQRT(x*x + y*y) > 3.5 THEN 1 ELSE 0 END AS INT) AS mask FROM xy),
 dense AS (SELECT CAST(vec_id AS BIGINT) AS frame_id, CAST(label AS INT) AS mode, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pix, CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings),
 rot AS (SELECT CAST(range AS BIGINT) AS r, 2.0::DOUBLE * PI() * range / 12 AS angle, 1.0::DOUBLE / 12 AS w FROM range(12)),
-model AS (SELECT m.range AS mode, v.range AS vox, 0.5::DOUBLE + CAST((v.range * 37 + m.range * 11) % 101 AS DOUBLE) / 101.0 AS intens FROM range(169) v, range(2) m),
-cube AS (SELECT range AS vox, 0.5::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 AS intens FROM range(729)),
 turns AS (SELECT r, q0 / l AS q0, q1 / l AS q1, q2 / l AS q2, q3 / l AS q3, w / SUM(w) OVER () AS w FROM (
   SELECT *, SQRT(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS l FROM (SELECT CAST(s_suppkey AS BIGINT) AS r, 1.0::DOUBLE + s_suppkey * 7 % 13 AS q0, s_suppkey * 11 % 17 - 8.0::DOUBLE AS q1,
     s_suppkey * 5 % 19 - 9.0::DOUBLE AS q2, s_suppkey * 3 % 23 - 11.0::DOUBLE AS q3, 1.0::DOUBLE + s_suppkey % 3 AS w FROM supplier))),
@@ -113,5 +112,7 @@ flats AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101
   LEFT JOIN (SELECT p_partkey % 2 AS mode, p_partkey // 2 % 169 AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range),
 solids AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(2197) v CROSS JOIN range(2) m
   LEFT JOIN (SELECT p_partkey % 2 AS mode, p_partkey // 2 % 2197 AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range),
+model AS (SELECT mode, vox, 0.3::DOUBLE + CAST((vox * 37 + mode * 11) % 101 AS DOUBLE) / 101.0 + intens AS intens FROM flats),
+cube AS (SELECT range AS vox, 0.3::DOUBLE + CAST((range * 37) % 101 AS DOUBLE) / 101.0 + 0.2 + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(729) LEFT JOIN (SELECT p_partkey % 729 AS k, SUM(p_size) AS n FROM part GROUP BY 1) ON k = range),
 iter_log AS (SELECT CAST(EXTRACT(DAY FROM ts) AS INT) AS iteration, user_id AS frame_id, arg_min(CAST(event_id % 60 AS INT), event_id) AS rmax FROM events GROUP BY 1, 2)
 """

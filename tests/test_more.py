@@ -86,8 +86,8 @@ def test_sinks_round_trip(spark, tmp_path):
     rot = orientation.table(spark, orientation.uniform(1))
     sinks.quaternions(rot, str(tmp_path / "q"))
     assert orientation.from_text(texts.numbered(spark, str(tmp_path / "q"))).count() == 60
-    sinks.density(tables.volume(spark, 5), str(tmp_path / "v.raw"), 5)
-    assert sorted(map(tuple, reader.volume(spark, str(tmp_path / "v.raw")).collect())) == sorted(map(tuple, tables.volume(spark, 5).collect()))
+    sinks.density(tables.volume(spark, SF, 5), str(tmp_path / "v.raw"), 5)
+    assert sorted(map(tuple, reader.volume(spark, str(tmp_path / "v.raw")).collect())) == sorted(map(tuple, tables.volume(spark, SF, 5).collect()))
     assert reader.background(spark, str(tmp_path / "v.raw"), det).filter("background > 0").count() == 64
     log = str(tmp_path / "EMC.log")
     sinks.log_head(log, num_data=3)

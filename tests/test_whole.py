@@ -22,7 +22,7 @@ def con():
 
 def test_every_frame_is_predicted(spark, con):
     views = {}
-    for v in _views(spark).collect():
+    for v in _views(spark, SF).collect():
         views.setdefault((v.mode, v.r), {})[v.pix] = v.value
     ids = {r.frame_id for r in tb.frames(spark, SF).collect()}
     got = {}
