@@ -16,7 +16,7 @@ from speckle.operators import multi as mu
 from speckle.operators import orientation as ori
 from speckle.operators import views as vw
 from speckle.operators import volumes as vo
-from speckle.operators.geometry import Axial, Volume
+from speckle.operators.geometry import Axial, Plane, Volume
 from speckle.plans import emc, recon
 from speckle.sources import tables as tb
 
@@ -388,15 +388,15 @@ def rotations_counted(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(f"x AS (SELECT f.r, MIN(ROUND(1 - POWER(f.q0*c.q0 + f.q1*c.q1 + f.q2*c.q2 + f.q3*c.q3, 2), 9)) AS dist FROM {_inline(2, 'f')}, {_inline(1, 'c')} GROUP BY 1) SELECT r::BIGINT AS r, dist + 0.0 AS dist FROM x")
+@query("x AS (SELECT f.r, MIN(ROUND(1 - POWER(f.q0*c.q0 + f.q1*c.q1 + f.q2*c.q2 + f.q3*c.q3, 2), 9)) AS dist FROM spins f, turns c GROUP BY 1) SELECT r, dist + 0.0 AS dist FROM x")
 def rotations_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ori.nearest(ori.table(spark, ori.uniform(2)), ori.table(spark, ori.uniform(1))).select("r", "dist"), "dist", digits=9)
+    return rounded(ori.nearest(tb.turns(spark, sf, "customer"), tb.turns(spark, sf)).select("r", "dist"), "dist", digits=9)
 
 
-@query(f"SELECT r::BIGINT AS r, ROUND(1 - 2 * (q2*q2 + q3*q3), 9) + 0.0 AS m00, ROUND(2 * (q1*q2 - q0*q3), 9) + 0.0 AS m01, ROUND(2 * (q1*q3 + q0*q2), 9) + 0.0 AS m02, ROUND(1 - 2 * (q1*q1 + q2*q2), 9) + 0.0 AS m22 FROM {_inline(2, 'q')}")
+@query("SELECT r, ROUND(1 - 2 * (q2*q2 + q3*q3), 9) + 0.0 AS m00, ROUND(2 * (q1*q2 - q0*q3), 9) + 0.0 AS m01, ROUND(2 * (q1*q3 + q0*q2), 9) + 0.0 AS m02, ROUND(1 - 2 * (q1*q1 + q2*q2), 9) + 0.0 AS m22 FROM spins")
 def rotation_matrices(spark: SparkSession, sf: str) -> DataFrame:
     m = vw.rotation_matrix()
-    x = ori.table(spark, ori.uniform(2)).select("r", m[0][0].alias("m00"), m[0][1].alias("m01"), m[0][2].alias("m02"), m[2][2].alias("m22"))
+    x = tb.turns(spark, sf, "customer").select("r", m[0][0].alias("m00"), m[0][1].alias("m01"), m[0][2].alias("m02"), m[2][2].alias("m22"))
     return rounded(x, "m00", "m01", "m02", "m22", digits=9)
 
 
@@ -622,29 +622,6 @@ def normalised_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mx.normalised_scales(s.phi, s.model)[1], "intens")
 
 
-_NEW = _TOMO + """, sums AS (SELECT mode, vox, SUM(f * value / corr) AS num, SUM(f) AS weight FROM c JOIN tomo USING (r, pix) GROUP BY 1, 2),
-new AS (SELECT m.mode, m.vox, m.intens AS old, COALESCE(num / weight, 0) AS intens FROM model m LEFT JOIN sums s ON s.mode = m.mode AND s.vox = m.vox),
-sym AS (SELECT a.mode, a.vox, a.old, (a.intens + b.intens) / 2 AS intens FROM new a JOIN new b ON b.mode = a.mode AND b.vox = 168 - a.vox)"""
-
-
-@query(_NEW + " SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym")
-def emc_iteration(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(emc.State(spark, sf).next_model(), "intens", digits=5)
-
-
-@query(_NEW + " SELECT ROUND(SQRT(AVG(POWER(intens - old, 2))), 5) AS rms_change FROM sym")
-def model_rms_change(spark: SparkSession, sf: str) -> DataFrame:
-    s = emc.State(spark, sf)
-    return rounded(mx.rms_change(s.model, s.next_model()), "rms_change", digits=5)
-
-
-@query(_POST + _FACT + """, m AS (SELECT frame_id, SUM(p * LN(p * 2 / w)) AS info, SUM(p * (logl - COALESCE(sum_fact, 0))) AS likelihood FROM post JOIN rot USING (r) LEFT JOIN facts USING (frame_id) WHERE p >= 1e-6 GROUP BY 1)
-SELECT ROUND(AVG(info), 5) AS info_rate, ROUND(AVG(likelihood), 4) AS log_likelihood FROM m""")
-def emc_averages(spark: SparkSession, sf: str) -> DataFrame:
-    s = emc.State(spark, sf)
-    return rounded(rounded(mx.averages(s.metrics, s.frames), "info_rate", digits=5), "log_likelihood", digits=4)
-
-
 @query("SELECT f.frame_id, r FROM (SELECT frame_id FROM frames WHERE blacklist = 0) f, rot WHERE r // 3 IN (f.frame_id % 4, (f.frame_id + 1) % 4)")
 def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
     f = tb.frames(spark, sf).filter("blacklist = 0").select("frame_id")
@@ -653,7 +630,8 @@ def refined_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return mx.refined(f.crossJoin(F.broadcast(rot.select("r"))), rot, kept)
 
 
-# The iteration in three dimensions and of axial models: views are made in the tasks that meet frames
+# Iterations on packed blocks, of models in two and three dimensions and axial ones: views are made in the tasks that meet
+# frames, and every frame has the scale that brings the mean view to the mean count
 
 _AT_3D = """t AS (SELECT r, pix, corr,
   (1 - 2 * (q2*q2 + q3*q3)) * qx + 2 * (q1*q2 - q0*q3) * qy + 2 * (q1*q3 + q0*q2) * qz + 6 AS t0,
@@ -678,6 +656,7 @@ phi AS (SELECT frame_id, (SELECT AVG(fcount) FROM counts JOIN frames USING (fram
 logl AS (SELECT p.frame_id, t.mode, t.r, LN(w) - u * p.phi + COALESCE(s, 0) AS logl FROM phi p CROSS JOIN totals t JOIN {rot} ON {rot}.r = t.r LEFT JOIN hits h ON h.frame_id = p.frame_id AND h.mode = t.mode AND h.r = t.r{where})""" + _TOMO[len(_LOGL) :]
 
 
+_STEP_2D = _step_sql(_CORNERS[: _CORNERS.index("g AS (")].rstrip(",\n "), "rot", "model")
 _STEP_3D, _STEP_RZ = _step_sql(_AT_3D, "turns", "solids"), _step_sql(_AT_RZ, "tilts", "flats")
 _SUMS = """, sums AS (SELECT mode, vox, SUM(f * value / corr) AS num, SUM(f) AS weight FROM c JOIN tomo USING (r, pix) GROUP BY 1, 2),
 new AS (SELECT m.mode, m.vox, COALESCE(num / weight, 0) AS intens FROM {0} m LEFT JOIN sums s ON s.mode = m.mode AND s.vox = m.vox),
@@ -687,11 +666,33 @@ SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym"""
 
 def _problem(spark: SparkSession, sf: str, kind: str = "3d") -> recon.Problem:
     frames, photons, det = tb.frames(spark, sf), tb.photons(spark, sf), tb.detector(spark)
+    if kind == "2d":
+        return recon.Problem(photons, frames, det, tb.rotations(spark), tb.model(spark, sf), Plane(), SIZE)
     if kind == "rz":
         return recon.Problem(photons, frames, det, tb.tilts(spark, sf), tb.models(spark, sf, 2), Axial(), SIZE)
     return recon.Problem(photons, frames, det, tb.turns(spark, sf), tb.models(spark, sf, 3), Volume(), SIZE)
 
 
+@query(_STEP_2D + _SUMS.format("model", 168))
+def emc_iteration(spark: SparkSession, sf: str) -> DataFrame:
+    s = recon.Step(_problem(spark, sf, "2d"))
+    return rounded(s.next_model(s.rows()), "intens", digits=5)
+
+
+@query(_STEP_2D + _SUMS.format("model", 168).replace("SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym", "SELECT ROUND(SQRT(AVG(POWER(s.intens - m.intens, 2))), 5) AS rms_change FROM sym s JOIN model m USING (mode, vox)"))
+def model_rms_change(spark: SparkSession, sf: str) -> DataFrame:
+    s = recon.Step(_problem(spark, sf, "2d"))
+    return rounded(mx.rms_change(s.x.model, s.next_model(s.rows())), "rms_change", digits=5)
+
+
+@query(_STEP_2D + _FACT + """, m AS (SELECT frame_id, SUM(p * LN(p * 2 / w)) AS info, SUM(p * (logl - COALESCE(sum_fact, 0))) AS likelihood FROM post JOIN rot USING (r) LEFT JOIN facts USING (frame_id) WHERE p >= 1e-6 GROUP BY 1)
+SELECT ROUND(AVG(info), 5) AS info_rate, ROUND(AVG(likelihood), 4) AS log_likelihood FROM m""")
+def emc_averages(spark: SparkSession, sf: str) -> DataFrame:
+    s = recon.Step(_problem(spark, sf, "2d"))
+    metrics = mx.frame_metrics(grid.posterior(s.rows()), s.x.rot, fr.sum_fact(s.x.photons, s.x.det), s.modes)
+    return rounded(rounded(mx.averages(metrics, s.x.frames), "info_rate", digits=5), "log_likelihood", digits=4)
+
+
 @query(_STEP_3D + _SUMS.format("solids", 2196))
 def emc_iteration_3d(spark: SparkSession, sf: str) -> DataFrame:
     s = recon.Step(_problem(spark, sf))

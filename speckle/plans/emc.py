@@ -52,6 +52,11 @@ class State:
     def counts(self) -> DataFrame:
         return fr.frame_counts(self.photons, self.frames, self.det)
 
+    def rescaled(self) -> DataFrame:
+        """(frame_id, phi): of every frame the scale that brings the mean view to the mean count."""
+        mean = mx.rescale(self.totals, self.rot, fr.mean_count(self.photons, self.frames, self.det))
+        return self.phi.select("frame_id").crossJoin(F.broadcast(mean.select(F.col("rescale").alias("phi"))))
+
     @cached_property
     def n_frames(self) -> int:
         return self.phi.count()
@@ -115,8 +120,7 @@ def reconstruct(spark: SparkSession, sf: str, iterations: int, out: str, p: Para
     for k in range(start, start + iterations):
         began, old = time.monotonic(), read("model", k - 1)
         s = State(spark, sf, old)
-        if p.need_scaling and k > 1:
-            s.phi = read("scale", k - 1)
+        s.phi = read("scale", k - 1) if p.need_scaling and k > 1 else s.rescaled()
         first = s.betas if p.beta <= 0 else s.betas.withColumn("beta", F.lit(p.beta))
         s.betas = mx.scheduled_beta(first, k, p.beta_jump, p.beta_period)
         sinks.params(spark, out, k, p, iteration=k, num_rot=s.rot.count())

@@ -107,6 +107,9 @@ rot AS (SELECT CAST(range AS BIGINT) AS r, 2.0::DOUBLE * PI() * range / 12 AS an
 turns AS (SELECT r, q0 / l AS q0, q1 / l AS q1, q2 / l AS q2, q3 / l AS q3, w / SUM(w) OVER () AS w FROM (
   SELECT *, SQRT(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS l FROM (SELECT CAST(s_suppkey AS BIGINT) AS r, 1.0::DOUBLE + s_suppkey * 7 % 13 AS q0, s_suppkey * 11 % 17 - 8.0::DOUBLE AS q1,
     s_suppkey * 5 % 19 - 9.0::DOUBLE AS q2, s_suppkey * 3 % 23 - 11.0::DOUBLE AS q3, 1.0::DOUBLE + s_suppkey % 3 AS w FROM supplier))),
+spins AS (SELECT r, q0 / l AS q0, q1 / l AS q1, q2 / l AS q2, q3 / l AS q3, w / SUM(w) OVER () AS w FROM (
+  SELECT *, SQRT(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS l FROM (SELECT CAST(c_custkey AS BIGINT) AS r, 1.0::DOUBLE + c_custkey * 7 % 13 AS q0, c_custkey * 11 % 17 - 8.0::DOUBLE AS q1,
+    c_custkey * 5 % 19 - 9.0::DOUBLE AS q2, c_custkey * 3 % 23 - 11.0::DOUBLE AS q3, 1.0::DOUBLE + c_custkey % 3 AS w FROM customer))),
 tilts AS (SELECT CAST(s_suppkey AS BIGINT) AS r, 2.0::DOUBLE * PI() * (s_suppkey * 37 % 101) / 101 AS phi, PI() * ((s_suppkey * 17 % 89) / 89.0::DOUBLE - 0.5) / 2 AS beta, 1.0::DOUBLE / COUNT(*) OVER () AS w FROM supplier),
 flats AS (SELECT m.range AS mode, v.range AS vox, 0.2::DOUBLE + COALESCE(n % 101, 0) / 50.0::DOUBLE AS intens FROM range(169) v CROSS JOIN range(2) m
   LEFT JOIN (SELECT p_partkey % 2 AS mode, p_partkey // 2 % 169 AS vox, SUM(p_size) AS n FROM part GROUP BY 1, 2) p ON p.mode = m.range AND p.vox = v.range),
