@@ -156,8 +156,8 @@ def _flat(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return b.column(name)[i].values.to_numpy()
 
 
-def expanded(blocks: DataFrame, params: DataFrame, n_blocks: int, s: Setup) -> DataFrame:
-    """(kind, ...) of packed blocks: rows of the posterior, and sums of each block for the views it asks for.
+def expanded(blocks: DataFrame, params: DataFrame, n_blocks: int, s: Setup, post: bool = True) -> DataFrame:
+    """(kind, ...) of packed blocks: rows of the posterior, if `post`, and sums of each block for the views it asks for.
 
     POSTERIOR: (frame_id, mode, r, logl, p, best) within SPAN / beta of a frame's best. SUMS: (mode, r, pix, s, p): sums of
     p count at lit pixels, and as p that of p phi, over posteriors above PROB_MIN. params: (frame_id, phi, beta).
@@ -191,8 +191,9 @@ def expanded(blocks: DataFrame, params: DataFrame, n_blocks: int, s: Setup) -> D
                     some = logl > best - SPAN / beta
                     e = np.where(some, np.exp(beta * (logl - best)), 0.0)
                     e /= e.sum(1, keepdims=True)
-                    j, k = np.nonzero(some)
-                    yield rows(len(j), kind=np.full(len(j), POSTERIOR), frame_id=ids[own][j], mode=k // n_rot, r=s.r[k % n_rot], logl=logl[j, k], p=e[j, k], best=best[j, 0])
+                    if post:
+                        j, k = np.nonzero(some)
+                        yield rows(len(j), kind=np.full(len(j), POSTERIOR), frame_id=ids[own][j], mode=k // n_rot, r=s.r[k % n_rot], logl=logl[j, k], p=e[j, k], best=best[j, 0])
                     p[own] = np.where(e > PROB_MIN, e, 0.0)
                 order = np.argsort(f.at, kind="stable")
                 of, place, cnt = f.of[order], f.at[order], f.cnt[order]

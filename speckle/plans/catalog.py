@@ -676,13 +676,13 @@ def _problem(spark: SparkSession, sf: str, kind: str = "3d") -> recon.Problem:
 @query(_STEP_2D + _SUMS.format("model", 168))
 def emc_iteration(spark: SparkSession, sf: str) -> DataFrame:
     s = recon.Step(_problem(spark, sf, "2d"))
-    return rounded(s.next_model(s.rows()), "intens", digits=5)
+    return rounded(s.next_model(s.rows(post=False)), "intens", digits=5)
 
 
 @query(_STEP_2D + _SUMS.format("model", 168).replace("SELECT mode, vox, ROUND(intens, 5) AS intens FROM sym", "SELECT ROUND(SQRT(AVG(POWER(s.intens - m.intens, 2))), 5) AS rms_change FROM sym s JOIN model m USING (mode, vox)"))
 def model_rms_change(spark: SparkSession, sf: str) -> DataFrame:
     s = recon.Step(_problem(spark, sf, "2d"))
-    return rounded(mx.rms_change(s.x.model, s.next_model(s.rows())), "rms_change", digits=5)
+    return rounded(mx.rms_change(s.x.model, s.next_model(s.rows(post=False))), "rms_change", digits=5)
 
 
 @query(_STEP_2D + _FACT + """, m AS (SELECT frame_id, SUM(p * LN(p * 2 / w)) AS info, SUM(p * (logl - COALESCE(sum_fact, 0))) AS likelihood FROM post JOIN rot USING (r) LEFT JOIN facts USING (frame_id) WHERE p >= 1e-6 GROUP BY 1)
@@ -696,13 +696,13 @@ def emc_averages(spark: SparkSession, sf: str) -> DataFrame:
 @query(_STEP_3D + _SUMS.format("solids", 2196))
 def emc_iteration_3d(spark: SparkSession, sf: str) -> DataFrame:
     s = recon.Step(_problem(spark, sf))
-    return rounded(s.next_model(s.rows()), "intens", digits=5)
+    return rounded(s.next_model(s.rows(post=False)), "intens", digits=5)
 
 
 @query(_STEP_RZ + _SUMS.format("flats", 168))
 def emc_iteration_rz(spark: SparkSession, sf: str) -> DataFrame:
     s = recon.Step(_problem(spark, sf, "rz"))
-    return rounded(s.next_model(s.rows()), "intens", digits=5)
+    return rounded(s.next_model(s.rows(post=False)), "intens", digits=5)
 
 
 @query(_STEP_3D + " SELECT frame_id, mode, r, ROUND(p, 6) AS p FROM post WHERE p > 1e-3")
@@ -738,7 +738,7 @@ def refined_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 @query(_STEP_REFINED + _SUMS.format("solids", 2196))
 def refined_iteration(spark: SparkSession, sf: str) -> DataFrame:
     s = _refinement(spark, sf)
-    return rounded(s.next_model(s.rows()), "intens", digits=5)
+    return rounded(s.next_model(s.rows(post=False)), "intens", digits=5)
 
 
 # Analysis

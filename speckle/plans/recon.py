@@ -73,12 +73,12 @@ class Step:
             self.phi = x.scale.join(self.seen, "frame_id", "left_semi")
         self.params = self.phi.join(self.betas, "frame_id")
 
-    def rows(self) -> DataFrame:
-        """The posterior and the sums that it asks for; to be written once where both are read."""
+    def rows(self, post: bool = True) -> DataFrame:
+        """The posterior, if `post`, and the sums that it asks for; to be written once where both are read."""
         if self.allowed:
-            post = mx.posterior(self.likelihoods(), self.betas)
-            return grid.held(post, bl.tomogram_sums(post, self.x.photons, self.phi, self.x.det, self.seen.count()))
-        return grid.expanded(self.blocks, self.params, self.n_blocks, self.setup)
+            p = mx.posterior(self.likelihoods(), self.betas)
+            return grid.held(p, bl.tomogram_sums(p, self.x.photons, self.phi, self.x.det, self.seen.count()))
+        return grid.expanded(self.blocks, self.params, self.n_blocks, self.setup, post)
 
     def likelihoods(self) -> DataFrame:
         """Of the pairs of frames and rotations that are allowed."""
