@@ -103,6 +103,41 @@ def test_emc_files(spark, tmp_path):
     assert not emc.is_hdf5(str(next((tmp_path / "x").glob("*.emc"))))
 
 
+def sparse_rows(n):
+    return [(k, [k, k + 1] if k % 3 else [], [5] * (k % 4), [k + 2] * (k % 4)) for k in range(n)]
+
+
+def test_a_lookup_opens_one_range(spark, tmp_path):
+    spark.dataSource.register(emc.EmcSource)
+    frames = sparse_rows(57)
+    for k, (lo, hi) in enumerate(((0, 30), (30, 57))):
+        emc.write(str(tmp_path / f"part-{k}.emc"), 64, [x[1:] for x in frames[lo:hi]])
+    read = lambda ids: spark.read.format("emc").option("frames", 8).option("ids", ids).load(str(tmp_path))
+    for ids, want in (("33", [33]), ("2,31,99", [2, 31]), ("28-31, 30-33,5", [5, *range(28, 34)]), ("99", []), ("", []), ("0-99", range(57))):
+        assert sorted(tuple(r) for r in read(ids).collect()) == [frames[i] for i in want]
+    assert read("33").rdd.getNumPartitions() == 1 and read("0-99").rdd.getNumPartitions() == 8
+    (part,) = emc._Reader([str(tmp_path / f"part-{k}.emc") for k in (0, 1)], 8, "33").partitions()
+    assert (part.lo, part.hi, part.first) == (3, 4, 30) and [x.tolist() for x in next(emc.rows(part))] == list(frames[33][1:])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_one_ordered_file_from_many_tasks(spark, tmp_path, parts):
+    spark.dataSource.register(emc.EmcSource)
+    frames = sparse_rows(41)
+    emc.write(str(tmp_path / "whole.emc"), 64, [x[1:] for x in frames])
+    df = spark.createDataFrame(frames, emc.SPARSE_SCHEMA).repartition(5)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df.repartitionByRange(parts, "frame_id").write.format("emc").option("path", str(tmp_path / "x")).option("num_pix", 64).mode("append").save()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert emc.single_file(spark, str(tmp_path / "x"), str(tmp_path / "one.emc"), copied=16) == 41
+    assert emc.write_single(df, str(tmp_path / "two.emc"), 64) == 41 and not (tmp_path / "two.emc.parts").exists()
+    want = (tmp_path / "whole.emc").read_bytes()
+    assert (tmp_path / "one.emc").read_bytes() == want == (tmp_path / "two.emc").read_bytes()
+
+
 def test_dense_emc_files(tmp_path):
     head = np.zeros(256, "<i4")
     head[:3] = 2, 3, emc.DOUBLE
