@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speckle.operators import views as vw
 from speckle.operators.views import corners, rotated
 
 
@@ -32,12 +33,33 @@ def best_alignment(spark, a: DataFrame, b: DataFrame, coarse: np.ndarray, size:
     return best
 
 
-def cylindrical(volume: DataFrame, size: int) -> DataFrame:
-    """(vox, intens): each voxel's mean over those of equal height and distance from the axis."""
-    c = size // 2
-    x, y, z = F.floor(F.col("vox") / size**2) - c, F.floor(F.col("vox") / size) % size - c, F.col("vox") % size
-    ring = Window.partitionBy(z, F.rint(F.sqrt(x * x + y * y)))
-    return volume.select("vox", F.avg("intens").over(ring).alias("intens"))
+def fibre_turns(spark, n: int) -> DataFrame:
+    """(r, q0..q3): n turns of a plane about the axis of a fibre, which lies in it."""
+    a = F.col("id") * (2 * np.pi / n)
+    c, sn = F.cos(a), F.sin(a)
+    q0 = F.when(c > 0, F.sqrt(1 + c) / 2).otherwise(sn / F.sqrt(F.greatest(1 - c, F.lit(1e-300))) / 2)
+    q1 = F.when(c > 0, sn / F.sqrt(F.greatest(1 + c, F.lit(1e-300))) / 2).otherwise(F.sqrt(1 - c) / 2)
+    return spark.range(n).select(F.col("id").alias("r"), q0.alias("q0"), q1.alias("q1"), q0.alias("q2"), q1.alias("q3"))
+
+
+def fibre_average(volume: DataFrame, size: int, sigma: float, angles: int = 720, steps: int = 101, edge: float = 20.0) -> DataFrame:
+    """(vox, value): what a fibre of the volume shows: a central plane averaged over `angles` turns, then blurred in itself.
+
+    The blur adds the plane turned by angles up to 4 sigma (degrees) either way, `steps` of them each, with Gaussian weights
+    that are not divided out, inside a circle `edge` short of the half size.
+    """
+    spark, c = volume.sparkSession, size // 2
+    flat = spark.range(size * size).select(F.col("id").alias("pix"), (F.floor(F.col("id") / size) - c).cast("double").alias("qx"), (F.col("id") % size - c).cast("double").alias("qy"), F.lit(0.0).alias("qz"), F.lit(1.0).alias("corr"), F.lit(0).alias("mask"))
+    seen = vw.corners(vw.coords3d(fibre_turns(spark, angles), flat, size), size).join(volume.select("vox", "intens"), "vox")
+    plane = seen.groupBy(F.col("pix").alias("vox")).agg((F.sum(F.col("f") * F.col("intens")) / angles).alias("intens"))
+    rad = sigma * np.pi / 180
+    turns = spark.range(2 * steps).select(((F.col("id") - steps) * (4 * rad / steps)).alias("a")).withColumn("w", F.exp(-F.col("a") * F.col("a") / (2 * rad * rad)))
+    x = flat.select("pix", "qx", "qy").crossJoin(F.broadcast(turns))
+    t0, t1 = F.cos("a") * F.col("qx") - F.sin("a") * F.col("qy"), F.sin("a") * F.col("qx") + F.cos("a") * F.col("qy")
+    x = x.select("pix", "w", t0.alias("t0"), t1.alias("t1")).filter(F.sqrt(F.col("t0") * F.col("t0") + F.col("t1") * F.col("t1")) <= c - edge)
+    at = vw.corners(x.withColumn("t0", F.col("t0") + c).withColumn("t1", F.col("t1") + c), size)
+    out = at.join(F.broadcast(plane), "vox").groupBy("pix").agg(F.sum(F.col("w") * F.col("f") * F.col("intens")).alias("value"))
+    return flat.select("pix").join(out, "pix", "left").select(F.col("pix").alias("vox"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def blurred(profile: DataFrame, sigma: float, reach: int) -> DataFrame:

@@ -1003,9 +1003,22 @@ def frame_zoomed(spark: SparkSession, sf: str) -> DataFrame:
     return kn.zoom(frame_assembled(spark, sf), 1)
 
 
-@query("SELECT vox, ROUND(AVG(intens) OVER (PARTITION BY vox % 9, ROUND_EVEN(SQRT(POWER(vox // 81 - 4, 2) + POWER(vox // 9 % 9 - 4, 2)), 0)), 6) AS intens FROM cube")
+@query("""g AS (SELECT range AS r, COS(range * 2 * PI() / 12) AS c, SIN(range * 2 * PI() / 12) AS s FROM range(12)),
+q AS (SELECT r, CASE WHEN c > 0 THEN SQRT(1 + c) / 2 ELSE s / SQRT(1 - c) / 2 END AS q0, CASE WHEN c > 0 THEN s / SQRT(1 + c) / 2 ELSE SQRT(1 - c) / 2 END AS q1 FROM g),
+p AS (SELECT range AS pix, range // 9 - 4 AS x, range % 9 - 4 AS y FROM range(81)),
+t AS (SELECT r, pix, (1 - 2 * (q0*q0 + q1*q1)) * x + 2 * (q1*q0 - q0*q1) * y + 4 AS t0, 2 * (q1*q0 + q0*q1) * x + (1 - 2 * (q1*q1 + q1*q1)) * y + 4 AS t1, 2 * (q1*q1 - q0*q0) * x + 2 * (q0*q1 + q0*q1) * y + 4 AS t2 FROM q, p),
+i AS (SELECT *, CAST(TRUNC(t0) AS BIGINT) AS i0, CAST(TRUNC(t1) AS BIGINT) AS i1, CAST(TRUNC(t2) AS BIGINT) AS i2 FROM t),
+n AS (SELECT pix, ((i0 + a) * 9 + i1 + b) * 9 + i2 + d AS vox, ABS(1 - a - (t0 - i0)) * ABS(1 - b - (t1 - i1)) * ABS(1 - d - (t2 - i2)) AS f
+  FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(d) WHERE t0 >= 0 AND t1 >= 0 AND t2 >= 0 AND i0 <= 7 AND i1 <= 7 AND i2 <= 7),
+plane AS (SELECT pix AS vox, SUM(f * intens) / 12 AS intens FROM n JOIN cube USING (vox) GROUP BY 1),
+w AS (SELECT (range - 6) * 4 * (PI() / 18) / 6 AS a FROM range(12)),
+u AS (SELECT pix, EXP(-a * a / 2 / POWER(PI() / 18, 2)) AS w, COS(a) * x - SIN(a) * y AS t0, SIN(a) * x + COS(a) * y AS t1 FROM p, w),
+j AS (SELECT pix, w, t0 + 4 AS t0, t1 + 4 AS t1, CAST(TRUNC(t0 + 4) AS BIGINT) AS i0, CAST(TRUNC(t1 + 4) AS BIGINT) AS i1 FROM u WHERE SQRT(t0 * t0 + t1 * t1) <= 3.3),
+k AS (SELECT pix, w, (i0 + a) * 9 + i1 + b AS vox, ABS(1 - a - (t0 - i0)) * ABS(1 - b - (t1 - i1)) AS f FROM j, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b)),
+o AS (SELECT pix, SUM(w * f * intens) AS value FROM k JOIN plane USING (vox) GROUP BY 1)
+SELECT pix AS vox, ROUND(COALESCE(value, 0), 5) AS value FROM p LEFT JOIN o USING (pix)""")
 def volume_cylindrical(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(vo.cylindrical(tb.volume(spark, sf), 9), "intens")
+    return rounded(vo.fibre_average(tb.volume(spark, sf), 9, 10.0, 12, 6, 0.7), "value", digits=5)
 
 
 @query("""r AS (SELECT range - 3 AS v FROM range(7)), p AS (SELECT a.v AS h, b.v AS k, c.v AS l FROM r a, r b, r c)

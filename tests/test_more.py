@@ -169,3 +169,61 @@ def test_dividing_by_sigma(spark):
     beta = spark.createDataFrame([(1, 1.0)], "frame_id long, beta double")
     p = {r.r: r.p for r in maximize.posterior(logl, beta, spread=2.0).collect()}
     assert p[0] / p[1] == pytest.approx(np.e)
+
+
+GEOMETRY = """; two panels and what is wrong with them
+clen = 0.5
+res = 10000
+coffset = 0.1
+adu_per_photon = 1
+fs = x
+ss = y
+rigid_group_all = a,b
+a/min_fs = 0
+a/max_fs = 3
+a/min_ss = 0
+a/max_ss = 2
+a/corner_x = -2.5
+a/corner_y = -1.5
+b/min_fs = 0 ; below a in the array
+b/max_fs = 3
+b/min_ss = 3
+b/max_ss = 4
+b/corner_x = 4
+b/corner_y = 1
+b/fs = +0.0x -1.0y
+b/ss = -x + 0.5y
+badbeam/min_x = -0.6
+badbeam/max_x = 0.6
+badbeam/min_y = -1
+badbeam/max_y = 1
+badcorner/panel = b
+badcorner/min_fs = 2
+badcorner/max_fs = 3
+badcorner/min_ss = 4
+badcorner/max_ss = 4
+"""
+
+
+def test_geometry_files(spark):
+    from speckle.sources import geometry
+
+    layout = geometry.parsed(GEOMETRY)
+    assert list(layout.panels) == ["a", "b"] and layout.width == 4 and layout.whole["clen"] == "0.5"
+    assert layout.panels["b"]["fs"] == (0.0, -1.0) and layout.panels["b"]["ss"] == (-1.0, 0.5) and layout.panels["a"]["fs"] == (1.0, 0.0)
+    got = {r.pix: r for r in geometry.pixels(spark, layout).collect()}
+    assert sorted(got) == list(range(20))
+    for p, r in got.items():
+        fs, ss = p % 4, p // 4
+        x, y = (-2.5 + fs, -1.5 + ss) if ss < 3 else (4 - (ss - 3), 1 - fs + 0.5 * (ss - 3))
+        assert (r.panel, r.fs, r.ss, r.x, r.y) == ("ab"[ss >= 3], fs, ss, x, y)
+        assert r.bad == (abs(x) <= 0.6 and abs(y) <= 1 or p in (18, 19))
+    det = {r.pix: r for r in geometry.detector(spark, GEOMETRY, 20.0, 20.0).collect()}
+    most = min(abs(f(getattr(r, k) for r in got.values())) for f in (max, min) for k in "xy")
+    assert {p: r.mask for p, r in det.items()} == {p: 2 if r.bad else int((r.x**2 + r.y**2) ** 0.5 > most) for p, r in got.items()}
+    r = det[0]
+    norm = (r.x**2 + r.y**2 + 400) ** 0.5
+    assert (r.qx, r.qz) == (pytest.approx(20 * r.x / norm), pytest.approx(20 * (20 / norm - 1)))
+    for text, why in (("a/min_fs = 1", "lacks"), ("clen = 1", "no panels"), ("a/fs = 2w", "not a direction")):
+        with pytest.raises(ValueError, match=why):
+            geometry.parsed(text)
