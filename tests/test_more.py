@@ -227,3 +227,26 @@ def test_geometry_files(spark):
     for text, why in (("a/min_fs = 1", "lacks"), ("clen = 1", "no panels"), ("a/fs = 2w", "not a direction")):
         with pytest.raises(ValueError, match=why):
             geometry.parsed(text)
+
+
+def test_moves_in_a_stream_are_those_of_the_batch(spark, tmp_path):
+    from speckle.operators import analysis
+    from speckle.streaming import frames as streaming
+
+    log = tables.iter_log(spark, SF).filter("iteration <= 12 AND frame_id % 7 = 0").select("iteration", "frame_id", "rmax")
+    rows = sorted(tuple(r) for r in log.collect())
+    schema = "iteration int, frame_id long, rmax int"
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k, part in enumerate((rows[: len(rows) // 2], rows[len(rows) // 2 :], [(1, rows[0][1], 99)])):
+            spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            query = streaming.orientation_moves(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = analysis.changes(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.frame_id, r.iteration, r.moved) for r in got if not r.late) == sorted((r.frame_id, r.iteration, r.moved) for r in want) and want
+    assert [(r.frame_id, r.iteration, r.moved) for r in got if r.late] == [(rows[0][1], 1, None)]
