@@ -124,10 +124,10 @@ def partitioned(photons: DataFrame, parts: int, salt: str = "part") -> DataFrame
     return x.groupBy("frame_id", (_photon(salt, "frame_id", "pix", "k") % parts).cast("int").alias("part"), "pix").agg(F.count("*").cast("int").alias("cnt"))
 
 
-def assembled_frame(frame: DataFrame, places: DataFrame) -> DataFrame:
-    """(ix, iy, value) of one frame's (pix, cnt): sums over the pixels that share a place, bad pixels left out."""
+def assembled_frame(frame: DataFrame, places: DataFrame, averaged: bool = False) -> DataFrame:
+    """(ix, iy, value) of one frame's (pix, cnt): sums, or means if `averaged`, over the pixels that share a place, bad ones left out."""
     x = places.filter("mask < 2").join(frame.select("pix", "cnt"), "pix", "left")
-    return x.groupBy("ix", "iy").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("value"))
+    return x.groupBy("ix", "iy").agg((F.avg if averaged else F.sum)(F.coalesce("cnt", F.lit(0))).alias("value"))
 
 
 def centro_symmetric(image: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,3 +153,23 @@ def oblique(volume: DataFrame, u: tuple, v: tuple, size: int) -> DataFrame:
     g = volume.sparkSession.range(size * size).select((F.floor(F.col("id") / size) - c).alias("i"), (F.col("id") % size - c).alias("j"))
     at = g.select("i", "j", *[(F.col("i") * float(u[k]) + F.col("j") * float(v[k]) + c).alias(f"t{k}") for k in range(3)])
     return corners(at, size).join(volume, "vox").groupBy("i", "j").agg(F.sum(F.col("f") * F.col("intens")).alias("value"))
+
+
+def normal_plane(volume: DataFrame, normal: tuple[float, float, float], layer: float, size: int) -> DataFrame:
+    """(i, j, value): the plane of a normal vector through `layer` of it (size // 2 is the centre), 0 outside the volume.
+
+    Its second axis is the normal times the first axis of the volume, or times the second where these are nearly parallel;
+    its first axis is the normal times its second.
+    """
+    c = size // 2
+    n = np.array(normal, float) / np.linalg.norm(normal)
+    v = np.cross(n, (1.0, 0.0, 0.0) if n[0] < 0.95 else (0.0, 1.0, 0.0))
+    v /= np.linalg.norm(v)
+    u = np.cross(n, v)
+    grid = volume.sparkSession.range(size * size).select((F.floor(F.col("id") / size) - c).alias("i"), (F.col("id") % size - c).alias("j"))
+    # noise of rounding does not move a point off the grid, and the last cell holds its end too
+    t = [F.round(F.col("i") * float(u[k]) + F.col("j") * float(v[k]) + float(n[k] * (layer - c)) + c, 12) for k in range(3)]
+    inside = [x.between(0, size - 1) for x in t]
+    at = grid.filter(inside[0] & inside[1] & inside[2]).select("i", "j", *[F.least(x, F.lit(size - 1 - 1e-12)).alias(f"t{k}") for k, x in enumerate(t)])
+    found = corners(at, size).join(volume, "vox").groupBy("i", "j").agg(F.sum(F.col("f") * F.col("intens")).alias("value"))
+    return grid.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -335,6 +335,12 @@ def volume_plane(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vw.oblique(tb.volume(spark, sf), (1, 0, 0), (0, 1, 0), 9), "value")
 
 
+@query("""p AS (SELECT i.range - 4 AS i, j.range - 4 AS j FROM range(9) i, range(9) j)
+SELECT i, j, ROUND(intens, 6) AS value FROM p JOIN cube ON vox = (4 - i) * 81 + (j + 4) * 9 + 5""")
+def volume_layer(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vw.normal_plane(tb.volume(spark, sf), (0, 0, 2), 5, 9), "value")
+
+
 # Orientations
 
 

@@ -192,3 +192,34 @@ def test_background_roots_of_split_views(spark):
             want[k] = (lo + hi) / 2
     close(got, want, 1e-8)
     assert 0 < sum(v > 0 for v in want.values()) < len(want)
+
+
+@pytest.mark.parametrize("normal,layer", [((1.0, 2.0, -0.5), 3), ((5.0, 0.1, 0.2), 7), ((0.0, 1.0, 0.0), 0)])
+def test_planes_by_normal_and_layer(spark, normal, layer):
+    size, c = 9, 4
+    volume = tb.volume(spark, SF, size)
+    v = np.zeros(size**3)
+    for r in volume.collect():
+        v[r.vox] = r.intens
+    v = v.reshape(size, size, size)
+    n = np.array(normal) / np.linalg.norm(normal)
+    b = np.cross(n, [1, 0, 0] if n[0] < 0.95 else [0, 1, 0])
+    b = b / np.linalg.norm(b)
+    a, want = np.cross(n, b), {}
+    for i in range(-c, c + 1):
+        for j in range(-c, c + 1):
+            t = np.round(a * i + b * j + n * (layer - c) + c, 12)
+            low = np.minimum(np.floor(t), size - 2).astype(int)
+            f = t - low
+            inside = ((t >= 0) & (t <= size - 1)).all()
+            want[i, j] = sum(v[tuple(low + d)] * np.prod(np.where(d, f, 1 - f)) for d in np.ndindex(2, 2, 2)) if inside else 0.0
+    close(pairs(vw.normal_plane(volume, normal, layer, size), "i", "j", "value"), want)
+
+
+def test_averaged_assembly(spark):
+    from speckle.operators import frames as fr
+
+    places = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 0), (3, 0, 1, 2)], "pix int, ix int, iy int, mask int")
+    frame = spark.createDataFrame([(0, 3), (3, 9)], "pix int, cnt int")
+    assert pairs(fr.assembled_frame(frame, places, averaged=True), "ix", "iy", "value") == {(0, 0): 1.5, (0, 1): 0.0}
+    assert pairs(fr.assembled_frame(frame, places), "ix", "iy", "value") == {(0, 0): 3, (0, 1): 0}
