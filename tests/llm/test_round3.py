@@ -257,3 +257,24 @@ def test_long_groups_are_counted_by_ids(monkeypatch):
     r = alg.rows(pa.array([1]), [text]).to_pylist()[0]
     _, links = brute_alignment(text)
     assert dict(zip(r["pairs"], r["times"])) == {a << 32 | b: n for (a, b), n in links.items()} and r["n_links"] == sum(links.values())
+
+
+def test_registered_search_finds_the_nearest(spark):
+    """Recall of the registered query, with its own parameters, over a whole table."""
+    from speckle.llm import ann
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = defaultdict(list)
+    for r in sorted(ann.QUERIES["op2_ann"](spark, sf).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % 20 == 0)
+    hits = 0
+    for q, found in got.items():
+        scores = v @ v[ids == q][0]
+        order = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-scores[i], ids[i]))[:20]
+        hits += len({int(ids[i]) for i in order} & {i for i, _ in found})
+        assert len(found) == 20 and all(s == pytest.approx(scores[ids == i][0]) for i, s in found)
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+    assert hits / (20 * len(got)) >= 0.9
