@@ -68,6 +68,11 @@ class _Table:
 _table = _Table()
 
 
+def forget() -> None:
+    """Frees the words of this worker, which lives on when its task ends."""
+    _table.clear()
+
+
 def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of the hash of every word, A-Z as a-z, (words, 2), and the number of words of each text.
 

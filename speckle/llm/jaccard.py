@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speckle.llm import _common as c
-from speckle.llm._shingles import exact_sets, shingle_sets
+from speckle.llm._shingles import exact_sets, forget, shingle_sets
 
 WORDS, PERCENT = 4, 85
 #: Counters of shingles (a byte each is broadcast), the pieces that they are added up in, and what makes a shingle frequent.
@@ -70,6 +70,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             if got:
                 at, n = np.unique((np.concatenate(got) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), return_counts=True)
                 total[at] += n
+        forget()
         part = TaskContext.get().partitionId() // 256
         for i in range(PIECES):
             x = total[i * step : (i + 1) * step]
@@ -116,6 +117,7 @@ def signatures(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
             cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
             cols = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(cuts, flat)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ck", "gk", "prefix"])
+        forget()
 
     return docs.mapInArrow(sign, "doc_id long, n long, ck binary, gk long, prefix array<long>")
 
