@@ -21,8 +21,9 @@ CELL_ROWS, TRIALS, TARGET = 32, 256, 0.97
 K, SHORTLIST = 20, 300
 #: Vectors and queries that one task compares at once, on average.
 BLOCK_ROWS, BLOCK_QUERIES, BATCH_QUERIES = 16384, 8192, 64
-#: Inner products that a task of the exact check holds at once; rows of queries that are sent to blocks at once.
-PRODUCTS, SENT_ROWS = 1 << 20, 4096
+#: Inner products that a task of the exact check holds at once, and pairs whose products it sums exactly at once; rows
+#: of queries that are sent to blocks at once.
+PRODUCTS, RERANKED, SENT_ROWS = 1 << 20, 8192, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -104,7 +105,7 @@ class Index:
             if len(mine):
                 a = np.repeat((q[mine] @ self.centres[cells[i]]).astype("f4")[:, None], hi - lo, 1)
                 for m, t in enumerate(tables):
-                    a += t[mine][:, codes[lo:hi, m]]
+                    a += np.take(t[mine], codes[lo:hi, m], axis=1)
                 approx[mine, lo:hi] = a
         approx[q_id[:, None] == x_id[None]] = -np.inf
         for i, a in enumerate(approx):
@@ -119,13 +120,26 @@ class Index:
             yield i, top[best], exact[best]
 
 
-def missed(index: Index, q: np.ndarray, q_id: np.ndarray, least: np.ndarray, had: list, asks: np.ndarray, cells: np.ndarray, cuts: np.ndarray, far: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_row: np.ndarray, k: int):
-    """(query index, rows, exact scores): each query's k best rows of a block that score `least` or more and it had not.
+def missed(index: Index, q: np.ndarray, q_id: np.ndarray, least: np.ndarray, had: tuple[np.ndarray, np.ndarray], asks: np.ndarray, cells: np.ndarray, cuts: np.ndarray, far: np.ndarray, x: np.ndarray, x_id: np.ndarray, x_row: np.ndarray, k: int):
+    """(query indices, rows, exact scores): the queries' k best rows of a block that score `least` or more and are new.
 
     Rows of a cell lie from cuts[i] to cuts[i + 1], the farthest from the centre first. q.x is at most q.c + |q||x - c|,
-    so the nearer ones are left out where this is below `least`.
+    so the nearer ones are left out where this is below `least`. had: query indices, and keys of rows found before.
     """
-    size, more, off = norms(q), {}, rounding(index.dim)
+    size, off = norms(q), rounding(index.dim)
+    by_key = np.argsort(x_row)
+    at = by_key[np.minimum(np.searchsorted(x_row, had[1], sorter=by_key), len(x) - 1)]
+    here = x_row[at] == had[1]
+    old = np.sort(np.append(had[0][here] * len(x) + at[here], -1))
+    got, n_got = [], 0
+
+    def best():
+        one, rows, exact = (np.concatenate(g) for g in zip(*got))
+        order = np.lexsort([x_id[rows], -exact, one])
+        start = np.searchsorted(one[order], one[order])
+        order = order[np.arange(len(order)) - start < k]
+        return one[order], rows[order], exact[order]
+
     for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
         mine = np.nonzero(asks[:, i])[0]
         centre = index.centres[cells[i]]
@@ -133,24 +147,26 @@ def missed(index: Index, q: np.ndarray, q_id: np.ndarray, least: np.ndarray, had
         need = (least[mine] - q[mine] @ centre) / size[mine] - slack
         n = np.searchsorted(-far[lo:hi], -np.where(np.isfinite(need), need, -np.inf), "right")
         mine, n = mine[np.argsort(-n, kind="stable")], -np.sort(-n)
-        at = 0
-        while at < len(mine) and n[at]:
-            end = lo + n[at]
-            some = mine[at : at + max(1, PRODUCTS // n[at])]
-            at += len(some)
-            enough = ~(q[some] @ x[lo:end].T < (least[some] - size[some] * slack)[:, None]) & (q_id[some][:, None] != x_id[None, lo:end])
-            for j in np.nonzero(enough.any(1))[0]:
-                one = some[j]
-                rows = lo + np.nonzero(enough[j])[0]
-                rows = rows[~np.isin(x_row[rows], had[one])]
-                exact = (x[rows] * q[one]).sum(1)
-                before = more.get(one, (np.zeros(0, np.int64), np.zeros(0)))
-                rows, exact = np.concatenate([before[0], rows[exact >= least[one]]]), np.concatenate([before[1], exact[exact >= least[one]]])
-                best = np.lexsort([x_id[rows], -exact])[:k]
-                more[one] = rows[best], exact[best]
-    for one, (rows, exact) in more.items():
-        if len(rows):
-            yield one, rows, exact
+        done = 0
+        while done < len(mine) and n[done]:
+            end = lo + n[done]
+            some = mine[done : done + max(1, PRODUCTS // n[done])]
+            done += len(some)
+            j, rows = np.nonzero(~(q[some] @ x[lo:end].T < (least[some] - size[some] * slack)[:, None]))
+            one, rows = some[j], lo + rows
+            pair = one * len(x) + rows
+            new = (q_id[one] != x_id[rows]) & (old[np.searchsorted(old, pair, "right") - 1] != pair)
+            one, rows = one[new], rows[new]
+            for a in range(0, len(one), RERANKED):
+                o, r = one[a : a + RERANKED], rows[a : a + RERANKED]
+                exact = (x[r] * q[o]).sum(1)
+                good = exact >= least[o]
+                got.append((o[good], r[good], exact[good]))
+                n_got += int(good.sum())
+            if n_got > PRODUCTS + k * len(q):
+                got = [best()]
+                n_got = len(got[0][0])
+    return best() if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -336,9 +352,10 @@ def _found(queries: DataFrame, vectors: DataFrame, total: int, k: int, probes: i
         x = x.sort_by([("cell", "ascending"), ("far", "descending")])
         ids, row, q_ids, vecs = x["id"].to_numpy(), x["row"].to_numpy(), q["id"].to_numpy(), _matrix(x["vec"])
         cells, cuts, asks = _cells(x, q)
-        had = [np.asarray(h, np.int64) for h in q["had"].to_pylist()]
-        for i, rows, scores in missed(shared.value, _matrix(q["vec"]), q_ids, q["least"].to_numpy(), had, asks, cells, cuts, x["far"].to_numpy(), vecs, ids, row, k):
-            yield np.full(len(rows), q_ids[i]), row[rows], ids[rows], scores
+        lists = q["had"].combine_chunks()
+        had = np.repeat(np.arange(len(q_ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        one, rows, scores = missed(shared.value, _matrix(q["vec"]), q_ids, q["least"].to_numpy(), had, asks, cells, cuts, x["far"].to_numpy(), vecs, ids, row, k)
+        yield q_ids[one], row[rows], ids[rows], scores
 
     with c.arrow_batches(spark, rows=1024):
         asked = c.stored(queries.mapInArrow(probe, "id long, vec array<double>, block long, cells array<int>"), "ann-queries")
