@@ -81,10 +81,10 @@ def look_up(model: np.ndarray, coords: np.ndarray, corr: np.ndarray, size: int)
     return np.where(inside & (value > 0), value, TINY)
 
 
-def put_back(total: np.ndarray, weights: np.ndarray, coords: np.ndarray, values: np.ndarray, size: int) -> None:
-    """Adds values, dealt to the corners of their cells, to total, and what corners take to weights."""
+def put_back(total: np.ndarray, weights: np.ndarray, coords: np.ndarray, values: np.ndarray, size: int, times: int = 1) -> None:
+    """Adds values, dealt to the corners of their cells, to total, and what corners take to weights, both as often as `times`."""
     inside, corners = cells(coords, size)
     for place, weight in corners:
-        at, w = place[inside], weight[inside]
+        at, w = place[inside], times * weight[inside]
         np.add.at(total, at, w * values[inside])
         np.add.at(weights, at, w)

@@ -713,8 +713,7 @@ def emc_iteration_rz(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_STEP_3D + " SELECT frame_id, mode, r, ROUND(p, 6) AS p FROM post WHERE p > 1e-3")
 def posterior_3d(spark: SparkSession, sf: str) -> DataFrame:
-    post = grid.posterior(recon.Step(_problem(spark, sf)).rows())
-    return rounded(post.filter("p > 1e-3").select("frame_id", "mode", "r", "p"), "p")
+    return rounded(recon.Step(_problem(spark, sf)).likely(1e-3), "p")
 
 
 #: Every fourth rotation is a coarse one; a frame keeps two coarse ones, by its number.

@@ -6,6 +6,7 @@ import math
 import os
 import time
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,22 @@ class Step:
         self.params = self.phi.join(self.betas, "frame_id")
 
     def rows(self, post: bool = True) -> DataFrame:
-        """The posterior, if `post`, and the sums that it asks for; to be written once where both are read."""
+        """The posterior, if `post`, and the sums that it asks for; to be written once where both are read. Without the posterior
+        frames that nothing tells apart meet the views once."""
         if self.allowed:
             p = mx.posterior(self.likelihoods(), self.betas)
             return grid.held(p, bl.tomogram_sums(p, self.x.photons, self.phi, self.x.det, self.seen.count()))
-        return grid.expanded(self.blocks, self.params, self.n_blocks, self.setup, post)
+        if not post:
+            return grid.summed(grid.classes(self.alike), self.setup)
+        return grid.expanded(self.blocks, self.params, self.n_blocks, self.setup)
+
+    @cached_property
+    def alike(self) -> DataFrame:
+        return grid.alike(self.x.photons, self.params, self.x.det)
+
+    def likely(self, least: float) -> DataFrame:
+        """(frame_id, mode, r, p) above `least`, of all frames with all views."""
+        return grid.likely(self.alike, self.setup, least)
 
     def likelihoods(self) -> DataFrame:
         """Of the pairs of frames and rotations that are allowed."""
