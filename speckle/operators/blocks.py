@@ -117,7 +117,7 @@ def tomogram_sums(post: DataFrame, photons: DataFrame, phi: DataFrame, det: Data
     right = post.filter(F.col("p") > PROB_MIN).select(_part(blocks, "frame_id").alias("block"), F.col("frame_id").alias("frame_id"), "mode", "r", "p")
 
     def cell(f, v):
-        rows = []
+        out = [[], [], [], [], []]
         if f.num_rows and v.num_rows:
             ids, (phi,), of, pix, cnt = _frames(f, "phi")
             key = np.stack([v["mode"].to_numpy(), v["r"].to_numpy()], 1)
@@ -139,11 +139,17 @@ def tomogram_sums(post: DataFrame, photons: DataFrame, phi: DataFrame, det: Data
                 photon = np.repeat(first[frame[a:b]] - np.cumsum(k) + k, k) + np.arange(k.sum())
                 cell = np.repeat(view[a:b] - lo, k) * len(pixels) + place[photon]
                 s = np.bincount(cell, np.repeat(p[a:b], k) * cnt[photon], (hi - lo) * len(pixels)).reshape(hi - lo, len(pixels))
-                rows += [(int(keys[lo + j, 0]), int(keys[lo + j, 1]), np.r_[-1, pixels[s[j] > 0]].astype("i4"), np.r_[weight[lo + j], s[j][s[j] > 0]]) for j in range(hi - lo)]
+                every = np.concatenate([weight[lo:hi, None], s], 1)
+                on = every > 0
+                on[:, 0] = True
+                j, k = np.nonzero(on)
+                for to, x in zip(out, (keys[lo:hi, 0], keys[lo:hi, 1], on.sum(1), np.r_[-1, pixels][k], every[j, k])):
+                    to.append(x)
                 lo = hi
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["mode", "r", "pix", "s"])
+        mode, r, n, pix, s = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(pix, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(s, pa.float64()))]
+        return pa.Table.from_arrays([pa.array(mode, pa.int64()), pa.array(r, pa.int64()), *lists], ["mode", "r", "pix", "s"])
 
     parts = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(cell, "mode long, r long, pix array<int>, s array<double>")
     return parts.select("mode", "r", F.inline(F.arrays_zip("pix", "s"))).groupBy("mode", "r", "pix").agg(F.sum("s").alias("s"))
